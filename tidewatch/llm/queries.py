@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, token_counts
+from tidewatch.llm import bpe, ngram_join, token_counts
 from tidewatch.llm.runtime import documents
 
 
@@ -17,6 +17,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(documents(spark, sf_dir), vocabulary()))
 
@@ -26,7 +30,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op5_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op5_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
