@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, ngram_join, token_counts
+from tidewatch.llm import bpe, ngram_join, substring_dedup, token_counts
 from tidewatch.llm.runtime import documents
 
 
@@ -29,8 +30,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op5_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op5_bpe, op6_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
