@@ -16,8 +16,8 @@ every shard, which grows with the square of the corpus. Anchors route each passa
 it. Passages that a whole document's copies share are counted, not gathered, so no group size bounds a task.
 
 Hashes (64 bits) only choose anchors and shards; an anchor counted as repeated by a collision costs time, not
-correctness. Words are compared as they are. Null and empty texts have no words. Documents need not have ids that
-differ: those that share one id are told apart by content, and equal rows are copies.
+correctness. Words are compared as they are. Null and empty texts have no words. Ids need not
+differ: rows that share one are told apart by their texts, and equal rows are copies.
 """
 
 from __future__ import annotations
@@ -37,45 +37,59 @@ from tidewatch.llm.runtime import Stash, prepare
 SLACK = 15
 
 
-def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """Minima of all runs of width numbers, from minima of runs of powers of two."""
+def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """Minima (or maxima) of all runs of width numbers, from those of runs of powers of two."""
     have = 1
     while have * 2 <= width:
-        x, have = np.minimum(x[:-have], x[have:]), have * 2
-    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
+        x, have = pick(x[:-have], x[have:]), have * 2
+    return pick(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def anchors(w: words.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, anchor): the first word of each window, and the hash of the window's anchor."""
+def _marked(w: words.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, least, runs): the first word of each window, by first word the hash of the window's anchor (0 where
+    no window starts), and the hash of each run that can be an anchor."""
     h = words.word_hashes(w)
-    n = np.diff(w.first)
     if len(h) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     k = window - SLACK
     g = np.zeros(len(h) - k + 1, np.uint64)
     for j in range(k):
         g = g * np.uint64(words._BASE) + h[j : len(h) - k + 1 + j]
-    least = _least(words.mix(g), SLACK + 1)
-    at = np.arange(len(h))
-    start = np.flatnonzero(at + window <= np.repeat(w.first[1:], n))
+    g = words.mix(g)
+    least = _slide(g, SLACK + 1, np.minimum)
+    whole = np.arange(len(least)) + window <= np.repeat(w.first[1:], np.diff(w.first))[: len(least)]
+    return np.flatnonzero(whole), np.where(whole, least, np.uint64(0)), g
+
+
+def anchors(w: words.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, anchor) of each window."""
+    start, least, _ = _marked(w, window)
     return start, least[start]
 
 
+def anchor_places(w: words.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of each run that is some window's anchor: it is so if it equals the largest anchor of the
+    windows that hold it, as none of these has a larger one than it."""
+    _, least, g = _marked(w, window)
+    if not len(g):
+        return np.zeros(0, np.int64), g
+    edge = np.zeros(SLACK, np.uint64)
+    at = np.flatnonzero((_slide(np.concatenate([edge, least, edge]), SLACK + 1, np.maximum) == g) & (g > 0))
+    return at, g[at]
+
+
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """anchor, doc: a row for each anchor of a document. Where neighbours have one anchor, it is one; an anchor that
-    comes back later in its document gives another row."""
+    """anchor, doc: a row for each place of an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
             for lo, hi, data, at in words.chunks(batch.column(1)):
                 w = words.split(data, at)
-                start, anchor = anchors(w, window)
-                if not len(start):
-                    continue
-                doc = np.searchsorted(w.first, start, "right") - 1
-                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-                doc, anchor = doc[new], anchor[new]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(doc))], names=["anchor", "doc"])
+                place, anchor = anchor_places(w, window)
+                doc = np.searchsorted(w.first, place, "right") - 1
+                for k in range(0, len(place), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[part].view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(doc[part]))], names=["anchor", "doc"])
 
     return docs.mapInArrow(run, "anchor long, doc string")
 
@@ -110,7 +124,7 @@ def _passages(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _matched(window: int):
-    """For passages that occur once, under one anchor: the starts of their repeated windows."""
+    """For passages that occur once: the starts of their windows that stand elsewhere, or twice in the passage."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         by: dict[int, list[tuple[str, int]]] = {}
@@ -118,8 +132,6 @@ def _matched(window: int):
             by.setdefault(a, []).append((text, n))
         out = []
         for a, found in by.items():
-            if len(found) < 2:
-                continue
             automaton = SuffixAutomaton((text.split(" "), n) for text, n in found)
             for text, n in found:
                 if n < 2 and (starts := automaton.repeated(text.split(" "), window)):
@@ -155,9 +167,10 @@ def dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "t
     prepare(spark)
     stash = stash or Stash(spark, "substrings")
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    named = docs.where("text is not null").select(F.col("key").cast("string").alias("doc"), "text")
+    docs = docs.withColumn("name", F.concat_ws(":", F.col("key").cast("string"), F.hex(F.xxhash64("text"))))
+    named = docs.where("text is not null").select(F.col("name").alias("doc"), "text")
     starts = stash.keep(repeated_windows(named, window, stash), "starts")
-    both = docs.join(starts, docs["key"].cast("string") == starts["doc"], "left").select("key", "text", "starts")
+    both = docs.join(starts.withColumnRenamed("doc", "name"), "name", "left").select("key", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
