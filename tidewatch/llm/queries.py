@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, ngram_join, substring_dedup, token_counts, topk
+from tidewatch.llm import bpe, language, ngram_join, substring_dedup, token_counts, topk
 from tidewatch.llm.runtime import documents
 
 
@@ -35,6 +35,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    away = language.held_out(F.col("doc_id"))
+    return language.predict(docs.select("doc_id", "text", away.alias("held_out")), language.fit(docs.where(~away))).drop("text")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
@@ -51,7 +57,7 @@ select * from r where rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op5_bpe, op6_substring_dedup, op10_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op5_bpe, op6_substring_dedup, op9_language, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
