@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, language, ngram_join, substring_dedup, token_counts, topk
+from tidewatch.llm import bpe, language, line_dedup, ngram_join, substring_dedup, token_counts, topk
 from tidewatch.llm.runtime import documents
 
 
@@ -26,6 +26,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(documents(spark, sf_dir), vocabulary()))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
@@ -57,7 +62,7 @@ select * from r where rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op5_bpe, op6_substring_dedup, op9_language, op10_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_line_dedup, op5_bpe, op6_substring_dedup, op9_language, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
