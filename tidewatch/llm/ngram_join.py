@@ -11,9 +11,9 @@ fragments, each dealt to a task of its own with nothing but its n-grams, and
    intersected segment by segment, and the partial overlaps summed per pair.
 
 Equal texts are one text from the start: copies meet as equal ids within a fragment and count once. Groups of near
-copies don't grow into all their pairs: at first each text is only held against the least text of each of its
-prefix n-grams; later rounds skip n-grams whose texts are already connected, and in the last every pair that is not
-connected and shares a prefix n-gram is counted. So links between texts of one group that others already connect
+copies don't grow into all their pairs: in a few rounds each text is only held against one text of each of its prefix
+n-grams, another one each time, and n-grams whose texts are all connected are skipped; at last every pair that is
+not connected and shares a prefix n-gram is counted. So links between texts of one group that others already connect
 need not be counted, and no other link is lost.
 
 Hashes are 64-bit for whole texts and 52-bit for n-grams within their fragment order; collisions are as improbable
@@ -41,6 +41,8 @@ FRAGMENT = 1 << 21
 TEXTS, BYTES = 4096, 8 << 20
 _ROW = "frag int, ids binary, ns binary, grams binary"
 SEGMENTS = 8
+#: Rounds against single texts, at most; they end when few pairs are left, or none is found any more.
+ROUNDS = 4
 
 
 def fragments_for(docs: DataFrame, text: str, per_byte: float = 1 / 6, least: int = 64) -> int:
@@ -184,6 +186,13 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
+def _rooted(post: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Postings with what their texts are connected to so far, of the n-grams that still bring different ones together."""
+    own = post.withColumn("root", F.col("id")) if roots is None else post.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
+    return own.join(open_, "gram", "left_semi")
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text", stash: Stash | None = None) -> tuple[DataFrame, DataFrame]:
     """(membership, links). membership: key, id (of its text; null without words), n_shingles and component (least
     text id that links lead to; null without words). links: pairs a, b of text ids that were counted and found to
@@ -205,20 +214,32 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", te
     segments = segments.select("id", "n", "seg", F.filter("g", lambda x: F.shiftrightunsigned(x, 49) == F.col("seg")).alias("grams"))
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
-    lead = post.groupBy("gram").agg(F.min("id").alias("b"), F.min_by("n", "id").alias("nb"))
-    stars = post.select("gram", F.col("id").alias("a"), F.col("n").alias("na")).join(lead, "gram").where("a <> b").where(near).select("a", "b").distinct()
-    one = stash.keep(_verified(stars, segments, percent), "links-1")
-    roots = stash.keep(components(one, stash, "roots-1"), "roots")
-
-    own = post.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    own = own.join(open_, "gram", "left_semi")
-    a, b = (own.select("gram", *[F.col(c).alias(c + s) for c in ("id", "n", "rest", "root")]) for s in "ab")
-    bound = (1 + F.least("resta", "restb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    pairs = a.join(b, "gram").where("ida < idb and roota <> rootb").where(near).where(bound).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
-    two = stash.keep(_verified(pairs, segments, percent), "links-2")
-    links = one.unionByName(two)
-    final = stash.keep(components(links, stash, "roots-2"), "groups")
+    links, roots, size = None, None, cand.count()
+    for r in range(ROUNDS):
+        own = _rooted(post, roots)
+        order = F.xxhash64("id", F.lit(r))
+        lead = own.groupBy("gram").agg(*[F.min_by(c, order).alias(t) for c, t in (("id", "b"), ("n", "nb"), ("root", "other"))])
+        stars = own.select("gram", "root", F.col("id").alias("a"), F.col("n").alias("na")).join(lead, "gram").where("root <> other").where(near).select("a", "b").distinct()
+        found = stash.keep(_verified(stars, segments, percent), f"links-{r}")
+        links = found if links is None else links.unionByName(found)
+        if not found.take(1):
+            break
+        roots = stash.keep(components(links, stash, f"steps-{r}"), f"roots-{r}")
+        left = _rooted(post, roots).groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"))
+        if (left.agg(F.sum("p")).first()[0] or 0) <= size:
+            break
+
+    # a pair is met at its first common prefix n-gram alone, if its prefixes have enough in common: what it shares
+    # behind the prefix that ends first in the global order is at most what that text has behind it
+    head = cand.select("id", F.slice("grams", 1, F.col("prefix")).alias("head"), (F.size("grams") - F.col("prefix")).alias("tail"))
+    own = _rooted(post, roots).join(head, "id")
+    a, b = (own.select("gram", *[F.col(c).alias(c + s) for c in ("id", "n", "rest", "root", "head", "tail")]) for s in "ab")
+    both = F.array_intersect("heada", "headb")
+    need = percent * (F.col("na") + F.col("nb"))
+    bound = ((1 + F.least("resta", "restb")) * (100 + percent) >= need) & ((F.size(both) + F.greatest("taila", "tailb")) * (100 + percent) >= need) & (F.get(both, F.lit(0)) == a["gram"])
+    pairs = a.join(b, (a["gram"] == b["gram"]) & (F.col("ida") < F.col("idb")) & (F.col("roota") != F.col("rootb")) & near & bound).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    links = links.unionByName(stash.keep(_verified(pairs, segments, percent), "links-last"))
+    final = stash.keep(components(links, stash, "steps-last"), "groups")
 
     table = _documents(shared.where("kind = 2"))
     member = table.join(final.select(F.col("node").alias("id"), F.col("root")), "id", "left").select("key", "id", "n_shingles", F.coalesce("root", "id").alias("component"))
