@@ -40,21 +40,18 @@ def _key(length: Column, i: int, text: Column) -> Column:
     return F.xxhash64(length, F.lit(i), text)
 
 
-def _index(edits: int) -> Column:
-    n = F.col("n")
-    return F.array(*[_key(n, i, F.substring("line", p, w)) for i, (p, w) in enumerate(_pieces(n, edits + 1))])
-
-
-def _probes(edits: int, least: int) -> Column:
+def _rows(edits: int, least: int) -> Column:
+    """Index keys of a line (own) and the keys it probes with. Where a probe has the same number, length and place
+    as an index key, the index key is both. Equal segments have equal keys whatever ``bytes`` leaves out."""
     out = []
     for shorter in range(edits + 1):
         n = F.col("n") - shorter
         for i, (p, w) in enumerate(_pieces(n, edits + 1)):
             lo, hi = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
             for shift in range(lo, hi + 1):
-                at = p + shift
+                at, own = p + shift, shorter == shift == 0
                 fits = (n >= least) & (at >= 1) & (at + w - 1 <= F.col("n"))
-                out.append(F.when(fits, _key(n, i, F.substring("line", at, w))))
+                out.append(F.when(fits, F.struct(_key(n, i, F.substring("bytes", at, w)).alias("key"), F.lit(own).alias("own"))))
     return F.array(*out)
 
 
@@ -105,19 +102,21 @@ def _band(a: Column, b: Column, edits: int) -> Column:
 
 def near_pairs(lines: DataFrame, edits: int, least: int, stash: Stash) -> DataFrame:
     """lines: line_id (unique), line (distinct). Pairs a, b of ids of lines within the distance."""
-    long_ = lines.withColumn("n", F.length("line")).where(F.col("n") >= max(least, edits + 1))
-    index = long_.select("line_id", F.explode(_index(edits)).alias("key"), F.lit(True).alias("own"))
-    probe = long_.select("line_id", F.explode(_probes(edits, max(least, edits + 1))).alias("key"), F.lit(False).alias("own")).where("key is not null")
-    both = index.unionByName(probe)
+    least = max(least, edits + 1)
+    # one byte a character, so that substrings need no search for their place
+    flat = F.encode(F.regexp_replace("line", "[^\\x00-\\xFF]", "?"), "ISO-8859-1")
+    long_ = lines.select("line_id", F.length("line").alias("n"), flat.alias("bytes")).where(F.col("n") >= least)
+    both = long_.select("line_id", F.explode(_rows(edits, least)).alias("k")).where("k is not null").select("line_id", "k.key", "k.own").repartition("key")
     met = both.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"), F.max("own").alias("indexed")).where("indexed and lo <> hi").select("key")
     hits = stash.keep(both.join(met, "key", "left_semi"), "hits")
     stash.release()
     texts = lines.join(hits.select("line_id").distinct(), "line_id", "left_semi")
     full = stash.keep(hits.join(texts.select("line_id", "line"), "line_id"), "hit-lines")
     a = full.where("own").select("key", F.col("line_id").alias("a"), F.col("line").alias("la"))
-    b = full.where("not own").select("key", F.col("line_id").alias("b"), F.col("line").alias("lb"))
+    b = full.select("key", "own", F.col("line_id").alias("b"), F.col("line").alias("lb"))
+    once = F.when(F.col("own"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     close = F.levenshtein("la", "lb", edits) >= 0  # -1: beyond the cut-off
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") != F.col("b")) & close).select("a", "b", "la", "lb")
+    pairs = a.join(b, (a["key"] == b["key"]) & once & close).select("a", "b", "la", "lb")
     pairs = stash.keep(pairs.dropDuplicates(["a", "b"]), "pairs")
     return pairs.where(bit_parallel(F.col("la"), F.col("lb"), edits)).select("a", "b")
 

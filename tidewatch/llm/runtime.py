@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,10 +56,10 @@ class Stash:
 
     def release(self) -> None:
         """Have the shuffle files of finished stages removed now, not at the driver's next collection."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
