@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tidewatch.llm.runtime import prepare
 
@@ -137,7 +138,7 @@ def token_lengths(docs: DataFrame, vocabulary: str, text: str = "text", out: str
 def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Append ``ids`` (array<int>) of each whole text; null counts as empty."""
     prepare(docs.sparkSession)
-    at, schema = docs.columns.index(text), docs.drop("ids").schema.add("ids", "array<int>", False)
+    at, schema = docs.columns.index(text), docs.drop("ids").schema.add("ids", T.ArrayType(T.IntegerType(), False), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)

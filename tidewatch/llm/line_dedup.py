@@ -146,6 +146,7 @@ def dedup(docs: DataFrame, edits: int = 2, least: int = 20, key: str = "doc_id",
     prepare(spark)
     stash = stash or Stash(spark, "lines")
     gone = stash.keep(removals(docs, edits, least, key, text, stash), "gone")
+    stash.only("gone")
     stash.release()
     gone = gone.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
     docs = docs.withColumn("__key", F.xxhash64(text))

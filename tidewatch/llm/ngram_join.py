@@ -263,6 +263,10 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text", stash: Stash | None = None) -> DataFrame:
     """key, n_shingles, component_id: the least key in the component (the own key for a text without words)."""
+    stash = stash or Stash(docs.sparkSession, "ngrams")
     member, _ = join(docs, k, percent, key, text, stash)
+    member = stash.keep(member, "members")
+    stash.only("members")
+    stash.release()
     least = member.where("component is not null").groupBy("component").agg(F.min("key").alias("component_id"))
     return member.join(least, "component", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))

@@ -54,6 +54,13 @@ class Stash:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def only(self, *names: str) -> None:
+        """Drop all tables but these."""
+        jvm = self.spark.sparkContext._jvm
+        base = jvm.org.apache.hadoop.fs.Path(self.base)
+        there = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(base)
+        self.drop(*({f.getPath().getName() for f in there} - {*names}))
+
     def release(self) -> None:
         """Have the shuffle files of finished stages removed now, not at the driver's next collection."""
         for _ in range(2):

@@ -170,6 +170,8 @@ def dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "t
     docs = docs.withColumn("name", F.concat_ws(":", F.col("key").cast("string"), F.hex(F.xxhash64("text"))))
     named = docs.where("text is not null").select(F.col("name").alias("doc"), "text")
     starts = stash.keep(repeated_windows(named, window, stash), "starts")
+    stash.only("starts")
+    stash.release()
     both = docs.join(starts.withColumnRenamed("doc", "name"), "name", "left").select("key", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
