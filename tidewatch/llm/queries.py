@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, language, line_dedup, mixing, ngram_join, substring_dedup, token_counts, topk
+from tidewatch.llm import bpe, language, line_dedup, mixing, ngram_join, pii, spotsigs, substring_dedup, token_counts, topk
 from tidewatch.llm.runtime import documents
 
 
@@ -60,6 +60,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = pii.find(docs, pii.train(docs))
+    return out.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.against_next(documents(spark, sf_dir))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     away = language.held_out(F.col("doc_id"))
@@ -82,7 +92,7 @@ select * from r where rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_line_dedup, op4_mixing, op5_bpe, op6_substring_dedup, op9_language, op10_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_line_dedup, op4_mixing, op5_bpe, op6_substring_dedup, op7_pii, op8_spotsigs, op9_language, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
