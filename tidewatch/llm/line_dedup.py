@@ -19,40 +19,27 @@ equal ids and texts are one document, and are treated alike. Columns other than
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.runtime import Stash, prepare
 
 
-def _pieces(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of each segment; the last ones are longer by one where it doesn't divide."""
-    base = F.floor(length / parts).cast("int")
-    more = (length - base * parts).cast("int")
-    out = []
-    for i in range(parts):
-        extra = F.greatest(F.lit(0), F.lit(i - parts) + more)
-        out.append((base * i + extra + 1, base + (F.lit(parts - i) <= more).cast("int")))
-    return out
-
-
-def _key(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), text)
-
-
-def _rows(edits: int, least: int) -> Column:
-    """Index keys of a line (own) and the keys it probes with. Where a probe has the same number, length and place
-    as an index key, the index key is both. Equal segments have equal keys whatever ``bytes`` leaves out."""
-    out = []
-    for shorter in range(edits + 1):
-        n = F.col("n") - shorter
-        for i, (p, w) in enumerate(_pieces(n, edits + 1)):
-            lo, hi = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(lo, hi + 1):
-                at, own = p + shift, shorter == shift == 0
-                fits = (n >= least) & (at >= 1) & (at + w - 1 <= F.col("n"))
-                out.append(F.when(fits, F.struct(_key(n, i, F.substring("bytes", at, w)).alias("key"), F.lit(own).alias("own"))))
-    return F.array(*out)
+def _keys(edits: int, least: int) -> Column:
+    """The index keys of a line, then the keys that it only probes with; null where the shorter line would be too
+    short. A probe with the number, length and place of an index key is that key. Of length n, the segment i of
+    edits + 1 has ``base`` or, if it is one of the last ``more``, base + 1 characters, so it begins at or behind
+    character i + 1 and the shifts stay within the line. Equal segments have equal keys whatever ``bytes`` leaves out."""
+    own, probes = [], []
+    for s in range(edits + 1):
+        base, more = F.col(f"base{s}"), F.col(f"more{s}")
+        for i in range(edits + 1):
+            start = base * i + F.greatest(F.lit(0), more - (edits + 1 - i)) + 1
+            width = base + F.when(more >= edits + 1 - i, 1).otherwise(0)
+            for shift in range(max(-i, s - (edits - i)), min(i, s + (edits - i)) + 1):
+                key = F.xxhash64(F.lit(i), F.col("n") - s, F.substring("bytes", start + shift, width))
+                (own if s == shift == 0 else probes).append(key if s == 0 else F.when(F.col("n") - s >= least, key))
+    return F.array(*own, *probes)
 
 
 def bit_parallel(a: Column, b: Column, edits: int) -> Column:
@@ -60,7 +47,17 @@ def bit_parallel(a: Column, b: Column, edits: int) -> Column:
     bit k of a column's vectors stands for the row ``k - edits`` below the diagonal. After each character of b,
     one step of additions and shifts gives all differences in the band at once; the distance is followed along
     the band's lowest row until that leaves a, and then along a's last row."""
-    return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(False)).otherwise(_band(F.split(a, ""), F.split(b, ""), edits))
+    return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(False)).when((a == "") | (b == ""), F.lit(True)).otherwise(_band(F.split(a, ""), F.split(b, ""), edits))
+
+
+def trimmed(pairs: DataFrame, a: str, b: str, longest: int = 1 << 24) -> DataFrame:
+    """Without what the two strings begin or end with in common, found by halving; the distance stays the same."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(longest.bit_length() - 1))])
+    head = F.aggregate(steps, F.lit(0), lambda n, k: F.when((n + k <= F.least(F.length(a), F.length(b))) & (F.col(a).substr(F.lit(1), n + k) == F.col(b).substr(F.lit(1), n + k)), n + k).otherwise(n))
+    for part in (head, head):
+        pairs = pairs.withColumn("__n", part)
+        pairs = pairs.withColumns({c: F.reverse(F.col(c).substr(F.col("__n") + 1, F.length(c))) for c in (a, b)})
+    return pairs.drop("__n")
 
 
 def _band(a: Column, b: Column, edits: int) -> Column:
@@ -105,10 +102,13 @@ def near_pairs(lines: DataFrame, edits: int, least: int, stash: Stash) -> DataFr
     least = max(least, edits + 1)
     # one byte a character, so that substrings need no search for their place
     flat = F.encode(F.regexp_replace("line", "[^\\x00-\\xFF]", "?"), "ISO-8859-1")
-    long_ = lines.select("line_id", F.length("line").alias("n"), flat.alias("bytes")).where(F.col("n") >= least)
-    both = long_.select("line_id", F.explode(_rows(edits, least)).alias("k")).where("k is not null").select("line_id", "k.key", "k.own").repartition("key")
-    met = both.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"), F.max("own").alias("indexed")).where("indexed and lo <> hi").select("key")
-    hits = stash.keep(both.join(met, "key", "left_semi"), "hits")
+    sized = [F.expr(f"cast((n - {s}) div {edits + 1} as int)").alias(f"base{s}") for s in range(edits + 1)] + [F.expr(f"(n - {s}) % {edits + 1}").alias(f"more{s}") for s in range(edits + 1)]
+    long_ = lines.select("line_id", F.length("line").alias("n"), flat.alias("bytes")).where(F.col("n") >= least).select("line_id", "n", "bytes", *sized)
+    both = long_.select("line_id", F.posexplode(_keys(edits, least)).alias("at", "key")).where("key is not null").select("line_id", "key", (F.col("at") <= edits).alias("own"))
+    # keys with an index entry and a second line, by a window: its one exchange carries every row once
+    w = Window.partitionBy("key")
+    met = both.withColumn("lo", F.min("line_id").over(w)).withColumn("hi", F.max("line_id").over(w)).withColumn("indexed", F.max("own").over(w))
+    hits = stash.keep(met.where("indexed and lo <> hi").select("line_id", "key", "own"), "hits")
     stash.release()
     texts = lines.join(hits.select("line_id").distinct(), "line_id", "left_semi")
     full = stash.keep(hits.join(texts.select("line_id", "line"), "line_id"), "hit-lines")
@@ -118,7 +118,7 @@ def near_pairs(lines: DataFrame, edits: int, least: int, stash: Stash) -> DataFr
     close = F.levenshtein("la", "lb", edits) >= 0  # -1: beyond the cut-off
     pairs = a.join(b, (a["key"] == b["key"]) & once & close).select("a", "b", "la", "lb")
     pairs = stash.keep(pairs.dropDuplicates(["a", "b"]), "pairs")
-    return pairs.where(bit_parallel(F.col("la"), F.col("lb"), edits)).select("a", "b")
+    return trimmed(pairs.repartition("a", "b"), "la", "lb").where(bit_parallel(F.col("la"), F.col("lb"), edits)).select("a", "b")
 
 
 def removals(docs: DataFrame, edits: int, least: int, key: str, text: str, stash: Stash) -> DataFrame:
