@@ -1,11 +1,434 @@
-"""The queries over the event tables, each with its SQL for the oracle."""
+"""The queries over the event tables, each beside the SQL that says the same for the oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewatch.functions import features, rules
+from tidewatch.operators import analytics, native
+from tidewatch.sources.env import DUCK_SQL, env
 
-def oracle_sql() -> dict:
-    return {}
+RULES = """
+lists:
+  file_calls: [read, openat, unlink]
+  quiet_dirs: [/proc, /var/log]
+macros:
+  quiet: "attributes.fd_path startswithin (quiet_dirs)"
+  has_path: "not (syscall_name in (read) and attributes.fd_path = \\"\\")"
+groups:
+  file: {syscalls: file_calls, features: {sensitive_paths: [/etc, /root, /usr/bin], tmp_paths: [/tmp]}}
+  process: {syscalls: [execve]}
+  network: {syscalls: [connect]}
+rules:
+  - {name: files, group: file, condition: "syscall_name in (file_calls) and not quiet and has_path"}
+  - {name: shells, group: process, condition: "comm in (bash, python)"}
+  - {name: net, group: network, condition: ""}
+"""
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+WITH_ENV = f"with env as ({DUCK_SQL})"
+H = "case when coalesce({0}, '') = '' then 0.0 else (cast('0x' || substr(md5({0}), 1, 8) as bigint) % 10000) / 10000.0 end"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql if sql.lstrip().startswith("with") or " env" not in sql else f"{WITH_ENV} {sql}"
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(df: DataFrame) -> DataFrame:
+    """Doubles to six places, as results are compared by value."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# rules
+
+_CLASSIFIED = """, hit as (select *, case
+   when syscall_name in ('read', 'openat', 'unlink') and not coalesce(starts_with(fd_path, '/proc') or starts_with(fd_path, '/var/log'), false) and not (syscall_name = 'read' and coalesce(fd_path = '', false)) then 'files'
+   when syscall_name = 'execve' and comm in ('bash', 'python') then 'shells' when syscall_name = 'connect' then 'net' end as rule from env)"""
+
+
+@query("rules_classify", WITH_ENV + _CLASSIFIED + " select event_id, rule, case rule when 'files' then 'file' when 'shells' then 'process' else 'network' end as rule_group from hit where rule is not null")
+def rules_classify(spark, d):
+    return rules.classify(env(spark, d), rules.load(RULES)).select("event_id", "rule", "rule_group")
+
+
+def _condition(name: str, text: str, sql: str) -> None:
+    @query(name, f"select event_id from env where {sql}")
+    def run(spark, d):
+        e = env(spark, d)
+        return e.where(rules.compile_(rules.parse(text, {"dirs": ("/etc", "/root")}), e.columns)).select("event_id")
+
+
+_condition("rule_equals", "comm = bash and uid = 3", "comm = 'bash' and uid = '3'")
+_condition("rule_in", "pid in (1, 2, 3, x) or comm in (curl)", "cast(pid as bigint) in (1, 2, 3) or comm = 'curl'")
+_condition("rule_startswith", "attributes.fd_path startswith /etc", "coalesce(starts_with(fd_path, '/etc'), false)")
+_condition("rule_startswithin", "not attributes.fd_path startswithin (dirs)", "not coalesce(starts_with(fd_path, '/etc') or starts_with(fd_path, '/root'), false)")
+_condition("rule_contains", "hostname contains -2 and not attributes.fd_path contains f1", "contains(hostname, '-2') and not coalesce(contains(fd_path, 'f1'), false)")
+_condition("rule_boolean", "(comm = bash or comm = cat) and not (return_value = -13 or syscall_nr = 0)", "comm in ('bash', 'cat') and not (cast(return_value as bigint) = -13 or syscall_nr = 0)")
+_condition("rule_empty_path", 'attributes.fd_path = ""', "coalesce(fd_path = '', false)")
+_condition("rule_missing_field", "not namespace = x", "true")
+
+
+@query("rules_group_map", "select syscall_name, case when syscall_name in ('read', 'openat', 'unlink') then 'file' when syscall_name = 'execve' then 'process' else 'network' end as rule_group, count(*) as n from env group by all")
+def rules_group_map(spark, d):
+    m = rules.group_of_syscall(rules.load(RULES))
+    look = F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    return env(spark, d).groupBy("syscall_name", F.try_element_at(look, F.col("syscall_name")).alias("rule_group")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# features
+
+_DAY = "((ts_unix_nano % 86400000000000) / 86400000000000.0)"
+_NUM = "coalesce(try_cast({0} as bigint), 0)"
+_PART = "list_filter(string_split(coalesce(fd_path, ''), '/'), lambda p: p <> '')"
+_FEATURES = {
+    "pid_norm": f"least(greatest({_NUM.format('pid')}, 0) / 4194304.0, 1.0)", "tid_norm": f"least(greatest({_NUM.format('tid')}, 0) / 4194304.0, 1.0)", "uid_norm": f"least(greatest({_NUM.format('uid')}, 0) / 4294967295.0, 1.0)",
+    "arg0_norm": f"least(ln(1 + abs({_NUM.format('arg0')})) / 20.0, 1.0)", "arg1_norm": f"least(ln(1 + abs({_NUM.format('arg1')})) / 20.0, 1.0)",
+    "path_depth_norm": f"least(len({_PART}) / 20.0, 1.0)", "return_success": f"case when {_NUM.format('return_value')} >= 0 then 1.0 else 0.0 end",
+    "return_errno_norm": f"least(ln(1 + abs({_NUM.format('return_value')})) / 12.0, 1.0)",
+    "hostname_hash": H.format("hostname"), "pid_hash": H.format("pid"), "path_hash": H.format("fd_path"), "path_prefix_hash": H.format(f"{_PART}[1]"),
+    "syscall_nr_norm": "least(syscall_nr / 500.0, 1.0)", "day_fraction_norm": _DAY, "day_cycle_sin": f"sin({_DAY} * 2 * pi())", "day_cycle_cos": f"cos({_DAY} * 2 * pi())",
+    "week_of_month_norm": "(least(4, (day(make_timestamp(ts_unix_nano // 1000)) - 1) // 7 + 1) - 1) / 3.0",
+    "file_sensitive_path": "case when " + " or ".join(f"starts_with(coalesce(fd_path, ''), '{p}')" for p in features.SENSITIVE) + " then 1.0 else 0.0 end",
+    "file_tmp_path": "case when " + " or ".join(f"starts_with(coalesce(fd_path, ''), '{p}')" for p in features.TEMPORARY) + " then 1.0 else 0.0 end",
+    "file_flags_hash": "0.0", "net_socket_family_norm": "case when fd_sock_family is null then 0.0 else 0.2 end", "net_dport_norm": f"least({_NUM.format('fd_sock_remote_port')} / 65535.0, 1.0)",
+    "net_socket_type_hash": H.format("'0'"), "net_daddr_hash": H.format("fd_sock_remote_addr"), "net_af_hash": H.format("fd_sock_family"),
+}
+
+
+def _feature_query(name: str, wanted: tuple[str, ...]) -> None:
+    @query(name, "select event_id, " + ", ".join(f"round(cast({_FEATURES[f]} as double), 6) as {f}" for f in wanted) + " from env")
+    def run(spark, d):
+        return r6(features.extract(env(spark, d), list(wanted)).select("event_id", *wanted))
+
+
+_feature_query("features_tabular", features.SETS["tabular"])
+_feature_query("features_frequency", features.SETS["frequency"])
+_feature_query("features_network", (*features.SETS["network"], "net_af_hash", "net_socket_type_hash"))
+_feature_query("features_file", ("file_sensitive_path", "file_tmp_path", "file_flags_hash", "path_depth_norm", "day_fraction_norm"))
+
+# native detectors, scaling, decisions
+
+_Z = """, f as (select event_id, seq, ts_unix_nano, event_group, {a} as a, {b} as b from env),
+z as (select *, count(*) over w as n, abs(a - avg(a) over w) / sqrt(greatest(coalesce(var_samp(a) over w, 0), 1e-6)) as za,
+             abs(b - avg(b) over w) / sqrt(greatest(coalesce(var_samp(b) over w, 0), 1e-6)) as zb
+      from f window w as (partition by event_group order by ts_unix_nano, seq rows between unbounded preceding and 1 preceding)),
+r as (select *, case when n < 20 then 0.0 else (coalesce(za, 0) + coalesce(zb, 0)) / 2 end as raw from z)""".format(a=_FEATURES["arg1_norm"], b=_FEATURES["return_errno_norm"])
+
+
+def _zscored(spark, d):
+    e = features.extract(env(spark, d), ["arg1_norm", "return_errno_norm"])
+    return native.zscore(e, ["arg1_norm", "return_errno_norm"], ["event_group"])
+
+
+@query("zscore", WITH_ENV + _Z + " select event_id, round(raw, 6) as raw from r")
+def zscore(spark, d):
+    return r6(_zscored(spark, d).select("event_id", "raw"))
+
+
+_SURPRISAL = """, f as (select event_id, seq, ts_unix_nano, event_group, cast(floor({h} * 10000 + 1e-6) as bigint) as ka, case when {x} <= 0 then 0 when {x} >= 1 then 65535 else cast(floor({x} * 65536) as bigint) end as kb from env),
+c as (select *, count(*) over w as t, count(*) over wa as ca, count(*) over wb as cb from f
+      window w as (partition by event_group order by ts_unix_nano, seq rows between unbounded preceding and 1 preceding),
+             wa as (partition by event_group, ka order by ts_unix_nano, seq rows between unbounded preceding and 1 preceding),
+             wb as (partition by event_group, kb order by ts_unix_nano, seq rows between unbounded preceding and 1 preceding)),
+s as (select *, greatest(2.0, coalesce(sum(case when ca = 0 then 1 else 0 end) over (partition by event_group order by ts_unix_nano, seq rows between unbounded preceding and 1 preceding), 0) + 1.0) as na from c)
+select event_id, round((greatest(0, -ln((ca + 1) / (t + na)) - ln(na)) + greatest(0, -ln((cb + 1) / (t + 65536.0)) - ln(65536.0))) / 2, 6) as raw from s""".format(h=_FEATURES["path_hash"], x=_FEATURES["arg1_norm"])
+
+
+@query("surprisal", WITH_ENV + _SURPRISAL)
+def surprisal(spark, d):
+    e = features.extract(env(spark, d), ["path_hash", "arg1_norm"])
+    return r6(native.surprisal(e, ["path_hash", "arg1_norm"], ["event_group"]).select("event_id", "raw"))
+
+
+@query("score_percentile", WITH_ENV + _Z + """, l as (select event_id, ln(1 + greatest(raw, 0)) as x, list(ln(1 + greatest(raw, 0))) over (partition by event_group order by ts_unix_nano, seq rows between 256 preceding and 1 preceding) as last from r)
+select event_id, round(case when coalesce(len(last), 0) < 32 then 0.0 else len(list_filter(last, lambda v: v <= x)) / len(last) end, 6) as percentile from l""")
+def score_percentile(spark, d):
+    return r6(native.percentile(_zscored(spark, d), ["event_group"], window=256, warmup=32).select("event_id", "percentile"))
+
+
+_DECIDED = _Z + """, s as (select *, 1 - exp(-raw) as scaled, row_number() over (partition by event_group order by ts_unix_nano, seq) <= 100 as suppressed from r),
+p as (select *, case when suppressed then 0.0 else scaled end as primary_ from s)"""
+
+
+def _decided(spark, d):
+    df = _zscored(spark, d).withColumn("scaled", native.scaled(F.col("raw"), "exp1m")).withColumn("group_key", native.group_key(F.col("event_group")))
+    return native.decide(df, 0.9, "scaled", 100)
+
+
+@query("decision", WITH_ENV + _DECIDED + " select event_id, suppressed, round(primary_, 6) as primary, not suppressed and primary_ >= 0.9 as anomaly, round(least(primary_, 1.0), 6) as score from p")
+def decision(spark, d):
+    return r6(_decided(spark, d).select("event_id", "suppressed", "primary", "anomaly", "score"))
+
+
+@query("anomalies_by_group", WITH_ENV + _DECIDED + " select event_group, count(*) as n, count(*) filter (where not suppressed and primary_ >= 0.9) as anomalies, round(avg(least(primary_, 1.0)), 6) as mean_score from p group by 1")
+def anomalies_by_group(spark, d):
+    return r6(_decided(spark, d).groupBy("event_group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("anomaly").cast("long")).alias("anomalies"), F.avg("score").alias("mean_score")))
+
+
+@query("fusion", WITH_ENV + _Z + " select event_id, round((raw + raw * 0.5) / 2, 6) as mean_raw, round(((1 - exp(-raw)) + raw / (1 + raw)) / 2, 6) as mean_scaled, round(1 / (1 + exp(-((1 - exp(-raw)) + raw / (1 + raw)) / 2)), 6) as linear_scaled from r")
+def fusion(spark, d):
+    df = _zscored(spark, d).withColumn("raw2", F.col("raw") * 0.5).withColumn("s1", native.scaled(F.col("raw"), "exp1m")).withColumn("s2", native.scaled(F.col("raw"), "ratio"))
+    raw, mean = native.fuse(["raw", "raw2"], ["s1", "s2"])
+    _, linear = native.fuse(["raw", "raw2"], ["s1", "s2"], "linear")
+    return r6(df.select("event_id", raw.alias("mean_raw"), mean.alias("mean_scaled"), linear.alias("linear_scaled")))
+
+
+def q_flagship(spark, d):
+    """Rules, features, detector, decision: the anomalies of each group."""
+    kept = rules.classify(env(spark, d), rules.load(RULES))
+    names = ["arg1_norm", "return_errno_norm", "path_depth_norm"]
+    df = native.zscore(features.extract(kept, names), names, ["rule_group"])
+    df = df.withColumn("scaled", native.scaled(F.col("raw"), "exp1m")).withColumn("group_key", native.group_key(F.col("rule_group")))
+    return native.decide(df, 0.9, "scaled", 100).select("event_id", "rule", "group_key", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"), "suppressed", "anomaly")
+
+
+_FLAG = _CLASSIFIED + """, f as (select event_id, seq, ts_unix_nano, rule, case rule when 'files' then 'file' when 'shells' then 'process' else 'network' end as g, {a} as a, {b} as b, {c} as c from hit where rule is not null),
+z as (select *, count(*) over w as n, row_number() over (partition by g order by ts_unix_nano, seq) <= 100 as suppressed, abs(a - avg(a) over w) / sqrt(greatest(coalesce(var_samp(a) over w, 0), 1e-6)) as za,
+      abs(b - avg(b) over w) / sqrt(greatest(coalesce(var_samp(b) over w, 0), 1e-6)) as zb, abs(c - avg(c) over w) / sqrt(greatest(coalesce(var_samp(c) over w, 0), 1e-6)) as zc
+      from f window w as (partition by g order by ts_unix_nano, seq rows between unbounded preceding and 1 preceding)),
+r as (select *, case when n < 20 then 0.0 else (coalesce(za, 0) + coalesce(zb, 0) + coalesce(zc, 0)) / 3 end as raw from z),
+s as (select *, case when suppressed then 0.0 else 1 - exp(-raw) end as p from r)
+select event_id, rule, g as group_key, round(raw, 6) as raw, round(least(p, 1.0), 6) as score, suppressed, not suppressed and p >= 0.9 as anomaly from s""".format(a=_FEATURES["arg1_norm"], b=_FEATURES["return_errno_norm"], c=_FEATURES["path_depth_norm"])
+query("flagship", WITH_ENV + _FLAG)(q_flagship)
+
+# sequences
+
+@query("ngram", "select event_id, string_agg(syscall_name, ',') over (partition by tid order by ts_unix_nano, seq rows between 3 preceding and current row) as gram, count(*) over (partition by tid order by ts_unix_nano, seq rows between 3 preceding and current row) = 4 as ready from env")
+def ngram(spark, d):
+    df = native.rolling_ngram(env(spark, d).withColumn("v", F.array("syscall_name")), 4, "v", ["tid"])
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("tid").orderBy(*native.ORDER).rowsBetween(-3, 0)
+    return df.select("event_id", F.array_join(F.collect_list("syscall_name").over(w), ",").alias("gram"), F.col("ngram").isNotNull().alias("ready"))
+
+
+@query("sequence_context", """with c as (select *, list(role) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding) as ctx from conversations),
+ids as (select role, row_number() over (order by min((conv_id, turn))) - 1 as target_id from conversations group by 1)
+select conv_id, turn, coalesce(array_to_string(ctx, ','), '') as context, coalesce(len(ctx), 0) = 3 as ready, target_id from c join ids using (role)""")
+def sequence_context(spark, d):
+    df = native.context(table(spark, d, "conversations").select("conv_id", "turn", "role"), 4, "role", ["conv_id"], ("conv_id", "turn"))
+    return df.select("conv_id", "turn", F.array_join("context", ",").alias("context"), "ready", F.col("target_id").cast("long"))
+
+
+@query("fixed_chunks", WITH_ENV + _DECIDED + " select seq // 1000 as chunk, count(*) as n, round(avg(case when primary_ >= 0.5 then 1.0 else 0 end), 6) as rate_0, round(avg(case when primary_ >= 0.9 then 1.0 else 0 end), 6) as rate_1 from p group by 1")
+def fixed_chunks(spark, d):
+    return r6(native.fixed_chunks(_decided(spark, d), 1000, [0.5, 0.9]))
+
+
+@query("runs", "with e as (select *, lag(event_group) over (partition by tid order by ts_unix_nano, seq) as before from env_) select tid, count(*) filter (where before is distinct from event_group or before is null) as runs from e group by 1".replace("with e", WITH_ENV + ", env_ as (select * from env), e"))
+def runs(spark, d):
+    df = native.runs(env(spark, d), ["tid"], F.col("event_group"))
+    return df.groupBy("tid").agg(F.max("run").cast("long").alias("runs"))
+
+
+@query("as_of_path", "select event_id, last_value(case when syscall_name in ('openat', 'unlink') then {'v': case when syscall_name = 'openat' then fd_path end} end ignore nulls) over (partition by pid order by ts_unix_nano, seq rows between unbounded preceding and current row).v as open_path from env".replace("select event_id, last_value", WITH_ENV + ", w as (select event_id, last_value").replace(".v as open_path from env", " as s from env) select event_id, s.v as open_path from w"))
+def as_of_path(spark, d):
+    value = F.when(F.col("syscall_name") == "openat", F.col("fd_path"))
+    return env(spark, d).select("event_id", native.as_of(None, ["pid"], value, F.col("syscall_name") == "unlink").alias("open_path"))
+
+
+@query("enter_exit", "select event_id, lead(event_id) over (partition by tid order by ts_unix_nano, seq) as exit_id from env")
+def enter_exit(spark, d):
+    from pyspark.sql import Window
+
+    return env(spark, d).select("event_id", F.lead("event_id").over(Window.partitionBy("tid").orderBy(*native.ORDER)).alias("exit_id"))
+
+
+@query("subsequence", None)
+def subsequence(spark, d):
+    return analytics.subsequence(env(spark, d), ["execve", "openat", "connect", "unlink"], "pid", "syscall_name")
+
+
+# analytics
+
+@query("confusion", """with l as (select doc_id, quality = 0 as positive from labels), f as (select doc_id from documents where n_chars < 500),
+n as (select count(*) filter (where f.doc_id is not null and positive) as tp, count(*) filter (where f.doc_id is not null and not positive) as fp, count(*) filter (where f.doc_id is null and positive) as fn, count(*) filter (where f.doc_id is null and not positive) as tn from l left join f using (doc_id)),
+p as (select *, case when tp + fp = 0 then 0.0 else tp / (tp + fp) end as precision, case when tp + fn = 0 then 0.0 else tp / (tp + fn) end as recall from n)
+select tp, fp, fn, tn, round(precision, 6) as precision, round(recall, 6) as recall, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy, round((tp + fp) / (tp + fp + fn + tn), 6) as flagged_rate,
+       round(case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end, 6) as f1 from p""")
+def confusion(spark, d):
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("event_id"), (F.col("quality") == 0).alias("positive"))
+    return r6(analytics.confusion(labels, table(spark, d, "documents").where("n_chars < 500").select(F.col("doc_id").alias("event_id"))))
+
+
+@query("stream_performance", WITH_ENV + """, e as (select recording_name as rec, malicious as y, value > 120 as p, ts_unix_nano, seq, max(malicious) over (partition by recording_name order by ts_unix_nano, seq) as ph from env),
+f as (select *, p and not y as fa, lead(p and not y) over w as nfa, lead(ph) over w as nph from e window w as (partition by rec order by ts_unix_nano, seq)),
+b as (select rec, max(y) as ex, min(case when y then ts_unix_nano end) as began, min(case when y and p then ts_unix_nano end) as caught, max(fa) as anyfa,
+      count(*) filter (where fa and (not coalesce(nfa, false) or coalesce(nph <> ph, false)) and not (not ph and coalesce(nph <> ph, false))) as runs,
+      count(*) filter (where p and y) as tp, count(*) filter (where fa) as fp, count(*) filter (where not p and y) as fn, count(*) filter (where not p and not y) as tn from f group by 1)
+select cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, cast(sum(tn) as bigint) as tn, count(*) filter (where ex) as exploits, count(caught) as detected, count(*) filter (where anyfa) as recordings_with_false_alarm,
+       cast(sum(runs) as bigint) as false_alarm_runs, round(avg((caught - began) / 1e9), 6) as mean_delay_s, round(count(caught) / count(*) filter (where ex), 6) as detection_rate from b""")
+def stream_performance(spark, d):
+    e = env(spark, d).select(F.col("recording_name").alias("recording"), F.col("malicious").alias("expected"), (F.col("value") > 120).alias("predicted"), "ts_unix_nano", "seq")
+    return r6(analytics.stream_performance(e))
+
+
+_DUP = ["o_orderstatus", "o_orderpriority", "o_custkey"]
+
+
+@query("exact_duplicates", "select cast(sum(c - 1) as bigint) as duplicates, count(*) as distinct_rows from (select count(*) as c from orders group by o_orderstatus, o_orderpriority, o_custkey)")
+def exact_duplicates(spark, d):
+    return analytics.exact_duplicates(table(spark, d, "orders"), _DUP)
+
+
+def _near(k: int, sql: str) -> None:
+    @query(f"near_duplicates_{k}", sql)
+    def run(spark, d):
+        e = table(spark, d, "events").select("event_type", F.floor("value").alias("v"), F.col("user_id"))
+        return analytics.near_duplicates(e, ["event_type", "v", "user_id"], k)
+
+
+_E3 = "with e as (select event_type as a, floor(value) as b, user_id as c from events), o as (select distinct * from e) select count(*) as rows from e where exists (select 1 from o where (o.a, o.b, o.c) <> (e.a, e.b, e.c) and ({}))"
+_near(1, _E3.format("(o.a = e.a and o.b = e.b) or (o.a = e.a and o.c = e.c) or (o.b = e.b and o.c = e.c)"))
+_near(2, "with e as (select event_type as a, floor(value) as b, user_id as c from events), o as (select distinct * from e), m as (select a, null::double as b, null::bigint as c from o group by a having count(*) > 1), n as (select b from o group by b having count(*) > 1), q as (select c from o group by c having count(*) > 1) select count(*) as rows from e where a in (select a from m) or b in (select b from n) or c in (select c from q)")
+
+
+@query("nearest_rank", "with s as (select l_extendedprice as value, row_number() over (order by l_extendedprice) - 1 as i, count(*) over () as n from lineitem), p as (select unnest([1.0, 50.0, 90.0, 99.5]) as percent) select cast(percent as double) as percent, value from p join s on i = cast(floor(percent / 100 * (n - 1)) as bigint)")
+def nearest_rank(spark, d):
+    return analytics.nearest_rank(table(spark, d, "lineitem"), "l_extendedprice", [1.0, 50.0, 90.0, 99.5])
+
+
+@query("distribution", "select count(o_totalprice) as n, round(min(o_totalprice), 6) as least, round(max(o_totalprice), 6) as most, round(avg(o_totalprice), 6) as mean, round(stddev_pop(o_totalprice), 6) as std, round(quantile_cont(o_totalprice, 0.01), 6) as q0, round(quantile_cont(o_totalprice, 0.5), 6) as q1, round(quantile_cont(o_totalprice, 0.99), 6) as q2 from orders")
+def distribution(spark, d):
+    return analytics.summary(table(spark, d, "orders"), "o_totalprice", [0.01, 0.5, 0.99])
+
+
+@query("correlation", "select count(*) as n, round(corr(l_quantity, l_extendedprice), 6) as r from lineitem")
+def correlation(spark, d):
+    return r6(analytics.pearson(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
+
+
+@query("threshold_rates", "select round(avg(case when l_discount >= 0.02 then 1.0 else 0 end), 6) as rate_0, round(avg(case when l_discount >= 0.05 then 1.0 else 0 end), 6) as rate_1, round(avg(case when l_discount >= 0.08 then 1.0 else 0 end), 6) as rate_2 from lineitem")
+def threshold_rates(spark, d):
+    return r6(analytics.threshold_rates(table(spark, d, "lineitem"), "l_discount", [0.02, 0.05, 0.08]))
+
+
+@query("top_counts", "select comm, count(*) as count from env group by 1 order by 2 desc, 1 limit 20")
+def top_counts(spark, d):
+    return analytics.top_counts(env(spark, d), "comm")
+
+
+@query("compare_replays", "with a as (select event_id, value as x from events where event_id % 3 <> 0), b as (select event_id, round(value, 1) as y from events where event_id % 2 = 0) select count(*) as matched, round(avg(abs(x - y)), 6) as mae, round(max(abs(x - y)), 6) as max_diff, round(corr(x, y), 6) as r, min(x) = max(x) as one_x, min(y) = max(y) as one_y from a join b using (event_id)")
+def compare_replays(spark, d):
+    e = table(spark, d, "events")
+    return r6(analytics.compare_replays(e.where("event_id % 3 <> 0").select("event_id", F.col("value").alias("score")), e.where("event_id % 2 = 0").select("event_id", F.round("value", 1).alias("score"))))
+
+
+@query("capacity", "with c as (select event_id, value / 2 as cpu, value / 3 as mem, user_id / 150.0 as queue, event_id % 50 // 49 as drops, value / 200 as load_per_cpu from events) select event_id, case when cpu >= 90 or mem >= 92 or queue >= 0.9 or drops > 0 then 'Saturated' when cpu >= 75 or mem >= 82 or queue >= 0.6 or load_per_cpu >= 0.9 then 'Near Limit' else 'OK' end as status from c")
+def capacity(spark, d):
+    c = table(spark, d, "events").select("event_id", (F.col("value") / 2).alias("cpu"), (F.col("value") / 3).alias("mem"), (F.col("user_id") / 150.0).alias("queue"), F.expr("event_id % 50 div 49").alias("drops"), (F.col("value") / 200).alias("load_per_cpu"))
+    return c.select("event_id", analytics.capacity(c).alias("status"))
+
+
+_RAWH = "(cast('0x' || substr(md5(coalesce({0}, '')), 1, 8) as bigint) % 10000) / 10000.0"
+
+
+@query("score_map", f"select event_id, round({_RAWH.format('fd_path')}, 6) as x, round({_RAWH.format('comm')}, 6) as y, round(least(greatest(value / 100, 0), 1), 6) as score from env")
+def score_map(spark, d):
+    return r6(analytics.score_map(env(spark, d).withColumn("score", F.col("value") / 100)))
+
+
+@query("path_summary", WITH_ENV + _DECIDED.replace("select event_id, seq, ts_unix_nano, event_group,", "select event_id, seq, ts_unix_nano, event_group, fd_path, syscall_name, comm,") + " select fd_path, count(*) as n, round(min(least(primary_, 1)), 6) as least, round(max(least(primary_, 1)), 6) as most, round(avg(least(primary_, 1)), 6) as mean, count(*) filter (where not suppressed and primary_ >= 0.9) as flagged, array_to_string(list_sort(list(distinct syscall_name)), ',') as syscalls, array_to_string(list_sort(list(distinct comm)), ',') as comms from p where fd_path is not null group by 1")
+def path_summary(spark, d):
+    return r6(analytics.path_summary(_decided(spark, d)))
+
+
+@query("activity", WITH_ENV + _DECIDED.replace("select event_id, seq, ts_unix_nano, event_group,", "select event_id, seq, ts_unix_nano, event_group, fd_path,") + " select count(*) filter (where b and a) as benign_flagged, count(*) filter (where b and not a) as benign_quiet, count(*) filter (where s and a) as sensitive_flagged, count(*) filter (where s and not a) as sensitive_quiet from (select not suppressed and primary_ >= 0.9 as a, fd_path like '/tmp/%' or fd_path = '/proc/f2' as b, fd_path like '/etc/f_' or fd_path like '/root/%' as s from p where fd_path is not null)")
+def activity(spark, d):
+    return analytics.activity(_decided(spark, d), ["/tmp/*", "/proc/f2"], ["/etc/f?", "/root/*"])
+
+
+@query("log_search", "select event_id from (select * from env order by seq desc limit 5000) where contains(lower(comm), 'bash') and contains(lower(fd_path), '/etc') and contains(lower(concat_ws(' ', comm, fd_path, syscall_name, hostname, event_group)), 'node-1')")
+def log_search(spark, d):
+    return analytics.search(env(spark, d), "comm=bash path=/etc node-1 other=x", scan=5000).select("event_id")
+
+
+@query("log_tail", "select event_id, comm from (select * from env order by seq desc limit 100)")
+def log_tail(spark, d):
+    return analytics.tail(env(spark, d), 100).select("event_id", "comm")
+
+
+@query("time_range", "select event_id from env where ts_unix_nano // 1000000 between 1704500000000 and 1705000000000")
+def time_range(spark, d):
+    return analytics.time_range(env(spark, d), 1704500000000, 1705000000000).select("event_id")
+
+
+@query("glob_match", "select event_id, case when fd_path = '/etc/f1' then '/etc/f1' when fd_path like '/etc/%' then '/etc/*' when regexp_full_match(fd_path, '/[tp].*/f[0-4]') then '/[tp]*/f[0-4]' end as pattern from env")
+def glob_match(spark, d):
+    return env(spark, d).select("event_id", analytics.first_pattern(F.col("fd_path"), ["/etc/f1", "/etc/*", "/[tp]*/f[0-4]"]).alias("pattern"))
+
+
+@query("downsample", "select event_id from events, (select max(event_id) as m, greatest(1, cast(ceil(count(*) / 300) as bigint)) as step from events) where event_id % step = 0 or event_id = m")
+def downsample(spark, d):
+    return analytics.downsample(table(spark, d, "events").withColumn("seq", F.col("event_id")), 300).select("event_id")
+
+
+@query("stratified_sample", "select event_id from (select event_id, malicious, row_number() over (partition by malicious order by md5('s:' || event_id), event_id) as r from env) where r <= case when malicious then 20 else 200 end")
+def stratified_sample(spark, d):
+    return analytics.stratified(env(spark, d), "malicious", {"true": 20, "false": 200}, "s").select("event_id")
+
+
+@query("top_scores", WITH_ENV + _DECIDED + " select event_id, round(primary_, 6) as primary from p order by primary_ desc, seq limit 20")
+def top_scores(spark, d):
+    return r6(_decided(spark, d).orderBy(F.desc("primary"), "seq").limit(20).select("event_id", "primary"))
+
+
+@query("nearest_to_quantiles", """with t as (select 0 as target, quantile_cont(value, 0.1) as a from events union all select 1, quantile_cont(value, 0.5) from events union all select 2, quantile_cont(value, 0.995) from events),
+g as (select target, event_id, abs(value - a) as gap, row_number() over (partition by target order by abs(value - a), event_id) as rank from events, t)
+select target, rank, event_id, round(gap, 6) as gap from g where rank <= 8""")
+def nearest_to_quantiles(spark, d):
+    return analytics.nearest_to(table(spark, d, "events").withColumn("seq", F.col("event_id")), "value", [0.1, 0.5, 0.995], 8)
+
+
+@query("poll_rates", "with p as (select event_id // 100 as poll_s, count(*) as events, count(*) filter (where value > 150) as drops from events group by 1), l as (select *, events - lag(events) over w as de, poll_s - lag(poll_s) over w as dt, drops - lag(drops) over w as dd from p window w as (order by poll_s)) select poll_s, round(case when de >= 0 and dt > 0 then de / dt end, 6) as eps, greatest(dd, 0) as new_drops from l")
+def poll_rates(spark, d):
+    polls = table(spark, d, "events").groupBy(F.expr("event_id div 100").alias("poll_s")).agg(F.count(F.lit(1)).alias("events"), F.sum((F.col("value") > 150).cast("long")).alias("drops"))
+    return r6(analytics.poll_rates(polls))
+
+
+@query("recent_window", "select syscall_name, count(*) as n, round(avg(value), 6) as mean, round(max(value), 6) as most from env where ts_unix_nano >= (select max(ts_unix_nano) from env) - 86400000000000 group by 1")
+def recent_window(spark, d):
+    e = env(spark, d)
+    last = e.agg((F.max("ts_unix_nano") - 86400000000000).alias("since"))
+    return r6(e.join(F.broadcast(last), F.col("ts_unix_nano") >= F.col("since")).groupBy("syscall_name").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most")))
+
+
+@query("labels_join", "select l.doc_id, l.toxic, d.source is not null as known from labels l left join (select * from documents where n_chars > 100) d using (doc_id)")
+def labels_join(spark, d):
+    return table(spark, d, "labels").join(table(spark, d, "documents").where("n_chars > 100").select("doc_id", "source"), "doc_id", "left").select("doc_id", "toxic", F.col("source").isNotNull().alias("known"))
+
+
+@query("unmatched_patterns", "select p as pattern from (select unnest(['/etc/*', '/nowhere/*', '/tmp/f1', '/var/log/x*']) as p) where not exists (select 1 from env where fd_path = p or (p like '%*' and starts_with(fd_path, replace(p, '*', ''))))".replace("select p as", WITH_ENV + " select p as"))
+def unmatched_patterns(spark, d):
+    patterns = ["/etc/*", "/nowhere/*", "/tmp/f1", "/var/log/x*"]
+    p = spark.createDataFrame([(x, analytics.glob_regex(x)) for x in patterns], "pattern string, regex string")
+    paths = env(spark, d).select("fd_path").distinct()
+    return F.broadcast(p).join(paths, F.expr("fd_path = pattern or fd_path rlike regex"), "left_anti").select("pattern")
+
+
+@query("url_terms", "select page_id from pages where contains(lower(url), 'a') and contains(lower(url), '1')")
+def url_terms(spark, d):
+    u = F.lower("url")
+    return table(spark, d, "pages").where(u.contains("a") & u.contains("1")).select("page_id")
