@@ -17,7 +17,7 @@ it. Passages that a whole document's copies share are counted, not gathered, so
 
 Hashes (64 bits) only choose anchors and shards; an anchor counted as repeated by a collision costs time, not
 correctness. Words are compared as they are. Null and empty texts have no words. Ids need not
-differ: rows that share one are told apart by their texts, and equal rows are copies.
+differ: rows are told apart by a 64-bit hash of id and text, and equal rows are copies.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                     part = slice(k, k + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(anchor[part].view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(doc[part]))], names=["anchor", "doc"])
 
-    return docs.mapInArrow(run, "anchor long, doc string")
+    return docs.mapInArrow(run, "anchor long, doc long")
 
 
 def _passages(docs: DataFrame, window: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _passages(docs: DataFrame, window: int) -> DataFrame:
                 part = list(zip(*rows[k : k + 4096], strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part[0])), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[3])], names=["doc", "anchor", "at", "words"])
 
-    return docs.select("doc", "text", "anchors").mapInArrow(run, "doc string, anchor long, at int, words string")
+    return docs.select("doc", "text", "anchors").mapInArrow(run, "doc long, anchor long, at int, words string")
 
 
 def _matched(window: int):
@@ -142,20 +142,26 @@ def _matched(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int, stash: Stash) -> DataFrame:
-    """docs: doc (string, unique), text. Returns doc, starts: all its repeated windows' first words, for documents that have any."""
-    found = _anchor_rows(docs, window).groupBy("anchor", "doc").agg(F.count(F.lit(1)).alias("n"))
-    found = stash.keep(found, "anchors")
+    """docs: doc (long, unique), text. Returns doc, starts: all its repeated windows' first words, for documents that have any."""
+    found = stash.keep(_anchor_rows(docs, window).groupBy("anchor", "doc").agg(F.count(F.lit(1)).alias("n")), "anchors")
+    stash.release()
     often = found.groupBy("anchor").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("anchor")
-    hot = found.join(often, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
+    hot = stash.keep(found.join(often, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("anchor").alias("anchors")), "hot")
+    stash.drop("anchors")
+    stash.release()
     passages = stash.keep(_passages(docs.join(hot, "doc"), window), "passages")
+    stash.drop("hot")
     stash.release()
     counted = stash.keep(passages.groupBy("anchor", "words").agg(F.count(F.lit(1)).alias("n")), "counted")
+    stash.release()
     run, schema = _matched(window)
     shards = counted.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(1 << 16)))
     single = shards.where("n = 1").select("anchor").distinct()
     matched = shards.join(single, "anchor", "left_semi").groupBy("shard").applyInArrow(run, schema)
     whole = counted.where("n > 1").select("anchor", "words", F.lit(None).cast("array<int>").alias("starts"))
     matched = stash.keep(whole.unionByName(matched), "matched")
+    stash.drop("counted")
+    stash.release()
     every = F.sequence(F.lit(0), F.size(F.split("words", " ")) - window)
     back = passages.join(matched, ["anchor", "words"]).select("doc", F.transform(F.coalesce("starts", every), lambda x: x + F.col("at")).alias("starts"))
     return back.groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
@@ -167,7 +173,7 @@ def dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "t
     prepare(spark)
     stash = stash or Stash(spark, "substrings")
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    docs = docs.withColumn("name", F.concat_ws(":", F.col("key").cast("string"), F.hex(F.xxhash64("text"))))
+    docs = docs.withColumn("name", F.xxhash64(F.col("key").cast("string"), F.lit(":"), "text"))
     named = docs.where("text is not null").select(F.col("name").alias("doc"), "text")
     starts = stash.keep(repeated_windows(named, window, stash), "starts")
     stash.only("starts")
