@@ -432,3 +432,74 @@ def unmatched_patterns(spark, d):
 def url_terms(spark, d):
     u = F.lower("url")
     return table(spark, d, "pages").where(u.contains("a") & u.contains("1")).select("page_id")
+
+
+# models with state: no SQL says these; tests hold them against plain loops
+
+_NAMES = ["arg1_norm", "path_hash", "return_errno_norm", "syscall_nr_norm"]
+
+
+def _model_query(name: str, algorithm: str, **params) -> None:
+    @query(name)
+    def run(spark, d):
+        from tidewatch.streaming import keyed
+
+        return r6(keyed.score(features.extract(env(spark, d), _NAMES), algorithm, _NAMES, window=256, warmup=32, **params))
+
+
+_model_query("model_zscore", "zscore")
+_model_query("model_freq1d_decay", "freq1d", decay=0.999)
+_model_query("model_copulatree", "copulatree")
+_model_query("model_latentcluster", "latentcluster")
+_model_query("model_knn", "knn")
+_model_query("model_halfspacetrees", "halfspacetrees")
+_model_query("model_kitnet", "kitnet", grace_map=200, grace_train=500)
+_model_query("model_memstream", "memstream")
+_model_query("model_loda_ema", "loda_ema")
+
+
+@query("model_sequence_mlp")
+def model_sequence_mlp(spark, d):
+    from tidewatch.streaming import keyed
+
+    return r6(keyed.sequence_scores(env(spark, d), "syscall_name", "event_group", 4))
+
+
+@query("pipeline_single_model")
+def pipeline_single_model(spark, d):
+    from tidewatch.plans import pipelines
+
+    c = pipelines.Config(algorithm="freq1d", features=tuple(_NAMES), score_mode="percentile", threshold=0.98, warmup=200, percentile_window=256)
+    return pipelines.build(env(spark, d), c).select("event_id", "group_key", F.round("score", 6).alias("score"), "anomaly")
+
+
+@query("pipeline_fusion")
+def pipeline_fusion(spark, d):
+    from tidewatch.plans import pipelines
+
+    return pipelines.build(env(spark, d), pipelines.Config(pipeline="las_gas_fusion", features=tuple(_NAMES), score_mode="scaled", warmup=200, ngram=4)).select("event_id", F.round("score", 6).alias("score"), "anomaly")
+
+
+@query("attribution")
+def attribution(spark, d):
+    from tidewatch.streaming import keyed
+
+    return r6(keyed.explain(features.extract(env(spark, d), _NAMES), "loda_ema", _NAMES, top=10))
+
+
+@query("eval_matrix")
+def eval_matrix(spark, d):
+    from tidewatch.plans import pipelines
+
+    e = env(spark, d)
+    return pipelines.eval_matrix(e, e.select("event_id", F.col("malicious").alias("positive")), ["zscore", "freq1d", "loda_ema"], [0.5, 0.9, 0.98], _NAMES)
+
+
+@query("checkpoint_resume")
+def checkpoint_resume(spark, d):
+    """Learn the first half, then score the second from the checkpoint."""
+    from tidewatch.streaming import keyed
+
+    e = features.extract(env(spark, d), _NAMES)
+    half = e.agg(F.expr("max(seq) div 2")).first()[0] or 0
+    return r6(keyed.resume(e.where(F.col("seq") > half), keyed.train(e.where(F.col("seq") <= half), "loda_ema", _NAMES), _NAMES))
