@@ -59,11 +59,12 @@ def shares(data: np.ndarray) -> np.ndarray:
     return np.bincount(ids, minlength=BUCKETS).astype(np.float32) / max(1, len(ids))
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: int, dim: int = 16, epochs: int = 15, rate: float = 20.0, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Embedding table times softmax weights, and bias."""
+def train(x: np.ndarray, y: np.ndarray, langs: int, dim: int = 16, epochs: int = 15, rate: float = 20.0, batch: int = 32, steps: int = 900, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding table times softmax weights, and bias, after so many epochs or steps, whichever is more."""
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     w, bias = rng.normal(0, 0.1, (dim, langs)).astype(np.float32), np.zeros(langs, np.float32)
+    epochs = max(epochs, -(-steps // max(1, len(x) // batch)))
     for epoch in range(epochs):
         step = np.float32(rate * (1 - epoch / epochs))
         for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):

@@ -20,7 +20,9 @@ Null and empty texts have no spans. Offsets count code points. Equal texts have
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,15 @@ MORE = ("email_obfuscated", "number", "secret")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = {
-    "email_obfuscated": re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]? ?(?:at|AT) ?[\])]? ?[A-Za-z0-9-]+ ?[\[(]? ?(?:dot|DOT) ?[\])]? ?[A-Za-z]{2,}"),
+    "email_obfuscated": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]? ?(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]? ?(?:dot|DOT) ?[\])]? ?[A-Za-z]{2,}"),
     "number": re.compile(r"\(?[0-9][0-9 ().-]{6,22}[0-9]"),
     "secret": re.compile(r"(?:(?<=password=)|(?<=token = \")|(?<=secret=)|(?<=api_key=)|(?<=AKIA))[A-Za-z0-9/+_-]{8,}|AKIA[A-Z0-9]{16}"),
 }
-_NEED = {"email_obfuscated": re.compile(r"(?:at|AT) ?[\])]? ?[A-Za-z0-9-]+ ?[\[(]? ?(?:dot|DOT)\b"), "number": re.compile("[0-9]{2}"), "secret": re.compile("password=|token = |secret=|api_key=|AKIA")}
+_NEED = {"email_obfuscated": re.compile(r"(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]? ?(?:dot|DOT)\b"), "number": re.compile("[0-9]{2}"), "secret": re.compile("password=|token = |secret=|api_key=|AKIA")}
 #: Gazetteer and context words: fixed lists of this operator.
 _KNOWN = re.compile(r"(?i)\b(?:gmail|yahoo|outlook|hotmail|mail|example|com|org|net|edu|visa|mastercard|amex|iban|ssn|tel|fax|akia|password|token|secret)\b|password=|token = |secret=|api_key=|AKIA")
 _FOR = re.compile(r"(?i)\b(?:contact|email|e-mail|mail|call|phone|tel|mobile|card|account|ssn|passport|password|token|secret|key|id|reach)\b")
@@ -61,6 +63,11 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octet(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's index, end), sorted. Each pattern's matches are leftmost and don't overlap; then checks apply."""
     out, at = [], 0
@@ -74,7 +81,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((s, 0, m.end()))
             at = m.end()
         i = text.find("@", max(i + 1, at))
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if len(p.lstrip("0")) <= 3) and all(len(p.lstrip("0")) <= 3 for p in m[0].split("."))]
+    # a match begins where its digits do: from a later one it would fail alike, so the pattern looks at no other
+    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         d = _digits(m[0])
         if 14 <= len(d) <= 19 and luhn(d):
@@ -86,13 +94,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, tuple[int, int, int]]]:
     """(start, index in MORE, end, votes) of loose matches clear of base spans; votes are 1, 0 or -1 to abstain."""
-    out = []
+    out, starts = [], [s for s, _, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max))
     for k, kind in enumerate(MORE):
         if not _NEED[kind].search(text):
             continue
         for m in _LOOSE[kind].finditer(text):
             a, b = m.span()
-            if any(s < b and a < e for s, _, e in base):
+            i = bisect_left(starts, b)
+            if i and ends[i - 1] > a:
                 continue
             around = text[max(0, a - NEAR) : a] + " | " + text[b : b + NEAR]
             n = len(_digits(m[0]))
