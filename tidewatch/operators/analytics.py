@@ -204,8 +204,9 @@ def stratified(df: DataFrame, label: str, sizes: dict[str, int], seed: str, key:
 
 def nearest_to(df: DataFrame, score: str, shares: list[float], k: int) -> DataFrame:
     """For each quantile, the k events whose score is nearest."""
-    q = df.agg(F.percentile(score, F.array(*[F.lit(s) for s in shares])).alias("q")).select(F.posexplode("q").alias("target", "at"))
-    gap = df.join(F.broadcast(q), how="cross").select("event_id", "seq", "target", F.abs(F.col(score) - F.col("at")).alias("gap"))  # as many rows as quantiles
+    at = df.agg(F.percentile(score, F.array(*[F.lit(s) for s in shares]))).first()[0] or []  # one number a share
+    gaps = F.array(*[F.abs(F.col(score) - F.lit(float(v))) for v in at])
+    gap = df.select("event_id", "seq", F.posexplode(gaps).alias("target", "gap")) if at else df.selectExpr("event_id", "seq", "0 as target", "0D as gap").limit(0)
     w = Window.partitionBy("target").orderBy("gap", "seq")
     return gap.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("target", "rank", "event_id", F.round("gap", 6).alias("gap"))
 
