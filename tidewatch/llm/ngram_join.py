@@ -66,8 +66,8 @@ def gathered(batches: Iterator[pa.RecordBatch], texts: int = TEXTS, size: int =
 
 
 def _to_fragments(docs: DataFrame, k: int, frags: int) -> DataFrame:
-    """A row for each batch and fragment: the batch's text ids and its n-grams (52 bits of hash, 12 of index into
-    the ids). Rows from ``frags`` on hold sizes of sets instead, dealt by text id, and from twice that on the batch's
+    """A row for each batch and fragment: ids of the batch's texts that are in it, and their n-grams (52 bits of hash,
+    12 of index into the ids). Rows from ``frags`` on hold sizes of sets instead, dealt by text id, and from twice that on the batch's
     table of documents, which is dealt anyhow."""
     shift = np.uint64(64 - int(np.log2(frags)))
 
@@ -99,8 +99,11 @@ def _to_fragments(docs: DataFrame, k: int, frags: int) -> DataFrame:
             out += [(frags + int(home[x]), once[x:y].tobytes(), n[first[x:y]].tobytes(), b"") for x, y in zip(edge, edge[1:], strict=False)]
             if len(grams):
                 grams = grams[one[(grams & np.uint64(4095)).astype(np.int64)]]
-                cut = np.searchsorted(grams >> shift, np.arange(frags + 1, dtype=np.uint64))
-                out += [(f, ids.tobytes(), b"", words.to_planes(grams[cut[f] : cut[f + 1]])) for f in range(frags) if cut[f] < cut[f + 1]]
+                frag = (grams >> shift).astype(np.int64)
+                edge = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1], [True]]))
+                for x, y in zip(edge, edge[1:], strict=False):
+                    held, at = np.unique(grams[x:y] & np.uint64(4095), return_inverse=True)
+                    out.append((int(frag[x]), ids[held.astype(np.int64)].tobytes(), b"", words.to_planes((grams[x:y] & ~np.uint64(4095)) | at.astype(np.uint64))))
             for lo in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[lo : lo + 64], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["frag", "ids", "ns", "grams"])
 
