@@ -119,3 +119,22 @@ def decode_flags(nr: Column, value: Column) -> Column:
         return F.concat_ws("|", kind, *[F.when(v.bitwiseAND(F.lit(b).cast("bigint")) != 0, F.lit(n)) for b, n in bits.items()])
 
     return F.when(nr.isin(2, 257, 437) & v.isNotNull(), named(v.bitwiseAND(F.lit(3).cast("bigint")), OPEN_MODES, OPEN_BITS)).when((nr == 41) & v.isNotNull(), named(v.bitwiseAND(F.lit(255).cast("bigint")), SOCKET_TYPES, SOCKET_BITS))
+
+
+def event_id(micros: Column, counter: Column) -> Column:
+    """Microseconds and a counter in hex, so that ids sort by time."""
+    return F.format_string("%016x-%08x", micros.cast("bigint"), counter.cast("bigint"))
+
+
+def epoch_ns(since_boot_ns: Column, boot_ns: Column) -> Column:
+    return since_boot_ns.cast("bigint") + boot_ns.cast("bigint")
+
+
+def fd_attributes(syscall: Column, path: Column, remote: Column) -> Column:
+    """What is known of a file number: socket over path; read and write without one have an empty path."""
+    pairs = F.array(
+        F.struct(F.lit("fd_path").alias("key"), F.when(F.coalesce(path, F.lit("")) != "", path).when(syscall.isin("read", "write"), F.lit("")).alias("value")),
+        F.struct(F.lit("fd_sock_remote_addr").alias("key"), remote.alias("value")),
+        F.struct(F.lit("fd_resource_kind").alias("key"), F.when(F.coalesce(remote, F.lit("")) != "", "tcp").when(F.coalesce(path, F.lit("")) != "", "file").otherwise("unknown").alias("value")),
+    )
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))

@@ -225,3 +225,28 @@ def subsequence(df: DataFrame, wanted: list[str], key: str, token: str) -> DataF
     seq = df.where(F.col(token).isin(wanted)).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, token))), lambda s: s[token]).alias("s"))
     got = F.aggregate("s", F.lit(0), lambda i, x: F.when(F.get(w, i) == x, i + 1).otherwise(i))
     return seq.select(key, got.alias("matched"))
+
+
+def since_last(polls: DataFrame, recent: str = "recent") -> DataFrame:
+    """polls: source, poll_s, total, recent. New events since the poll before: the difference of totals; where there is
+    no poll before, or the total went back, the recent count stands in."""
+    before = F.lag("total").over(Window.partitionBy("source").orderBy("poll_s"))
+    return polls.select("source", "poll_s", F.when(before.isNull() | (F.col("total") < before), F.col(recent)).otherwise(F.col("total") - before).alias("new"))
+
+
+def last_polls(polls: DataFrame, n: int = 20) -> DataFrame:
+    return polls.orderBy(F.desc("poll_s")).limit(n)
+
+
+def counters(events: DataFrame) -> DataFrame:
+    """Events, anomalies, errors and the last time by group; over a stream as well as a table."""
+    return events.groupBy("event_group").agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("anomaly").cast("long")).alias("anomalies"), F.sum(F.coalesce(F.col("reason").contains("error"), F.lit(False)).cast("long")).alias("errors"), F.max("ts_unix_nano").alias("last"))
+
+
+def principal_components(vectors: DataFrame, column: str, k: int = 2) -> DataFrame:
+    """Append pc, the first k principal components of array vectors."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = vectors.where(F.col(column).isNotNull()).withColumn("__v", array_to_vector(F.transform(column, lambda x: x.cast("double"))))
+    return PCA(k=k, inputCol="__v", outputCol="__p").fit(v).transform(v).withColumn("pc", vector_to_array("__p")).drop("__v", "__p")

@@ -503,3 +503,46 @@ def checkpoint_resume(spark, d):
     e = features.extract(env(spark, d), _NAMES)
     half = e.agg(F.expr("max(seq) div 2")).first()[0] or 0
     return r6(keyed.resume(e.where(F.col("seq") > half), keyed.train(e.where(F.col("seq") <= half), "loda_ema", _NAMES), _NAMES))
+
+
+@query("event_ids", "select event_id, printf('%016x-%08x', epoch_us(ts), user_id) as id from events")
+def event_ids(spark, d):
+    e = env(spark, d)
+    return e.select(F.col("seq").alias("event_id"), features.event_id(F.expr("ts_unix_nano div 1000"), F.col("pid")).alias("id"))
+
+
+@query("inherited_paths", """with recursive o as (select user_id as pid, cast(json_extract_string(props, '$.k') as bigint) % 4 as fd, min(event_id) as path from events where event_type = 'click' and user_id % 3 = 0 group by all),
+p as (select distinct user_id as pid, user_id // 2 as ppid from events), up as (select pid, pid as anc, 0 as hop from p union all select up.pid, p.ppid, up.hop + 1 from up join p on up.anc = p.pid where up.hop < 8 and p.ppid <> p.pid),
+r as (select up.pid, o.fd, o.path, up.hop, row_number() over (partition by up.pid, o.fd order by up.hop) as rn from up join o on up.anc = o.pid)
+select pid, fd, path, hop from r where rn = 1""")
+def inherited_paths(spark, d):
+    from tidewatch.operators import lineage
+
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    opened = e.where("event_type = 'click' and user_id % 3 = 0").groupBy(F.col("user_id").alias("pid"), (k % 4).alias("fd")).agg(F.min("event_id").alias("path"))
+    return lineage.inherited_paths(opened, e.select(F.col("user_id").alias("pid"), F.expr("user_id div 2").alias("ppid")).distinct())
+
+
+@query("since_last_poll", "with p as (select event_type as source, event_id // 1000 as poll_s, max(event_id) - case when event_id // 1000 = 5 then 4000 else 0 end as total, count(*) as recent from events group by event_type, event_id // 1000), l as (select *, lag(total) over (partition by source order by poll_s) as b from p) select source, poll_s, case when b is null or total < b then recent else total - b end as new from l")
+def since_last_poll(spark, d):
+    p = table(spark, d, "events").groupBy(F.col("event_type").alias("source"), F.expr("event_id div 1000").alias("poll_s")).agg(F.max("event_id").alias("m"), F.count(F.lit(1)).alias("recent"))
+    return analytics.since_last(p.withColumn("total", F.col("m") - F.when(F.col("poll_s") == 5, 4000).otherwise(0)))
+
+
+@query("counters", WITH_ENV + _DECIDED.replace("select event_id, seq, ts_unix_nano, event_group,", "select event_id, seq, ts_unix_nano, event_group,") + " select event_group, count(*) as events, count(*) filter (where not suppressed and primary_ >= 0.9) as anomalies, cast(0 as bigint) as errors, max(ts_unix_nano) as last from p group by 1")
+def counters(spark, d):
+    return analytics.counters(_decided(spark, d))
+
+
+@query("principal_components")
+def principal_components(spark, d):
+    out = analytics.principal_components(table(spark, d, "embeddings"), "embedding", 2)
+    return out.select("vec_id", *[F.round(F.abs(F.get("pc", F.lit(i))), 6).alias(f"pc{i}") for i in range(2)])
+
+
+@query("model_diagnostics")
+def model_diagnostics(spark, d):
+    from tidewatch.streaming import keyed
+
+    return r6(keyed.diagnose(keyed.train(features.extract(env(spark, d), _NAMES), "memstream", _NAMES)))

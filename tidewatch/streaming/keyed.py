@@ -137,3 +137,20 @@ def explain(df: DataFrame, algorithm: str, features: list[str], key: str = "even
         return pd.DataFrame(out, columns=[key, "event_id", "feature", "weight"])
 
     return rows.groupBy(key).applyInPandas(run, f"{key} string, event_id string, feature string, weight double")
+
+
+def diagnose(checkpoint: DataFrame, key: str = "event_group") -> DataFrame:
+    """key, metric, value: what the models of a checkpoint of ours hold: events, and their own counts and spreads."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, payload in zip(pdf[key], pdf["payload"], strict=True):
+                m = pickle.loads(payload).model
+                facts = {"events": m.n}
+                facts |= {n: float(np.mean(getattr(m, n))) for n in ("mean", "var", "std", "ema") if hasattr(m, n)}
+                facts |= {f"debug_{n}": float(v) for n, v in getattr(m, "debug", {}).items()} | ({"memory": m.filled} if hasattr(m, "filled") else {}) | ({"mass": float(m.hist.sum())} if hasattr(m, "hist") else {})
+                out += [(k, n, float(v)) for n, v in facts.items()]
+            yield pd.DataFrame(out, columns=[key, "metric", "value"])
+
+    return checkpoint.select(key, "payload").mapInPandas(run, f"{key} string, metric string, value double")
