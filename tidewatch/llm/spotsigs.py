@@ -20,6 +20,8 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,59 +140,47 @@ def _compared(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[c.split()[0] for c in _OUT.split(", ")])
 
 
-def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text", stash: Stash | None = None) -> DataFrame:
+def _ranges(d: DataFrame, parts: int) -> DataFrame:
+    """Append part: ranges of doc_id from the largest down, about even, nulls in one of their own. The bounds are
+    ``parts`` numbers, looked up by bisection."""
+    got = d.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(max(10_000, 20 * parts)))).first()[0] if parts > 1 else None
+    bounds = np.unique(np.array(got or [], np.int64))
+
+    @F.pandas_udf("int")
+    def part(ids: pd.Series) -> pd.Series:
+        at = len(bounds) - np.searchsorted(bounds, ids.fillna(0).to_numpy().astype(np.int64), "right")
+        return pd.Series(np.where(ids.isna(), len(bounds) + 1, at).astype(np.int32))
+
+    return d.withColumn("part", part(F.col("doc_id")))
+
+
+def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Each document's fingerprint, and its likeness to that of the edited text and that of the next document in
     descending order of the key (the last one's next is the first; null keys come last, ties by text).
 
-    Rows are dealt by ranges of the key and sorted; each range is one stream in which a row's next follows it. Only
-    the first and last row of each range, two texts, go on to the join that closes the gaps between ranges."""
+    Rows are dealt by ranges of the key; the first row of the range behind, found from keys alone, stands at the end
+    of each range as well. So each sorted range is one stream in which a row's next follows it, and texts are moved
+    once. Only as many rows as there are ranges are joined, ranked or broadcast."""
     spark = docs.sparkSession
     prepare(spark)
-    stash = stash or Stash(spark, "next")
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    d = d.repartitionByRange(parts, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = _ranges(docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")), parts)
+    heads = d.groupBy("part").agg(F.max("doc_id").alias("head"))
+    w = Window.orderBy("part")
+    turn = heads.select("part", "head", F.coalesce(F.lag("part").over(w), F.max("part").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    turn = F.broadcast(turn.select(F.col("part").alias("p"), "head", "before"))  # a row a range
+    first = d.join(turn, (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("before").agg(F.min("text").alias("text"))
+    ends = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("before").alias("part"), F.lit(1).alias("end"))
+    every = d.withColumn("end", F.lit(0)).unionByName(ends).repartition("part").sortWithinPartitions("part", "end", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = None, -1
-        edges = []
+        held = None
         for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            if not rows:
-                continue
-            part = batch.column(2)[0].as_py()
-            if held is None:
-                edges.append(("head", *rows[0]))
-            else:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            if held is not None:
                 rows.insert(0, held)
-            held = rows[-1]
-            if len(rows) > 1:
-                got = _compared([(*x, y[1]) for x, y in zip(rows, rows[1:], strict=False)])
-                yield _with_edges(got, [], part)
-        if held is not None:
-            yield _with_edges(_compared([]), [*edges, ("tail", *held)], part)
-
-    whole = stash.keep(d.mapInArrow(run, _OUT + ", part int, edge string, text string"), "compared")
-    edges = whole.where("edge is not null").select("part", "edge", "doc_id", "text")
-    n = edges.where("edge = 'head'").select("part").orderBy("part")
-    # as many rows as there are ranges
-    turn = n.select("part", F.lead("part").over(Window.orderBy("part")).alias("then"), F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
-    turn = turn.select("part", F.coalesce("then", "first").alias("then"))
-    tails = edges.where("edge = 'tail'").select("part", "doc_id", "text").join(turn, "part")
-    heads = edges.where("edge = 'head'").select(F.col("part").alias("then"), F.col("text").alias("next"))
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _compared(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
-
-    rest = tails.join(heads, "then").select("doc_id", "text", "next").mapInArrow(close, _OUT)
-    names = [c.split()[0] for c in _OUT.split(", ")]
-    return whole.where("edge is null").select(names).unionByName(rest)
-
+            if rows:
+                held = rows[-1]
+                yield _compared([(x[0], x[1], y[1]) for x, y in zip(rows, rows[1:], strict=False) if not x[3]])
 
-def _with_edges(done: pa.RecordBatch, edges: list[tuple[str, int, str]], part: int) -> pa.RecordBatch:
-    n, k = done.num_rows, len(edges)
-    cols = [pa.concat_arrays([c, pa.array([e[1] for e in edges], c.type) if i == 0 else pa.nulls(k, c.type)]) for i, c in enumerate(done.columns)]
-    cols += [pa.array([part] * (n + k), pa.int32()), pa.array([None] * n + [e[0] for e in edges], pa.string()), pa.array([None] * n + [e[2] for e in edges], pa.string())]
-    return pa.RecordBatch.from_arrays(cols, names=[*done.schema.names, "part", "edge", "text"])
+    return every.mapInArrow(run, _OUT)
