@@ -19,6 +19,8 @@ equal ids and texts are one document, and are treated alike. Columns other than
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,22 +44,37 @@ def _keys(edits: int, least: int) -> Column:
     return F.array(*own, *probes)
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, evaluated once however often f names it, inside other lambdas too."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _trimmed(s: Column) -> Column:
+    """Struct of two strings a and b without what they begin with in common, and back to front. The length in common
+    is found by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(24))])
+
+    def longer(n: Column, k: Column) -> Column:
+        fits = (n + k <= F.least(F.length(s["a"]), F.length(s["b"]))) & (s["a"].substr(F.lit(1), n + k) == s["b"].substr(F.lit(1), n + k))
+        return F.when(fits, n + k).otherwise(n)
+
+    rest = lambda c, n: F.reverse(c.substr(n + 1, F.length(c)))
+    return _let(F.aggregate(steps, F.lit(0), longer), lambda n: F.struct(rest(s["a"], n).alias("a"), rest(s["b"], n).alias("b")))
+
+
 def bit_parallel(a: Column, b: Column, edits: int) -> Column:
     """Whether strings a and b are within the distance, by bit vectors over the band of 2 * edits + 1 diagonals:
     bit k of a column's vectors stands for the row ``k - edits`` below the diagonal. After each character of b,
     one step of additions and shifts gives all differences in the band at once; the distance is followed along
-    the band's lowest row until that leaves a, and then along a's last row."""
-    return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(False)).when((a == "") | (b == ""), F.lit(True)).otherwise(_band(F.split(a, ""), F.split(b, ""), edits))
+    the band's lowest row until that leaves a, and then along a's last row. Common ends are cut off first."""
 
+    def verdict(s: Column) -> Column:
+        far = F.abs(F.length(s["a"]) - F.length(s["b"])) > edits
+        one_left = (s["a"] == "") | (s["b"] == "")
+        chars = F.struct(F.split(s["a"], "").alias("a"), F.split(s["b"], "").alias("b"))
+        return F.when(far, F.lit(False)).when(one_left, F.lit(True)).otherwise(_let(chars, lambda c: _band(c["a"], c["b"], edits)))
 
-def trimmed(pairs: DataFrame, a: str, b: str, longest: int = 1 << 24) -> DataFrame:
-    """Without what the two strings begin or end with in common, found by halving; the distance stays the same."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(longest.bit_length() - 1))])
-    head = F.aggregate(steps, F.lit(0), lambda n, k: F.when((n + k <= F.least(F.length(a), F.length(b))) & (F.col(a).substr(F.lit(1), n + k) == F.col(b).substr(F.lit(1), n + k)), n + k).otherwise(n))
-    for part in (head, head):
-        pairs = pairs.withColumn("__n", part)
-        pairs = pairs.withColumns({c: F.reverse(F.col(c).substr(F.col("__n") + 1, F.length(c))) for c in (a, b)})
-    return pairs.drop("__n")
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda s: _let(_trimmed(s), lambda t: _let(_trimmed(t), verdict)))
 
 
 def _band(a: Column, b: Column, edits: int) -> Column:
@@ -118,7 +135,7 @@ def near_pairs(lines: DataFrame, edits: int, least: int, stash: Stash) -> DataFr
     close = F.levenshtein("la", "lb", edits) >= 0  # -1: beyond the cut-off
     pairs = a.join(b, (a["key"] == b["key"]) & once & close).select("a", "b", "la", "lb")
     pairs = stash.keep(pairs.dropDuplicates(["a", "b"]), "pairs")
-    return trimmed(pairs.repartition("a", "b"), "la", "lb").where(bit_parallel(F.col("la"), F.col("lb"), edits)).select("a", "b")
+    return pairs.where(bit_parallel(F.col("la"), F.col("lb"), edits)).select("a", "b")
 
 
 def removals(docs: DataFrame, edits: int, least: int, key: str, text: str, stash: Stash) -> DataFrame:
