@@ -127,7 +127,9 @@ def near_pairs(lines: DataFrame, edits: int, least: int, stash: Stash) -> DataFr
     met = both.withColumn("lo", F.min("line_id").over(w)).withColumn("hi", F.max("line_id").over(w)).withColumn("indexed", F.max("own").over(w))
     hits = stash.keep(met.where("indexed and lo <> hi").select("line_id", "key", "own"), "hits")
     stash.release()
-    texts = lines.join(hits.select("line_id").distinct(), "line_id", "left_semi")
+    # ids are never negative: the comparison only tells the planner that this side may be worth a filter of the other
+    wanted = hits.select("line_id").where("line_id >= 0")
+    texts = lines.join(wanted, "line_id", "left_semi")
     full = stash.keep(hits.join(texts.select("line_id", "line"), "line_id"), "hit-lines")
     a = full.where("own").select("key", F.col("line_id").alias("a"), F.col("line").alias("la"))
     b = full.select("key", "own", F.col("line_id").alias("b"), F.col("line").alias("lb"))
@@ -152,7 +154,7 @@ def removals(docs: DataFrame, edits: int, least: int, key: str, text: str, stash
     late = stash.keep(two.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("line_id")).distinct().withColumn("near", F.lit(True)), "late")
     stash.drop("hits", "hit-lines")
     ids = [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")]
-    verdict = once.join(late, "line_id", "left").where("times > 1 or near").select(*ids, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    verdict = once.select("line_id", *ids, "first", "times").join(late, "line_id", "left").where("times > 1 or near").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     hit = lines.select("id", "h", "no", "place", *ids).join(verdict, ["k1", "k2"]).where("near or place <> first")
     return hit.groupBy("id", "h").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
@@ -161,6 +163,9 @@ def dedup(docs: DataFrame, edits: int = 2, least: int = 20, key: str = "doc_id",
     """The documents with their text less the removed lines, and n_lines_removed."""
     spark = docs.sparkSession
     prepare(spark)
+    # where few lines are wanted, a filter of bounded size goes ahead of the shuffle of all lines
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     stash = stash or Stash(spark, "lines")
     gone = stash.keep(removals(docs, edits, least, key, text, stash), "gone")
     stash.only("gone")
