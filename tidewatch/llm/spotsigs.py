@@ -2,9 +2,9 @@
 
 At each anchor (a common word of the language list below) the next ``CHAIN`` words that are not anchors themselves
 form a signature, the anchor included; a document's signatures are a set. Anchors are frequent in prose and rare
-elsewhere, so signatures stand for the text proper. Texts with fewer than ``FEW`` anchored chains are too short or
-not prose; of these, all runs of four characters count as well, with the text's end, so that no text that has
-any character is without fingerprint.
+elsewhere, so signatures stand for the text proper. All runs of four characters count as well, with the text's end,
+so that no text that has any character is without fingerprint. Both kinds are in every fingerprint: were the runs left
+to texts with few chains, an edit that moves their number past the bound would leave near copies nothing in common.
 
 A fingerprint is the sorted set of 40-bit hashes of the signatures, in fixed-width hex; likeness is Jaccard. Pairs
 are compared only if the smaller set can reach the wanted likeness at all (partitioning by set length), and a
@@ -19,6 +19,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.runtime import Stash, prepare
 
-CHAIN, FEW, WIDTH = 2, 6, 10
+CHAIN, RUN, WIDTH = 2, 4, 10
+BATCH = 1 << 25
 #: Fixed list of anchors: common words of English, German, French and Spanish.
 ANCHORS = frozenset(
     """the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which
@@ -39,7 +41,7 @@ ANCHORS = frozenset(
 _WORD = re.compile(r"[^\W_]+")
 
 
-def signatures(text: str) -> set[str]:
+def _chains(text: str) -> set[str]:
     words = _WORD.findall(text.lower())
     out, chain = set(), [w for w in words if w not in ANCHORS]
     content = 0  # content words before the current word
@@ -49,13 +51,49 @@ def signatures(text: str) -> set[str]:
                 out.add(f"{w} {' '.join(chain[content : content + CHAIN])}")
         else:
             content += 1
-    if len(out) < FEW:
-        out |= {text[i : i + 4] + ("\0" if i + 4 >= len(text) else "") for i in range(max(1, len(text) - 3))} if text else set()
     return out
 
 
+def signatures(text: str) -> set[str]:
+    last = max(0, len(text) - RUN)
+    return _chains(text) | ({text[i : i + RUN] for i in range(last)} | {text[last:] + "\0"} if text else set())
+
+
+@lru_cache(1 << 16)  # a text and its edited one share most
+def _hash(signature: str) -> int:
+    return int.from_bytes(hashlib.blake2b(signature.encode("utf-8", "surrogatepass"), digest_size=WIDTH // 2).digest())
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(text: str) -> np.ndarray:
+    """The hashes of ``signatures``, ascending. Runs are hashed by their five code points (none is one above all) at
+    once, not as strings."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    chains = np.array([_hash(s) for s in _chains(text)], np.uint64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n, none = max(1, len(points) - RUN + 1), (1 << 21) - 1
+    points = np.concatenate([points, np.array([0] + [none] * RUN, np.uint64)])
+    c = [points[k : k + n] for k in range(RUN)]
+    high = c[3] | np.uint64(none << 21)
+    high[-1] = c[3][-1] | points[n + RUN - 1] << np.uint64(21)  # the end, or for texts shorter than a run none
+    low = c[0] | c[1] << np.uint64(21) | c[2] << np.uint64(42)
+    runs = _mixed(low ^ _mixed(high + np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - 4 * WIDTH)
+    out = np.sort(np.concatenate([chains, runs]))
+    return out[np.append(True, out[1:] != out[:-1])]
+
+
+def _hex(hashes: np.ndarray) -> str:
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH // 2 :].tobytes().hex()
+
+
 def fingerprint(text: str) -> str:
-    return "".join(sorted(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=WIDTH // 2).hexdigest() for s in signatures(text)))
+    return _hex(_hashes(text))
 
 
 def _set(print_: str) -> set[str]:
@@ -129,15 +167,28 @@ def edited(text: str, other: str) -> str:
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compared(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
-    """doc_id, text, next text: the row of each."""
-    out = []
-    for i, t, nxt in rows:
-        e = edited(t, nxt)
-        f, g, h = fingerprint(t), fingerprint(e), fingerprint(nxt)
-        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), f, g, likeness(f, g), likeness(f, h)))
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """``likeness`` of two fingerprints' hashes."""
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common) if len(both) else 1.0
+
+
+def _compared(rows: list[tuple[int, str, str]]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, next text: the row of each, in batches of a bounded number of characters (fingerprints are some
+    ten times as long as texts)."""
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[c.split()[0] for c in _OUT.split(", ")])
+    out, size, known = [], 0, (None, None)
+    for k, (i, t, nxt) in enumerate(rows):
+        e = edited(t, nxt)
+        f = known[1] if t == known[0] else _hashes(t)
+        g, h = _hashes(e), _hashes(nxt)
+        known = (nxt, h)
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), _hex(f), _hex(g), _jaccard(f, g), _jaccard(f, h)))
+        size += len(out[-1][3]) + len(out[-1][4])
+        if size > BATCH or k + 1 == len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], x) for c, x in enumerate(types)], names=[c.split()[0] for c in _OUT.split(", ")])
+            out, size = [], 0
 
 
 def _ranges(d: DataFrame, parts: int) -> DataFrame:
@@ -181,6 +232,6 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text", parts
                 rows.insert(0, held)
             if rows:
                 held = rows[-1]
-                yield _compared([(x[0], x[1], y[1]) for x, y in zip(rows, rows[1:], strict=False) if not x[3]])
+                yield from _compared([(x[0], x[1], y[1]) for x, y in zip(rows, rows[1:], strict=False) if not x[3]])
 
     return every.mapInArrow(run, _OUT)
