@@ -1,6 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
-from tidewatch.llm import spotsigs
+import math
+
+import duckdb
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidewatch.llm import queries, spotsigs, topk
 
 
 def test_spotsigs_whatever_the_number_of_chains(spark):
@@ -23,3 +29,33 @@ def test_spotsigs_whatever_the_number_of_chains(spark):
 def test_spotsigs_hashes():
     for t in ("", "a", "abc", "abcd", "abcde", "日本", "𝔘𝔫𝔦", "abc\0d", "the the red fox of the hill", "y" * 50):
         assert len(spotsigs._hashes(t)) == len(spotsigs.signatures(t)) and len(spotsigs.fingerprint(t)) == 10 * len(spotsigs._hashes(t))
+
+
+def test_topk_of_large_components(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.4, (120, 5))
+    x[::7] *= 20_000.0
+    x[::15] = rng.normal(0, 3e6, (8, 5))
+    x[40] = 16384.0
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(queries.OP10_SQL).fetchall()
+    got = [tuple(r) for r in queries.op10_topk(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 6 * 20
+
+
+def test_topk_beyond_64_bits(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(c) for c in rng.normal(0, 1, 3) * 10.0 ** rng.integers(-1, 12)]) for i in range(60)]
+    rows += [(60, [1e308, -1.0, 2.0]), (61, [-1.7e308, 0.0, 1e300]), (62, [0.0, 0.0, 0.0]), (63, [1e200, 1e200, 1e200])]
+    whole = {i: [math.floor(64 * c) if math.isfinite(64 * c) else 64 * int(c) for c in v] for i, v in rows}
+    want = set()
+    for q in range(0, 64, 4):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), c) for c in whole if c != q)
+        want |= {(q, k + 1, c, -s if -(2**63) <= -s < 2**63 else None) for k, (s, c) in enumerate(best)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.search(df, F.col("vec_id") % 4 == 0, k=63).collect()}
+    assert got == want and any(r[3] is None for r in want)

@@ -10,13 +10,16 @@ resolved by smaller id. Each block's few rows go to one ranking a query.
 Queries meet rows block by block: query blocks are dealt to every block of rows, which is the stated query set
 against all rows. Blocks hold a bounded number of rows, and equal vectors need no special case.
 
-A vector takes part if it is neither null nor empty and holds no null, non-finite or (beyond +-2**20 after scaling)
-out-of-range component; vectors of different lengths never meet. Rows with equal ids are separate rows; a query row
+A vector takes part if it is neither null nor empty and holds no null or non-finite component; vectors of different
+lengths never meet. Vectors with a component beyond +-2**20 once scaled are in blocks of their own, as they came,
+so that the others need no more slices for them; theirs are as many as the range demands. Scores are ranked exactly at any size; one that 64 bits can't
+hold is null in the result. Rows with equal ids are separate rows; a query row
 is never its own candidate, nor is a row with the same id. No queries, or no rows, give no result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +31,35 @@ from tidewatch.llm.runtime import prepare
 
 ROWS, QUERIES, LEAST_BLOCKS = 16384, 256, 8
 LIMIT = float(1 << 20)
+#: Bytes of scores beyond 64 bits as sort keys: products of two scaled doubles, summed, with a sign.
+WIDE = 288
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """key, v (array<int>), d: the vectors that take part."""
-    x = F.transform(F.col(vector), lambda c: F.floor(c.cast("double") * scale))
-    fine = F.forall(vector, lambda c: F.coalesce(F.abs(c.cast("double") * scale) < LIMIT, F.lit(False)))  # NaN is larger than any number
-    return vectors.where(F.col(key).isNotNull() & (F.size(vector) > 0) & fine).select(F.col(key).alias("key"), x.cast("array<int>").alias("v"), F.size(vector).alias("d"))
+    """key, v (array<int>) or, beyond the limit, w (the components as they are), d, wide: the vectors that take part."""
+    x = F.transform(F.col(vector), lambda c: c.cast("double"))
+    fine = F.forall(vector, lambda c: F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)))  # NaN is larger than any number
+    small = F.forall(vector, lambda c: F.abs(c.cast("double") * scale) < LIMIT)
+    taken = vectors.where(F.col(key).isNotNull() & (F.size(vector) > 0) & fine)
+    v = F.when(small, F.transform(F.col(vector), lambda c: F.floor(c.cast("double") * scale)).cast("array<int>"))
+    return taken.select(F.col(key).alias("key"), v.alias("v"), F.when(~small, x).alias("w"), F.size(vector).alias("d"), (~small).alias("wide"))
+
+
+def _whole(x: float, scale: int) -> int:
+    y = x * scale
+    return math.floor(y) if math.isfinite(y) else int(x) * scale
+
+
+def _values(data: pa.Buffer, d: int, wide: bool, scale: int) -> np.ndarray:
+    """Vectors as integers: 64 bits, or Python's own where those may not do."""
+    if not wide:
+        return np.frombuffer(data, np.int32).reshape(-1, d).astype(np.int64)
+    x = np.frombuffer(data, np.float64)
+    if np.abs(x).max() < 2.0**61 / scale:
+        return np.floor(x * scale).astype(np.int64).reshape(-1, d)
+    out = np.empty(len(x), object)
+    out[:] = [_whole(c, scale) for c in x.tolist()]
+    return out.reshape(-1, d)
 
 
 def _packed(table: DataFrame, blocks: int) -> DataFrame:
@@ -42,12 +67,12 @@ def _packed(table: DataFrame, blocks: int) -> DataFrame:
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by("key").combine_chunks()
-        keys, v = np.asarray(t.column("key")).astype(np.int64), t.column("v").combine_chunks()
-        v = np.asarray((v.chunk(0) if isinstance(v, pa.ChunkedArray) else v).flatten()).astype(np.int32)
-        return pa.table({"d": pa.array([key[0].as_py()], pa.int32()), "blk": pa.array([key[1].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "values": pa.array([v.tobytes()], pa.binary())})
+        keys, v = np.asarray(t.column("key")).astype(np.int64), t.column("w" if key[2].as_py() else "v").combine_chunks()
+        v = np.asarray((v.chunk(0) if isinstance(v, pa.ChunkedArray) else v).flatten())
+        return pa.table({"d": pa.array([key[0].as_py()], pa.int32()), "blk": pa.array([key[1].as_py()], pa.int32()), "wide": pa.array([key[2].as_py()], pa.bool_()), "keys": pa.array([keys.tobytes()], pa.binary()), "values": pa.array([v.tobytes()], pa.binary())})
 
     dealt = table.withColumn("blk", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("d", "blk").applyInArrow(run, "d int, blk int, keys binary, values binary")
+    return dealt.groupBy("d", "blk", "wide").applyInArrow(run, "d int, blk int, wide boolean, keys binary, values binary")
 
 
 class BitSliced:
@@ -56,9 +81,10 @@ class BitSliced:
     def __init__(self, keys: np.ndarray, x: np.ndarray):
         self.keys, self.x = keys, x
         self.low = int(x.min())
-        self.bits = max(1, int(x.max() - self.low).bit_length())
+        self.bits = max(1, (int(x.max()) - self.low).bit_length())
+        self.most = int(np.abs(x).max())
         self.words = -(-len(x) // 64)
-        shifted = np.zeros((self.words * 64, x.shape[1]), np.int64)
+        shifted = np.zeros((self.words * 64, x.shape[1]), x.dtype)
         shifted[: len(x)] = x - self.low
         self.slices = [[self._pack((shifted[:, d] >> b) & 1) for b in range(self.bits)] for d in range(x.shape[1])]
         self.rows = self._pack(np.arange(self.words * 64) < len(x))
@@ -87,7 +113,7 @@ class BitSliced:
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
         for d in range(q.shape[1]):
             flip = np.where(minus[:, d], full, np.uint64(0))[:, None]
-            masks = [np.where((size[:, d] >> j) & 1, full, np.uint64(0))[:, None] for j in range(int(size[:, d].max()).bit_length())]
+            masks = [np.where(((size[:, d] >> j) & 1).astype(bool), full, np.uint64(0))[:, None] for j in range(int(size[:, d].max()).bit_length())]
             for b, s in enumerate(self.slices[d]):
                 s = s[None, :] ^ flip
                 for j, m in enumerate(masks):
@@ -127,11 +153,24 @@ class BitSliced:
         rank = np.arange(len(ti)) - np.searchsorted(ti, ti)  # within the query, ascending rows and so keys
         ok = rank < need[ti]
         qi, rows = np.concatenate([qi, ti[ok]]), np.concatenate([rows, trows[ok]])
-        return qi, rows, np.einsum("ij,ij->i", self.x[rows].astype(np.int64), q[qi].astype(np.int64))
+        x, y = self.x[rows], q[qi]
+        if self.most * int(np.abs(q).max()) * q.shape[1] < 1 << 63:
+            return qi, rows, np.einsum("ij,ij->i", x, y)
+        return qi, rows, (x.astype(object) * y.astype(object)).sum(1)
+
+
+def _scored(scores: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Scores, null beyond 64 bits, and for those the bytes by which they are ordered."""
+    if scores.dtype != object:
+        return pa.array(scores, pa.int64()), pa.nulls(len(scores), pa.binary())
+    fits = [-(1 << 63) <= s < 1 << 63 for s in scores]
+    order = [None if f else (s + (1 << 8 * WIDE - 1)).to_bytes(WIDE, "big") for s, f in zip(scores, fits, strict=True)]
+    return pa.array([s if f else None for s, f in zip(scores, fits, strict=True)], pa.int64()), pa.array(order, pa.binary())
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), key, score: for each row that the condition ``queries`` picks, its k best others."""
+    """query_id, rank (from 1), key, score (null beyond 64 bits): for each row that the condition ``queries`` picks, its
+    k best others."""
     spark = vectors.sparkSession
     prepare(spark, 4096)
     all_rows = quantised(vectors, key, vector, scale)
@@ -139,21 +178,23 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, ke
     n, nq = vectors.count(), vectors.where(queries).count()
     blocks, parts = max(LEAST_BLOCKS, -(-n // ROWS)), max(1, -(-nq // QUERIES))
     rows = _packed(all_rows, blocks)
-    asked = _packed(chosen, parts).select("d", F.col("blk").alias("part"), F.col("keys").alias("qkeys"), F.col("values").alias("qvalues"))
-    met = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asked, ["d", "part"]).select("d", "keys", "values", "qkeys", "qvalues")
+    asked = _packed(chosen, parts).select("d", F.col("blk").alias("part"), F.col("wide").alias("qwide"), F.col("keys").alias("qkeys"), F.col("values").alias("qvalues"))
+    met = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asked, ["d", "part"]).select("d", "wide", "keys", "values", "qwide", "qkeys", "qvalues")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, index = None, None
         for batch in batches:
-            for d, keys, x, qkeys, q in zip(*(batch.column(c) for c in range(5)), strict=True):
+            for d, wide, keys, x, qwide, qkeys, q in zip(*(batch.column(c) for c in range(7)), strict=True):
                 d, keys, x = d.as_py(), keys.as_buffer(), x.as_buffer()
                 if last is None or not (keys.equals(last[0]) and x.equals(last[1])):
-                    index, last = BitSliced(np.frombuffer(keys, np.int64), np.frombuffer(x, np.int32).reshape(-1, d)), (keys, x)
+                    index, last = BitSliced(np.frombuffer(keys, np.int64), _values(x, d, wide.as_py(), scale)), (keys, x)
                 qkeys = np.frombuffer(qkeys.as_buffer(), np.int64)
-                i, r, s = index.top(qkeys, np.frombuffer(q.as_buffer(), np.int32).reshape(-1, d), k)
-                yield pa.RecordBatch.from_arrays([pa.array(qkeys[i]), pa.array(index.keys[r]), pa.array(s)], names=["query_id", "key", "score"])
+                i, r, s = index.top(qkeys, _values(q.as_buffer(), d, qwide.as_py(), scale), k)
+                yield pa.RecordBatch.from_arrays([pa.array(qkeys[i]), pa.array(index.keys[r]), *_scored(s)], names=["query_id", "key", "score", "beyond"])
 
-    found = met.mapInArrow(run, "query_id long, key long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    found = met.mapInArrow(run, "query_id long, key long, score long, beyond binary")
+    # beyond 64 bits, above or below the scores that are not: the first byte tells the sign
+    side = F.when(F.col("beyond").isNull(), 0).when(F.substring("beyond", 1, 1) >= F.lit(bytes([128])), 1).otherwise(-1)
+    w = Window.partitionBy("query_id").orderBy(side.desc(), F.desc("beyond"), F.desc("score"), "key")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("key").alias(key), "score")
