@@ -531,17 +531,19 @@ class NextToken(Model):
 
 
 class Word2Vec:
-    """Skip-gram with negative sampling over sliding sentences of each actor, learnt every so many tokens."""
+    """Skip-gram with negative sampling over sliding sentences of each actor, learnt every so many tokens; after the
+    warm-up at a share ``later`` of the rate. A sentence's pairs are one step."""
 
-    def __init__(self, dim: int = 5, sentence: int = 7, window: int = 5, every: int = 250, rate: float = 0.025, negative: int = 5, seed: int = 42):
-        self.dim, self.sentence, self.window, self.every, self.rate, self.negative = dim, sentence, window, every, rate, negative
+    def __init__(self, dim: int = 5, sentence: int = 7, window: int = 5, every: int = 250, rate: float = 0.025, negative: int = 5, seed: int = 42, warmup: int = 10_000, later: float = 0.1):
+        self.dim, self.sentence, self.window, self.every, self.rate, self.negative, self.warmup, self.later = dim, sentence, window, every, rate, negative, warmup, later
         self.rng, self.ids, self.recent, self.pending, self.n = np.random.default_rng(seed), {}, {}, [], 0
         self.vec, self.out, self.freq = np.zeros((0, dim)), np.zeros((0, dim)), []
+        i, j = np.indices((sentence, sentence)).reshape(2, -1)
+        near = (i != j) & (abs(i - j) <= window)
+        self.center, self.other = i[near], j[near]
 
     def add(self, actor: str, token: str) -> np.ndarray:
-        """The token's vector as learnt so far (zeros if unknown); then the token is taken up."""
-        i = self.ids.get(token)
-        got = self.vec[i].copy() if i is not None and i < len(self.vec) else np.zeros(self.dim)
+        """The token is taken up; its vector as learnt by then (zeros if unknown)."""
         q = self.recent.setdefault(actor, deque(maxlen=self.sentence))
         q.append(token)
         if len(q) == self.sentence:
@@ -549,7 +551,8 @@ class Word2Vec:
         self.n += 1
         if self.n % self.every == 0 and self.pending:
             self._train()
-        return got
+        i = self.ids.get(token)
+        return self.vec[i].copy() if i is not None else np.zeros(self.dim)
 
     def _train(self):
         for t in (t for s in self.pending for t in s):
@@ -559,19 +562,19 @@ class Word2Vec:
                 self.vec = np.vstack([self.vec, self.rng.uniform(-0.5, 0.5, (1, self.dim)) / self.dim])
                 self.out = np.vstack([self.out, np.zeros((1, self.dim))])
             self.freq[self.ids[t]] += 1
-        p = np.array(self.freq, float) ** 0.75
-        p /= p.sum()
+        upto = np.cumsum(np.array(self.freq, float) ** 0.75)
+        rate = self.rate * (1 if self.n <= self.warmup else self.later)
         for s in self.pending:
-            w = [self.ids[t] for t in s]
-            for i, c in enumerate(w):
-                for o in w[max(0, i - self.window) : i] + w[i + 1 : i + 1 + self.window]:
-                    at = np.concatenate([[o], self.rng.choice(len(p), self.negative, p=p)])
-                    y = np.zeros(len(at))
-                    y[0] = 1
-                    g = (1 / (1 + np.exp(-self.out[at] @ self.vec[c])) - y) * self.rate
-                    dv = g @ self.out[at]
-                    np.subtract.at(self.out, at, np.outer(g, self.vec[c]))
-                    self.vec[c] -= dv
+            w = np.array([self.ids[t] for t in s])
+            c = w[self.center]
+            drawn = np.searchsorted(upto, self.rng.random((len(c), self.negative)) * upto[-1], "right")
+            at = np.column_stack([w[self.other], np.minimum(drawn, len(upto) - 1)])
+            g = 1 / (1 + np.exp(-np.einsum("ijk,ik->ij", self.out[at], self.vec[c])))
+            g[:, 0] -= 1
+            g *= rate
+            back = np.einsum("ij,ijk->ik", g, self.out[at])
+            np.subtract.at(self.out, at, g[:, :, None] * self.vec[c][:, None, :])
+            np.subtract.at(self.vec, c, back)
         self.pending = []
 
 

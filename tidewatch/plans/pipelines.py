@@ -85,9 +85,9 @@ def sequence_mlp(events: DataFrame, c: Config) -> DataFrame:
 
 
 def las_gas_fusion(events: DataFrame, c: Config) -> DataFrame:
-    """The sequence model and a frequency model, fused with equal weights."""
+    """The sequence model and z-scores, fused with equal weights."""
     a = keyed.sequence_scores(events, "syscall_name", c.key, c.ngram).select("event_id", F.col("raw").alias("ra"))
-    b = keyed.score(features.extract(events, list(c.features)), "freq1d", list(c.features), c.key).select(c.key, "event_id", "seq", F.col("raw").alias("rb"))
+    b = keyed.score(features.extract(events, list(c.features)), "zscore", list(c.features), c.key).select(c.key, "event_id", "seq", F.col("raw").alias("rb"))
     s = b.join(a, "event_id").withColumn("sa", native.scaled(F.col("ra"), "exp1m")).withColumn("sb", native.scaled(F.col("rb"), "exp1m"))
     raw, scaled = native.fuse(["ra", "rb"], ["sa", "sb"], "linear")
     return _decided(s.select(c.key, "event_id", "seq", raw.alias("raw"), scaled.alias("scaled"), F.lit(None).cast("double").alias("percentile")), events, c)

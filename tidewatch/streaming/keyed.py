@@ -94,26 +94,22 @@ def stream(df: DataFrame, algorithm: str, features: list[str], key: str = "event
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} string, {OUT}", "payload binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def sequence_scores(df: DataFrame, token: str, key: str, n: int = 4, **params) -> DataFrame:
-    """Next-token scores: each actor's last n - 1 tokens, one-hot by first seen id, predict its next one. One model
-    for all actors of a group, in the group's order."""
-    from tidewatch.operators.models import NextToken
-
-    width = 64
+def sequence_scores(df: DataFrame, token: str, key: str, n: int = 4, vectors: dict | None = None, **params) -> DataFrame:
+    """Next-token scores: the vectors of each actor's last n - 1 tokens, each as it was learnt when the token came,
+    predict the next one. One model and one table of vectors (Word2Vec with the parameters ``vectors``) for all actors
+    of a group, in the group's order; any number of different tokens."""
+    from tidewatch.operators.models import NextToken, Word2Vec
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts_unix_nano", "seq"], kind="stable")
-        model, ids, recent, raw = NextToken([str(i) for i in range(width * (n - 1))], **params), {}, {}, []
+        table, ids, recent, raw = Word2Vec(**(vectors or {})), {}, {}, []
+        model = NextToken([str(i) for i in range(table.dim * (n - 1))], **params)
         for actor, t in zip(pdf["tid"], pdf[token], strict=True):
-            i = ids.setdefault(t, len(ids))
+            t = t.strip().lower() if isinstance(t, str) else ""
+            i, v = ids.setdefault(t, len(ids)), table.add(actor, t)
             q = recent.setdefault(actor, [])
-            if len(q) == n - 1:
-                x = np.zeros((n - 1, width))
-                x[np.arange(n - 1), np.array(q) % width] = 1
-                raw.append(model.observe(x.ravel(), i, len(ids)))
-            else:
-                raw.append(0.0)
-            recent[actor] = (q + [i])[-(n - 1) :]
+            raw.append(model.observe(np.concatenate(q), i, len(ids)) if len(q) == n - 1 else 0.0)
+            recent[actor] = (q + [v])[-(n - 1) :]
         return pd.DataFrame({key: pdf[key].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "raw": raw})
 
     return df.select(key, "tid", "event_id", "ts_unix_nano", "seq", token).groupBy(key).applyInPandas(run, f"{key} string, event_id string, raw double")
