@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewatch.llm import queries, spotsigs, topk
+from tidewatch.llm import pii, queries, spotsigs, topk
 
 
 def test_spotsigs_whatever_the_number_of_chains(spark):
@@ -59,3 +59,11 @@ def test_topk_beyond_64_bits(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {tuple(r) for r in topk.search(df, F.col("vec_id") % 4 == 0, k=63).collect()}
     assert got == want and any(r[3] is None for r in want)
+
+
+def test_pii_candidates_whatever_else_is_in_the_text():
+    for text, kind in (("call 5 5 5 1 2 3 4 5 6 7 now", "number"), ("(1 2 3) 4-5.6 7 8", "number"), ("joe at mail dotcom", "email_obfuscated"), ("JOE [AT] mail [DOT] com", "email_obfuscated")):
+        alone = pii.candidates(text, [])
+        assert [pii.MORE[c[1]] for c in alone] == [kind]
+        far = text + " and" * 20 + " 12345678 and then ann at home dot net"
+        assert [c[:3] for c in pii.candidates(far, []) if c[2] <= len(text)] == [c[:3] for c in alone]

@@ -43,7 +43,8 @@ _LOOSE = {
     "number": re.compile(r"\(?[0-9][0-9 ().-]{6,22}[0-9]"),
     "secret": re.compile(r"(?:(?<=password=)|(?<=token = \")|(?<=secret=)|(?<=api_key=)|(?<=AKIA))[A-Za-z0-9/+_-]{8,}|AKIA[A-Z0-9]{16}"),
 }
-_NEED = {"email_obfuscated": re.compile(r"(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]? ?(?:dot|DOT)\b"), "number": re.compile("[0-9]{2}"), "secret": re.compile("password=|token = |secret=|api_key=|AKIA")}
+#: What every match holds, so that texts without it are not searched.
+_NEED = {"email_obfuscated": re.compile(r"(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]? ?(?:dot|DOT)"), "number": re.compile(r"[0-9][0-9 ().-]{6}"), "secret": re.compile("password=|token = |secret=|api_key=|AKIA")}
 #: Gazetteer and context words: fixed lists of this operator.
 _KNOWN = re.compile(r"(?i)\b(?:gmail|yahoo|outlook|hotmail|mail|example|com|org|net|edu|visa|mastercard|amex|iban|ssn|tel|fax|akia|password|token|secret)\b|password=|token = |secret=|api_key=|AKIA")
 _FOR = re.compile(r"(?i)\b(?:contact|email|e-mail|mail|call|phone|tel|mobile|card|account|ssn|passport|password|token|secret|key|id|reach)\b")
