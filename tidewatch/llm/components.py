@@ -2,7 +2,8 @@
 
 Each round links every node to the least node it knows of (large star: its larger neighbours, small star: its
 smaller ones), which halves paths; rounds are written to the shared folder, so lineage stays short. Nothing is
-gathered on the driver but one count a round, and no task holds the neighbours of a node.
+gathered on the driver but one count a round. The neighbours of one node stream through one task's merge join, which
+holds its least one only.
 """
 
 from __future__ import annotations

@@ -9,12 +9,15 @@ nothing but white space stay. Distances hold between lines as given, so a remove
    stands unchanged in the longer, near its own place. Segments are indexed by (length, number, content), and each
    line probes them with the substrings that can match at the lengths it can match (left and right errors bound
    the shift: the multi-match-aware selection).
-3. Keys that bring two lines together give candidates. A banded distance, cut off at ``edits``, thins them in the
-   join, and a banded bit-parallel distance decides.
+3. Keys that bring two lines together give candidates. For each line the join looks for one that stands earlier, and a
+   banded bit-parallel distance decides; before it, lengths and the counts of a few classes of characters, which no
+   ``edits`` edits can change by more, rule most others out. It is a semi-join: a line goes with the first that is
+   found, so lines of one template don't grow into all their pairs.
 4. Places of lines to remove go back to their documents.
 
 Null texts stay null; a text whose lines are all removed becomes empty. Null ids come last in the order; rows with
-equal ids and texts are one document, and are treated alike. Columns other than the key and the text pass through.
+equal ids and texts are one document, and are treated alike. Columns other than the key and the text pass through; one
+named n_lines_removed raises an error.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.runtime import Stash, prepare
+from tidewatch.llm.runtime import Stash, free_names, fresh, prepare
+
+_FILTERS = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
 
 
 def _keys(edits: int, least: int) -> Column:
@@ -114,8 +119,13 @@ def _band(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), begun, step)["d"] <= edits
 
 
-def near_pairs(lines: DataFrame, edits: int, least: int, stash: Stash) -> DataFrame:
-    """lines: line_id (unique), line (distinct). Pairs a, b of ids of lines within the distance."""
+#: Classes of characters whose counts are compared before the distance: an edit moves each by at most 1.
+_CLASSES = ("[aeiou]", "[nrstl]", "[0-9]", "[A-Z]", " ")
+
+
+def near_later(lines: DataFrame, edits: int, least: int, stash: Stash) -> DataFrame:
+    """lines: line_id (unique), line (distinct), first (place, unique). line_id of the lines within the distance of one
+    whose place is smaller."""
     least = max(least, edits + 1)
     # one byte a character, so that substrings need no search for their place
     flat = F.encode(F.regexp_replace("line", "[^\\x00-\\xFF]", "?"), "ISO-8859-1")
@@ -126,18 +136,19 @@ def near_pairs(lines: DataFrame, edits: int, least: int, stash: Stash) -> DataFr
     w = Window.partitionBy("key")
     met = both.withColumn("lo", F.min("line_id").over(w)).withColumn("hi", F.max("line_id").over(w)).withColumn("indexed", F.max("own").over(w))
     hits = stash.keep(met.where("indexed and lo <> hi").select("line_id", "key", "own"), "hits")
-    stash.release()
     # ids are never negative: the comparison only tells the planner that this side may be worth a filter of the other
     wanted = hits.select("line_id").where("line_id >= 0")
-    texts = lines.join(wanted, "line_id", "left_semi")
-    full = stash.keep(hits.join(texts.select("line_id", "line"), "line_id"), "hit-lines")
-    a = full.where("own").select("key", F.col("line_id").alias("a"), F.col("line").alias("la"))
-    b = full.select("key", "own", F.col("line_id").alias("b"), F.col("line").alias("lb"))
-    once = F.when(F.col("own"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-    close = F.levenshtein("la", "lb", edits) >= 0  # -1: beyond the cut-off
-    pairs = a.join(b, (a["key"] == b["key"]) & once & close).select("a", "b", "la", "lb")
-    pairs = stash.keep(pairs.dropDuplicates(["a", "b"]), "pairs")
-    return pairs.where(bit_parallel(F.col("la"), F.col("lb"), edits)).select("a", "b")
+    classes = F.array(*[F.length(F.regexp_replace("line", f"[^{c.strip('[]')}]", "")).cast("short") for c in _CLASSES])
+    texts = lines.join(wanted, "line_id", "left_semi").select("line_id", "line", "first", classes.alias("of"))
+    full = stash.keep(hits.join(texts, "line_id"), "hit-lines")
+    late, early = full.alias("late"), full.alias("early")
+    lc, ec = (lambda c: F.col(f"late.{c}")), (lambda c: F.col(f"early.{c}"))
+    alike = F.abs(F.length(lc("line")) - F.length(ec("line"))) <= edits
+    for i in range(len(_CLASSES)):
+        alike = alike & (F.abs(F.get(lc("of"), F.lit(i)) - F.get(ec("of"), F.lit(i))) <= edits)
+    close = alike & bit_parallel(lc("line"), ec("line"), edits)
+    found = late.join(early, (lc("key") == ec("key")) & (lc("own") | ec("own")) & (ec("first") < lc("first")) & close, "left_semi")
+    return found.select("line_id").distinct()
 
 
 def removals(docs: DataFrame, edits: int, least: int, key: str, text: str, stash: Stash) -> DataFrame:
@@ -148,10 +159,7 @@ def removals(docs: DataFrame, edits: int, least: int, key: str, text: str, stash
     lines = lines.withColumn("place", place.cast("decimal(38,0)"))
     once = lines.groupBy("line").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).withColumn("line_id", F.monotonically_increasing_id())
     once = stash.keep(once, "lines")
-    stash.release()
-    pairs = near_pairs(once.select("line_id", "line"), edits, least, stash)
-    two = pairs.join(once.select(F.col("line_id").alias("a"), F.col("first").alias("fa")), "a").join(once.select(F.col("line_id").alias("b"), F.col("first").alias("fb")), "b")
-    late = stash.keep(two.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("line_id")).distinct().withColumn("near", F.lit(True)), "late")
+    late = stash.keep(near_later(once.select("line_id", "line", "first"), edits, least, stash).withColumn("near", F.lit(True)), "late")
     stash.drop("hits", "hit-lines")
     ids = [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")]
     verdict = once.select("line_id", *ids, "first", "times").join(late, "line_id", "left").where("times > 1 or near").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -163,17 +171,24 @@ def dedup(docs: DataFrame, edits: int = 2, least: int = 20, key: str = "doc_id",
     """The documents with their text less the removed lines, and n_lines_removed."""
     spark = docs.sparkSession
     prepare(spark)
-    # where few lines are wanted, a filter of bounded size goes ahead of the shuffle of all lines
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    free_names(docs, "n_lines_removed")
     stash = stash or Stash(spark, "lines")
-    gone = stash.keep(removals(docs, edits, least, key, text, stash), "gone")
+    # where few lines are wanted, a filter of bounded size goes ahead of the shuffle of all lines
+    was = {k: spark.conf.get(k) for k in _FILTERS}
+    for k, v in _FILTERS.items():
+        spark.conf.set(k, v)
+    try:
+        gone = stash.keep(removals(docs, edits, least, key, text, stash), "gone")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
     stash.only("gone")
-    stash.release()
-    gone = gone.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
-    docs = docs.withColumn("__key", F.xxhash64(text))
-    both = docs.join(gone, docs[key].eqNullSafe(gone["__id"]) & (docs["__key"] == gone["__h"]), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n", -1)) - 1), "__gone")
+    hidden = fresh(docs, "hash_of_text")
+    gone = gone.select(F.col("id").alias(f"{hidden}1"), F.col("h").alias(f"{hidden}2"), F.col("gone").alias(f"{hidden}3"))
+    docs = docs.withColumn(hidden, F.xxhash64(text))
+    both = docs.join(gone, docs[key].eqNullSafe(gone[f"{hidden}1"]) & (docs[hidden] == gone[f"{hidden}2"]), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n", -1)) - 1), f"{hidden}3")
     # the array around the split lines binds them to a name; else each index would split the text again
     kept = F.array_join(F.transform(F.array(F.split(text, "\n", -1)), lambda ls: F.transform(stay, lambda i: F.get(ls, i)))[0], "\n")
-    return both.withColumn("n_lines_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).drop("__id", "__h", "__gone", "__key")
+    out = both.withColumn("n_lines_removed", F.coalesce(F.size(f"{hidden}3"), F.lit(0)).cast("long"))
+    return out.withColumn(text, F.when(F.col(f"{hidden}3").isNull(), F.col(text)).otherwise(kept)).drop(hidden, *[f"{hidden}{i}" for i in "123"])

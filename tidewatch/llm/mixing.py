@@ -116,7 +116,6 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = 2
     chosen = split.unionByName(rest).groupBy("id", "h").agg(F.max(F.col("full") + F.col("extra")).alias("copies"))
     chosen = stash.keep(chosen.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "copies"), "copies")
     stash.only("copies")
-    stash.release()
     docs = docs.drop("copies", "n_tokens").withColumn("__key", F.xxhash64(text)).withColumnRenamed("__tokens", "n_tokens")
     return docs.join(chosen, docs[key].eqNullSafe(chosen["__id"]) & (docs["__key"] == chosen["__h"])).drop("__id", "__h", "__key")
 

@@ -12,18 +12,21 @@ fragments, each dealt to a task of its own with nothing but its n-grams, and
 
 Equal texts are one text from the start: copies meet as equal ids within a fragment and count once. Groups of near
 copies don't grow into all their pairs: in a few rounds each text is only held against one text of each of its prefix
-n-grams, another one each time, and n-grams whose texts are all connected are skipped; at last every pair that is
-not connected and shares a prefix n-gram is counted. So links between texts of one group that others already connect
-need not be counted, and no other link is lost.
-
-Hashes are 64-bit for whole texts and 52-bit for n-grams within their fragment order; collisions are as improbable
-as that makes them. Null texts and texts without words have no n-grams and no links; texts with fewer than n words
+n-grams, another one each time, and n-grams whose texts are all connected are left out from then on; at last every pair
+that is not connected and shares a prefix n-gram is counted. So links between texts of one group that others already
+connect need not be counted, and no other link is lost. Texts of one group that only just fail to link are refuted pair
+by pair; bounds inside the join keep most of these pairs from being made, but their number still follows the square of
+such a group.
+
+Texts are told apart by 64 bits of hash, n-grams by 52 bits within their fragment; two texts are taken for copies by
+chance once in about 2 ** 64 pairs. Null texts and texts without words have no n-grams and no links; texts with fewer than n words
 have one n-gram, the whole. Rows with equal ids are treated as the separate texts that they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,7 +44,7 @@ FRAGMENT = 1 << 21
 TEXTS, BYTES = 4096, 8 << 20
 _ROW = "frag int, ids binary, ns binary, grams binary"
 SEGMENTS = 8
-#: Rounds against single texts, at most; they end when few pairs are left, or none is found any more.
+#: Rounds against single texts, at most; they end when few pairs are left, or a round has settled few of them.
 ROUNDS = 4
 
 
@@ -181,25 +184,26 @@ def _candidates(share: float):
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """pairs a, b whose overlap, summed over vertical segments, is enough: 100 |A and B| >= percent |A or B|."""
-    a = segments.select(F.col("id").alias("a"), "seg", F.col("n").alias("na"), F.col("grams").alias("ga"))
-    b = segments.select(F.col("id").alias("b"), "seg", F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    part = pairs.join(a, "a").join(b, ["b", "seg"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    """The pairs a, b whose overlap is enough: 100 |A and B| >= percent |A or B|. Partial overlaps are counted segment by
+    segment and summed per pair."""
+    a = segments.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("segments").alias("ga"))
+    b = segments.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("segments").alias("gb"))
+    parts = F.zip_with("ga", "gb", lambda x, y: F.size(F.array_intersect(x, y)))
+    both = pairs.join(a, "a").join(b, "b").select(*pairs.columns, "na", "nb", F.aggregate(parts, F.lit(0), lambda s, x: s + x).alias("o"))
+    return both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select(pairs.columns)
 
 
-def _rooted(post: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Postings with what their texts are connected to so far, of the n-grams that still bring different ones together."""
-    own = post.withColumn("root", F.col("id")) if roots is None else post.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    return own.join(open_, "gram", "left_semi")
+def _open(post: DataFrame) -> DataFrame:
+    """Postings of the n-grams that still bring texts of different roots together."""
+    still = post.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
+    return post.join(still, "gram", "left_semi")
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text", stash: Stash | None = None) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text", every_link: bool = False, stash: Stash | None = None) -> tuple[DataFrame, DataFrame]:
     """(membership, links). membership: key, id (of its text; null without words), n_shingles and component (least
-    text id that links lead to; null without words). links: pairs a, b of text ids that were counted and found to
-    have at least percent/100 of their n-grams in common; links and component are complete as described above."""
+    text id that links lead to; null without words). links: pairs a, b of text ids with at least percent/100 of their
+    n-grams in common: those that were needed for the components, which are complete, or with ``every_link`` all of
+    them, which in a group of near copies grow with its square. Keys are numbers that 64 bits hold."""
     spark = docs.sparkSession
     prepare(spark)
     stash = stash or Stash(spark, "ngrams")
@@ -207,46 +211,50 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", te
     frags = fragments_for(docs, "text")
     run, schema = _shared(frags)
     shared = stash.keep(_to_fragments(docs, k, frags).groupBy("frag").applyInArrow(run, schema), "shared")
-    stash.release()
     run, schema = _candidates(percent / 100)
     cand = stash.keep(shared.where("kind < 2").groupBy("bucket").applyInArrow(run, schema), "candidates")
 
     post = cand.select("id", "n", F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("i", "gram"), (F.col("n") - F.size("grams")).alias("single"))
-    post = stash.keep(post.select("gram", "id", "n", (F.col("n") - F.col("single") - F.col("i") - 1).alias("rest")), "postings")
-    segments = cand.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("seg"), F.col("grams").alias("g"))
-    segments = segments.select("id", "n", "seg", F.filter("g", lambda x: F.shiftrightunsigned(x, 49) == F.col("seg")).alias("grams"))
+    post = stash.keep(post.select("gram", "id", "n", (F.col("n") - F.col("single") - F.col("i") - 1).alias("rest"), F.col("id").alias("root")), "postings")
+    segments = cand.select("id", "n", F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.filter("grams", lambda x: F.shiftrightunsigned(x, 49) == k)).alias("segments"))
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
-    links, roots, size = None, None, cand.count()
-    for r in range(ROUNDS):
-        own = _rooted(post, roots)
+    links, merged, size, ahead = [], [], cand.count(), None
+    for r in range(0 if every_link else ROUNDS):
+        own = stash.keep(_open(post), f"open-{r}")
+        stash.drop("postings" if r == 0 else f"open-{r - 1}")
+        post = own
+        left = own.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"))
+        ahead, before = left.agg(F.sum("p")).first()[0] or 0, ahead
+        if ahead <= size or before is not None and ahead > 0.9 * before:
+            break
         order = F.xxhash64("id", F.lit(r))
         lead = own.groupBy("gram").agg(*[F.min_by(c, order).alias(t) for c, t in (("id", "b"), ("n", "nb"), ("root", "other"))])
-        stars = own.select("gram", "root", F.col("id").alias("a"), F.col("n").alias("na")).join(lead, "gram").where("root <> other").where(near).select("a", "b").distinct()
-        found = stash.keep(_verified(stars, segments, percent), f"links-{r}")
-        links = found if links is None else links.unionByName(found)
-        if not found.take(1):
-            break
-        roots = stash.keep(components(links, stash, f"steps-{r}"), f"roots-{r}")
-        left = _rooted(post, roots).groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"))
-        if (left.agg(F.sum("p")).first()[0] or 0) <= size:
+        stars = own.select("gram", "root", F.col("id").alias("a"), F.col("n").alias("na")).join(lead, "gram").where("root <> other").where(near).select("a", "b", "root", "other").distinct()
+        links.append(stash.keep(_verified(stars, segments, percent), f"links-{r}"))
+        if not links[-1].take(1):
             break
+        step = stash.keep(components(links[-1].select(F.col("root").alias("a"), F.col("other").alias("b")), stash, f"steps-{r}"), f"merged-{r}")
+        merged.append(step)
+        post = own.join(step.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
 
     # a pair is met at its first common prefix n-gram alone, if its prefixes have enough in common: what it shares
     # behind the prefix that ends first in the global order is at most what that text has behind it
     head = cand.select("id", F.slice("grams", 1, F.col("prefix")).alias("head"), (F.size("grams") - F.col("prefix")).alias("tail"))
-    own = _rooted(post, roots).join(head, "id")
+    own = (post if every_link else _open(post)).join(head, "id")
     a, b = (own.select("gram", *[F.col(c).alias(c + s) for c in ("id", "n", "rest", "root", "head", "tail")]) for s in "ab")
     both = F.array_intersect("heada", "headb")
     need = percent * (F.col("na") + F.col("nb"))
     bound = ((1 + F.least("resta", "restb")) * (100 + percent) >= need) & ((F.size(both) + F.greatest("taila", "tailb")) * (100 + percent) >= need) & (F.get(both, F.lit(0)) == a["gram"])
-    pairs = a.join(b, (a["gram"] == b["gram"]) & (F.col("ida") < F.col("idb")) & (F.col("roota") != F.col("rootb")) & near & bound).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-    links = links.unionByName(stash.keep(_verified(pairs, segments, percent), "links-last"))
-    final = stash.keep(components(links, stash, "steps-last"), "groups")
+    pairs = a.join(b, (a["gram"] == b["gram"]) & (F.col("ida") < F.col("idb")) & (F.col("roota") != F.col("rootb")) & near & bound)
+    pairs = pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b"), F.col("roota").alias("root"), F.col("rootb").alias("other"))
+    links.append(stash.keep(_verified(pairs, segments, percent), "links-last"))
+    edges = [links[-1].select(F.col("root").alias("a"), F.col("other").alias("b")), *(m.select(F.col("node").alias("a"), F.col("root").alias("b")) for m in merged)]
+    final = stash.keep(components(reduce(DataFrame.unionByName, edges), stash, "steps-last"), "groups")
 
     table = _documents(shared.where("kind = 2"))
     member = table.join(final.select(F.col("node").alias("id"), F.col("root")), "id", "left").select("key", "id", "n_shingles", F.coalesce("root", "id").alias("component"))
-    return member, links
+    return member, reduce(DataFrame.unionByName, [x.select("a", "b") for x in links])
 
 
 def _documents(rows: DataFrame) -> DataFrame:
@@ -267,9 +275,9 @@ def _documents(rows: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text", stash: Stash | None = None) -> DataFrame:
     """key, n_shingles, component_id: the least key in the component (the own key for a text without words)."""
     stash = stash or Stash(docs.sparkSession, "ngrams")
-    member, _ = join(docs, k, percent, key, text, stash)
+    member, _ = join(docs, k, percent, key, text, stash=stash)
     member = stash.keep(member, "members")
     stash.only("members")
-    stash.release()
-    least = member.where("component is not null").groupBy("component").agg(F.min("key").alias("component_id"))
+    # written, so that the join below may split a large component's rows
+    least = stash.keep(member.where("component is not null").groupBy("component").agg(F.min("key").alias("component_id")), "least")
     return member.join(least, "component", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))

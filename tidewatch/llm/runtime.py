@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_CLEAN = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +34,20 @@ def prepare(spark: SparkSession, batch: int = 512) -> None:
     spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
 
 
+def free_names(df: DataFrame, *names: str) -> None:
+    """An operator that appends columns doesn't overwrite those of the caller."""
+    if there := sorted({n.lower() for n in names} & {c.lower() for c in df.columns}):
+        raise ValueError(f"the table has columns that the result is to add: {', '.join(there)}; rename them first")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    there = {c.lower() for c in df.columns}
+    while name in there:
+        name += "_"
+    return name
+
+
 class Stash:
     """Intermediate tables of one run, written as Parquet to the shared folder, so that losing an executor
     costs no more than the stage that runs. Tables that a later one replaces are dropped early."""
@@ -44,8 +57,16 @@ class Stash:
         self.base = f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """Write df and read it again. Its shuffle files go when it stands: nothing reads them again."""
+        path, conf = f"{self.base}/{name}", self.spark.conf
+        was = {k: conf.get(k, "false") for k in _CLEAN}
+        for k in _CLEAN:
+            conf.set(k, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            for k, v in was.items():
+                conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -61,13 +82,6 @@ class Stash:
         there = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(base)
         self.drop(*({f.getPath().getName() for f in there} - {*names}))
 
-    def release(self) -> None:
-        """Have the shuffle files of finished stages removed now, not at the driver's next collection."""
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.2)
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

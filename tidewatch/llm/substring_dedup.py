@@ -144,16 +144,12 @@ def _matched(window: int):
 def repeated_windows(docs: DataFrame, window: int, stash: Stash) -> DataFrame:
     """docs: doc (long, unique), text. Returns doc, starts: all its repeated windows' first words, for documents that have any."""
     found = stash.keep(_anchor_rows(docs, window).groupBy("anchor", "doc").agg(F.count(F.lit(1)).alias("n")), "anchors")
-    stash.release()
     often = found.groupBy("anchor").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("anchor")
     hot = stash.keep(found.join(often, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("anchor").alias("anchors")), "hot")
     stash.drop("anchors")
-    stash.release()
     passages = stash.keep(_passages(docs.join(hot, "doc"), window), "passages")
     stash.drop("hot")
-    stash.release()
     counted = stash.keep(passages.groupBy("anchor", "words").agg(F.count(F.lit(1)).alias("n")), "counted")
-    stash.release()
     run, schema = _matched(window)
     shards = counted.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(1 << 16)))
     single = shards.where("n = 1").select("anchor").distinct()
@@ -161,7 +157,6 @@ def repeated_windows(docs: DataFrame, window: int, stash: Stash) -> DataFrame:
     whole = counted.where("n > 1").select("anchor", "words", F.lit(None).cast("array<int>").alias("starts"))
     matched = stash.keep(whole.unionByName(matched), "matched")
     stash.drop("counted")
-    stash.release()
     every = F.sequence(F.lit(0), F.size(F.split("words", " ")) - window)
     back = passages.join(matched, ["anchor", "words"]).select("doc", F.transform(F.coalesce("starts", every), lambda x: x + F.col("at")).alias("starts"))
     return back.groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
@@ -177,7 +172,6 @@ def dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "t
     named = docs.where("text is not null").select(F.col("name").alias("doc"), "text")
     starts = stash.keep(repeated_windows(named, window, stash), "starts")
     stash.only("starts")
-    stash.release()
     both = docs.join(starts.withColumnRenamed("doc", "name"), "name", "left").select("key", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """Words and word sequences of whole Arrow batches of texts, hashed with numpy and without a Python object per word.
 
-A word is a maximal run of bytes other than space and tab to carriage return. Hashes are 64-bit: a polynomial in
-an odd base over the bytes, taken from running sums, then mixed.
+A word is a maximal run of bytes other than space and tab to carriage return. Hashes of words and of whole texts are
+64-bit: each element is mixed with its place in the run by multiplications and shifts, and the results are added up,
+so no fixed pair of runs collides by their algebra, as it would under a polynomial modulo a power of two.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Bytes of text that are hashed at a time, unless one text is longer.
 CHUNK = 2 << 20
 
@@ -36,23 +35,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n, 1 << 16), base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
-
-
 def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each run values[start:end] of positive numbers; equal runs have equal hashes."""
+    """A hash of each run values[start:end] of numbers; equal runs have equal hashes. Runs are in order and don't
+    overlap; a run may be empty."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(values) + 1)
+    begun = np.zeros(len(values) + 1, np.int64)
+    begun[start] = start
+    place = np.arange(len(values)) - np.maximum.accumulate(begun)[:-1]
+    # the place alone is mixed first, so that no value at one place stands for another at the next
+    place = _places(int(place.max(initial=0)) + 1)[place]
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(_BASE))
+    np.cumsum(mix(values ^ place), out=total[1:])
+    return mix((total[end] - total[start]) + (end - start).astype(np.uint64) * np.uint64(_BASE))
+
+
+_PLACES = [np.zeros(0, np.uint64)]
+
+
+def _places(n: int) -> np.ndarray:
+    if len(_PLACES[0]) < n:
+        _PLACES[0] = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64) * np.uint64(_BASE))
+    return _PLACES[0]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +83,28 @@ def split(data: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
     return Words(data, start, end, np.searchsorted(start, at))
 
 
+#: Words up to so many bytes are hashed 8 bytes at a time, chained; longer ones by ``run_hashes`` of their bytes.
+SHORT = 64
+
+
 def word_hashes(w: Words) -> np.ndarray:
-    return run_hashes(w.data.astype(np.uint64) + np.uint64(1), w.start, w.end) if len(w.start) else np.zeros(0, np.uint64)
+    n = w.end - w.start
+    out = n.astype(np.uint64) * np.uint64(_BASE)
+    padded = np.concatenate([w.data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(w.data) + 1,), "<u8", padded.data, strides=(1,))
+    left = np.flatnonzero(n <= SHORT)
+    for k in range(0, SHORT, 8):
+        left = left[n[left] > k]
+        if not len(left):
+            break
+        unused = (8 - np.minimum(n[left] - k, 8)).astype(np.uint64) * np.uint64(8)
+        part = (eight[w.start[left] + k] << unused) >> unused
+        out[left] = mix(out[left] ^ part) + np.uint64(_BASE)
+    if len(far := np.flatnonzero(n > SHORT)):
+        at = np.cumsum(n[far])
+        own = np.arange(at[-1]) + np.repeat(w.start[far] - (at - n[far]), n[far])
+        out[far] = run_hashes(w.data[own].astype(np.uint64), at - n[far], at)
+    return mix(out)
 
 
 def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
