@@ -81,12 +81,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
-           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id as vec_id,
-             cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
-r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, q.r as asking, c.vec_id as vec_id,
+             cast(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) as bigint) as score
+      from v q join v c on q.r <> c.r and len(q.v) = len(c.v) where q.vec_id % 20 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id, asking order by score desc, vec_id) as integer) as rank, vec_id, score from s)
 select * from r where rank <= 20
 """
 

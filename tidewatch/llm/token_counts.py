@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import token_lengths
+from tidewatch.llm.runtime import Stash
 
 BLOCK = 256
 
 
 def histogram(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """n_tokens, n_docs: how many documents have each encoded length."""
-    return token_lengths(docs.select(text), vocabulary, text).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """n_tokens, n_docs: how many documents have each encoded length. It is written, so that whatever is asked of it
+    encodes the corpus once."""
+    lengths = token_lengths(docs.select(text), vocabulary, text).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    return Stash(docs.sparkSession, "lengths").keep(lengths, "histogram")
 
 
 def limits(hist: DataFrame) -> DataFrame:
@@ -47,6 +50,22 @@ def limits(hist: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(hist: DataFrame, wanted: list[int]) -> DataFrame:
+    """The row of ``limits`` without n_docs for context limits that need not occur as a length: context_limit,
+    docs_within, docs_over, total_tokens, kept_tokens, lost_tokens. One pass over the histogram."""
+    n, d = F.col("n_tokens"), F.col("n_docs")
+    rows = []
+    for limit in wanted:
+        within = n <= limit
+        rows.append(F.struct(
+            F.lit(int(limit)).cast("long").alias("context_limit"),
+            F.coalesce(F.sum(F.when(within, d)), F.lit(0)).alias("docs_within"), F.coalesce(F.sum(F.when(~within, d)), F.lit(0)).alias("docs_over"),
+            F.coalesce(F.sum(F.when(within, n * d)), F.lit(0)).alias("total_tokens"), F.coalesce(F.sum(F.least(n, F.lit(int(limit))) * d), F.lit(0)).alias("kept_tokens"),
+            F.coalesce(F.sum(F.greatest(n - limit, F.lit(0)) * d), F.lit(0)).alias("lost_tokens"),
+        ))
+    return hist.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
 def quantiles(table: DataFrame, shares: list[float]) -> DataFrame:
     """The least length that at least this share of documents does not exceed, for each share asked for."""
     asked = [F.min(F.when(F.col("quantile") >= q, F.col("n_tokens"))).alias(f"q{q:g}") for q in shares]
