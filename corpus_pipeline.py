@@ -1,7 +1,9 @@
 """Documents from raw to encoded: language ID, line dedup, near-duplicate removal, mixing, BPE.
 
 Each stage takes all that its predecessor kept and returns the columns of documents; the last returns the encoded
-corpus. ``run`` writes each stage to the shared folder and rereads it.
+corpus. ``run`` writes each stage to the shared folder and rereads it; a stage's table goes when the next one stands.
+Null ids, repeated rows and unlabelled corpora pass through: only what a fitted model rejects goes, and texts without
+a letter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,7 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stash, docs = Stash(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stash, docs, before = Stash(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = stash.keep(stage(spark, docs, sf_dir), name)
+        stash.drop(*before)
+        before = [name]
     return docs
