@@ -2,24 +2,30 @@
 how reliable each is, and a classifier trained on its posteriors decides about the spans that no rule settles.
 
 Base spans come from exact patterns (email, ip, card, phone) and always stay. Further candidates, found by looser
-patterns, are possible personal data: obfuscated addresses, card and phone numbers in other shapes, account and
-document numbers, secrets after a key word, keys of known make. Labelers vote 1 (personal), 0 (not) or abstain:
+patterns, are possible personal data: obfuscated addresses, card and phone numbers in other shapes, numbers of
+documents and accounts after their name, secrets after a key word or of a known make. Labelers vote 1 (personal), 0
+(not) or abstain:
 
 - regex: how well the span keeps to the shape of its kind;
-- gazetteer: known providers and top domains, key words and prefixes in the span or right before it;
+- gazetteer: known providers, makes and key words in the span or right before it, and placeholders;
 - context: the words around it (contact, card, password, id ... or version, page, total ...).
 
 Votes are counted by pattern over the whole corpus (a bounded number of patterns, whatever the corpus), which is all
-that EM needs: a two-class model with one accuracy a labeler and kind. Its posteriors are the soft labels of a
-logistic regression over the span's features, again from counts. A candidate is added if its probability is at least
-``least``; overlapping additions go to the earlier, then longer one, and none may overlap a base span.
-
-Null and empty texts have no spans. Offsets count code points. Equal texts have equal spans.
+that EM needs: a two-class model with one accuracy a labeler. Its posteriors are the soft labels of the final
+classifier, a logistic regression on hashed features of the span and its surroundings and not on the votes: character
+runs, shape, groups of digits, lengths, neighbours. So it can overrule the votes where spans that look alike got
+others. It is fitted on a bounded sample, the ``sample`` different spans (with their neighbours) that are least in
+order of their hash. A candidate is added if its probability is at least ``least``; overlapping additions go to the
+earlier, then longer one, and none may overlap a base span. Names of people are not looked for.
+
+Null and empty texts have no spans, an empty table gives an empty model, which adds nothing. Offsets count code points. Equal texts have equal spans.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
@@ -27,27 +33,39 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidewatch.llm.runtime import prepare
+from tidewatch.llm.runtime import Stash, prepare
 
 KINDS = ("email", "ip", "card", "phone")
-MORE = ("email_obfuscated", "number", "secret")
+MORE = ("email_obfuscated", "number", "secret", "document")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Key words and makes of secrets, names of documents, gazetteer and context words: fixed lists of this operator.
+_SECRET = "password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|bearer"
+_DOCUMENT = "passport|ssn|social security|iban|account|acct|licen[cs]e|tax id|national id|id card"
+_MAKE = r"\b(?:AKIA[A-Z0-9]{12,}|gh[pousr]_[A-Za-z0-9]{16,}|sk_(?:live|test)_[A-Za-z0-9]{8,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"
 _LOOSE = {
-    "email_obfuscated": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]? ?(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]? ?(?:dot|DOT) ?[\])]? ?[A-Za-z]{2,}"),
-    "number": re.compile(r"\(?[0-9][0-9 ().-]{6,22}[0-9]"),
-    "secret": re.compile(r"(?:(?<=password=)|(?<=token = \")|(?<=secret=)|(?<=api_key=)|(?<=AKIA))[A-Za-z0-9/+_-]{8,}|AKIA[A-Z0-9]{16}"),
+    "email_obfuscated": re.compile(r"(?<![A-Za-z0-9._%+-])(?P<v>[A-Za-z0-9._%+-]{1,64} ?[\[(]? ?(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]? ?(?:dot|DOT) ?[\])]? ?[A-Za-z]{2,})"),
+    "number": re.compile(r"(?P<v>\(?[0-9][0-9 ().-]{6,22}[0-9])"),
+    "secret": re.compile(rf"(?ia:(?:{_SECRET}))s?[\"']?[ \t]{{0,2}}(?:[:=]|=>|is\b)?[ \t]{{0,2}}[\"']?(?P<v>[^\s\"',;<>:=]{{6,200}})|(?P<make>{_MAKE})"),
+    "document": re.compile(rf"(?ia:\b(?:{_DOCUMENT}))[ :#.]{{0,3}}(?ia:no|nr|number|num)?[ :#.]{{0,3}}(?P<v>[A-Za-z]{{0,3}}[0-9][A-Za-z0-9-]{{3,32}})"),
 }
-#: What every match holds, so that texts without it are not searched.
-_NEED = {"email_obfuscated": re.compile(r"(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]? ?(?:dot|DOT)"), "number": re.compile(r"[0-9][0-9 ().-]{6}"), "secret": re.compile("password=|token = |secret=|api_key=|AKIA")}
-#: Gazetteer and context words: fixed lists of this operator.
-_KNOWN = re.compile(r"(?i)\b(?:gmail|yahoo|outlook|hotmail|mail|example|com|org|net|edu|visa|mastercard|amex|iban|ssn|tel|fax|akia|password|token|secret)\b|password=|token = |secret=|api_key=|AKIA")
-_FOR = re.compile(r"(?i)\b(?:contact|email|e-mail|mail|call|phone|tel|mobile|card|account|ssn|passport|password|token|secret|key|id|reach)\b")
+#: What every match holds, so that texts without it are not searched; of the lower-cased text where words are meant.
+_NEED = {
+    "email_obfuscated": re.compile(r"(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]? ?(?:dot|DOT)"), "number": re.compile(r"[0-9][0-9 ().-]{6}"),
+    "secret": re.compile("passw|passphrase|pwd|secret|token|key|credential|bearer|akia|gh[pousr]_|sk_|xox|eyj"), "document": re.compile("passport|ssn|social|iban|acc|licen|tax|national|id card"),
+}
+_LOWERED = ("secret", "document")
+_KNOWN = re.compile(r"(?i)\b(?:gmail|yahoo|outlook|hotmail|mail|example|com|org|net|edu|visa|mastercard|amex|iban|ssn|passport|tel|fax|akia|password|token|secret)\b|^(?:akia|gh[pousr]_|sk_|xox|eyj)")
+_GIVEN = re.compile(r"[:=][ \t]{0,2}[\"']?$")
+_PROSE = re.compile(rf"(?ia)\b(?:the|a|an|his|her|its|our|their|of|no|any|some|this|that)[ \t]+(?:{_SECRET})s?[ \t]*$")
+_EMPTY = re.compile(r"(?i)^(?:your|my|the|changeme|example|placeholder|none|null|true|false|required|field|x+|\*+)")
+_FOR = re.compile(r"(?i)\b(?:contact|email|e-mail|mail|call|phone|tel|mobile|card|account|ssn|passport|password|token|secret|key|id|reach|login|auth)\b")
 _AGAINST = re.compile(r"(?i)\b(?:version|page|section|chapter|total|sum|year|isbn|issn|no|figure|table|license|copyright|result)\b")
 NEAR = 24  # characters of context on each side
 
@@ -93,41 +111,82 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _votes(k: int, span: str, before: str, after: str) -> tuple[int, int, int]:
+    """What the three labelers say of a candidate: 1, 0 or -1 to abstain."""
+    n, letters = len(_digits(span)), sum(c.isalpha() for c in span)
+    if k == 1:
+        shape = 1 if n in (9, 10, 11, 15, 16) else 0 if n < 9 else -1
+    elif k == 2:
+        shape = 0 if span.isalpha() and (span.islower() or span.istitle()) else 1 if n and letters or len(span) >= 16 else -1
+    elif k == 3:
+        shape = 1 if n >= 5 else -1
+    else:
+        shape = 1
+    if k == 2:  # the key word is there in any case
+        given = _GIVEN.search(before)
+        known = 0 if _EMPTY.search(span) else 1 if _KNOWN.search(span) or given else -1 if n else 0
+        return shape, known, 1 if given and not _PROSE.search(before) else 0 if _PROSE.search(before) else -1
+    known = 1 if _KNOWN.search(before[-12:] + span) else 0 if k == 1 else -1
+    around = before + " | " + after
+    return shape, known, 1 if _FOR.search(around) else 0 if _AGAINST.search(around) else -1
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, tuple[int, int, int]]]:
-    """(start, index in MORE, end, votes) of loose matches clear of base spans; votes are 1, 0 or -1 to abstain."""
-    out, starts = [], [s for s, _, _ in base]
+    """(start, index in MORE, end, votes) of loose matches clear of base spans."""
+    out, starts, low = [], [s for s, _, _ in base], text.lower()
     ends = list(accumulate((e for _, _, e in base), max))
     for k, kind in enumerate(MORE):
-        if not _NEED[kind].search(text):
+        if not _NEED[kind].search(low if kind in _LOWERED else text):
             continue
         for m in _LOOSE[kind].finditer(text):
-            a, b = m.span()
+            a, b = m.span("v") if m["v"] is not None else m.span("make")
+            if text[b - 1] in ".)!?" and kind == "secret":
+                b -= 1
             i = bisect_left(starts, b)
             if i and ends[i - 1] > a:
                 continue
-            around = text[max(0, a - NEAR) : a] + " | " + text[b : b + NEAR]
-            n = len(_digits(m[0]))
-            shape = {0: 1, 1: 1 if n in (9, 10, 11, 15, 16) else 0 if n < 9 else -1, 2: 1 if b - a >= 12 else -1}[k]
-            known = 1 if _KNOWN.search(text[max(0, a - 12) : b]) else 0 if k == 1 else -1
-            said = 1 if _FOR.search(around) else 0 if _AGAINST.search(around) else -1
-            out.append((a, k, b, (shape, known, said)))
+            out.append((a, k, b, _votes(k, text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR])))
     return out
 
 
-def _counts(docs: DataFrame) -> dict[tuple, int]:
-    """How often each kind comes with each pattern of votes: at most 3 * 27 numbers."""
+#: Hashed features of the classifier.
+DIM = 1 << 12
+_CLASS = {**dict.fromkeys("0123456789", "9"), **dict.fromkeys(" \t\n", " ")}
+
+
+def _class(c: str) -> str:
+    return _CLASS.get(c) or ("A" if c.isupper() else "a" if c.isalpha() else c)
+
+
+def features(k: int, span: str, before: str, after: str) -> list[int]:
+    """The buckets of a candidate's features: of the span as it looks, and of what stands next to it."""
+    kinds = [_class(c) for c in span]
+    shape = "".join(c for i, c in enumerate(kinds) if i == 0 or kinds[i - 1] != c)
+    plain = re.sub("[0-9]", "9", span.lower())
+    words = re.findall(r"[^\W\d_]+", before.lower())[-1:], re.findall(r"[^\W\d_]+", after.lower())[:1]
+    n = max(1, len(span))
+    said = ["", f"length {len(span).bit_length()}", f"exact {min(len(span), 50)}", f"shape {shape[:10]}", f"ends {kinds[0]}{kinds[-1]}", "groups " + "-".join(str(len(g)) for g in re.findall("[0-9]+", span)[:6])]
+    said += [f"{c} share {4 * kinds.count(c) // n}" for c in "9Aa"] + [f"different {len(set(span)) * 4 // n}", f"luhn {luhn(d)}" if 12 <= len(d := _digits(span)) <= 19 else "no luhn"]
+    said += [f"before {words[0]}", f"after {words[1]}", f"touches {_class(before[-1:] or ' ')}{_class(after[:1] or ' ')}", f"sign {re.sub('[^:=#]', '', before[-4:])}"]
+    said += [f"run {plain[i : i + 3]}" for i in range(min(len(plain) - 2, 46))]
+    return sorted({zlib.crc32(f"{k} {x}".encode("utf-8", "surrogatepass")) % DIM for x in said})
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """Every candidate of the corpus: kind k, votes a b c, a hash of the span and its surroundings, and its features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n: dict[tuple, int] = {}
+            rows = []
             for t in batch.column(0).to_pylist():
-                for _, k, _, v in candidates(t, base_spans(t)) if t else ():
-                    n[(k, *v)] = n.get((k, *v), 0) + 1
-            rows = [(*key, c) for key, c in n.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["k", "a", "b", "c", "n"])
+                for s, k, e, votes in candidates(t, base_spans(t)) if t else ():
+                    before, after = t[max(0, s - NEAR) : s], t[e : e + NEAR]
+                    name = hashlib.blake2b(f"{k}\0{before}\0{t[s:e]}\0{after}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                    rows.append((k, *votes, name, np.array(features(k, t[s:e], before, after), np.uint16).tobytes()))
+            types = [pa.int32()] * 4 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], names=["k", "a", "b", "c", "name", "at"])
 
-    got = docs.mapInArrow(run, "k long, a long, b long, c long, n long").groupBy("k", "a", "b", "c").sum("n").collect()
-    return {(r[0], r[1], r[2], r[3]): r[4] for r in got}
+    return docs.mapInArrow(run, "k int, a int, b int, c int, name binary, at binary")
 
 
 def reliabilities(counts: dict[tuple, int], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -158,46 +217,49 @@ def posteriors(kind: np.ndarray, votes: np.ndarray, prior: np.ndarray, right: np
     return 1 / (1 + np.exp(no - yes))
 
 
-def features(key: tuple) -> np.ndarray:
-    k, *votes = key
-    x = np.zeros(1 + len(MORE) + 6)
-    x[0], x[1 + k] = 1, 1
-    for j, v in enumerate(votes):
-        if v >= 0:
-            x[1 + len(MORE) + 2 * j + v] = 1
-    return x
-
-
-def train(docs: DataFrame, text: str = "text", steps: int = 400) -> dict[tuple, float]:
-    """The classifier's probability for every kind and pattern of votes that the corpus has."""
+def train(docs: DataFrame, text: str = "text", sample: int = 20_000, steps: int = 200, stash: Stash | None = None) -> dict[str, np.ndarray]:
+    """The classifier's weights; none if the corpus has no candidate."""
     prepare(docs.sparkSession)
-    counts = _counts(docs.select(text))
+    stash = stash or Stash(docs.sparkSession, "pii")
+    spans = stash.keep(_spans(docs.select(text)), "spans")
+    counts = {tuple(r)[:4]: r["n"] for r in spans.groupBy("k", "a", "b", "c").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 27 a kind
     if not counts:
         return {}
     prior, right = reliabilities(counts)
-    keys = sorted(counts)
-    soft = posteriors(np.array([k[0] for k in keys]), np.array([k[1:] for k in keys]).reshape(-1, 3), prior, right)
-    x, n = np.array([features(k) for k in keys]), np.array([counts[k] for k in keys], float)
-    n, w = n / n.sum(), np.zeros(x.shape[1])
+    got = spans.groupBy("name").agg(F.min(F.struct("k", "a", "b", "c", "at")).alias("s")).orderBy("name").limit(sample).select("s.*").collect()
+    soft = posteriors(np.array([r["k"] for r in got]), np.array([(r["a"], r["b"], r["c"]) for r in got]), prior, right)
+    return {"weights": fitted([np.frombuffer(r["at"], np.uint16) for r in got], soft, steps)}
+
+
+def fitted(rows: list[np.ndarray], soft: np.ndarray, steps: int = 200, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+    """Weights of the logistic regression of soft labels on rows of feature buckets, by adaptive gradient steps."""
+    at, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    w, seen = np.zeros(DIM), np.full(DIM, 1e-8)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        w -= 2.0 * (x.T @ (n * (p - soft)) + 1e-4 * w)
-    return dict(zip(keys, (1 / (1 + np.exp(-(x @ w)))).tolist(), strict=True))
+        p = 1 / (1 + np.exp(-np.bincount(row, w[at], len(rows))))
+        g = np.bincount(at, (p - soft)[row], DIM) / len(rows) + decay * w
+        seen += g * g
+        w -= rate * g / np.sqrt(seen)
+    return w
+
+
+def probability(weights: np.ndarray, at: list[int]) -> float:
+    return float(1 / (1 + np.exp(-weights[at].sum())))
 
 
-def all_spans(text: str, model: dict[tuple, float], least: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
+def all_spans(text: str, model: dict[str, np.ndarray], least: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
     """(base, all): base as base_spans gives them; all as (start, kind, end) with the additions, sorted."""
     base = base_spans(text)
     added, end = [], -1
-    for a, k, b, votes in sorted(candidates(text, base), key=lambda c: (c[0], -c[2])):
-        if a >= end and model.get((k, *votes), 0.0) >= least:
+    for a, k, b, _ in sorted(candidates(text, base), key=lambda c: (c[0], -c[2], c[1])) if model else ():
+        if a >= end and probability(model["weights"], features(k, text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR])) >= least:
             added.append((a, MORE[k], b))
             end = b
     order = {k: i for i, k in enumerate(KINDS + MORE)}
     return base, sorted([(s, KINDS[k], e) for s, k, e in base] + added, key=lambda x: (x[0], order[x[1]]))
 
 
-def find(docs: DataFrame, model: dict[tuple, float], least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, model: dict[str, np.ndarray], least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base and spans: kind:start:end joined by commas, by start and kind."""
     prepare(docs.sparkSession)
     docs = docs.select(key, text)
