@@ -1,8 +1,16 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-A long text is cut into halves down to leaves, the leaves are encoded independently, and neighbours are joined
-by encoding a window around each join again. The window grows until it agrees with both sides at piece
-boundaries that no cut can move, so the joined ids are exactly those of the whole text.
+A long text is cut into leaves, which are encoded independently and in parallel threads, and neighbours are joined
+two by two, level by level, by encoding a window around each join again. What makes the joined ids those of the whole
+text:
+
+- A cut moves no piece that a scan from the left has begun before it, so pieces of the left side hold up to the start
+  of its last one, ``s``. From there the whole text is scanned along with the right side until both have a boundary at
+  the same place ``e``; from equal places on, equal text gives equal pieces. Only what is between s and e can change.
+- If that is one long piece cut in two (a run of letters, digits, CJK or white space), it is joined within the piece.
+  Merges go by rank, so a sequence of tokens is the encoding of its bytes exactly if each pair of neighbours is the
+  encoding of theirs. Sides and window have only such pairs within; a window that begins with the token of the left
+  side that stands there, and ends with that of the right side, makes no other pair. Until both hold, it grows.
 
 Null and empty texts give no ids. Any other text, however long, is encoded whole.
 """
@@ -25,6 +33,8 @@ from tidewatch.llm.runtime import prepare
 #: Fixed value: the piece pattern of this family of byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF_CHARS = 1 << 15
+#: Threads that encode the leaves of one text; the engine lets go of the interpreter meanwhile.
+THREADS = 4
 _LOADED: dict[str, Codec] = {}
 
 
@@ -63,37 +73,66 @@ class Codec:
         return out + self._tree(text[at:], leaf)
 
     def _tree(self, text: str, leaf: int) -> list[int]:
-        """Leaves of the same size first, in one batch, then joins level by level."""
+        """Leaves of the same size first, then joins level by level."""
         if not text:
             return []
         cuts = [*range(0, len(text), leaf), len(text)]
-        parts = [(a, b, self.engine.encode_ordinary(text[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        leaves = self.engine.encode_ordinary_batch([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], num_threads=THREADS)
+        parts = list(zip(cuts, cuts[1:], leaves, strict=False))
         while len(parts) > 1:
             joined = [self._join(text, parts[i], parts[i + 1]) for i in range(0, len(parts) - 1, 2)]
             parts = joined + parts[len(joined) * 2 :]
         return parts[0][2]
 
     def _join(self, text: str, left: tuple, right: tuple) -> tuple:
-        """Ids of text[a:b] from those of text[a:c] and text[c:b].
-
-        The window runs from a point s before the cut to a point x behind it at which every scan has a piece
-        boundary (``_sure``), so what lies outside is encoded as before, whatever happens at the cut. Its ids
-        must begin as the left side's do from s on and end as the right side's do up to x; else it grows, at
-        last to the whole."""
+        """Ids of text[a:b] from those of text[a:c] and text[c:b]."""
         (a, c, one), (_, b, two) = left, right
-        reach = 64
+        for reach in (64, 512):  # in prose there are places near by where every scan has a boundary
+            s = next((i for i in range(max(a, c - reach) + 1, c) if self._sure(text, i)), None)
+            e = next((i for i in range(min(b, c + reach) - 1, c, -1) if self._sure(text, i)), None)
+            if s is not None and e is not None:
+                return a, b, one[: self._upto(one, text[s:c])] + self.engine.encode_ordinary(text[s:e]) + two[self._upto(two, text[c:e], front=True) :]
+        s = self._last_start(text, a, c)
+        whole, e = [(s, self.pieces.match(text, s, b).end())], self.pieces.match(text, c, b).end()
+        first = e
+        while whole[-1][1] != e:
+            if whole[-1][1] < e:
+                whole.append((whole[-1][1], self.pieces.match(text, whole[-1][1], b).end()))
+            else:
+                e = self.pieces.match(text, e, b).end()
+        if len(whole) == 1 and e == first:
+            return a, b, self._within(text, one, two, s, c, e)
+        ids = [i for p, q in whole for i in self._piece(text[p:q].encode())]
+        return a, b, one[: self._upto(one, text[s:c])] + ids + two[self._upto(two, text[c:e], front=True) :]
+
+    def _within(self, text: str, one: list[int], two: list[int], s: int, c: int, e: int) -> list[int]:
+        """The join within the piece text[s:e], of which one ends with text[s:c] and two begins with text[c:e]."""
+        behind, ahead, token = len(text[s:c].encode()), len(text[c:e].encode()), self.engine.decode_single_token_bytes
+        back: list[bytes] = []  # tokens of the left side, from the cut back
+        fore: list[bytes] = []
+        n = m = 0
+        reach = 32
         while True:
-            lo, hi = max(a, c - reach), min(b, c + reach)
-            s = next((i for i in range(lo + 1, c) if self._sure(text, i)), a if lo == a else None)
-            x = next((i for i in range(hi - 1, c, -1) if self._sure(text, i)), b if hi == b else None)
-            if s is not None and x is not None:
-                window = self.engine.encode_ordinary(text[s:x])
-                head, tail = self._upto(one, text[s:c]), self._upto(two, text[c:x], front=True)
-                if s == a or x == b or (window[0] == one[head] and window[-1] == two[tail - 1]):
-                    return a, b, one[:head] + window + two[tail:]
-            if lo == a and hi == b:
-                return a, b, self.engine.encode_ordinary(text[a:b])
-            reach *= 4
+            while n < min(reach, behind):
+                back.append(token(one[-1 - len(back)]))
+                n += len(back[-1])
+            while m < min(reach, ahead):
+                fore.append(token(two[len(fore)]))
+                m += len(fore[-1])
+            window = self._piece(b"".join(reversed(back)) + b"".join(fore))
+            if (n == behind or window[0] == one[-len(back)]) and (m == ahead or window[-1] == two[len(fore) - 1]):
+                return one[: len(one) - len(back)] + window + two[len(fore) :]
+            reach *= 2
+
+    def _piece(self, data: bytes) -> list[int]:
+        return self.engine._encode_single_piece(data)
+
+    def _last_start(self, text: str, a: int, c: int) -> int:
+        """Where the last piece of a scan of text[a:c] begins."""
+        at = next((i for i in range(c - 1, max(a, c - 4096), -1) if self._sure(text, i)), a)
+        while (end := self.pieces.match(text, at, c).end()) < c:
+            at = end
+        return at
 
     @staticmethod
     def _sure(text: str, i: int) -> bool:
