@@ -22,6 +22,19 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(documents(spark, sf_dir))
 
 
+OP1_SQL = r"""
+with recursive t as (select row_number() over () as r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+g as materialized (select r, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                   else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from t),
+e as (select r, unnest(s) as x from g),
+o as (select a.r as a, b.r as b, count(*) as o from e a join e b on a.x = b.x and a.r < b.r group by all),
+l as materialized (select a, b from o join g p on p.r = a join g q on q.r = b where 100 * o >= 75 * (len(p.s) + len(q.s) - o)),
+pair as materialized (select a, b from l union all select b, a from l),
+reach(r, d) as (select r, doc_id from g union select pair.b, reach.d from reach join pair on reach.r = pair.a)
+select g.doc_id, cast(any_value(len(s)) as bigint) as n_shingles, min(d) as component_id from g join reach using (r) group by g.r, g.doc_id
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(documents(spark, sf_dir), vocabulary()))
 
@@ -60,6 +73,17 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP6_SQL = r"""
+with t as (select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+p as (select r, i, array_to_string(w[i:i + 34], ' ') as g from (select r, w, unnest(range(1, len(w) - 33)) as i from t)),
+s as (select r, i from (select r, i, count(*) over (partition by g) as n from p) where n > 1),
+x as (select t.r, word, j, max(s.i) over (partition by t.r order by j) as last
+      from (select r, unnest(w) as word, generate_subscripts(w, 1) as j from t) t left join s on s.r = t.r and s.i = t.j),
+k as (select r, count(*) filter (where j - last <= 34) as gone, string_agg(word, ' ' order by j) filter (where last is null or j - last > 34) as kept from x group by r)
+select doc_id, len(w) as n_words, coalesce(gone, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t left join k using (r)
+"""
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = pii.find(docs, pii.train(docs))
@@ -96,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op10_topk": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op4_mixing": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op10_topk": OP10_SQL}
