@@ -84,3 +84,72 @@ def test_checkpoint_goes_on(spark, sf):
     got = {r["event_id"]: r["raw"] for r in keyed.resume(e.where(F.col("seq") > half), keyed.train(e.where(F.col("seq") <= half), "knn", NAMES), NAMES).collect()}
     want = {r["event_id"]: r["raw"] for r in keyed.score(e, "knn", NAMES).where(F.col("seq") > half).collect()}
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+
+
+def test_marginals_against_plain_counts():
+    """Surprisal and cumulative shares with decay: counts shrink before the new value is added."""
+    r, names = random.Random(2), ["a_hash", "b_norm", "return_success"]
+    m, seen = models.Marginals(names, 16, 1.0, 0.97, inflated=True), [[], [], []]
+    scale = 1.0
+    for _ in range(300):
+        x = np.array([r.choice([0.1, 0.25, 0.9]), r.random(), float(r.random() < 0.3)])
+        if seen[0]:
+            u, s = m.cdf(x), m.surprisal(x)
+            for j in range(3):
+                total = sum(w for _, w in seen[j])
+                size = 16.0 if j == 1 else max(2.0, len({k for k, _ in seen[j]}) + 1.0)
+                upto, same = sum(w for k, w in seen[j] if k <= m.key(j, x[j])), sum(w for k, w in seen[j] if k == m.key(j, x[j]))
+                assert abs(u[j] - min(max((upto + 1) / (total + size), 1e-12), 1 - 1e-12)) < 1e-9
+                assert abs(s[j] - max(0.0, -math.log((same + 1) / (total + size)) - math.log(size))) < 1e-9
+        scale *= 0.97
+        for j in range(3):
+            seen[j].append((m.key(j, x[j]), 1 / scale))
+        m.learn(x)
+
+
+def test_knn_in_blocks_equals_step_by_step():
+    rng = np.random.default_rng(3)
+    x = rng.random((900, 3))
+    for metric in ("euclidean", "manhattan", "chebyshev"):
+        a, b = models.make("knn", ["a", "b", "c"], memory=300, metric=metric), models.make("knn", ["a", "b", "c"], memory=300, metric=metric)
+        want = [a.step(v) for v in x]
+        got = [s for part in np.split(x, [1, 3, 4, 500]) for s in b.steps(part)]
+        assert np.allclose(got, want, atol=1e-12) and (a.ring == b.ring).all()
+
+
+def test_loda_and_clusters_keep_moving_averages():
+    m = models.make("loda_ema", ["a", "b"], rate=0.1)
+    y = m.w @ np.array([0.5, 0.25])
+    m.step(np.array([0.5, 0.25]))
+    assert np.allclose(m.mean, 0.1 * y) and np.allclose(m.var, 0.9 + 0.1 * y * y)
+    c = models.make("latentcluster", ["a_norm"], rate=0.1)
+    raws = [c.step(np.array([v])) for v in (0.2, 0.4, 0.9)]
+    ema, var = raws[0], 0.0
+    for r in raws[1:]:
+        ema, var = 0.9 * ema + 0.1 * r, 0.9 * var + 0.1 * (r - ema) ** 2
+    assert abs(c.ema - ema) < 1e-12 and abs(c.emvar - var) < 1e-12
+
+
+@pytest.mark.parametrize("name", sorted(models.MODELS))
+def test_state_is_plain_text(name):
+    import json
+
+    rng = np.random.default_rng(5)
+    x = np.clip(rng.normal(0.5, 0.2, (160, 3)), 0, 1)
+    m = models.make(name, ["a_hash", "b", "return_success"], **({"grace_map": 20, "grace_train": 60} if name == "kitnet" else {"window": 50} if name == "halfspacetrees" else {}))
+    for v in x[:120]:
+        m.step(v)
+    again = models.restored(json.loads(json.dumps(models.plain(m))))
+    assert [again.step(v) for v in x[120:]] == [m.step(v) for v in x[120:]]
+
+
+def test_bad_rows_and_new_keys(spark):
+    rows = [("g" if i % 2 else "h", f"e{i}", i, i, 0.1 * (i % 7), float("nan") if i == 9 else float("inf") if i == 11 else 0.5) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_group string, event_id string, ts_unix_nano long, seq long, a double, b double")
+    got = {r["event_id"]: r for r in keyed.score(df, "zscore", ["a", "b"]).collect()}
+    assert len(got) == 60 and got["e11"]["error"].startswith("scoring error") and got["e11"]["raw"] == 0 and got["e9"]["error"] is None and got["e13"]["error"] is None
+    out = keyed.resume(df.where("seq >= 30"), keyed.train(df.where("event_group = 'g' and seq < 30"), "zscore", ["a", "b"]), ["a", "b"]).collect()
+    assert {r["event_group"] for r in out} == {"g", "h"} and len(out) == 30
+    s = keyed.sanity(df, "knn", ["a", "b"], top=2, k=1, eps=(0.1,)).collect()
+    assert len(s) == 2 * 2 * 1 * 2 and keyed.top_features(keyed.explain(df, "knn", ["a", "b"], top=2), 1).count() == 4
+    assert {r["weight"] for r in keyed.explain(df, "knn", ["a", "b"], top=1, scored=lambda m: lambda x: 0.0).collect()} == {0.0}

@@ -1,12 +1,13 @@
 """Online detectors with state, in numpy. Each scores a vector against what it has learnt, then learns it.
 
-Models take vectors in the order of their sorted feature names, have ``score(x)`` (pure), ``learn(x)`` and plain-data
-state, and are seeded. They are written from the published methods, so scores agree in meaning with other
-implementations, not in digits.
+Models take vectors in the order of their sorted feature names, have ``score(x)`` (pure), ``step(x)`` and plain-data
+state, and are seeded. Formulas are those of the original scheme; networks and random trees are drawn from other
+generators, so their scores agree in meaning, not in digits.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 from bisect import bisect_right, insort
 from collections import deque
@@ -47,6 +48,10 @@ class Model:
         self.n += 1
         return raw
 
+    def steps(self, x: np.ndarray) -> list[float]:
+        """``step`` of each row in turn."""
+        return [self.step(v) for v in x]
+
     def scaled(self, raw: float) -> float:
         return {"raw": raw, "ratio": raw / (1 + raw), "exp1m": 1 - math.exp(-raw)}[self.scaling]
 
@@ -82,12 +87,14 @@ class ZScore(Model):
 
 
 class Marginals:
-    """Decayed counts of each feature's values, with surprisal and mid-distribution."""
+    """Decayed counts of each feature's values, with surprisal and cumulative shares. Counts are kept in units that
+    shrink with the decay, so that only what is new needs a write; numeric values and hashes count in prefix sums."""
 
-    def __init__(self, names: list[str], bins: int, alpha: float, decay: float, inflated: bool = True, cap: int = 65536):
+    def __init__(self, names: list[str], bins: int, alpha: float, decay: float, inflated: bool = True, cap: int = 65536, ordered: bool = True):
         self.kinds, self.bins, self.alpha, self.decay, self.inflated, self.cap = [kind_of(n) for n in names], bins, alpha, decay, inflated, cap
         self.counts: list[dict[int, float]] = [{} for _ in names]
-        self.total, self.scale = np.zeros(len(names)), 1.0
+        self.upto = [Prefix(bins if k == "numeric" else HASH_BINS if k == "hash" else 2) for k in self.kinds] if ordered else []
+        self.sums, self.scale = [0.0] * len(names), 1.0  # sums: with categories beyond the cap
 
     def key(self, j: int, v: float) -> int:
         kind = self.kinds[j]
@@ -97,34 +104,59 @@ class Marginals:
             return int(v >= 0.5)
         return 0 if v <= 0 else self.bins - 1 if v >= 1 else int(v * self.bins)
 
+    def _size(self, j: int) -> float:
+        return float(self.bins) if self.kinds[j] == "numeric" else max(2.0, len(self.counts[j]) + 1.0)
+
     def surprisal(self, x: np.ndarray) -> np.ndarray:
         out, unit = np.zeros(len(x)), 1.0 if self.inflated else 1.0 / self.scale
         for j, v in enumerate(x):
-            c = self.counts[j]
-            size = float(self.bins) if self.kinds[j] == "numeric" else max(2.0, len(c) + 1.0)
-            a = self.alpha * unit
-            out[j] = max(0.0, -math.log((c.get(self.key(j, v), 0.0) + a) / (self.total[j] + a * size)) - math.log(size))
+            size, a = self._size(j), self.alpha * unit
+            out[j] = max(0.0, -math.log((self.counts[j].get(self.key(j, v), 0.0) + a) / (self.sums[j] + a * size)) - math.log(size))
         return out
 
     def cdf(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), 0.5)
+        """Of each value the share of values up to it, smoothed by one alpha against one a category."""
+        out = np.zeros(len(x))
         for j, v in enumerate(x):
-            if self.total[j] > 0:
-                k, c = self.key(j, v), self.counts[j]
-                out[j] = (sum(w for q, w in c.items() if q < k) + 0.5 * c.get(k, 0.0) + 0.5 * self.alpha) / (self.total[j] + self.alpha)
-        return np.clip(out, 1e-6, 1 - 1e-6)
+            out[j] = (self.upto[j].sum(self.key(j, v)) + self.alpha) / (self.sums[j] + self.alpha * self._size(j))
+        return np.clip(out, 1e-12, 1 - 1e-12)
 
     def learn(self, x: np.ndarray) -> None:
-        for j, v in enumerate(x):
-            k = self.key(j, v)
-            if k not in self.counts[j] and len(self.counts[j]) >= self.cap:
-                k = -1
-            self.counts[j][k] = self.counts[j].get(k, 0.0) + 1 / self.scale
-            self.total[j] += 1 / self.scale
         self.scale *= self.decay
         if self.scale < 1e-6:
             self.counts = [{k: w * self.scale for k, w in c.items()} for c in self.counts]
-            self.total, self.scale = self.total * self.scale, 1.0
+            for p in self.upto:
+                p.held = [x * self.scale for x in p.held]
+            self.sums, self.scale = [x * self.scale for x in self.sums], 1.0
+        for j, v in enumerate(x):
+            k, w = self.key(j, v), 1 / self.scale
+            self.sums[j] += w
+            if self.kinds[j] != "numeric" and k not in self.counts[j] and len(self.counts[j]) >= self.cap:
+                continue
+            self.counts[j][k] = self.counts[j].get(k, 0.0) + w
+            if self.upto:
+                self.upto[j].add(k, w)
+
+
+class Prefix:
+    """Sums of the first numbers of an array that changes, by a binary indexed tree."""
+
+    def __init__(self, n: int):
+        self.held = [0.0] * (n + 1)
+
+    def add(self, i: int, x: float) -> None:
+        i += 1
+        while i < len(self.held):
+            self.held[i] += x
+            i += i & -i
+
+    def sum(self, i: int) -> float:
+        """Of the numbers 0 to i."""
+        out, i = 0.0, i + 1
+        while i:
+            out += self.held[i]
+            i -= i & -i
+        return out
 
 
 class Freq1D(Model):
@@ -133,7 +165,7 @@ class Freq1D(Model):
     defaults = {"bins": 65536, "alpha": 1.0, "decay": 1.0, "cap": 65536, "how": "mean", "topk": 8, "temperature": 0.25, "decay_mode": "reference"}
 
     def start(self):
-        self.m = Marginals(self.names, self.bins, self.alpha, self.decay, self.decay_mode == "reference", self.cap)
+        self.m = Marginals(self.names, self.bins, self.alpha, self.decay, self.decay_mode == "reference", self.cap, False)
 
     def score(self, x):
         return combine(self.m.surprisal(x), self.how, self.topk, self.temperature)
@@ -142,6 +174,10 @@ class Freq1D(Model):
         self.m.learn(x)
 
 
+def normal(u: np.ndarray, clamp: float) -> np.ndarray:
+    return np.array([_NORMAL.inv_cdf(min(max(float(v), clamp), 1 - clamp)) for v in u])
+
+
 def spanning_tree(weight: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a maximum spanning tree, by Prim's method."""
     d = len(weight)
@@ -159,7 +195,7 @@ def spanning_tree(weight: np.ndarray) -> list[tuple[int, int]]:
 
 class CopulaTree(Model):
     scaling = "ratio"
-    defaults = {"bins": 4096, "alpha": 1.0, "decay": 1.0, "reg": 0.05, "window": 500, "interval": 100, "max_features": 30, "how": "mean", "topk": 8}
+    defaults = {"bins": 4096, "alpha": 1.0, "decay": 1.0, "reg": 0.05, "u_clamp": 1e-6, "window": 500, "interval": 100, "max_features": 30, "how": "mean", "topk": 8}
 
     def start(self):
         d = len(self.names)
@@ -167,7 +203,7 @@ class CopulaTree(Model):
         self.used = np.arange(d)
 
     def z(self, x):
-        return np.array([_NORMAL.inv_cdf(float(u)) for u in self.m.cdf(x)])
+        return normal(self.m.cdf(x), self.u_clamp)
 
     def rho(self):
         s = self.pair.copy()
@@ -201,35 +237,39 @@ class CopulaTree(Model):
 
 class LatentCluster(Model):
     scaling = "ratio"
-    defaults = {"bins": 4096, "alpha": 1.0, "decay": 1.0, "clusters": 8, "reg": 0.25, "rate": 0.05, "spawn": 6.0}
+    defaults = {"bins": 4096, "alpha": 1.0, "decay": 1.0, "clusters": 8, "u_clamp": 1e-6, "reg": 0.25, "rate": 0.05, "spawn": 6.0}
 
     def start(self):
         self.m = Marginals(self.names, self.bins, self.alpha, self.decay)
         self.centre, self.var, self.seen = [], [], []
-        self.ema = self.emvar = 0.0
+        self.ema, self.emvar = None, 0.0
         self.accepted = 0
 
     def _distances(self, z):
         return np.array([(((c - z) ** 2) / np.maximum(v, self.reg)).sum() for c, v in zip(self.centre, self.var, strict=True)])
 
     def _z(self, x):
-        return np.array([_NORMAL.inv_cdf(float(u)) for u in self.m.cdf(x)])
+        return normal(self.m.cdf(x), self.u_clamp)
 
     def score(self, x):
         return float(self._distances(self._z(x)).min()) if self.centre else 0.0
 
     def update(self, x, raw):
-        z, gap = self._z(x), raw - self.ema
-        self.ema += self.rate * gap
-        self.emvar = (1 - self.rate) * (self.emvar + self.rate * gap * gap)
+        z = self._z(x)
+        if self.ema is None:
+            self.ema = raw
+        else:
+            gap = raw - self.ema
+            self.ema += self.rate * gap
+            self.emvar = (1 - self.rate) * self.emvar + self.rate * gap * gap
         if not self.centre or (raw > self.spawn and len(self.centre) < self.clusters):
             self.centre.append(z), self.var.append(np.ones_like(z)), self.seen.append(1)
         elif self.accepted < max(16, 4 * self.clusters) or raw <= max(1.5, self.ema + 2.5 * math.sqrt(self.emvar)):
             k = int(self._distances(z).argmin())
             eta = max(self.rate, 1 / (self.seen[k] + 1))
-            d = z - self.centre[k]
-            self.centre[k] = self.centre[k] + eta * d
-            self.var[k] = (1 - eta) * self.var[k] + eta * d * d
+            self.centre[k] = (1 - eta) * self.centre[k] + eta * z
+            d = z - self.centre[k]  # from the centre as it is now
+            self.var[k] = np.maximum(self.reg, (1 - eta) * self.var[k] + eta * d * d)
             self.seen[k] += 1
         else:
             return
@@ -265,6 +305,26 @@ class Knn(Model):
     def update(self, x, raw):
         self.ring[self.n % self.memory] = x
 
+    def steps(self, x):
+        """Blocks of rows at once: each row is held against the memory and the rows before it in the block."""
+        if self.metric == "cosine":
+            return super().steps(x)
+        out = super().steps(x[: max(0, self.k - self.n)])
+        x, block = x[len(out) :], max(1, min(256, (1 << 22) // ((self.memory + 256) * max(1, len(self.names)))))
+        for part in np.split(x, range(block, len(x), block)) if len(x) else ():
+            at = self.n % self.memory
+            past = self.ring[: self.n] if self.n < self.memory else np.concatenate([self.ring[at:], self.ring[:at]])
+            seen = np.concatenate([past, part])
+            d = seen[None, :, :] - part[:, None, :]
+            d = np.sqrt((d * d).sum(2)) if self.metric == "euclidean" else np.abs(d).sum(2) if self.metric == "manhattan" else np.abs(d).max(2)
+            age = np.arange(len(part))[:, None] + len(past) - np.arange(len(seen))[None, :]
+            d[(age < 1) | (age > self.memory)] = np.inf
+            raw = np.partition(d, self.k - 1, axis=1)[:, : self.k].mean(1)
+            out += np.where(np.isfinite(raw), raw, 0.0).tolist()
+            self.ring[(self.n + np.arange(len(part))) % self.memory] = part
+            self.n += len(part)
+        return out
+
 
 class HalfSpaceTrees(Model):
     """Random axis-parallel cuts of a work space; masses of one window score the next."""
@@ -420,7 +480,7 @@ class MemStream(Model):
         if self.front is None:
             return x
         u = self.front.cdf(x)
-        z = np.array([_NORMAL.inv_cdf(float(v)) for v in u])
+        z = normal(u, 1e-6)
         return {"freq1d_u": u, "freq1d_z": z}.get(self.mode, self.front.surprisal(x) if self.mode == "freq1d_surprisal" else np.concatenate([z, self.front.surprisal(x)]))
 
     def _norm(self, v):
@@ -438,13 +498,14 @@ class MemStream(Model):
         v = self._in(x)
         if self.filled < self.warmup or raw <= self.beta:
             u = self._norm(v)
-            self.net.learn(u + self.rng.normal(0, 1e-3, len(u)), u)
+            noisy = u + self.rng.normal(0, 1e-3, len(u))
             at = self.filled % self.memory
-            self.inputs[at], self.mem[at] = v, self.net.encode(u)
+            self.inputs[at], self.mem[at] = v, self.net.encode(noisy)  # as it is before the step
+            self.net.learn(noisy, u)
             self.filled += 1
             have = self.inputs[: min(self.filled, self.memory)]
-            if self.filled > 1:
-                self.mean, self.std = have.mean(0), np.maximum(have.std(0), 1e-6)
+            std = have.std(0)
+            self.mean, self.std = have.mean(0), np.where(std > 1e-6, std, 1.0)
             self.debug["accepted"] += 1
         if self.front is not None:
             self.front.learn(x)
@@ -466,7 +527,7 @@ class Loda(Model):
         self.mean, self.var, self.hist = np.zeros(n), np.ones(n), np.zeros((n, self.bins))
 
     def _bin(self, x):
-        u = np.clip((self.w @ x - self.mean) / np.sqrt(np.maximum(self.var, 1e-12)), -self.reach, self.reach)
+        u = np.clip((self.w @ x - self.mean) / np.sqrt(self.var + 1e-6), -self.reach, self.reach)
         return np.minimum(((u + self.reach) / (2 * self.reach) * self.bins).astype(int), self.bins - 1)
 
     def score(self, x):
@@ -480,7 +541,7 @@ class Loda(Model):
         y = self.w @ x
         gap = y - self.mean
         self.mean = self.mean + self.rate * gap
-        self.var = (1 - self.rate) * (self.var + self.rate * gap * gap)
+        self.var = (1 - self.rate) * self.var + self.rate * gap * gap
 
 
 class NextToken(Model):
@@ -595,12 +656,55 @@ class RollingRank:
         return out
 
 
+def plain(value: object) -> object:
+    """Of a model or a part of one, what JSON can hold: numbers, lists, arrays as text, and parts by the name of
+    their class, of which ``restored`` knows a fixed set."""
+    if isinstance(value, np.ndarray):
+        return {"array": base64.b64encode(np.ascontiguousarray(value).tobytes()).decode(), "type": value.dtype.str, "shape": list(value.shape)}
+    if isinstance(value, np.generic):
+        return value.item()
+    if isinstance(value, np.random.Generator):
+        return {"random": value.bit_generator.state}
+    if isinstance(value, deque):
+        return {"deque": [plain(x) for x in value], "most": value.maxlen}
+    if isinstance(value, dict):
+        return {"pairs": [[plain(k), plain(v)] for k, v in value.items()]}
+    if isinstance(value, (list, tuple)):
+        return [plain(x) for x in value]
+    if type(value).__name__ in PARTS:
+        return {"part": type(value).__name__, "of": {k: plain(v) for k, v in vars(value).items()}}
+    return value
+
+
+def restored(value: object) -> object:
+    if isinstance(value, list):
+        return [restored(x) for x in value]
+    if not isinstance(value, dict):
+        return value
+    if "array" in value:
+        return np.frombuffer(base64.b64decode(value["array"]), np.dtype(value["type"])).reshape(value["shape"]).copy()
+    if "random" in value:
+        rng = np.random.default_rng()
+        rng.bit_generator.state = value["random"]
+        return rng
+    if "deque" in value:
+        return deque((restored(x) for x in value["deque"]), value["most"])
+    if "pairs" in value:
+        return {restored(k): restored(v) for k, v in value["pairs"]}
+    out = object.__new__(PARTS[value["part"]])
+    vars(out).update({k: restored(v) for k, v in value["of"].items()})
+    return out
+
+
 MODELS: dict[str, type[Model]] = {
     "zscore": ZScore, "freq1d": Freq1D, "copulatree": CopulaTree, "latentcluster": LatentCluster, "knn": Knn,
     "halfspacetrees": HalfSpaceTrees, "kitnet": KitNet, "memstream": MemStream, "loda_ema": Loda,
 }
 
 
+PARTS: dict[str, type] = {c.__name__: c for c in (*MODELS.values(), NextToken, Word2Vec, RollingRank, Marginals, Prefix, Adam, AutoEncoder)}
+
+
 def make(name: str, names: list[str], **params) -> Model:
     if name not in MODELS:
         raise ValueError(f"unknown algorithm {name!r}; there are {', '.join(sorted(MODELS))}")

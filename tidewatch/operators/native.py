@@ -108,16 +108,19 @@ def group_key(c: Column) -> Column:
 
 
 def decide(df: DataFrame, threshold: float, mode: str = "scaled", warmup: int = 0, key: str = "group_key") -> DataFrame:
-    """Append suppressed, primary, anomaly, score and reason. The first ``warmup`` rows of a key are suppressed."""
+    """Append suppressed, primary, anomaly, score and reason. The first ``warmup`` rows of a key are suppressed. A row
+    with an ``error`` is no anomaly and scores 0, and its reason is the error."""
     if mode not in ("raw", "scaled", "percentile"):
         raise ValueError(f"unknown score mode {mode!r}")
     row = F.row_number().over(Window.partitionBy(key).orderBy(*ORDER))
+    failed = F.col("error").isNotNull() if "error" in df.columns else F.lit(False)
     df = df.withColumn("suppressed", row <= warmup if warmup else F.lit(False))
-    df = df.withColumn("primary", F.when(F.col("suppressed"), F.lit(0.0)).otherwise(F.col(mode)))
-    df = df.withColumn("anomaly", ~F.col("suppressed") & (F.col("primary") >= threshold))
-    response = F.when(F.col("suppressed"), F.lit(0.0)).otherwise(F.col("primary") if mode == "percentile" else F.col("scaled"))
+    df = df.withColumn("primary", F.when(F.col("suppressed") | failed, F.lit(0.0)).otherwise(F.col(mode)))
+    df = df.withColumn("anomaly", ~F.col("suppressed") & ~failed & (F.col("primary") >= threshold))
+    response = F.when(F.col("suppressed") | failed, F.lit(0.0)).otherwise(F.col("primary") if mode == "percentile" else F.col("scaled"))
     df = df.withColumn("score", F.least(response, F.lit(1.0)))
-    return df.withColumn("reason", F.when(F.col("anomaly"), F.format_string("score %.3f >= %.3f", "primary", F.lit(float(threshold)))))
+    said = F.when(F.col("anomaly"), F.format_string("score %.3f >= %.3f", "primary", F.lit(float(threshold))))
+    return df.withColumn("reason", F.coalesce(F.col("error"), said) if "error" in df.columns else said)
 
 
 def calibrated(df: DataFrame, warmup: int, window: int, least: int, key: list[str]) -> DataFrame:
@@ -146,12 +149,14 @@ def rolling_ngram(df: DataFrame, n: int, vector: str, key: list[str]) -> DataFra
 
 
 def context(df: DataFrame, n: int, token: str, key: list[str], order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Append ready, context (the n - 1 tokens before this one), target_id and num_classes. Ids count tokens in the
-    order of their first row over the whole table, so the dense rank of that row is the id."""
+    """Append ready, context (the n - 1 tokens before this one), target_id and num_classes (how many tokens there are up
+    to this one's first row). Ids count tokens in the order of their first row over the whole table; they are ranked
+    over one row a token."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(1 - n, -1)
     df = df.withColumn("context", F.collect_list(token).over(w)).withColumn("ready", F.size("context") == n - 1)
     first = df.groupBy(token).agg(F.min(F.struct(*order)).alias("__first"))
     ids = first.select(F.col(token).alias("__t"), (F.row_number().over(Window.orderBy("__first")) - 1).alias("target_id"), "__first")  # a row a token
+    ids = ids.withColumn("num_classes", F.col("target_id") + 1)
     return df.join(ids, df[token].eqNullSafe(ids["__t"])).drop("__t", "__first")
 
 

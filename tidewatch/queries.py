@@ -444,7 +444,7 @@ def _model_query(name: str, algorithm: str, **params) -> None:
     def run(spark, d):
         from tidewatch.streaming import keyed
 
-        return r6(keyed.score(features.extract(env(spark, d), _NAMES), algorithm, _NAMES, window=256, warmup=32, **params))
+        return r6(keyed.score(features.extract(env(spark, d), _NAMES), algorithm, _NAMES, window=256, warmup=32, **params).drop("error"))
 
 
 _model_query("model_zscore", "zscore")
@@ -502,7 +502,7 @@ def checkpoint_resume(spark, d):
 
     e = features.extract(env(spark, d), _NAMES)
     half = e.agg(F.expr("max(seq) div 2")).first()[0] or 0
-    return r6(keyed.resume(e.where(F.col("seq") > half), keyed.train(e.where(F.col("seq") <= half), "loda_ema", _NAMES), _NAMES))
+    return r6(keyed.resume(e.where(F.col("seq") > half), keyed.train(e.where(F.col("seq") <= half), "loda_ema", _NAMES), _NAMES).drop("error"))
 
 
 @query("event_ids", "select event_id, printf('%016x-%08x', epoch_us(ts), user_id) as id from events")

@@ -1,22 +1,28 @@
 """Runs a model over each key's events in order: the same function over a table and over a stream.
 
-Batch uses one ordered group per key; streaming keeps the model in the state store, so a key's model goes on where
-the last micro-batch left it. Order within a key is (ts_unix_nano, seq) in both.
+Over a table, rows are dealt by key and sorted within the task, and a key's model goes from one Arrow batch to the next,
+so memory does not grow with a key's rows. Streaming keeps the model in the state store, so a key's model goes on where
+the last micro-batch left it. Order within a key is (ts_unix_nano, seq) in both. State is JSON text, never code: what
+a checkpoint holds is read by name into a fixed set of classes.
+
+An event that can't be scored gets scores of 0 and the error's text, and the model goes on without it.
 """
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewatch.operators.models import Model, RollingRank, attribution, make
+from tidewatch.operators.models import Model, RollingRank, attribution, make, plain, restored
+from tidewatch.operators.native import ORDER
 
-OUT = "event_id string, seq long, raw double, scaled double, percentile double"
+OUT = "event_id string, seq long, raw double, scaled double, percentile double, error string"
 
 
 class Scorer:
@@ -27,12 +33,30 @@ class Scorer:
         self.rank = RollingRank(window, warmup)
 
     def run(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_unix_nano", "seq"], kind="stable")
-        raws, ranks = [], []
-        for x in pdf[self.model.names].fillna(0.0).to_numpy(float):
-            raws.append(self.model.step(x))
-            ranks.append(self.rank.step(raws[-1]))
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "raw": raws, "scaled": [self.model.scaled(r) for r in raws], "percentile": ranks})
+        """Scores of the key's next rows, which come in order."""
+        x = pdf[self.model.names].fillna(0.0).to_numpy(float)
+        fine = np.isfinite(x).all(1)
+        raws, errors = np.zeros(len(x)), np.where(fine, None, "scoring error: a feature is not a finite number").astype(object)
+        if type(self.model).steps is not Model.steps:  # in blocks
+            raws[fine] = self.model.steps(x[fine])
+        else:
+            for i in np.flatnonzero(fine):
+                try:
+                    raws[i] = self.model.step(x[i])
+                except (ArithmeticError, ValueError) as e:
+                    fine[i], errors[i] = False, f"scoring error: {e}"
+        ranks = [self.rank.step(r) if f else 0.0 for r, f in zip(raws.tolist(), fine, strict=True)]
+        scaled = [self.model.scaled(r) if f else 0.0 for r, f in zip(raws.tolist(), fine, strict=True)]
+        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "raw": raws, "scaled": scaled, "percentile": ranks, "error": errors})
+
+    def state(self) -> str:
+        return json.dumps({"model": plain(self.model), "rank": plain(self.rank)})
+
+    @classmethod
+    def of(cls, state: str) -> Scorer:
+        out, held = object.__new__(cls), json.loads(state)
+        out.model, out.rank = restored(held["model"]), restored(held["rank"])
+        return out
 
 
 def _selected(df: DataFrame, features: list[str], key: str) -> tuple[DataFrame, list[str]]:
@@ -40,42 +64,78 @@ def _selected(df: DataFrame, features: list[str], key: str) -> tuple[DataFrame,
     return df.select(key, "event_id", "ts_unix_nano", "seq", *names), names
 
 
-def score(df: DataFrame, algorithm: str, features: list[str], key: str = "event_group", window: int = 2048, warmup: int = 128, **params) -> DataFrame:
-    """Append raw, scaled and percentile to (key, event_id, seq). One model a key."""
-    rows, names = _selected(df, features, key)
+def in_order(rows: DataFrame, key: str, schema: str, start: Callable[[object], object], step: Callable[[object, pd.DataFrame], pd.DataFrame | None], end: Callable[[object, object], pd.DataFrame | None] = lambda k, s: None) -> DataFrame:
+    """Run ``step(state, rows)`` over each key's rows in order, part by part, from ``start(key)``; ``end(key, state)``
+    may add rows behind the last part. A null key is a key."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = Scorer(algorithm, names, params, window, warmup).run(pdf)
-        out.insert(0, key, pdf[key].iloc[0])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, key_of, begun = None, None, False
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            named = pdf[key].where(pdf[key].notna(), None)
+            new = np.flatnonzero(np.concatenate([[True], (named.to_numpy()[1:] != named.to_numpy()[:-1])]))
+            for a, b in zip(new, [*new[1:], len(pdf)], strict=True):
+                k = named.iloc[a]
+                if not begun or k != key_of:
+                    if begun and (last := end(key_of, held)) is not None:
+                        yield last
+                    held, key_of, begun = start(k), k, True
+                if (out := step(held, pdf.iloc[a:b])) is not None:
+                    yield out
+        if begun and (last := end(key_of, held)) is not None:
+            yield last
+
+    return rows.repartition(key).sortWithinPartitions(key, *ORDER).mapInPandas(run, schema)
+
+
+def _keyed(key: str, of: Callable[[object, pd.DataFrame], pd.DataFrame]) -> Callable[[object, pd.DataFrame], pd.DataFrame]:
+    def step(state: object, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = of(state, pdf)
+        out.insert(0, key, pdf[key].to_numpy()[: len(out)])
         return out
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} string, {OUT}")
+    return step
+
+
+def score(df: DataFrame, algorithm: str, features: list[str], key: str = "event_group", window: int = 2048, warmup: int = 128, **params) -> DataFrame:
+    """Append raw, scaled, percentile and error to (key, event_id, seq). One model a key."""
+    rows, names = _selected(df, features, key)
+    make(algorithm, names, **params)  # unknown names fail here, not in a task
+    return in_order(rows, key, f"{key} string, {OUT}", lambda _: Scorer(algorithm, names, params, window, warmup), _keyed(key, lambda s, pdf: s.run(pdf)))
 
 
 def train(df: DataFrame, algorithm: str, features: list[str], key: str = "event_group", window: int = 2048, warmup: int = 128, **params) -> DataFrame:
-    """A checkpoint: one row a key with the learnt state. Keep it as Parquet; read only those you wrote."""
+    """A checkpoint: one row a key with the learnt state as JSON text, and the configuration to start further keys from."""
     rows, names = _selected(df, features, key)
+    config = json.dumps({"algorithm": algorithm, "names": names, "params": params, "window": window, "warmup": warmup})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Scorer(algorithm, names, params, window, warmup)
+    def step(s: Scorer, pdf: pd.DataFrame) -> None:
         s.run(pdf)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "algorithm": [algorithm], "events": [s.model.n], "payload": [pickle.dumps(s)]})
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} string, algorithm string, events long, payload binary")
+    def end(k: object, s: Scorer) -> pd.DataFrame:
+        return pd.DataFrame({key: [k], "algorithm": [algorithm], "config": [config], "events": [s.model.n], "state": [s.state()]})
+
+    return in_order(rows, key, f"{key} string, algorithm string, config string, events long, state string", lambda _: Scorer(algorithm, names, params, window, warmup), step, end)
 
 
 def resume(df: DataFrame, checkpoint: DataFrame, features: list[str], key: str = "event_group") -> DataFrame:
-    """Score and go on learning from a checkpoint; keys that it doesn't know are left out."""
+    """Score and go on learning from a checkpoint; keys that it doesn't know start anew with its configuration."""
     rows, _ = _selected(df, features, key)
+    first = checkpoint.select("config").first()
+    if first is None:
+        raise ValueError("the checkpoint is empty")
+    fresh = json.loads(first["config"])
 
-    def run(events: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if not len(events) or not len(state):
+    def run(events: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(events):
             return pd.DataFrame({c.split()[0]: [] for c in f"{key} string, {OUT}".split(", ")})
-        out = pickle.loads(state["payload"].iloc[0]).run(events)
+        s = Scorer.of(held["state"].iloc[0]) if len(held) else Scorer(**fresh)
+        out = s.run(events.sort_values(list(ORDER), kind="stable"))
         out.insert(0, key, events[key].iloc[0])
         return out
 
-    return rows.groupBy(key).cogroup(checkpoint.select(key, "payload").groupBy(key)).applyInPandas(run, f"{key} string, {OUT}")
+    return rows.groupBy(key).cogroup(checkpoint.select(key, "state").groupBy(key)).applyInPandas(run, f"{key} string, {OUT}")
 
 
 def stream(df: DataFrame, algorithm: str, features: list[str], key: str = "event_group", window: int = 2048, warmup: int = 128, **params) -> DataFrame:
@@ -83,15 +143,15 @@ def stream(df: DataFrame, algorithm: str, features: list[str], key: str = "event
     rows, names = _selected(df, features, key)
 
     def run(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = pickle.loads(state.get[0]) if state.exists else Scorer(algorithm, names, params, window, warmup)
+        s = Scorer.of(state.get[0]) if state.exists else Scorer(algorithm, names, params, window, warmup)
         got = list(pdfs)  # order needs all of the micro-batch's rows of the key
         if got:
-            out = s.run(pd.concat(got))
+            out = s.run(pd.concat(got).sort_values(list(ORDER), kind="stable"))
             out.insert(0, key, k[0])
-            state.update((pickle.dumps(s),))
+            state.update((s.state(),))
             yield out
 
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} string, {OUT}", "payload binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} string, {OUT}", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def sequence_scores(df: DataFrame, token: str, key: str, n: int = 4, vectors: dict | None = None, **params) -> DataFrame:
@@ -100,10 +160,12 @@ def sequence_scores(df: DataFrame, token: str, key: str, n: int = 4, vectors: di
     of a group, in the group's order; any number of different tokens."""
     from tidewatch.operators.models import NextToken, Word2Vec
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_unix_nano", "seq"], kind="stable")
-        table, ids, recent, raw = Word2Vec(**(vectors or {})), {}, {}, []
-        model = NextToken([str(i) for i in range(table.dim * (n - 1))], **params)
+    def start(_: object) -> tuple:
+        table = Word2Vec(**(vectors or {}))
+        return table, NextToken([str(i) for i in range(table.dim * (n - 1))], **params), {}, {}
+
+    def step(state: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (table, model, ids, recent), raw = state, []
         for actor, t in zip(pdf["tid"], pdf[token], strict=True):
             t = t.strip().lower() if isinstance(t, str) else ""
             i, v = ids.setdefault(t, len(ids)), table.add(actor, t)
@@ -112,27 +174,58 @@ def sequence_scores(df: DataFrame, token: str, key: str, n: int = 4, vectors: di
             recent[actor] = (q + [v])[-(n - 1) :]
         return pd.DataFrame({key: pdf[key].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "raw": raw})
 
-    return df.select(key, "tid", "event_id", "ts_unix_nano", "seq", token).groupBy(key).applyInPandas(run, f"{key} string, event_id string, raw double")
+    return in_order(df.select(key, "tid", "event_id", "ts_unix_nano", "seq", token), key, f"{key} string, event_id string, raw double", start, step)
 
 
-def explain(df: DataFrame, algorithm: str, features: list[str], key: str = "event_group", top: int = 20, scored: Callable | None = None, **params) -> DataFrame:
-    """Attributions of the ``top`` highest scores of each key, against the model as it stood before each."""
+def _replayed(df: DataFrame, algorithm: str, features: list[str], key: str, top: int, params: dict, schema: str, of: Callable) -> DataFrame:
+    """``of(model, event_id, vector)`` for the ``top`` highest scores of each key, against the model as it stood before
+    each. A first pass finds them; the second learns again and stops at each. Of a key's rows only these are kept."""
     rows, names = _selected(df, features, key)
+    scores = score(df, algorithm, features, key, **params).select("event_id", F.col("raw").alias("score_then"))
+    w = Window.partitionBy(key).orderBy(F.desc("score_then"), *ORDER)
+    rows = rows.join(scores, "event_id").withColumn("asked", F.row_number().over(w) <= top).drop("score_then")
+
+    def step(model: Model, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for e, x, asked in zip(pdf["event_id"], pdf[names].fillna(0.0).to_numpy(float), pdf["asked"], strict=True):
+            out += [(e, *r) for r in of(model, x)] if asked else []
+            model.step(x)
+        out = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+        out.insert(0, key, pdf[key].iloc[0])
+        return out
+
+    return in_order(rows, key, f"{key} string, {schema}", lambda _: make(algorithm, names, **params), step)
+
+
+def explain(df: DataFrame, algorithm: str, features: list[str], key: str = "event_group", top: int = 20, scored: Callable[[Model], Callable[[np.ndarray], float]] | None = None, **params) -> DataFrame:
+    """Attributions of the ``top`` highest scores of each key. scored: what is explained in place of the raw score, as
+    a function of the model that gives one of a vector."""
+    names = sorted(features)
+    return _replayed(df, algorithm, features, key, top, params, "event_id string, feature string, weight double", lambda m, x: zip(names, attribution(scored(m) if scored else m.score, x).tolist(), strict=True))
+
+
+def sanity(df: DataFrame, algorithm: str, features: list[str], key: str = "event_group", top: int = 5, k: int = 3, eps: tuple[float, ...] = (0.01, 0.05, 0.1), **params) -> DataFrame:
+    """How the raw, logarithmic and scaled scores of the ``top`` highest scores move with each of their k features of
+    largest attribution: flipped (step 0) and by each of ``eps``, within 0 and 1."""
+    names = sorted(features)
+
+    def of(m: Model, x: np.ndarray) -> Iterator[tuple]:
+        base = m.score(x)
+        weights = attribution(m.score, x)
+        for j in np.argsort(-np.abs(weights), kind="stable")[:k]:
+            for e in (0.0, *eps):
+                y = x.copy()
+                y[j] = min(1.0, x[j] + e) if e else 1.0 - x[j]
+                raw = m.score(y)
+                yield names[j], float(weights[j]), float(e), raw - base, float(np.log1p(max(0.0, raw)) - np.log1p(max(0.0, base))), m.scaled(max(0.0, raw)) - m.scaled(max(0.0, base))
+
+    return _replayed(df, algorithm, features, key, top, params, "event_id string, feature string, weight double, eps double, d_raw double, d_log double, d_scaled double", of)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_unix_nano", "seq"], kind="stable")
-        x = pdf[names].fillna(0.0).to_numpy(float)
-        first = make(algorithm, names, **params)
-        best = set(np.argsort([-first.step(v) for v in x], kind="stable")[:top].tolist())
-        again, out = make(algorithm, names, **params), []
-        for i, v in enumerate(x):
-            if i in best:
-                a = attribution(again.score, v)
-                out += [(pdf[key].iloc[0], pdf["event_id"].iloc[i], f, float(w)) for f, w in zip(names, a, strict=True)]
-            again.step(v)
-        return pd.DataFrame(out, columns=[key, "event_id", "feature", "weight"])
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} string, event_id string, feature string, weight double")
+def top_features(weights: DataFrame, k: int, key: str = "event_group") -> DataFrame:
+    """Of each event the k features with the largest attribution in size, ties by name."""
+    w = Window.partitionBy(key, "event_id").orderBy(F.desc(F.abs("weight")), "feature")
+    return weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def diagnose(checkpoint: DataFrame, key: str = "event_group") -> DataFrame:
@@ -141,12 +234,12 @@ def diagnose(checkpoint: DataFrame, key: str = "event_group") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k, payload in zip(pdf[key], pdf["payload"], strict=True):
-                m = pickle.loads(payload).model
+            for k, state in zip(pdf[key], pdf["state"], strict=True):
+                m = Scorer.of(state).model
                 facts = {"events": m.n}
-                facts |= {n: float(np.mean(getattr(m, n))) for n in ("mean", "var", "std", "ema") if hasattr(m, n)}
+                facts |= {n: float(np.mean(getattr(m, n))) for n in ("mean", "var", "std", "ema") if getattr(m, n, None) is not None}
                 facts |= {f"debug_{n}": float(v) for n, v in getattr(m, "debug", {}).items()} | ({"memory": m.filled} if hasattr(m, "filled") else {}) | ({"mass": float(m.hist.sum())} if hasattr(m, "hist") else {})
                 out += [(k, n, float(v)) for n, v in facts.items()]
             yield pd.DataFrame(out, columns=[key, "metric", "value"])
 
-    return checkpoint.select(key, "payload").mapInPandas(run, f"{key} string, metric string, value double")
+    return checkpoint.select(key, "state").mapInPandas(run, f"{key} string, metric string, value double")
