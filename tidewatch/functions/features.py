@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NS_PER_DAY = 86_400_000_000_000
@@ -72,11 +73,21 @@ def _registry() -> dict[str, Column]:
 
 #: Feature sets by the family of model they feed.
 SETS = {
-    "default": ("path_hash", "return_success", "syscall_nr_norm"),
-    "frequency": ("path_hash", "path_prefix_hash", "pid_hash", "hostname_hash", "syscall_nr_norm", "return_errno_norm"),
-    "tabular": ("pid_norm", "tid_norm", "uid_norm", "arg0_norm", "arg1_norm", "path_depth_norm", "return_success", "return_errno_norm", "day_cycle_sin", "day_cycle_cos", "week_of_month_norm", "syscall_nr_norm", "hostname_hash"),
+    "default": ("syscall_nr_norm", "day_cycle_sin", "day_cycle_cos"),
+    "frequency": ("syscall_nr_norm", "day_fraction_norm", "hostname_hash", "pid_hash", "path_hash", "path_prefix_hash", "net_socket_type_hash", "net_daddr_hash", "net_af_hash"),
+    "tabular": (
+        "syscall_nr_norm", "pid_norm", "tid_norm", "uid_norm", "arg0_norm", "arg1_norm", "day_cycle_sin", "day_cycle_cos", "week_of_month_norm", "path_depth_norm", "path_prefix_hash",
+        "return_success", "return_errno_norm", "file_sensitive_path", "file_tmp_path", "file_flags_hash", "net_socket_family_norm", "net_dport_norm",
+    ),
     "network": ("net_daddr_hash", "net_dport_norm", "net_socket_family_norm"),
-}
+}
+
+
+def features_for(algorithm: str) -> tuple[str, ...]:
+    """The set that feeds an algorithm unless told otherwise; sequence models take their own context vectors."""
+    if algorithm in ("sequence_mlp", "sequence_transformer"):
+        return ("sequence_ctx_*",)
+    return SETS["frequency" if algorithm in ("freq1d", "copulatree", "latentcluster", "zscore") else "default"]
 
 
 def names() -> list[str]:
@@ -101,6 +112,30 @@ def extract(events: DataFrame, wanted: list[str], prefixes: dict[str, tuple[str,
     return events.withColumns(chosen)
 
 
+def field_text(name: str) -> Column:
+    """A field as blocks read it: trimmed and in lower case, empty if missing."""
+    return F.lower(F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))))
+
+
+def concat_features(*maps: Column) -> Column:
+    """One map of several; of a name that more than one has, the last counts. Null maps have nothing."""
+    out = empty = F.create_map().cast("map<string,double>")
+    for m in maps:
+        m = F.coalesce(m, empty)
+        out = F.map_concat(F.map_filter(out, _not_in(m)), m)
+    return out
+
+
+def _not_in(m: Column) -> Callable[[Column, Column], Column]:
+    return lambda k, _: ~F.map_contains_key(m, k)
+
+
+def register_sql(spark: SparkSession) -> None:
+    """hash01(text) and event_id_text(micros, counter) as functions of this session's SQL, in SQL themselves."""
+    spark.sql("create or replace temporary function hash01(x string) returns double return case when coalesce(x, '') = '' then 0.0 else cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint) % 10000 / 10000.0 end")
+    spark.sql("create or replace temporary function event_id_text(micros bigint, counter bigint) returns string return format_string('%016x-%08x', micros, counter)")
+
+
 #: open(2) and socket(2) flag bits, by the number of the call's flag argument.
 OPEN_MODES = {0: "O_RDONLY", 1: "O_WRONLY", 2: "O_RDWR"}
 OPEN_BITS = {64: "O_CREAT", 128: "O_EXCL", 512: "O_TRUNC", 1024: "O_APPEND", 2048: "O_NONBLOCK", 65536: "O_DIRECTORY", 131072: "O_NOFOLLOW", 524288: "O_CLOEXEC"}

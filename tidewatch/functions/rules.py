@@ -10,10 +10,11 @@ non-null. Field names are case-sensitive, keywords are not.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The field names of the language.
@@ -22,7 +23,26 @@ TEXT = ("event_id", "syscall_name", "event_group", "comm", "hostname", "namespac
 ATTRIBUTES = ("attributes.fd_path", "attributes.fd_resource_kind", "attributes.fd_sock_remote_addr", "attributes.fd_sock_remote_port", "attributes.fd_sock_family", "attributes.flags", "attributes.return_value")
 FIELDS = (*NUMERIC, *TEXT, *ATTRIBUTES)
 OPERATORS = ("=", "in", "startswith", "startswithin", "contains")
-_TOKEN = re.compile(r"\"[^\"]*\"|'[^']*'|[(),=]|[^\s(),=\"']+")
+
+
+def tokens(text: str) -> list[str]:
+    """Marks ( ) , =, quoted strings with their quotes, and words: runs of anything else that isn't white space. A quote
+    opens a string only where a token begins, and only if it is closed; within a word it is a character."""
+    out, at = [], 0
+    while at < len(text):
+        c = text[at]
+        if c.isspace():
+            at += 1
+            continue
+        end = at + 1
+        if c in "\"'" and text.find(c, at + 1) > 0:
+            end = text.find(c, at + 1) + 1
+        elif c not in "(),=":
+            while end < len(text) and not text[end].isspace() and text[end] not in "(),=":
+                end += 1
+        out.append(text[at:end])
+        at = end
+    return out
 
 
 @dataclass(frozen=True)
@@ -49,7 +69,7 @@ class Any:
 
 class _Parser:
     def __init__(self, text: str, lists: dict[str, tuple[str, ...]]):
-        self.tokens, self.at, self.lists = _TOKEN.findall(text), 0, {k.lower(): v for k, v in lists.items()}
+        self.tokens, self.at, self.lists = tokens(text), 0, {k.lower(): v for k, v in lists.items()}
 
     def peek(self) -> str:
         return self.tokens[self.at] if self.at < len(self.tokens) else ""
@@ -133,7 +153,7 @@ def expand(text: str, macros: dict[str, str], _open: tuple[str, ...] = ()) -> st
 
 
 def _value(name: str, columns: list[str]) -> Column:
-    if name == "arg_flags":
+    if name == "arg_flags" and name not in columns:  # stands for flags where there is none of its own
         name = "flags"
     if name.startswith("attributes."):
         return F.try_element_at("attributes", F.lit(name.split(".", 1)[1]))
@@ -265,16 +285,16 @@ def _no_overlap(rules: Rules) -> None:
                 raise ValueError(f"{call!r} is in the groups {of[call]!r} and {g!r}, which both have enabled rules")
 
 
-def matches(rules: Rules, columns: list[str]) -> list[tuple[Rule, Column]]:
-    """Each enabled rule with its full condition: the group's calls, by name or else by number, and its own."""
-    out = []
+def matches(rules: Rules, columns: list[str], numbers: dict[str, int] | None = None) -> list[tuple[Rule, Column]]:
+    """Each enabled rule with its full condition: its group's calls, by name or by number, and its own. numbers: of
+    calls by name, as ``call_numbers`` reads them from a table of the machine; by default those of the view."""
+    out, known = [], NUMBERS if numbers is None else numbers
     for r in rules.rules:
         if r.enabled:
             calls = list(rules.groups[r.group].syscalls)
-            numbers = [NUMBERS[c] for c in calls if c in NUMBERS]
-            member = F.coalesce(F.lower("syscall_name").isin(calls), F.lit(False))
-            if numbers:
-                member = member | F.coalesce(F.col("syscall_nr").isin(numbers) & (F.coalesce("syscall_name", F.lit("")) == ""), F.lit(False))
+            member = F.coalesce(F.lower(F.trim("syscall_name")).isin(calls), F.lit(False))
+            if own := [known[c] for c in calls if c in known]:
+                member = member | F.coalesce(F.col("syscall_nr").isin(own), F.lit(False))
             out.append((r, member & compile_(parse(r.condition, rules.lists, rules.macros), columns)))
     return out
 
@@ -283,9 +303,71 @@ def matches(rules: Rules, columns: list[str]) -> list[tuple[Rule, Column]]:
 NUMBERS = {"read": 0, "write": 1, "open": 2, "close": 3, "socket": 41, "connect": 42, "execve": 59, "unlink": 87, "openat": 257}
 
 
-def classify(events: DataFrame, rules: Rules) -> DataFrame:
+def call_numbers(table: str) -> dict[str, int]:
+    """Numbers of calls by name, from lines such as ``#define __NR_read 0`` or ``read 0``; other lines don't count."""
+    return {m[1].lower(): int(m[2]) for m in re.finditer(r"(?m)^\s*(?:#define\s+__NR_)?([a-z]\w*)\s+(\d+)\s*$", table)}
+
+
+def numbered(events: DataFrame, numbers: dict[str, int], unknown: int = 0) -> DataFrame:
+    """Append syscall_nr by the call's name; what has none gets ``unknown``. The table is a few hundred rows at most."""
+    rows = [(k, v) for k, v in numbers.items()] or [("", unknown)]
+    known = events.sparkSession.createDataFrame(rows, "call string, nr long")
+    out = events.drop("syscall_nr").join(F.broadcast(known), F.lower(F.trim("syscall_name")) == F.col("call"), "left")
+    return out.withColumn("syscall_nr", F.coalesce("nr", F.lit(unknown).cast("long"))).drop("call", "nr")
+
+
+def prefilter(events: DataFrame, tuples: list[dict[str, str | int]], most: int = 24) -> DataFrame:
+    """Events that one of the tuples admits, ahead of the rules: each gives any of syscall_nr, pid, tid, uid, comm and
+    path_prefix, all of which must hold; none at all admits everything. Plain comparisons, so that the scan sees them."""
+    if len(tuples) > most:
+        raise ValueError(f"at most {most} tuples, not {len(tuples)}")
+    fields = {"syscall_nr", "pid", "tid", "uid", "comm", "path_prefix"}
+    admitted = F.lit(not tuples)
+    for t in tuples:
+        if bad := set(t) - fields:
+            raise ValueError(f"unknown fields {sorted(bad)}")
+        one = F.lit(True)
+        for k, v in t.items():
+            one = one & F.coalesce(_value("attributes.fd_path", events.columns).startswith(str(v)) if k == "path_prefix" else F.col(k) == v, F.lit(False))
+        admitted = admitted | one
+    return events.where(admitted)
+
+
+class RuleFile:
+    """Rules in a text file in any store that Spark reads, read again when the file has changed: call ``current`` once a
+    micro-batch. Where the new text is no good, the old rules stay, and ``error`` says why."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.stamp, self.error = spark, path, None, None
+        self.rules: Rules | None = None
+
+    def _read(self) -> tuple[object, str]:
+        r = self.spark.read.format("binaryFile").load(self.path).select("modificationTime", "length", "content").first()
+        if r is None:
+            raise ValueError(f"{self.path} is not there")
+        return (r[0], r[1]), bytes(r[2]).decode()
+
+    def current(self) -> Rules:
+        try:
+            stamp, text = self._read()
+            if stamp != self.stamp:
+                self.rules, self.error = load(text), None
+                self.stamp = stamp
+        except Exception as e:  # whatever is wrong with the file, a running stream goes on
+            if self.rules is None:
+                raise
+            self.error = str(e)
+        return self.rules
+
+
+def classify_stream(events: DataFrame, file: RuleFile, sink: Callable[[DataFrame, int], None]):
+    """A stream's writer that classifies each micro-batch by the rules as they are then, and hands it to ``sink``."""
+    return events.writeStream.foreachBatch(lambda batch, n: sink(classify(batch, file.current()), n))
+
+
+def classify(events: DataFrame, rules: Rules, numbers: dict[str, int] | None = None) -> DataFrame:
     """Events that some rule allows, with rule and rule_group of the first that does."""
-    cases = matches(rules, events.columns)
+    cases = matches(rules, events.columns, numbers)
     if not cases:
         return events.withColumn("rule", F.lit(None).cast("string")).withColumn("rule_group", F.lit(None).cast("string")).limit(0)
     first = lambda get: reduce(lambda acc, c: acc.when(c[1], F.lit(get(c[0]))), cases[1:], F.when(cases[0][1], F.lit(get(cases[0][0]))))
@@ -293,6 +375,20 @@ def classify(events: DataFrame, rules: Rules) -> DataFrame:
     return out.withColumn("rule", first(lambda r: r.name)).withColumn("rule_group", first(lambda r: r.group))
 
 
+#: Groups of calls that no rule names.
+NETWORK_CALLS = ("accept", "accept4", "bind", "connect", "getpeername", "getsockname", "getsockopt", "listen", "recvfrom", "recvmsg", "recvmmsg", "sendmmsg", "sendmsg", "sendto", "setsockopt", "shutdown", "socket", "socketpair")
+
+
+def inferred_group(name: Column, rules: Rules, fallback: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The group of a call: that of the rules, else of the fallback sets in their order, else empty."""
+    out, call = F.lit(""), F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    for group, calls in reversed((fallback or {"network": NETWORK_CALLS}).items()):
+        out = F.when(call.isin(list(calls)), F.lit(group)).otherwise(out)
+    for c, group in group_of_syscall(rules).items():
+        out = F.when(call == c, F.lit(group)).otherwise(out)
+    return out
+
+
 def group_of_syscall(rules: Rules) -> dict[str, str]:
     """The group of the first enabled rule for each call, whatever its condition."""
     out: dict[str, str] = {}

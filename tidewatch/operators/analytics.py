@@ -69,21 +69,147 @@ def near_duplicates(df: DataFrame, columns: list[str], dropped: int) -> DataFram
     return rows.join(shared, "form", "left_semi").select("full", "times").distinct().agg(F.coalesce(F.sum("times"), F.lit(0)).alias("rows"))
 
 
-def nearest_rank(df: DataFrame, column: str, percents: list[float]) -> DataFrame:
-    """percent, value: the sorted value at index floor(p / 100 * (n - 1)). Ranks come from counts of smaller values,
-    so that no task sorts the whole column."""
+#: Ranges that a column is cut into where ranks are needed.
+RANGES = 128
+
+
+def _ranges(df: DataFrame, column: str) -> Column:
+    """The number of the range a value is in, of about even ones: the bounds are that many numbers."""
+    at = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    got = sorted(set(df.agg(F.percentile_approx(column, at, F.lit(10_000))).first()[0] or []))
+    return F.size(F.filter(F.array(*[F.lit(v) for v in got]), lambda b: b <= F.col(column))) if got else F.lit(0)
+
+
+def cumulated(df: DataFrame, column: str) -> DataFrame:
+    """value, c, upto: each different value that isn't null, how often it comes, and how many are not larger. Counts are
+    summed up within ranges of values, and across ranges over one row a range."""
     by = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    exact = F.array(*[F.floor(F.lit(p / 100.0) * (F.col("n") - 1)).cast("long") for p in percents])
-    total = by.agg(F.sum("c").alias("n")).select(F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in percents]).alias("percent"), exact.alias("at"))).alias("z"))
-    asked = total.select("z.percent", "z.at")
-    upto = by.withColumn("upto", F.sum("c").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    return asked.join(upto, (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c"))).select("percent", "value")
+    by = by.withColumn("range__", _ranges(by, "value"))
+    before = Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = by.groupBy("range__").agg(F.sum("c").alias("s")).select(F.col("range__").alias("r"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("range__").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    out = by.join(F.broadcast(ahead), F.col("range__") == F.col("r"))  # RANGES rows
+    return out.select("value", "c", (F.col("ahead") + F.sum("c").over(within)).alias("upto"))
+
+
+def _at(df: DataFrame, column: str, places: list[int]) -> dict[int, float]:
+    """The sorted column's values at these places: one row a place."""
+    if not places:
+        return {}
+    asked = F.filter(F.array(*[F.lit(p) for p in sorted(set(places))]), lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("c")))
+    return {p: r["value"] for r in cumulated(df, column).withColumn("places", asked).where(F.size("places") > 0).select("places", "value").collect() for p in r["places"]}
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Exact ones, interpolated between neighbours; none of an empty column."""
+    n = df.select(F.count(column)).first()[0]
+    if not n:
+        return []
+    spots = [(int(s * (n - 1)), s * (n - 1) - int(s * (n - 1))) for s in shares]
+    got = _at(df, column, [p for i, _ in spots for p in (i, min(i + 1, n - 1))])
+    return [float(got[i] + (got[min(i + 1, n - 1)] - got[i]) * f) for i, f in spots]
+
+
+def nearest_rank(df: DataFrame, column: str, percents: list[float]) -> DataFrame:
+    """percent, value: the sorted value at index floor(p / 100 * (n - 1))."""
+    n = df.select(F.count(column)).first()[0]
+    spots = [(float(p), int(p / 100.0 * (n - 1))) for p in percents] if n else []
+    got = _at(df, column, [i for _, i in spots])
+    kind = df.schema[column].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(p, got[i]) for p, i in spots], f"percent double, value {kind}")
 
 
 def summary(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    q = F.percentile(column, F.array(*[F.lit(s) for s in shares])).alias("q")
-    s = df.agg(F.count(column).alias("n"), F.min(column).alias("least"), F.max(column).alias("most"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), q)
-    return s.select("n", *[F.round(c, 6).alias(c) for c in ("least", "most", "mean", "std")], *[F.round(F.get("q", F.lit(i)), 6).alias(f"q{i}") for i in range(len(shares))])
+    q = quantiles(df, column, shares) or [None] * len(shares)
+    s = df.agg(F.count(column).alias("n"), F.min(column).alias("least"), F.max(column).alias("most"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+    return s.select("n", *[F.round(c, 6).alias(c) for c in ("least", "most", "mean", "std")], *[F.round(F.lit(v).cast("double"), 6).alias(f"q{i}") for i, v in enumerate(q)])
+
+
+def diagnostic_report(scores: DataFrame, column: str = "scaled", facts: dict[str, float] | None = None) -> DataFrame:
+    """One row: n, std, tail_gap (99th less 50th percentile), issues and positives (arrays of text), verdict. facts: of
+    the model, as ``keyed.diagnose`` gives them: accepted_rate, signal_corr, nonzero_ratio, projection_variance."""
+    q, facts = quantiles(scores, column, [0.5, 0.99]) or [None, None], facts or {}
+    gap = F.lit(q[1] - q[0] if q[0] is not None else None).cast("double")
+    checks = [(F.col("std") < 0.03, "scores spread little", "scores spread"), (gap < 0.08, "the upper tail is weak", "there is an upper tail")]
+    for name, bad, no, yes in (
+        ("accepted_rate", lambda v: v < 0.05 or v > 0.98, "the memory takes nearly all or nothing", "the memory is selective"), ("signal_corr", lambda v: abs(v) < 0.2, "the memory's distance says little of the score", "the memory's distance carries the score"),
+        ("nonzero_ratio", lambda v: v < 0.001, "histograms are nearly empty", "histograms are filled"), ("projection_variance", lambda v: v < 1e-4, "projections have collapsed", "projections vary"),
+    ):
+        if name in facts:
+            checks.append((F.lit(bad(facts[name])), no, yes))
+    held = [F.coalesce(c, F.lit(False)) for c, _, _ in checks]
+    pick = lambda cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
+    s = scores.agg(F.count(column).alias("n"), F.stddev_pop(column).alias("std")).select("n", "std", gap.alias("tail_gap"), *[h.alias(f"h{i}") for i, h in enumerate(held)])
+    s = s.withColumn("issues", pick([F.when(F.col(f"h{i}"), no) for i, (_, no, _) in enumerate(checks)])).withColumn("positives", pick([F.when(~F.col(f"h{i}"), yes) for i, (_, _, yes) in enumerate(checks)]))
+    verdict = F.when((F.size("issues") >= 3) & (F.size("positives") <= 2), "weak").when(F.size("positives") >= 3, "meaningful").otherwise("mixed")
+    return s.select("n", F.round("std", 6).alias("std"), F.round("tail_gap", 6).alias("tail_gap"), "issues", "positives", verdict.alias("verdict"))
+
+
+def changes(df: DataFrame, column: str, seq: str = "seq") -> DataFrame:
+    """One row: in how many places of the order of seq the column is another than just before, the first row included.
+    Rows are dealt by ranges of seq; the first and last row of each range meet those of its neighbours."""
+    d = df.select(F.col(seq).alias("seq"), F.col(column).alias("v"))
+    d = d.withColumn("range__", _ranges(d, "seq"))
+    w = Window.partitionBy("range__").orderBy("seq")
+    inner = d.withColumn("new", (F.row_number().over(w) > 1) & ~F.lag("v").over(w).eqNullSafe(F.col("v")))
+    by = inner.groupBy("range__").agg(F.sum(F.col("new").cast("long")).alias("n"), F.min_by(F.struct("v"), "seq").alias("head"), F.max_by(F.struct("v"), "seq").alias("last"))
+    across = Window.orderBy("range__")  # a row a range
+    by = by.withColumn("edge", (F.row_number().over(across) == 1) | ~F.lag("last").over(across).eqNullSafe(F.col("head")))
+    return by.agg(F.coalesce(F.sum(F.col("n") + F.col("edge").cast("long")), F.lit(0)).alias("changes"))
+
+
+def or_flag(events: DataFrame, ids: DataFrame, flag: str = "anomaly") -> DataFrame:
+    """The events, flagged if they are already or their id is among ``ids`` (event_id)."""
+    named = ids.select(F.col("event_id").alias("flagged_id")).distinct()
+    out = events.join(named, F.col("event_id") == F.col("flagged_id"), "left")
+    return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) | F.col("flagged_id").isNotNull()).drop("flagged_id")
+
+
+def matched_patterns(events: DataFrame, patterns: list[str], path: str = "fd_path") -> DataFrame:
+    """pattern, paths: those of the patterns that some path equals or matches, and how many different ones do. The
+    patterns are the driver's list; each path is tested once."""
+    hits = F.filter(F.array(*[F.when((F.col(path) == p) | F.col(path).rlike(glob_regex(p)), F.lit(p)) for p in patterns]), lambda x: x.isNotNull())
+    return events.where(F.col(path).isNotNull()).select(path).distinct().select(F.explode(hits).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("paths"))
+
+
+def index_of(events: DataFrame, event_id: str) -> DataFrame:
+    """seq of the first event with this id; null if there is none."""
+    return events.where(F.col("event_id") == event_id).agg(F.min("seq").alias("seq"))
+
+
+def in_time(events: DataFrame, path: str = "fd_path") -> DataFrame:
+    """By time, then path; missing paths first."""
+    return events.orderBy("ts_unix_nano", F.coalesce(path, F.lit("")), "seq")
+
+
+def select_rows(rows: DataFrame, positive: str, key: list[str], total: int, positive_share: float, warmup_share: float, seed: str = "s") -> DataFrame:
+    """A sample without replacement of ``total`` rows with so many positives, with ``position``: first a warm-up without
+    positives, then the rest shuffled. Order and choice come from a hash of seed and key. What can't be done raises."""
+    if total <= 0:
+        raise ValueError("the total must be above 0")
+    if not 0 <= positive_share <= 1:
+        raise ValueError("the share of positives is from 0 to 1")
+    if not 0 <= warmup_share < 1:
+        raise ValueError("the share of the warm-up is from 0 to below 1")
+    want = round(total * positive_share)
+    others, warm = total - want, int(total * warmup_share)
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(positive).cast("long")), F.lit(0)).alias("p")).first()
+    if want > n["p"]:
+        raise ValueError(f"{want} positives are asked for, there are {n['p']}")
+    if others > n["n"] - n["p"]:
+        raise ValueError(f"{others} negatives are asked for, there are {n['n'] - n['p']}")
+    if warm > others:
+        raise ValueError(f"the warm-up takes {warm} negatives of {others}")
+    if want > total - warm:
+        raise ValueError(f"{want} positives don't fit behind the warm-up")
+    order = F.md5(F.concat_ws(":", F.lit(seed), *key))
+    ranked = rows.withColumn("order__", order)
+    # of each class only the least hashes are ranked, so that the windows hold the sample and no more
+    few = [ranked.where(F.col(positive) == is_).orderBy("order__", *key).limit(k) for is_, k in ((True, want), (False, others))]
+    w = Window.orderBy("order__", *key)
+    negative = few[1].withColumn("nth__", F.row_number().over(w))
+    tail = negative.where(F.col("nth__") > warm).drop("nth__").unionByName(few[0]).withColumn("order__", F.md5(F.concat_ws(":", F.lit(seed), F.lit("tail"), *key)))
+    return negative.where(F.col("nth__") <= warm).withColumn("position", F.col("nth__") - 1).drop("nth__", "order__").unionByName(tail.withColumn("position", F.row_number().over(w) + warm - 1).drop("order__"))
 
 
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -183,13 +309,16 @@ def activity(df: DataFrame, benign: list[str], sensitive: list[str]) -> DataFram
     return d.agg(n(F.col("b") & a).alias("benign_flagged"), n(F.col("b") & ~a).alias("benign_quiet"), n(F.col("s") & a).alias("sensitive_flagged"), n(F.col("s") & ~a).alias("sensitive_quiet"))
 
 
-def downsample(df: DataFrame, most: int) -> DataFrame:
-    """Every so manyth row by seq, and the last; 0 or less keeps all. Numbers come from ranks dealt by range."""
+def downsample(df: DataFrame, most: int, seq: str = "seq") -> DataFrame:
+    """Every so manyth row in the order of seq, and the last; 0 or less keeps all. Ranks come from counts by range of seq
+    (``cumulated``), so no task sees all rows. Rows of one seq have one rank."""
     if most <= 0:
         return df
-    top = df.agg(F.max("seq").alias("m"), F.count(F.lit(1)).alias("n")).first()
-    step = max(1, -(-(top["n"] or 0) // most))
-    return df.where((F.pmod("seq", F.lit(step)) == 0) | (F.col("seq") == F.lit(top["m"])))
+    n = df.where(F.col(seq).isNotNull()).count()
+    step = max(1, -(-n // most))
+    ranks = cumulated(df, seq).select(F.col("value").alias("seq__"), (F.col("upto") - F.col("c")).alias("rank__"), (F.col("upto") == n).alias("last__"))
+    kept = ranks.where((F.col("rank__") % step == 0) | F.col("last__")).select("seq__")
+    return df.join(kept, F.col(seq) == F.col("seq__")).drop("seq__")
 
 
 def stratified(df: DataFrame, label: str, sizes: dict[str, int], seed: str, key: str = "event_id") -> DataFrame:
@@ -203,12 +332,18 @@ def stratified(df: DataFrame, label: str, sizes: dict[str, int], seed: str, key:
 
 
 def nearest_to(df: DataFrame, score: str, shares: list[float], k: int) -> DataFrame:
-    """For each quantile, the k events whose score is nearest."""
-    at = df.agg(F.percentile(score, F.array(*[F.lit(s) for s in shares]))).first()[0] or []  # one number a share
-    gaps = F.array(*[F.abs(F.col(score) - F.lit(float(v))) for v in at])
-    gap = df.select("event_id", "seq", F.posexplode(gaps).alias("target", "gap")) if at else df.selectExpr("event_id", "seq", "0 as target", "0D as gap").limit(0)
-    w = Window.partitionBy("target").orderBy("gap", "seq")
-    return gap.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("target", "rank", "event_id", F.round("gap", 6).alias("gap"))
+    """For each quantile, the k events whose score is nearest; an event that an earlier quantile has is not picked again.
+    Only the first k * (quantiles) of each are ranked, as earlier ones can take no more than that."""
+    at = quantiles(df, score, shares)  # one number a share
+    out = None
+    for i, v in enumerate(at):
+        near = df.select("event_id", "seq", F.abs(F.col(score) - F.lit(v)).alias("gap")).orderBy("gap", "seq").limit(k * (i + 1))
+        if out is not None:
+            near = near.join(out.select("event_id"), "event_id", "left_anti")
+        rank = F.row_number().over(Window.orderBy("gap", "seq"))
+        got = near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.lit(i).alias("target"), "rank", "event_id", F.round("gap", 6).alias("gap"))
+        out = got if out is None else out.unionByName(got)
+    return out if out is not None else df.selectExpr("0 as target", "0 as rank", "event_id", "0D as gap").limit(0)
 
 
 def poll_rates(polls: DataFrame) -> DataFrame:

@@ -640,13 +640,13 @@ class Word2Vec:
 
 
 class RollingRank:
-    """The share of the last ``window`` scores not above a new one."""
+    """The share of the last ``window`` scores not above a new one; scores that differ by rounding only are equal."""
 
     def __init__(self, window: int = 2048, warmup: int = 128):
         self.window, self.warmup, self.order, self.sorted = window, warmup, deque(), []
 
     def step(self, raw: float) -> float:
-        x = math.log1p(max(0.0, raw))
+        x = round(math.log1p(max(0.0, raw)), 12)
         out = bisect_right(self.sorted, x) / len(self.sorted) if len(self.sorted) >= max(1, self.warmup) else 0.0
         self.order.append(x)
         insort(self.sorted, x)

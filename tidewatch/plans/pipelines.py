@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields
 
@@ -97,13 +98,22 @@ for _name, _builder in (("single_model", single_model), ("sequence_mlp", sequenc
     register(_name, _builder)
 
 
-def eval_matrix(events: DataFrame, labels: DataFrame, algorithms: list[str], thresholds: list[float], names: list[str], key: str = "event_group") -> DataFrame:
-    """algorithm, threshold and confusion counts. Each algorithm scores once: thresholds don't feed back."""
-    df = features.extract(events, names)
-    out = None
+CELLS = ("tp", "fp", "fn", "tn")
+
+
+def eval_matrix(events: DataFrame, labels: DataFrame, algorithms: list[str], thresholds: list[float], names: list[str], key: str = "event_group", params: dict[str, dict] | None = None) -> DataFrame:
+    """algorithm, threshold, confusion counts, error and seconds. Each algorithm scores once: thresholds don't feed back.
+    One that fails has its error in place of counts, and the others go on."""
+    spark, df, out = events.sparkSession, features.extract(events, names), []
     for a in algorithms:
-        s = keyed.score(df, a, names, key).select("event_id", "scaled").join(labels, "event_id")
-        cells = [F.struct(F.lit(t).alias("t"), *[F.sum(c.cast("long")).alias(k) for k, c in (("tp", (F.col("scaled") >= t) & F.col("positive")), ("fp", (F.col("scaled") >= t) & ~F.col("positive")), ("fn", (F.col("scaled") < t) & F.col("positive")), ("tn", (F.col("scaled") < t) & ~F.col("positive")))]) for t in thresholds]
-        rows = s.agg(F.array(*cells).alias("c")).select(F.lit(a).alias("algorithm"), F.explode("c").alias("c")).select("algorithm", F.col("c.t").alias("threshold"), "c.tp", "c.fp", "c.fn", "c.tn")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        began, counts, error = time.time(), {}, None
+        try:
+            s = keyed.score(df, a, names, key, **(params or {}).get(a, {})).select("event_id", "scaled").join(labels, "event_id")
+            over, yes = [F.col("scaled") >= t for t in thresholds], F.col("positive")
+            cells = [F.coalesce(F.sum(c.cast("long")), F.lit(0)) for o in over for c in (o & yes, o & ~yes, ~o & yes, ~o & ~yes)]
+            got = list(s.agg(*cells).first())  # four numbers a threshold
+            counts = {t: got[4 * i : 4 * i + 4] for i, t in enumerate(thresholds)}
+        except Exception as e:  # whatever it is, it is a result of the evaluation
+            error = str(e).splitlines()[0]
+        out += [(a, float(t), *counts.get(t, [None] * 4), error, time.time() - began) for t in thresholds]
+    return spark.createDataFrame(out, "algorithm string, threshold double, " + ", ".join(f"{c} long" for c in CELLS) + ", error string, seconds double")

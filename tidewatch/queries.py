@@ -256,7 +256,8 @@ def enter_exit(spark, d):
     return env(spark, d).select("event_id", F.lead("event_id").over(Window.partitionBy("tid").orderBy(*native.ORDER)).alias("exit_id"))
 
 
-@query("subsequence", None)
+@query("subsequence", WITH_ENV + """, t as (select pid, list(syscall_name order by ts_unix_nano, seq) as s from env where syscall_name in ('execve', 'openat', 'connect', 'unlink') group by 1)
+select pid, cast(list_reduce(list_prepend(0, list_transform(s, lambda x: list_position(['execve', 'openat', 'connect', 'unlink'], x))), lambda i, x: case when x = i + 1 then x else i end) as integer) as matched from t""")
 def subsequence(spark, d):
     return analytics.subsequence(env(spark, d), ["execve", "openat", "connect", "unlink"], "pid", "syscall_name")
 
@@ -330,10 +331,10 @@ def top_counts(spark, d):
     return analytics.top_counts(env(spark, d), "comm")
 
 
-@query("compare_replays", "with a as (select event_id, value as x from events where event_id % 3 <> 0), b as (select event_id, round(value, 1) as y from events where event_id % 2 = 0) select count(*) as matched, round(avg(abs(x - y)), 6) as mae, round(max(abs(x - y)), 6) as max_diff, round(corr(x, y), 6) as r, min(x) = max(x) as one_x, min(y) = max(y) as one_y from a join b using (event_id)")
+@query("compare_replays", "with a as (select event_id, value as x from events), b as (select event_id, round(value, 1) as y from events) select count(*) as matched, round(avg(abs(x - y)), 6) as mae, round(max(abs(x - y)), 6) as max_diff, round(corr(x, y), 6) as r, min(x) = max(x) as one_x, min(y) = max(y) as one_y from a join b using (event_id)")
 def compare_replays(spark, d):
     e = table(spark, d, "events")
-    return r6(analytics.compare_replays(e.where("event_id % 3 <> 0").select("event_id", F.col("value").alias("score")), e.where("event_id % 2 = 0").select("event_id", F.round("value", 1).alias("score"))))
+    return r6(analytics.compare_replays(e.select("event_id", F.col("value").alias("score")), e.select("event_id", F.round("value", 1).alias("score"))))
 
 
 @query("capacity", "with c as (select event_id, value / 2 as cpu, value / 3 as mem, user_id / 150.0 as queue, event_id % 50 // 49 as drops, value / 200 as load_per_cpu from events) select event_id, case when cpu >= 90 or mem >= 92 or queue >= 0.9 or drops > 0 then 'Saturated' when cpu >= 75 or mem >= 82 or queue >= 0.6 or load_per_cpu >= 0.9 then 'Near Limit' else 'OK' end as status from c")
@@ -360,9 +361,9 @@ def activity(spark, d):
     return analytics.activity(_decided(spark, d), ["/tmp/*", "/proc/f2"], ["/etc/f?", "/root/*"])
 
 
-@query("log_search", "select event_id from (select * from env order by seq desc limit 5000) where contains(lower(comm), 'bash') and contains(lower(fd_path), '/etc') and contains(lower(concat_ws(' ', comm, fd_path, syscall_name, hostname, event_group)), 'node-1')")
+@query("log_search", "select event_id from (select * from env order by seq desc limit 50000) where contains(lower(comm), 'bash') and contains(lower(fd_path), '/etc') and contains(lower(concat_ws(' ', comm, fd_path, syscall_name, hostname, event_group)), 'node-1')")
 def log_search(spark, d):
-    return analytics.search(env(spark, d), "comm=bash path=/etc node-1 other=x", scan=5000).select("event_id")
+    return analytics.search(env(spark, d), "comm=bash path=/etc node-1 other=x").select("event_id")
 
 
 @query("log_tail", "select event_id, comm from (select * from env order by seq desc limit 100)")
@@ -380,7 +381,7 @@ def glob_match(spark, d):
     return env(spark, d).select("event_id", analytics.first_pattern(F.col("fd_path"), ["/etc/f1", "/etc/*", "/[tp]*/f[0-4]"]).alias("pattern"))
 
 
-@query("downsample", "select event_id from events, (select max(event_id) as m, greatest(1, cast(ceil(count(*) / 300) as bigint)) as step from events) where event_id % step = 0 or event_id = m")
+@query("downsample", "select event_id from (select event_id, row_number() over (order by event_id) - 1 as i, count(*) over () as n from events) where i % greatest(1, cast(ceil(n / 300) as bigint)) = 0 or i = n - 1")
 def downsample(spark, d):
     return analytics.downsample(table(spark, d, "events").withColumn("seq", F.col("event_id")), 300).select("event_id")
 
@@ -395,9 +396,11 @@ def top_scores(spark, d):
     return r6(_decided(spark, d).orderBy(F.desc("primary"), "seq").limit(20).select("event_id", "primary"))
 
 
-@query("nearest_to_quantiles", """with t as (select 0 as target, quantile_cont(value, 0.1) as a from events union all select 1, quantile_cont(value, 0.5) from events union all select 2, quantile_cont(value, 0.995) from events),
-g as (select target, event_id, abs(value - a) as gap, row_number() over (partition by target order by abs(value - a), event_id) as rank from events, t)
-select target, rank, event_id, round(gap, 6) as gap from g where rank <= 8""")
+@query("nearest_to_quantiles", """with t as (select quantile_cont(value, 0.1) as a, quantile_cont(value, 0.5) as b, quantile_cont(value, 0.995) as c from events),
+x as (select event_id, abs(value - a) as gap from events, t order by gap, event_id limit 8), y as (select event_id, abs(value - b) as gap from events, t where event_id not in (select event_id from x) order by gap, event_id limit 8),
+z as (select event_id, abs(value - c) as gap from events, t where event_id not in (select event_id from x union all select event_id from y) order by gap, event_id limit 8),
+u as (select 0 as target, * from x union all select 1, * from y union all select 2, * from z)
+select target, row_number() over (partition by target order by gap, event_id) as rank, event_id, round(gap, 6) as gap from u""")
 def nearest_to_quantiles(spark, d):
     return analytics.nearest_to(table(spark, d, "events").withColumn("seq", F.col("event_id")), "value", [0.1, 0.5, 0.995], 8)
 
@@ -434,24 +437,44 @@ def url_terms(spark, d):
     return table(spark, d, "pages").where(u.contains("a") & u.contains("1")).select("page_id")
 
 
-# models with state: no SQL says these; tests hold them against plain loops
+# models with state. SQL says those whose score is a window over earlier rows; tests hold the formulas of the others
+# against plain loops
 
 _NAMES = ["arg1_norm", "path_hash", "return_errno_norm", "syscall_nr_norm"]
 
 
-def _model_query(name: str, algorithm: str, **params) -> None:
-    @query(name)
+def _model_query(name: str, algorithm: str, sql: str | None = None, **params) -> None:
+    @query(name, sql)
     def run(spark, d):
         from tidewatch.streaming import keyed
 
         return r6(keyed.score(features.extract(env(spark, d), _NAMES), algorithm, _NAMES, window=256, warmup=32, **params).drop("error"))
 
 
-_model_query("model_zscore", "zscore")
+_ONE = "f as (select event_id, seq, ts_unix_nano, event_group, {}, malicious from env)".format(", ".join(f"cast({_FEATURES[n]} as double) as {n}" for n in _NAMES))
+_PRIOR = "partition by event_group order by ts_unix_nano, seq rows between unbounded preceding and 1 preceding"
+_ZS = ", ".join(f"coalesce(abs({n} - avg({n}) over w) / sqrt(greatest(coalesce(var_samp({n}) over w, 0), 1e-6)), 0)" for n in _NAMES)
+_MODEL_Z = f", {_ONE}, r as (select *, case when count(*) over w < 20 then 0.0 else list_avg([{_ZS}]) end as raw from f window w as ({_PRIOR}))"
+_RANKED = """, l as (select *, ln(1 + greatest(raw, 0)) as x, list(ln(1 + greatest(raw, 0))) over (partition by event_group order by ts_unix_nano, seq rows between 256 preceding and 1 preceding) as last from r),
+p as (select *, case when coalesce(len(last), 0) < {} then 0.0 else len(list_filter(last, lambda v: round(v, 12) <= round(x, 12))) / len(last) end as percentile from l)"""
+_KEYS = {"arg1_norm": "b", "path_hash": "h", "return_errno_norm": "b", "syscall_nr_norm": "b"}
+_BIN = {"b": "case when {0} <= 0 then 0 when {0} >= 1 then 65535 else cast(floor({0} * 65536) as bigint) end", "h": "cast(floor({0} * 10000 + 1e-6) as bigint)"}
+_MODEL_F = (
+    f", {_ONE}, k as (select *, " + ", ".join(f"{_BIN[t].format(n)} as k{i}" for i, (n, t) in enumerate(_KEYS.items())) + " from f), c as (select *, count(*) over w as t, "
+    + ", ".join(f"count(*) over w{i} as c{i}" for i in range(4)) + f" from k window w as ({_PRIOR}), " + ", ".join(f"w{i} as (partition by event_group, k{i} order by ts_unix_nano, seq rows between unbounded preceding and 1 preceding)" for i in range(4))
+    + f"), s as (select *, greatest(2.0, coalesce(sum(case when c1 = 0 then 1 else 0 end) over ({_PRIOR}), 0) + 1.0) as n1, 65536.0 as n0, 65536.0 as n2, 65536.0 as n3 from c), r as (select *, ("
+    + " + ".join(f"greatest(0, -ln((c{i} + 1) / (t + n{i})) - ln(n{i}))" for i in range(4)) + ") / 4 as raw from s)"
+)
+_SCORED = " select event_group, event_id, seq, round(raw, 6) as raw, round(1 - exp(-raw), 6) as scaled, round(percentile, 6) as percentile from p"
+_KNN = f""", {_ONE}, m as (select *, list([{', '.join(_NAMES)}]) over (partition by event_group order by ts_unix_nano, seq rows between 1024 preceding and 1 preceding) as seen from f),
+r as (select * exclude (seen), coalesce(list_avg(list_sort(list_transform(seen, lambda v: list_distance(v, [{', '.join(_NAMES)}])))[1:5]), 0.0) as raw from m)"""
+
+_model_query("model_zscore", "zscore", WITH_ENV + _MODEL_Z + _RANKED.format(32) + _SCORED)
+_model_query("model_freq1d", "freq1d", WITH_ENV + _MODEL_F + _RANKED.format(32) + _SCORED)
 _model_query("model_freq1d_decay", "freq1d", decay=0.999)
 _model_query("model_copulatree", "copulatree")
 _model_query("model_latentcluster", "latentcluster")
-_model_query("model_knn", "knn")
+_model_query("model_knn", "knn", WITH_ENV + _KNN + _RANKED.format(32) + _SCORED)
 _model_query("model_halfspacetrees", "halfspacetrees")
 _model_query("model_kitnet", "kitnet", grace_map=200, grace_train=500)
 _model_query("model_memstream", "memstream")
@@ -465,7 +488,8 @@ def model_sequence_mlp(spark, d):
     return r6(keyed.sequence_scores(env(spark, d), "syscall_name", "event_group", 4))
 
 
-@query("pipeline_single_model")
+@query("pipeline_single_model", WITH_ENV + _MODEL_F + _RANKED.format(128) + """, g as (select *, row_number() over (partition by event_group order by ts_unix_nano, seq) <= 200 as suppressed from p)
+select event_id, event_group as group_key, round(case when suppressed then 0.0 else least(percentile, 1.0) end, 6) as score, not suppressed and percentile >= 0.98 as anomaly from g""")
 def pipeline_single_model(spark, d):
     from tidewatch.plans import pipelines
 
@@ -487,22 +511,172 @@ def attribution(spark, d):
     return r6(keyed.explain(features.extract(env(spark, d), _NAMES), "loda_ema", _NAMES, top=10))
 
 
-@query("eval_matrix")
+_CELLS = ", ".join(f"count(*) filter (where scaled {o} t and {'' if y else 'not '}malicious) as {k}" for k, o, y in (("tp", ">=", 1), ("fp", ">=", 0), ("fn", "<", 1), ("tn", "<", 0)))
+
+
+@query("eval_matrix", f"{WITH_ENV} {_MODEL_Z}, y as (select r2.* from (select 1) cross join (select 'zscore' as algorithm, 1 - exp(-raw) as scaled, malicious from r) r2), {_MODEL_F.replace(f', {_ONE}, k as', 'k as').replace(', r as (', ', rf as (').replace('from k window', 'from k window')}, z as (select * from y union all select 'freq1d', 1 - exp(-raw), malicious from rf) select algorithm, cast(t as double) as threshold, {_CELLS} from z, (select unnest([0.5, 0.9, 0.98]) as t) group by all")
 def eval_matrix(spark, d):
     from tidewatch.plans import pipelines
 
     e = env(spark, d)
-    return pipelines.eval_matrix(e, e.select("event_id", F.col("malicious").alias("positive")), ["zscore", "freq1d", "loda_ema"], [0.5, 0.9, 0.98], _NAMES)
+    return pipelines.eval_matrix(e, e.select("event_id", F.col("malicious").alias("positive")), ["zscore", "freq1d"], [0.5, 0.9, 0.98], _NAMES).drop("error", "seconds")
+
+
+@query("eval_matrix_all")
+def eval_matrix_all(spark, d):
+    """Every algorithm, with one that can't run."""
+    from tidewatch.operators.models import MODELS
+    from tidewatch.plans import pipelines
+
+    e = env(spark, d)
+    return pipelines.eval_matrix(e, e.select("event_id", F.col("malicious").alias("positive")), [*sorted(MODELS), "unknown"], [0.5, 0.9, 0.98], _NAMES).drop("seconds")
 
 
-@query("checkpoint_resume")
+@query("checkpoint_resume", WITH_ENV + _MODEL_Z + _RANKED.format(128).replace("between 256", "between 2048") + _SCORED + " where seq > (select max(seq) // 2 from env)")
 def checkpoint_resume(spark, d):
-    """Learn the first half, then score the second from the checkpoint."""
+    """Learn the first half, then score the second from the checkpoint: as if there were no break."""
     from tidewatch.streaming import keyed
 
     e = features.extract(env(spark, d), _NAMES)
     half = e.agg(F.expr("max(seq) div 2")).first()[0] or 0
-    return r6(keyed.resume(e.where(F.col("seq") > half), keyed.train(e.where(F.col("seq") <= half), "loda_ema", _NAMES), _NAMES).drop("error"))
+    return r6(keyed.resume(e.where(F.col("seq") > half), keyed.train(e.where(F.col("seq") <= half), "zscore", _NAMES), _NAMES).drop("error"))
+
+
+@query("word_vectors")
+def word_vectors(spark, d):
+    """The vectors that the sequence model reads, as they are when each token comes."""
+    from tidewatch.streaming import keyed
+
+    return keyed.token_vectors(env(spark, d), "syscall_name", "event_group").select("event_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query("attribution_sanity")
+def attribution_sanity(spark, d):
+    from tidewatch.streaming import keyed
+
+    return r6(keyed.sanity(features.extract(env(spark, d), _NAMES), "loda_ema", _NAMES, top=5))
+
+
+@query("top_features")
+def top_features(spark, d):
+    from tidewatch.streaming import keyed
+
+    return r6(keyed.top_features(keyed.explain(features.extract(env(spark, d), _NAMES), "loda_ema", _NAMES, top=10), 2))
+
+
+# joins and selections of the logs
+
+@query("prefilter", "select event_id from env where (syscall_nr = 257 and comm = 'bash') or (uid = '3' and starts_with(coalesce(fd_path, '-'), '/etc')) or pid = '7'")
+def prefilter(spark, d):
+    return rules.prefilter(env(spark, d), [{"syscall_nr": 257, "comm": "bash"}, {"uid": "3", "path_prefix": "/etc"}, {"pid": "7"}]).select("event_id")
+
+
+@query("rules_by_number", "select event_id from env where syscall_nr in (0, 257, 87)")
+def rules_by_number(spark, d):
+    """Calls are known by number where they have no name."""
+    r = rules.load({"groups": {"file": {"syscalls": ["read", "openat", "unlink"]}}, "rules": [{"name": "files", "group": "file"}]})
+    return rules.classify(env(spark, d).withColumn("syscall_name", F.lit("")), r).select("event_id")
+
+
+@query("inferred_groups", "select syscall_name, case when syscall_name in ('read', 'openat', 'unlink') then 'file' when syscall_name = 'connect' then 'network' else '' end as inferred, count(*) as n from env group by all")
+def inferred_groups(spark, d):
+    r = rules.load({"groups": {"file": {"syscalls": ["read", "openat", "unlink"]}}, "rules": [{"name": "files", "group": "file"}]})
+    return env(spark, d).groupBy("syscall_name", rules.inferred_group(F.col("syscall_name"), r).alias("inferred")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("numbered_calls", "select event_id, case syscall_name when 'read' then 0 when 'execve' then 59 else -1 end as syscall_nr from env")
+def numbered_calls(spark, d):
+    return rules.numbered(env(spark, d), rules.call_numbers("#define __NR_read 0\n#define __NR_execve 59\n"), -1).select("event_id", "syscall_nr")
+
+
+@query("or_flag", "select event_id, value > 150 or cast(event_id as bigint) in (select doc_id from labels where toxic = 1) as anomaly from env")
+def or_flag(spark, d):
+    ids = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("event_id"))
+    return analytics.or_flag(env(spark, d).withColumn("anomaly", F.col("value") > 150), ids).select("event_id", "anomaly")
+
+
+@query("matched_patterns", "with p as (select distinct fd_path from env where fd_path is not null) select '/etc/*' as pattern, count(*) as paths from p where starts_with(fd_path, '/etc/') union all select '/tmp/f?', count(*) from p where regexp_full_match(fd_path, '/tmp/f.')".replace("with p", WITH_ENV + ", p"))
+def matched_patterns(spark, d):
+    return analytics.matched_patterns(env(spark, d), ["/etc/*", "/tmp/f?", "/nowhere/*"])
+
+
+@query("index_of", "select min(seq) as seq from env where event_id = '17'")
+def index_of(spark, d):
+    return analytics.index_of(env(spark, d), "17")
+
+
+@query("network_rows", "select event_id from env where syscall_name = 'connect'")
+def network_rows(spark, d):
+    from tidewatch.sources import logs
+
+    return logs.network_rows(env(spark, d), "syscall_name").select("event_id")
+
+
+@query("csv_events", """select 'syn-' || seq as event_id, syscall_name, 1000000000 + seq * 1000000 as ts_unix_nano, syscall_nr, comm, pid, coalesce(fd_sock_remote_port, '') as port, coalesce(fd_path, '') as path,
+    case when fd_sock_remote_port is null and comm = 'bash' then '1.2.3.4' else arg1 end as arg1, case when malicious then 1 else 0 end as evil from env""")
+def csv_events(spark, d):
+    from tidewatch.sources import logs
+
+    rows = env(spark, d).select("seq", F.col("syscall_name").alias("eventName"), "syscall_nr", F.concat(F.lit(" "), "comm").alias("comm"), "pid", "tid", "uid", "arg0", "arg1", F.col("fd_path").alias("path"), F.col("fd_sock_remote_port").alias("sin_port"), F.col("malicious").cast("int").alias("evil"), F.when(F.col("comm") == "bash", "1.2.3.4").alias("sockaddr"))
+    e = logs.csv_events(rows, "seq", 1_000_000_000, "syn")
+    of = lambda k: F.coalesce(F.try_element_at("attributes", F.lit(k)), F.lit(""))
+    return e.select("event_id", "syscall_name", "ts_unix_nano", "syscall_nr", "comm", "pid", of("fd_sock_remote_port").alias("port"), of("fd_path").alias("path"), "arg1", "evil")
+
+
+@query("select_rows", WITH_ENV + """, r as (select event_id, malicious, row_number() over (partition by malicious order by md5('s:' || event_id), event_id) as i from env),
+k as (select event_id, malicious, not malicious and i <= 100 as warm from r where i <= case when malicious then 20 else 180 end)
+select event_id, malicious, case when warm then row_number() over (partition by warm order by md5('s:' || event_id), event_id) - 1 else 99 + row_number() over (partition by warm order by md5('s:tail:' || event_id), event_id) end as position from k""")
+def select_rows(spark, d):
+    return analytics.select_rows(env(spark, d), "malicious", ["event_id"], 200, 0.1, 0.5).select("event_id", "malicious", "position")
+
+
+@query("score_records", WITH_ENV + _DECIDED.replace("event_group, {a}", "event_group, {a}") + """ select p.event_id, p.event_group, round(raw, 6) as score_raw, round(p.scaled, 6) as score_scaled, round(primary_, 6) as score_primary, 'scaled' as score_mode, suppressed as suppress_primary,
+    cast(0.9 as double) as threshold, not suppressed and primary_ >= 0.9 as anomaly, env.malicious as expected_anomaly from p join env using (event_id)""")
+def score_records(spark, d):
+    from tidewatch.sources import logs
+
+    return r6(logs.score_records(_decided(spark, d), "scaled", 0.9, "malicious").drop("syscall_name"))
+
+
+@query("score_summary", WITH_ENV + _DECIDED + """, j as (select not suppressed and primary_ >= 0.9 as a, malicious as e from p join env using (event_id))
+select count(*) as events_scored, count(*) filter (where a) as predicted_anomalies, count(e) as labeled_events, count(*) filter (where a and e) as tp, count(*) filter (where a and not e) as fp, count(*) filter (where not a and e) as fn, count(*) filter (where not a and not e) as tn, '{"threshold": 0.9}' as settings from j""")
+def score_summary(spark, d):
+    from tidewatch.sources import logs
+
+    return logs.score_summary(logs.score_records(_decided(spark, d), "scaled", 0.9, "malicious"), {"threshold": 0.9})
+
+
+@query("reasons", WITH_ENV + _DECIDED + " select event_id, printf('score %.3f >= 0.900', primary_) as reason from p where not suppressed and primary_ >= 0.9")
+def reasons(spark, d):
+    return _decided(spark, d).where("reason is not null").select("event_id", "reason")
+
+
+@query("diagnostic_report", WITH_ENV + _DECIDED + """, q as (select count(*) as n, stddev_pop(scaled) as std, quantile_cont(scaled, 0.99) - quantile_cont(scaled, 0.5) as gap from p)
+select n, round(std, 6) as std, round(gap, 6) as tail_gap, concat_ws('; ', case when std < 0.03 then 'scores spread little' end, case when gap < 0.08 then 'the upper tail is weak' end) as issues,
+concat_ws('; ', case when std >= 0.03 then 'scores spread' end, case when gap >= 0.08 then 'there is an upper tail' end) as positives, 'mixed' as verdict from q""")
+def diagnostic_report(spark, d):
+    out = analytics.diagnostic_report(_decided(spark, d))
+    return out.withColumns({c: F.array_join(c, "; ") for c in ("issues", "positives")})
+
+
+@query("sql_functions", f"select event_id, round({H.format('comm')}, 6) as h, printf('%016x-%08x', ts_unix_nano // 1000, cast(pid as bigint)) as id from env")
+def sql_functions(spark, d):
+    features.register_sql(spark)
+    return spark.sql("select event_id, round(hash01(comm), 6) as h, event_id_text(ts_unix_nano div 1000, cast(pid as bigint)) as id from {e}", e=env(spark, d))
+
+
+@query("concat_features", f"select event_id, round({H.format('comm')}, 6) as a, cast(2 as double) as b, lower(trim(comm)) as c from env")
+def concat_features(spark, d):
+    m = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)])
+    both = features.concat_features(m(a=F.lit(5.0), b=F.lit(1.0)), m(b=F.lit(2.0), a=features.hash01(F.col("comm"))), F.lit(None).cast("map<string,double>"))
+    return r6(env(spark, d).select("event_id", both["a"].alias("a"), both["b"].alias("b"), features.field_text("comm").alias("c")))
+
+
+@query("recordings", WITH_ENV + ", l as (select seq, recording_name, lag(recording_name) over (order by seq) as before from env) select cast(sum(case when before is null or before <> recording_name then 1 else 0 end) as bigint) as recordings from l")
+def recordings(spark, d):
+    """A recording begins wherever the name changes; each range of rows is looked at by itself, and its ends against its
+    neighbours'."""
+    return analytics.changes(env(spark, d), "recording_name").select(F.col("changes").alias("recordings"))
 
 
 @query("event_ids", "select event_id, printf('%016x-%08x', epoch_us(ts), user_id) as id from events")
@@ -511,7 +685,7 @@ def event_ids(spark, d):
     return e.select(F.col("seq").alias("event_id"), features.event_id(F.expr("ts_unix_nano div 1000"), F.col("pid")).alias("id"))
 
 
-@query("inherited_paths", """with recursive o as (select user_id as pid, cast(json_extract_string(props, '$.k') as bigint) % 4 as fd, min(event_id) as path from events where event_type = 'click' and user_id % 3 = 0 group by all),
+@query("inherited_paths", """with recursive o as (select user_id as pid, cast(json_extract_string(props, '$.k') as bigint) % 4 as fd, min(event_id) as path from events where event_type = 'click' group by all),
 p as (select distinct user_id as pid, user_id // 2 as ppid from events), up as (select pid, pid as anc, 0 as hop from p union all select up.pid, p.ppid, up.hop + 1 from up join p on up.anc = p.pid where up.hop < 8 and p.ppid <> p.pid),
 r as (select up.pid, o.fd, o.path, up.hop, row_number() over (partition by up.pid, o.fd order by up.hop) as rn from up join o on up.anc = o.pid)
 select pid, fd, path, hop from r where rn = 1""")
@@ -520,7 +694,7 @@ def inherited_paths(spark, d):
 
     e = table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    opened = e.where("event_type = 'click' and user_id % 3 = 0").groupBy(F.col("user_id").alias("pid"), (k % 4).alias("fd")).agg(F.min("event_id").alias("path"))
+    opened = e.where("event_type = 'click'").groupBy(F.col("user_id").alias("pid"), (k % 4).alias("fd")).agg(F.min("event_id").alias("path"))
     return lineage.inherited_paths(opened, e.select(F.col("user_id").alias("pid"), F.expr("user_id div 2").alias("ppid")).distinct())
 
 

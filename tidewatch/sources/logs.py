@@ -112,6 +112,36 @@ def scored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", pick.try_cast("double")).where("value is not null")
 
 
+def labelled_csv(spark: SparkSession, *paths: str) -> DataFrame:
+    """The rows of CSV files with headers, as strings, with source_file and source_row (from 0, in the file's order)."""
+    rows = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(list(paths)).select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block__"))
+    w = Window.partitionBy("source_file").orderBy("block__", "at__")
+    return rows.withColumn("at__", F.monotonically_increasing_id()).withColumn("source_row", F.row_number().over(w) - 1).drop("block__", "at__")
+
+
+def network_rows(rows: DataFrame, name: str = "eventName") -> DataFrame:
+    from tidewatch.functions.rules import NETWORK_CALLS
+
+    return rows.where(F.lower(F.trim(F.coalesce(name, F.lit("")))).isin(list(NETWORK_CALLS)))
+
+
+def csv_events(rows: DataFrame, position: str, start_ns: int, prefix: str) -> DataFrame:
+    """Events and labels of labelled CSV rows: an id of prefix and position, a millisecond from one to the next, socket
+    attributes where a row has them, else its socket address as arg1. Columns that a file lacks count as missing."""
+    there = {c.lower() for c in rows.columns}
+    col = lambda c: F.col(c).cast("string") if c.lower() in there else F.lit(None).cast("string")
+    some = lambda c: F.nullif(col(c), F.lit(""))
+    number = lambda c: F.greatest(F.coalesce(col(c).try_cast("bigint"), F.lit(0)), F.lit(0))
+    socket = F.coalesce(some("sin_port"), some("sin_addr"), some("sa_family")).isNotNull()
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), some(c).alias("value")) for k, c in (("fd_sock_remote_port", "sin_port"), ("fd_sock_remote_addr", "sin_addr"), ("fd_sock_family", "sa_family"))], F.struct(F.lit("fd_path").alias("key"), F.nullif(F.trim(col("path")), F.lit("")).alias("value")))
+    return rows.select(
+        F.concat(F.lit(f"{prefix}-"), F.col(position).cast("string")).alias("event_id"), F.trim(F.coalesce(some("eventName"), some("syscall_name"), F.lit("unknown"))).alias("syscall_name"), F.lit("network").alias("event_group"),
+        (F.lit(start_ns) + F.col(position) * 1_000_000).cast("long").alias("ts_unix_nano"), number("syscall_nr").alias("syscall_nr"), F.trim(F.coalesce(col("comm"), F.lit(""))).alias("comm"),
+        *[F.coalesce(col(c), F.lit("0")).alias(c) for c in ("pid", "tid", "uid", "arg0")], F.when(~socket, some("sockaddr")).otherwise(F.lit(None)).alias("address__"), F.coalesce(col("arg1"), F.lit("0")).alias("arg1__"),
+        F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("attributes"), F.coalesce(col("sus").try_cast("int"), F.lit(0)).alias("sus"), F.coalesce(col("evil").try_cast("int"), F.lit(0)).alias("evil"),
+    ).withColumn("arg1", F.coalesce("address__", "arg1__")).drop("address__", "arg1__")
+
+
 def legacy(data: Column) -> dict[str, Column]:
     """Named fields of the positional array of old logs; numbers may be written in hex."""
     names = ("syscall_name", "syscall_nr", "comm", "pid", "tid", "uid", "arg0", "arg1", "path")
@@ -188,6 +218,30 @@ def dump(events: DataFrame, path: str, meta: dict) -> None:
     spark.createDataFrame([(json.dumps({"_meta": True, **meta}),)], "value string").coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_meta")
 
 
+def score_records(decided: DataFrame, mode: str, threshold: float, expected: str | None = None) -> DataFrame:
+    """A record for each decided event; write them with ``write.json``."""
+    label = F.col(expected) if expected else F.lit(None).cast("boolean")
+    return decided.select(
+        "event_id", "event_group", "syscall_name", F.col("raw").alias("score_raw"), F.col("scaled").alias("score_scaled"), F.col("primary").alias("score_primary"), F.lit(mode).alias("score_mode"),
+        F.col("suppressed").alias("suppress_primary"), F.lit(float(threshold)).alias("threshold"), "anomaly", label.alias("expected_anomaly"),
+    )
+
+
+def score_summary(records: DataFrame, settings: dict | None = None) -> DataFrame:
+    """One row: counts of the records, and the settings as JSON text."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    flagged, said = F.col("anomaly"), F.col("expected_anomaly")
+    return records.agg(
+        F.count(F.lit(1)).alias("events_scored"), n(flagged).alias("predicted_anomalies"), F.count(said).alias("labeled_events"),
+        *[n(F.coalesce(c, F.lit(False))).alias(k) for k, c in (("tp", flagged & said), ("fp", flagged & ~said), ("fn", ~flagged & said), ("tn", ~flagged & ~said))],
+    ).withColumn("settings", F.lit(json.dumps(settings or {}, sort_keys=True)))
+
+
+def reports(events: DataFrame, path: str) -> None:
+    """Appends id, reason, score and labels of what was flagged to the reports at ``path``."""
+    events.where("anomaly").select("event_id", "reason", "score", *[c for c in ("rule", "rule_group", "group_key") if c in events.columns], F.current_timestamp().alias("reported")).write.mode("append").parquet(path)
+
+
 def anomaly_log(events: DataFrame, path: str) -> None:
     events.where("anomaly").write.mode("append").json(path)
 

@@ -177,6 +177,18 @@ def sequence_scores(df: DataFrame, token: str, key: str, n: int = 4, vectors: di
     return in_order(df.select(key, "tid", "event_id", "ts_unix_nano", "seq", token), key, f"{key} string, event_id string, raw double", start, step)
 
 
+def token_vectors(df: DataFrame, token: str, key: str, **vectors) -> DataFrame:
+    """Append the Word2Vec vector of each event's token as learnt when it came (zeros while unknown). One table of vectors
+    a group, sentences by actor."""
+    from tidewatch.operators.models import Word2Vec
+
+    def step(table: Word2Vec, pdf: pd.DataFrame) -> pd.DataFrame:
+        got = [table.add(a, t.strip().lower() if isinstance(t, str) else "").tolist() for a, t in zip(pdf["tid"], pdf[token], strict=True)]
+        return pd.DataFrame({key: pdf[key].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "vector": got})
+
+    return in_order(df.select(key, "tid", "event_id", "ts_unix_nano", "seq", token), key, f"{key} string, event_id string, vector array<double>", lambda _: Word2Vec(**vectors), step)
+
+
 def _replayed(df: DataFrame, algorithm: str, features: list[str], key: str, top: int, params: dict, schema: str, of: Callable) -> DataFrame:
     """``of(model, event_id, vector)`` for the ``top`` highest scores of each key, against the model as it stood before
     each. A first pass finds them; the second learns again and stops at each. Of a key's rows only these are kept."""
