@@ -44,6 +44,30 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP3_SQL = r"""
+with d as (select row_number() over () as r, doc_id, text, string_split(text, chr(10)) as ls from documents),
+t as (select r, line, no, coalesce(cast(doc_id as hugeint), 9223372036854775808) * 4294967296 + no - 1 as place
+      from (select r, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as no from d)),
+f as materialized (select line, min(place) as first, any_value(length(line)) as n, any_value(strlen(line)) as bytes
+                   from t where regexp_matches(line, '[^ \t\n\x0B\f\r]') group by line),
+-- levenshtein counts bytes: 2 edits of characters are at most 8 of bytes, and such pairs are judged by character
+p as materialized (select a.line as a, b.line as b, a.n = a.bytes and b.n = b.bytes as plain, levenshtein(a.line, b.line) as e
+                   from f a join f b on b.n between a.n - 2 and a.n + 2 where b.first < a.first and least(a.n, b.n) >= 20 and abs(a.bytes - b.bytes) <= 8 and e <= 8),
+c as (select a, list_transform(range(1, length(a) + 1), lambda i: substr(a, i, 1)) as x, list_transform(range(1, length(b) + 1), lambda i: substr(b, i, 1)) as y from p where not plain),
+h as (select a, x, y, least(len(x), len(y)) as m, coalesce(nullif(list_position(list_transform(range(1, m + 1), lambda i: x[i] = y[i]), false), 0), m + 1) as k from c),
+b as (select a, list_reverse(x[k:]) as x, list_reverse(y[k:]) as y from h),
+g as (select a, x, y, least(len(x), len(y)) as m, coalesce(nullif(list_position(list_transform(range(1, m + 1), lambda i: x[i] = y[i]), false), 0), m + 1) as k from b),
+-- without common ends, two edits are the first and the last column of the alignment
+z as (select a, x[k:] as u, y[k:] as v from g),
+near as (select a from p where plain and e <= 2 union
+         select a from z where case when len(u) = 0 or len(v) = 0 then greatest(len(u), len(v)) <= 2
+           else len(list_filter([[1, 1], [1, 0], [0, 1]], lambda i: len(list_filter([[1, 1], [1, 0], [0, 1]], lambda j: u[1 + i[1]:len(u) - j[1]] = v[1 + i[2]:len(v) - j[2]])) > 0)) > 0 end),
+s as (select r, no, line, f.line is not null and (near.a is not null or place > first) as gone from t left join f using (line) left join near on near.a = line),
+k as (select r, count(*) filter (where gone) as n, string_agg(line, chr(10) order by no) filter (where not gone) as kept from s group by r)
+select doc_id, coalesce(n, 0) as n_lines_removed, sha256(case when text is not null then coalesce(kept, '') end) as kept_sha256 from d left join k using (r)
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "n_tokens", "copies")
 
@@ -120,4 +144,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op4_mixing": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op10_topk": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op10_topk": OP10_SQL}
