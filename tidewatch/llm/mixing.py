@@ -85,8 +85,11 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = 2
     spark = docs.sparkSession
     prepare(spark)
     stash = stash or Stash(spark, "mixing")
-    docs = docs.withColumn("__tokens", tokens(F.col(text)))
-    w = weights(docs, entropy, repeats, source, stash)
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    # the only pass over the words of the texts: what follows reads some 50 bytes a document
+    counted = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(source).alias("s"), tokens(F.col(text)).alias("__tokens"), order.alias("o"))
+    counted = stash.keep(counted, "counted")
+    w = weights(counted, entropy, repeats, "s", stash)
     best = w.agg(F.max(F.col("tokens") / F.col("weight")).alias("b")).first()[0]
     b = float(budget) if budget is not None else best or 0.0
     part = w.select(
@@ -95,10 +98,9 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = 2
     )
     part = part.select("__source", F.expr("quota div tokens").alias("full"), F.expr("quota % tokens").alias("rest"), "blocks")
     part = stash.keep(part, "quotas")
-    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
-    dealt = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(source).alias("__source"), "__tokens", order.alias("o"))
-    dealt = dealt.join(part, dealt["__source"].eqNullSafe(part["__source"])).select("id", "h", part["__source"].alias("s"), "__tokens", "o", "full", "rest", (F.col("o") % F.col("blocks")).alias("blk"))
+    dealt = counted.join(part, F.col("s").eqNullSafe(F.col("__source"))).select("id", "h", "s", "__tokens", "o", "full", "rest", (F.col("o") % F.col("blocks")).alias("blk"))
     dealt = stash.keep(dealt, "dealt")
+    stash.drop("counted")
     turn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("block"), F.col("blk").cast("string"))), 1, 15), 16, 10).cast("long")
     blocks = dealt.groupBy("s", "blk", "rest").agg(F.sum("__tokens").alias("t")).withColumn("turn", turn).withColumn("run", (F.col("turn") / F.lit((1 << 60) // RUN)).cast("long"))
     before = Window.partitionBy("s", "run").orderBy("turn", "blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,11 +115,11 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = 2
     upto = Window.partitionBy("s", "blk").orderBy("o", "id", "h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     split = both.where("not whole").withColumn("extra", (F.sum("__tokens").over(upto) <= F.col("room")).cast("long"))
     rest = both.where("whole is null or whole").withColumn("extra", F.coalesce(F.col("whole").cast("long"), F.lit(0)))
-    chosen = split.unionByName(rest).groupBy("id", "h").agg(F.max(F.col("full") + F.col("extra")).alias("copies"))
-    chosen = stash.keep(chosen.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "copies"), "copies")
+    chosen = split.unionByName(rest).groupBy("id", "h").agg(F.max("__tokens").alias("n_tokens"), F.max(F.col("full") + F.col("extra")).alias("copies"))
+    chosen = stash.keep(chosen.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "n_tokens", "copies"), "copies")
     stash.only("copies")
-    docs = docs.drop("copies", "n_tokens").withColumn("__key", F.xxhash64(text)).withColumnRenamed("__tokens", "n_tokens")
-    return docs.join(chosen, docs[key].eqNullSafe(chosen["__id"]) & (docs["__key"] == chosen["__h"])).drop("__id", "__h", "__key")
+    docs = docs.drop("copies", "n_tokens")
+    return docs.join(chosen, docs[key].eqNullSafe(chosen["__id"]) & (F.xxhash64(docs[text]) == chosen["__h"])).drop(chosen["__id"], chosen["__h"])
 
 
 def realise(mixed: DataFrame) -> DataFrame:
