@@ -73,18 +73,24 @@ def near_duplicates(df: DataFrame, columns: list[str], dropped: int) -> DataFram
 RANGES = 128
 
 
-def _ranges(df: DataFrame, column: str) -> Column:
-    """The number of the range a value is in, of about even ones: the bounds are that many numbers."""
+def _bounds(df: DataFrame, column: str) -> tuple[list, int]:
+    """Bounds of ranges that hold about as many rows each (a value that fills several is one of its own), and how many
+    values aren't null; in one pass."""
     at = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    got = sorted(set(df.agg(F.percentile_approx(column, at, F.lit(10_000))).first()[0] or []))
-    return F.size(F.filter(F.array(*[F.lit(v) for v in got]), lambda b: b <= F.col(column))) if got else F.lit(0)
+    got = df.agg(F.percentile_approx(column, at, F.lit(10_000)), F.count(column)).first()
+    return sorted(set(got[0] or [])), got[1]
 
 
-def cumulated(df: DataFrame, column: str) -> DataFrame:
+def _range(bounds: list, column: str) -> Column:
+    """The number of the range a value is in."""
+    return F.size(F.filter(F.array(*[F.lit(v) for v in bounds]), lambda b: b <= F.col(column))) if bounds else F.lit(0)
+
+
+def cumulated(df: DataFrame, column: str, bounds: list | None = None) -> DataFrame:
     """value, c, upto: each different value that isn't null, how often it comes, and how many are not larger. Counts are
     summed up within ranges of values, and across ranges over one row a range."""
     by = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    by = by.withColumn("range__", _ranges(by, "value"))
+    by = by.withColumn("range__", _range(_bounds(df, column)[0] if bounds is None else bounds, "value"))
     before = Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
     ahead = by.groupBy("range__").agg(F.sum("c").alias("s")).select(F.col("range__").alias("r"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("range__").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
@@ -92,29 +98,29 @@ def cumulated(df: DataFrame, column: str) -> DataFrame:
     return out.select("value", "c", (F.col("ahead") + F.sum("c").over(within)).alias("upto"))
 
 
-def _at(df: DataFrame, column: str, places: list[int]) -> dict[int, float]:
+def _at(df: DataFrame, column: str, places: list[int], bounds: list) -> dict[int, float]:
     """The sorted column's values at these places: one row a place."""
     if not places:
         return {}
     asked = F.filter(F.array(*[F.lit(p) for p in sorted(set(places))]), lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("c")))
-    return {p: r["value"] for r in cumulated(df, column).withColumn("places", asked).where(F.size("places") > 0).select("places", "value").collect() for p in r["places"]}
+    return {p: r["value"] for r in cumulated(df, column, bounds).withColumn("places", asked).where(F.size("places") > 0).select("places", "value").collect() for p in r["places"]}
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
     """Exact ones, interpolated between neighbours; none of an empty column."""
-    n = df.select(F.count(column)).first()[0]
+    bounds, n = _bounds(df, column)
     if not n:
         return []
     spots = [(int(s * (n - 1)), s * (n - 1) - int(s * (n - 1))) for s in shares]
-    got = _at(df, column, [p for i, _ in spots for p in (i, min(i + 1, n - 1))])
+    got = _at(df, column, [p for i, _ in spots for p in (i, min(i + 1, n - 1))], bounds)
     return [float(got[i] + (got[min(i + 1, n - 1)] - got[i]) * f) for i, f in spots]
 
 
 def nearest_rank(df: DataFrame, column: str, percents: list[float]) -> DataFrame:
     """percent, value: the sorted value at index floor(p / 100 * (n - 1))."""
-    n = df.select(F.count(column)).first()[0]
+    bounds, n = _bounds(df, column)
     spots = [(float(p), int(p / 100.0 * (n - 1))) for p in percents] if n else []
-    got = _at(df, column, [i for _, i in spots])
+    got = _at(df, column, [i for _, i in spots], bounds)
     kind = df.schema[column].dataType.simpleString()
     return df.sparkSession.createDataFrame([(p, got[i]) for p, i in spots], f"percent double, value {kind}")
 
@@ -149,7 +155,7 @@ def changes(df: DataFrame, column: str, seq: str = "seq") -> DataFrame:
     """One row: in how many places of the order of seq the column is another than just before, the first row included.
     Rows are dealt by ranges of seq; the first and last row of each range meet those of its neighbours."""
     d = df.select(F.col(seq).alias("seq"), F.col(column).alias("v"))
-    d = d.withColumn("range__", _ranges(d, "seq"))
+    d = d.withColumn("range__", _range(_bounds(d, "seq")[0], "seq"))
     w = Window.partitionBy("range__").orderBy("seq")
     inner = d.withColumn("new", (F.row_number().over(w) > 1) & ~F.lag("v").over(w).eqNullSafe(F.col("v")))
     by = inner.groupBy("range__").agg(F.sum(F.col("new").cast("long")).alias("n"), F.min_by(F.struct("v"), "seq").alias("head"), F.max_by(F.struct("v"), "seq").alias("last"))

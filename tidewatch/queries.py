@@ -471,7 +471,13 @@ r as (select * exclude (seen), coalesce(list_avg(list_sort(list_transform(seen,
 
 _model_query("model_zscore", "zscore", WITH_ENV + _MODEL_Z + _RANKED.format(32) + _SCORED)
 _model_query("model_freq1d", "freq1d", WITH_ENV + _MODEL_F + _RANKED.format(32) + _SCORED)
-_model_query("model_freq1d_decay", "freq1d", decay=0.999)
+# weights by age: counts stand in units that shrink with the decay, until these are below 1e-6 at each 13809th row
+_UNIT = "pow(0.999, (i - 1) - (i - 1) % 13809)"
+_DECAYED = _MODEL_F.replace(" from f), c as (select *,", ", row_number() over (partition by event_group order by ts_unix_nano, seq) as i from f), c as (select *,")
+_DECAYED = _DECAYED.replace("count(*) over w as t", f"coalesce(sum(pow(0.999, -i)) over w, 0) * {_UNIT} as t")
+for _i in range(4):
+    _DECAYED = _DECAYED.replace(f"count(*) over w{_i} as c{_i}", f"coalesce(sum(pow(0.999, -i)) over w{_i}, 0) * {_UNIT} as c{_i}")
+_model_query("model_freq1d_decay", "freq1d", WITH_ENV + _DECAYED + _RANKED.format(32) + _SCORED, decay=0.999)
 _model_query("model_copulatree", "copulatree")
 _model_query("model_latentcluster", "latentcluster")
 _model_query("model_knn", "knn", WITH_ENV + _KNN + _RANKED.format(32) + _SCORED)
