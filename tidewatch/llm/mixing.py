@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.runtime import Stash, prepare
+from tidewatch.llm.runtime import Stash, fresh, prepare
 
 STEPS, WAYS = 20, 32  # exponents k / 2 ** STEPS; how many parts each round of bisection cuts the range into
 BLOCK_DOCS, RUN = 1024, 1024
@@ -119,7 +119,9 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = 2
     chosen = stash.keep(chosen.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "n_tokens", "copies"), "copies")
     stash.only("copies")
     docs = docs.drop("copies", "n_tokens")
-    return docs.join(chosen, docs[key].eqNullSafe(chosen["__id"]) & (F.xxhash64(docs[text]) == chosen["__h"])).drop(chosen["__id"], chosen["__h"])
+    h = fresh(docs, "h")  # a column, so that a join whose result needs no text moves none
+    docs = docs.withColumn(h, F.xxhash64(text))
+    return docs.join(chosen, docs[key].eqNullSafe(chosen["__id"]) & (docs[h] == chosen["__h"])).drop(docs[h], chosen["__id"], chosen["__h"])
 
 
 def realise(mixed: DataFrame) -> DataFrame:
