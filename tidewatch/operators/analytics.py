@@ -320,9 +320,9 @@ def downsample(df: DataFrame, most: int, seq: str = "seq") -> DataFrame:
     (``cumulated``), so no task sees all rows. Rows of one seq have one rank."""
     if most <= 0:
         return df
-    n = df.where(F.col(seq).isNotNull()).count()
+    bounds, n = _bounds(df, seq)
     step = max(1, -(-n // most))
-    ranks = cumulated(df, seq).select(F.col("value").alias("seq__"), (F.col("upto") - F.col("c")).alias("rank__"), (F.col("upto") == n).alias("last__"))
+    ranks = cumulated(df, seq, bounds).select(F.col("value").alias("seq__"), (F.col("upto") - F.col("c")).alias("rank__"), (F.col("upto") == n).alias("last__"))
     kept = ranks.where((F.col("rank__") % step == 0) | F.col("last__")).select("seq__")
     return df.join(kept, F.col(seq) == F.col("seq__")).drop("seq__")
 
