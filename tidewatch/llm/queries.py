@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, language, line_dedup, mixing, ngram_join, pii, spotsigs, substring_dedup, token_counts, topk
+from tidewatch.llm import bpe, language, lexical, line_dedup, mixing, ngram_join, pii, prefix_trie, spotsigs, substring_dedup, token_counts, topk, url_filter
 from tidewatch.llm.runtime import documents
 
 
@@ -139,9 +139,63 @@ select * from r where rank <= 20
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.nodes(prefix_trie.borrowed(turns))
+
+
+OP11_SQL = r"""
+with o as materialized (select conv_id, k, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as words, row_number() over (partition by conv_id order by turn nulls first, r, k) as pos
+  from (select conv_id, turn, r, t, sha256(concat(length(r), ':', r, t)) as k from (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations where conv_id is not null))),
+c as materialized (select conv_id, count(*) as n, conv_id - conv_id % 20 as base,
+  xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i, 1))::bigint)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 4 as h
+  from o group by conv_id),
+s as (select c.conv_id, pos, k, words from c join o on o.conv_id = c.base where pos <= h union all
+      select c.conv_id, pos - c.h + least(c.h, coalesce(b.n, 0)), k, words from c join o using (conv_id) left join c b on b.conv_id = c.base where pos > c.h),
+m as materialized (select conv_id, 0 as depth, '' as path, 0 as words from c union all select conv_id, pos, string_agg(k, '') over (partition by conv_id order by pos), words from s),
+v as materialized (select depth, path, min(conv_id) as conv_id, count(*) as n, any_value(words) as words from m group by depth, path),
+up as (select v.conv_id, v.depth, q.conv_id as parent from v join m on m.conv_id = v.conv_id and m.depth = v.depth - 1 join v q on q.depth = m.depth and q.path = m.path),
+kids as (select parent as conv_id, depth - 1 as depth, count(*) as n_children from up group by all),
+sums as (select m.depth, m.path, sum((v.n - 1) * v.words) as saved, count(*) filter (where kids.conv_id is null) as leaves
+  from v left join kids on kids.conv_id = v.conv_id and kids.depth = v.depth join m on m.conv_id = v.conv_id and m.depth <= v.depth group by m.depth, m.path),
+ends as (select m.depth, m.path, sha256(string_agg(m.conv_id::varchar, ',' order by m.conv_id)) as h
+  from m join (select conv_id, max(depth) as len from m group by conv_id) l on l.conv_id = m.conv_id and m.depth = len group by m.depth, m.path)
+select v.conv_id, v.depth::bigint as depth, up.parent as parent_conv_id, v.n as n_convs, coalesce(n_children, 0) as n_children, leaves as n_leaves, saved::bigint as saved_tokens, coalesce(ends.h, sha256('')) as ends_sha256
+from v left join up on up.conv_id = v.conv_id and up.depth = v.depth left join kids on kids.conv_id = v.conv_id and kids.depth = v.depth
+join sums on sums.depth = v.depth and sums.path = v.path left join ends on ends.depth = v.depth and ends.path = v.path
+"""
+
+#: The rules of op12, fixed by its contract.
+RULES = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"), url_filter.Rule("block", "net", "/fr/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, RULES, url_filter.train(pages, RULES)).drop("url")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP13_SQL = r"""
+with d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+i as (select row_number() over () as q, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as ts from benchmark),
+s as (select count(*) filter (where len(w) > 0) as n, sum(len(w))::bigint as l from d),
+f as materialized (select r, t, count(*) as tf from (select r, unnest(w) as t from d) group by r, t),
+g as (select t, cast(floor(1000 * ln((2 * s.n + 2) / (2 * count(*) + 1))) as bigint) as w from f, s group by t, s.n),
+x as (select q, item_id, unnest(ts) as t from i),
+m as (select r, doc_id, 10 + (90 * len(w) * s.n) // s.l as m from d, s where len(w) > 0),
+y as (select q, item_id, r, doc_id, sum(g.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from x join g using (t) join f using (t) join m using (r) group by q, item_id, r, doc_id),
+z as (select item_id, cast(row_number() over (partition by q order by score desc, doc_id nulls last) as integer) as rank, doc_id, score from y where score > 0)
+select * from z where rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_line_dedup, op4_mixing, op5_bpe, op6_substring_dedup, op7_pii, op8_spotsigs, op9_language, op10_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_line_dedup, op4_mixing, op5_bpe, op6_substring_dedup, op7_pii, op8_spotsigs, op9_language, op10_topk, op11_prefix_trie, op12_url_filter, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op10_topk": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op10_topk": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_lexical_search": OP13_SQL}
