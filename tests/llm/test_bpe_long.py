@@ -44,3 +44,22 @@ def test_little_is_encoded_twice(pair):
     finally:
         del c._piece
     assert sum(spent) < 0.3 * n
+
+
+def test_contractions_at_cuts(pair):
+    """A cut between the letters of a contraction, with nothing near by where every scan has a boundary."""
+    c, lib = pair
+    r = random.Random(9)
+    parts = ["'ll", "'re", "'ve", "'s", "'", "''", "l", "r", " ", "  ", "\n", "1", "22", "日本", "٣٤", "!", "'l", "é", "\u0301", "\u3000", "<|endoftext|>", "\t ", "'LL"]
+    for _ in range(3000):
+        text = r.choice(["", "1", " ", "日", "!", "'"]) * r.randrange(30) + "".join(r.choice(parts) for _ in range(r.randrange(1, 30)))
+        leaf = r.randrange(1, 9)
+        assert c.encode(text, leaf) == lib.encode(text, add_special_tokens=False).ids, (text, leaf)
+
+
+@pytest.mark.parametrize("said", ["'ll", "'re", "'ve"])
+@pytest.mark.parametrize("digit", ["7", "\u0663"])
+def test_contractions_at_the_leaf_in_use(pair, said, digit):
+    c, lib = pair
+    text = digit * (bpe.LEAF_CHARS - 2) + said + " 1" + digit * 30_000
+    assert c.encode(text) == lib.encode(text, add_special_tokens=False).ids

@@ -4,9 +4,15 @@ A long text is cut into leaves, which are encoded independently and in parallel
 two by two, level by level, by encoding a window around each join again. What makes the joined ids those of the whole
 text:
 
-- A cut moves no piece that a scan from the left has begun before it, so pieces of the left side hold up to the start
-  of its last one, ``s``. From there the whole text is scanned along with the right side until both have a boundary at
-  the same place ``e``; from equal places on, equal text gives equal pieces. Only what is between s and e can change.
+- A scan decides about a piece by the characters of the piece and at most one behind it, but for an apostrophe, behind
+  which it looks for two letters. So the left side's pieces are those of the whole text, save one that ends at the cut, and
+  an apostrophe two characters before it, which the cut may have parted from its second letter: the left side has
+  the pieces ``'`` and ``l`` where the text has ``'ll``. ``s`` is where the first of these begins. From there the whole
+  text is scanned along with the right side until both have a boundary at the same place ``e``; from equal places on,
+  equal text gives equal pieces. Only what is between s and e can change.
+- Where a letter is followed by an ASCII character that is none, every scan has a boundary, wherever it began and
+  whatever comes behind: no piece goes on from a letter to anything but a letter. If there are such places near by on
+  both sides of the cut, they are taken for s and e, and the text between them is encoded anew.
 - If that is one long piece cut in two (a run of letters, digits, CJK or white space), it is joined within the piece.
   Merges go by rank, so a sequence of tokens is the encoding of its bytes exactly if each pair of neighbours is the
   encoding of theirs. Sides and window have only such pairs within; a window that begins with the token of the left
@@ -92,7 +98,7 @@ class Codec:
             e = next((i for i in range(min(b, c + reach) - 1, c, -1) if self._sure(text, i)), None)
             if s is not None and e is not None:
                 return a, b, one[: self._upto(one, text[s:c])] + self.engine.encode_ordinary(text[s:e]) + two[self._upto(two, text[c:e], front=True) :]
-        s = self._last_start(text, a, c)
+        s, opened = self._last_start(text, a, c)
         whole, e = [(s, self.pieces.match(text, s, b).end())], self.pieces.match(text, c, b).end()
         first = e
         while whole[-1][1] != e:
@@ -100,7 +106,7 @@ class Codec:
                 whole.append((whole[-1][1], self.pieces.match(text, whole[-1][1], b).end()))
             else:
                 e = self.pieces.match(text, e, b).end()
-        if len(whole) == 1 and e == first:
+        if len(whole) == 1 and e == first and not opened:
             return a, b, self._within(text, one, two, s, c, e)
         ids = [i for p, q in whole for i in self._piece(text[p:q].encode())]
         return a, b, one[: self._upto(one, text[s:c])] + ids + two[self._upto(two, text[c:e], front=True) :]
@@ -127,12 +133,15 @@ class Codec:
     def _piece(self, data: bytes) -> list[int]:
         return self.engine._encode_single_piece(data)
 
-    def _last_start(self, text: str, a: int, c: int) -> int:
-        """Where the last piece of a scan of text[a:c] begins."""
+    def _last_start(self, text: str, a: int, c: int) -> tuple[int, bool]:
+        """Where the last piece of a scan of text[a:c] begins, or the one before it, if that is an apostrophe whose
+        two letters the cut may have parted; and whether it is."""
         at = next((i for i in range(c - 1, max(a, c - 4096), -1) if self._sure(text, i)), a)
+        before = at
         while (end := self.pieces.match(text, at, c).end()) < c:
-            at = end
-        return at
+            before, at = at, end
+        opened = at == c - 1 and before == c - 2 and text[before] == "'"
+        return (before, True) if opened else (at, False)
 
     @staticmethod
     def _sure(text: str, i: int) -> bool:
