@@ -241,7 +241,8 @@ def test_reliabilities():
         votes = tuple(int(y if rng.random() < a else not y) if rng.random() < 0.9 else -1 for a in (0.95, 0.8, 0.7))
         counts[(1, *votes)] += 1
     prior, right = pii.reliabilities(counts)
-    assert abs(prior[1] - 0.3) < 0.08 and right[0].mean() > right[1].mean() > 0.6
+    assert abs(prior[1] - 0.3) < 0.08 and right[1, 0].mean() > right[1, 1].mean() > 0.6
+    assert (right[2] == right[0]).all() and abs(right[2] - 0.8).max() < 1e-9  # nothing is learnt about the other kinds
 
 
 def test_spotsigs(docs, rows, empty):

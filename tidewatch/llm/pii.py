@@ -8,14 +8,18 @@ documents and accounts after their name, secrets after a key word or of a known
 
 - regex: how well the span keeps to the shape of its kind;
 - gazetteer: known providers, makes and key words in the span or right before it, and placeholders;
-- context: the words around it (contact, card, password, id ... or version, page, total ...).
+- context: the words around it (contact, card, password, id ... or version, page, total ...);
+- checksum: Luhn's of card numbers behind an issuer's prefix, the remainder by 97 of account numbers, parts of dates;
+- spread: how many bits a character carries in the span, and whether the same ones come again and again.
 
-Votes are counted by pattern over the whole corpus (a bounded number of patterns, whatever the corpus), which is all
-that EM needs: a two-class model with one accuracy a labeler. Its posteriors are the soft labels of the final
+Votes are counted by pattern over the whole corpus (at most 243 patterns a kind, whatever the corpus), which is all
+that EM needs: a two-class model with two accuracies for each kind and labeler, one a class, since a labeler's word on a
+number says nothing about its word on a secret. Its posteriors are the soft labels of the final
 classifier, a logistic regression on hashed features of the span and its surroundings and not on the votes: character
 runs, shape, groups of digits, lengths, neighbours. So it can overrule the votes where spans that look alike got
 others. It is fitted on a bounded sample, the ``sample`` different spans (with their neighbours) that are least in
-order of their hash. A candidate is added if its probability is at least ``least``; overlapping additions go to the
+order of their hash. Spans go to the end of their token however long it is, and their features are of all of it;
+the parts of an address keep the lengths that addresses may have (64 and 63 characters). A candidate is added if its probability is at least ``least``; overlapping additions go to the
 earlier, then longer one, and none may overlap a base span. Names of people are not looked for.
 
 Null and empty texts have no spans, an empty table gives an empty model, which adds nothing. Offsets count code points. Equal texts have equal spans.
@@ -27,6 +31,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -38,6 +43,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm.runtime import Stash, prepare
 
 KINDS = ("email", "ip", "card", "phone")
+LABELERS = ("regex", "gazetteer", "context", "checksum", "spread")
+#: A labeler's accuracy on each class is taken to be so high at least.
+LEAST = 0.6
 MORE = ("email_obfuscated", "number", "secret", "document")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -51,9 +59,9 @@ _DOCUMENT = "passport|ssn|social security|iban|account|acct|licen[cs]e|tax id|na
 _MAKE = r"\b(?:AKIA[A-Z0-9]{12,}|gh[pousr]_[A-Za-z0-9]{16,}|sk_(?:live|test)_[A-Za-z0-9]{8,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"
 _LOOSE = {
     "email_obfuscated": re.compile(r"(?<![A-Za-z0-9._%+-])(?P<v>[A-Za-z0-9._%+-]{1,64} ?[\[(]? ?(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]? ?(?:dot|DOT) ?[\])]? ?[A-Za-z]{2,})"),
-    "number": re.compile(r"(?P<v>\(?[0-9][0-9 ().-]{6,22}[0-9])"),
-    "secret": re.compile(rf"(?ia:(?:{_SECRET}))s?[\"']?[ \t]{{0,2}}(?:[:=]|=>|is\b)?[ \t]{{0,2}}[\"']?(?P<v>[^\s\"',;<>:=]{{6,200}})|(?P<make>{_MAKE})"),
-    "document": re.compile(rf"(?ia:\b(?:{_DOCUMENT}))[ :#.]{{0,3}}(?ia:no|nr|number|num)?[ :#.]{{0,3}}(?P<v>[A-Za-z]{{0,3}}[0-9][A-Za-z0-9-]{{3,32}})"),
+    "number": re.compile(r"(?P<v>\(?[0-9][0-9 ().-]{6,}[0-9])"),
+    "secret": re.compile(rf"(?ia:(?:{_SECRET}))s?[\"']?[ \t]{{0,2}}(?:[:=]|=>|is\b)?[ \t]{{0,2}}[\"']?(?P<v>[^\s\"',;<>:=]{{6,}})|(?P<make>{_MAKE})"),
+    "document": re.compile(rf"(?ia:\b(?:{_DOCUMENT}))[ :#.]{{0,3}}(?ia:no|nr|number|num)?[ :#.]{{0,3}}(?P<v>[A-Za-z]{{0,3}}[0-9][A-Za-z0-9-]{{3,}})"),
 }
 #: What every match holds, so that texts without it are not searched; of the lower-cased text where words are meant.
 _NEED = {
@@ -65,6 +73,7 @@ _KNOWN = re.compile(r"(?i)\b(?:gmail|yahoo|outlook|hotmail|mail|example|com|org|
 _GIVEN = re.compile(r"[:=][ \t]{0,2}[\"']?$")
 _PROSE = re.compile(rf"(?ia)\b(?:the|a|an|his|her|its|our|their|of|no|any|some|this|that)[ \t]+(?:{_SECRET})s?[ \t]*$")
 _EMPTY = re.compile(r"(?i)^(?:your|my|the|changeme|example|placeholder|none|null|true|false|required|field|x+|\*+)")
+_NAME = re.compile(rf"(?ia:\b(?:{_DOCUMENT})[ :#.]{{0,3}}(?:no|nr|number|num)?[ :#.]{{0,3}}$)")
 _FOR = re.compile(r"(?i)\b(?:contact|email|e-mail|mail|call|phone|tel|mobile|card|account|ssn|passport|password|token|secret|key|id|reach|login|auth)\b")
 _AGAINST = re.compile(r"(?i)\b(?:version|page|section|chapter|total|sum|year|isbn|issn|no|figure|table|license|copyright|result)\b")
 NEAR = 24  # characters of context on each side
@@ -111,15 +120,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _votes(k: int, span: str, before: str, after: str) -> tuple[int, int, int]:
-    """What the three labelers say of a candidate: 1, 0 or -1 to abstain."""
+#: Prefixes of card numbers by issuer, the shape of account numbers (IBAN), and of dates.
+_ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6(?:011|5)")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[ .-](?:0?[1-9]|1[0-2])[ .-](?:0?[1-9]|[12][0-9]|3[01])(?![0-9])|(?:0?[1-9]|[12][0-9]|3[01])[ .-](?:0?[1-9]|1[0-2])[ .-](?:19|20)[0-9]{2}(?![0-9])")
+
+
+def remainder97(account: str) -> int:
+    """Of an account number, its first four characters moved to the end and letters as 10 to 35."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def _checked(k: int, span: str) -> int:
+    """What checksums say: 1, 0 or -1."""
+    d = _digits(span)
+    if k == 1:
+        if 13 <= len(d) <= 19 and _ISSUER.match(d):
+            return int(luhn(d))
+        return 0 if _DATE.match(span) else -1
+    if k == 3 and _IBAN.match(plain := span.replace("-", "").upper()):
+        return int(remainder97(plain) == 1)
+    return -1
+
+
+def bits(span: str) -> float:
+    """Entropy of the span's own characters, in bits a character."""
+    n = np.array(list(Counter(span).values())) / max(1, len(span))
+    return float(-(n * np.log2(n)).sum())
+
+
+def _spread(k: int, span: str) -> int:
+    if k == 2:
+        return 1 if len(span) >= 12 and bits(span) >= 3 else 0 if bits(span) < 2 else -1
+    if k in (1, 3):
+        return 0 if len(set(_digits(span))) <= 2 else -1
+    return -1
+
+
+def _votes(k: int, span: str, before: str, after: str) -> tuple[int, ...]:
+    """What the labelers say of a candidate, in the order of LABELERS: 1, 0 or -1 to abstain."""
+    return (*_named(k, span, before, after), _checked(k, span), _spread(k, span))
+
+
+def _named(k: int, span: str, before: str, after: str) -> tuple[int, int, int]:
+    """The votes by shape, gazetteer and context."""
     n, letters = len(_digits(span)), sum(c.isalpha() for c in span)
     if k == 1:
         shape = 1 if n in (9, 10, 11, 15, 16) else 0 if n < 9 else -1
     elif k == 2:
         shape = 0 if span.isalpha() and (span.islower() or span.istitle()) else 1 if n and letters or len(span) >= 16 else -1
     elif k == 3:
-        shape = 1 if n >= 5 else -1
+        shape = 1 if n >= 8 else 0 if n < 5 else -1
     else:
         shape = 1
     if k == 2:  # the key word is there in any case
@@ -128,10 +179,13 @@ def _votes(k: int, span: str, before: str, after: str) -> tuple[int, int, int]:
         return shape, known, 1 if given and not _PROSE.search(before) else 0 if _PROSE.search(before) else -1
     known = 1 if _KNOWN.search(before[-12:] + span) else 0 if k == 1 else -1
     around = before + " | " + after
+    if k == 3:  # the name of the document is there in any case; what stands around both tells
+        around = _NAME.sub(" ", before) + " | " + after
+        return shape, known, 0 if _AGAINST.search(around) else 1 if _FOR.search(around) else -1
     return shape, known, 1 if _FOR.search(around) else 0 if _AGAINST.search(around) else -1
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, tuple[int, int, int]]]:
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, tuple[int, ...]]]:
     """(start, index in MORE, end, votes) of loose matches clear of base spans."""
     out, starts, low = [], [s for s, _, _ in base], text.lower()
     ends = list(accumulate((e for _, _, e in base), max))
@@ -165,15 +219,16 @@ def features(k: int, span: str, before: str, after: str) -> list[int]:
     plain = re.sub("[0-9]", "9", span.lower())
     words = re.findall(r"[^\W\d_]+", before.lower())[-1:], re.findall(r"[^\W\d_]+", after.lower())[:1]
     n = max(1, len(span))
-    said = ["", f"length {len(span).bit_length()}", f"exact {min(len(span), 50)}", f"shape {shape[:10]}", f"ends {kinds[0]}{kinds[-1]}", "groups " + "-".join(str(len(g)) for g in re.findall("[0-9]+", span)[:6])]
+    said = ["", f"length {len(span).bit_length()}", f"exact {min(len(span), 50)}", f"shape {shape}", f"ends {kinds[0]}{kinds[-1]}", "groups " + "-".join(str(len(g)) for g in re.findall("[0-9]+", span))]
     said += [f"{c} share {4 * kinds.count(c) // n}" for c in "9Aa"] + [f"different {len(set(span)) * 4 // n}", f"luhn {luhn(d)}" if 12 <= len(d := _digits(span)) <= 19 else "no luhn"]
     said += [f"before {words[0]}", f"after {words[1]}", f"touches {_class(before[-1:] or ' ')}{_class(after[:1] or ' ')}", f"sign {re.sub('[^:=#]', '', before[-4:])}"]
-    said += [f"run {plain[i : i + 3]}" for i in range(min(len(plain) - 2, 46))]
+    said += [f"run {plain[i : i + 3]}" for i in range(len(plain) - 2)]
     return sorted({zlib.crc32(f"{k} {x}".encode("utf-8", "surrogatepass")) % DIM for x in said})
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """Every candidate of the corpus: kind k, votes a b c, a hash of the span and its surroundings, and its features."""
+    """Every candidate of the corpus: kind k, votes (a figure a labeler, 2 to abstain), a hash of the span and its
+    surroundings, and its features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,38 +237,46 @@ def _spans(docs: DataFrame) -> DataFrame:
                 for s, k, e, votes in candidates(t, base_spans(t)) if t else ():
                     before, after = t[max(0, s - NEAR) : s], t[e : e + NEAR]
                     name = hashlib.blake2b(f"{k}\0{before}\0{t[s:e]}\0{after}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                    rows.append((k, *votes, name, np.array(features(k, t[s:e], before, after), np.uint16).tobytes()))
-            types = [pa.int32()] * 4 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], names=["k", "a", "b", "c", "name", "at"])
+                    rows.append((k, "".join(str(v % 3) for v in votes), name, np.array(features(k, t[s:e], before, after), np.uint16).tobytes()))
+            types = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], names=["k", "votes", "name", "at"])
+
+    return docs.mapInArrow(run, "k int, votes string, name binary, at binary")
+
 
-    return docs.mapInArrow(run, "k int, a int, b int, c int, name binary, at binary")
+def _said(votes: str) -> tuple[int, ...]:
+    return tuple(-1 if v == "2" else int(v) for v in votes)
 
 
 def reliabilities(counts: dict[tuple, int], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(prior, accuracy) by EM: the share of personal spans of each kind, and how often each labeler is right on each
-    class when it doesn't abstain. Priors of a few pseudo-counts keep labelers better than chance to begin with."""
+    """(prior, accuracy) by EM from counts of (kind, vote, vote ...): the share of personal spans of each kind, and for
+    each kind and labeler how often it is right on each class (not personal, personal) when it doesn't abstain. Pseudo-counts
+    put it at 0.8 to begin with, and labelers are taken to be better than chance: ``LEAST`` at least, or a labeler that only ever
+    says no would be held for wrong as soon as the others are silent."""
     keys = sorted(counts)
     n = np.array([counts[k] for k in keys], float)
-    kind, votes = np.array([k[0] for k in keys], int), np.array([k[1:] for k in keys], int).reshape(-1, 3)
-    prior, right = np.full(len(MORE), 0.5), np.full((3, 2), 0.8)
+    kind, votes = np.array([k[0] for k in keys], int), np.array([k[1:] for k in keys], int)
+    prior, right = np.full(len(MORE), 0.5), np.full((len(MORE), votes.shape[1], 2), 0.8)
     for _ in range(rounds):
         p = posteriors(kind, votes, prior, right)
         for k in range(len(MORE)):
-            w = n[kind == k]
-            prior[k] = ((w * p[kind == k]).sum() + 2) / (w.sum() + 4)
-        for j in range(3):
-            v = votes[:, j]
-            right[j, 1] = ((n * p)[v == 1].sum() + 8) / ((n * p)[v >= 0].sum() + 10)
-            right[j, 0] = ((n * (1 - p))[v == 0].sum() + 8) / ((n * (1 - p))[v >= 0].sum() + 10)
+            mine = kind == k
+            w, q = n[mine], p[mine]
+            prior[k] = ((w * q).sum() + 2) / (w.sum() + 4)
+            for j in range(votes.shape[1]):
+                v = votes[mine, j]
+                right[k, j, 1] = ((w * q)[v == 1].sum() + 8) / ((w * q)[v >= 0].sum() + 10)
+                right[k, j, 0] = ((w * (1 - q))[v == 0].sum() + 8) / ((w * (1 - q))[v >= 0].sum() + 10)
+            right[k] = np.maximum(right[k], LEAST)
     return prior, right
 
 
 def posteriors(kind: np.ndarray, votes: np.ndarray, prior: np.ndarray, right: np.ndarray) -> np.ndarray:
     yes, no = np.log(prior[kind]), np.log(1 - prior[kind])
     for j in range(votes.shape[1]):
-        v = votes[:, j]
-        yes = yes + np.where(v == 1, np.log(right[j, 1]), np.where(v == 0, np.log(1 - right[j, 1]), 0))
-        no = no + np.where(v == 0, np.log(right[j, 0]), np.where(v == 1, np.log(1 - right[j, 0]), 0))
+        v, one, none = votes[:, j], right[kind, j, 1], right[kind, j, 0]
+        yes = yes + np.where(v == 1, np.log(one), np.where(v == 0, np.log(1 - one), 0))
+        no = no + np.where(v == 0, np.log(none), np.where(v == 1, np.log(1 - none), 0))
     return 1 / (1 + np.exp(no - yes))
 
 
@@ -222,12 +285,12 @@ def train(docs: DataFrame, text: str = "text", sample: int = 20_000, steps: int
     prepare(docs.sparkSession)
     stash = stash or Stash(docs.sparkSession, "pii")
     spans = stash.keep(_spans(docs.select(text)), "spans")
-    counts = {tuple(r)[:4]: r["n"] for r in spans.groupBy("k", "a", "b", "c").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 27 a kind
+    counts = {(r["k"], *_said(r["votes"])): r["n"] for r in spans.groupBy("k", "votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 243 a kind
     if not counts:
         return {}
     prior, right = reliabilities(counts)
-    got = spans.groupBy("name").agg(F.min(F.struct("k", "a", "b", "c", "at")).alias("s")).orderBy("name").limit(sample).select("s.*").collect()
-    soft = posteriors(np.array([r["k"] for r in got]), np.array([(r["a"], r["b"], r["c"]) for r in got]), prior, right)
+    got = spans.groupBy("name").agg(F.min(F.struct("k", "votes", "at")).alias("s")).orderBy("name").limit(sample).select("s.*").collect()
+    soft = posteriors(np.array([r["k"] for r in got]), np.array([_said(r["votes"]) for r in got]), prior, right)
     return {"weights": fitted([np.frombuffer(r["at"], np.uint16) for r in got], soft, steps)}
 
 
