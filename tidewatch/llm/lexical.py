@@ -94,8 +94,7 @@ def matches(w: words.Words, ix: Index) -> tuple[np.ndarray, np.ndarray]:
     h = words.word_hashes(w)
     at = np.searchsorted(ix.hashes, h)
     at[at == len(ix.hashes)] = 0
-    n = w.end - w.start
-    word = np.flatnonzero((ix.hashes[at] == h) & (ix.start[1, at] - ix.start[0, at] == n)) if len(ix.hashes) else np.zeros(0, np.int64)
+    word = np.flatnonzero(ix.hashes[at] == h) if len(ix.hashes) else np.zeros(0, np.int64)
     term = at[word]
     # two terms of one hash are neighbours; the next is tried where the bytes differ
     found, left = np.zeros(len(word), bool), np.arange(len(word))
