@@ -54,7 +54,8 @@ def sniff(head: bytes) -> str:
 
 
 def evt1(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:
-    """file, seq, value: the JSON texts of framed logs. A file is read by one task, as compressed ones can't be split."""
+    """file, seq, value: the JSON texts of framed logs in any store that Spark reads. A file is read by one task; the data source
+    of ``evt1`` reads ranges of files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -176,38 +177,16 @@ def to_json(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct(*events.columns)).alias("value"))
 
 
-def write_evt1(events: DataFrame, path: str, max_bytes: int = 64 << 20) -> DataFrame:
-    """One framed file or more for each partition, rolled before it would exceed max_bytes, in the shared folder
-    ``path`` (a local path or file: URL that executors see); returns the files written."""
-    folder = path.removeprefix("file://")
+def write_evt1(events: DataFrame, path: str, max_bytes: int = 64 << 20, compress: bool = False, max_files: int = 0) -> DataFrame:
+    """Write framed logs of at most max_bytes a file by the committing sink of ``evt1``; file and records of each file
+    that the folder then has."""
+    from tidewatch.sources import evt1 as source
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        import uuid
-
-        os.makedirs(folder, exist_ok=True)
-        held, size, n, files, stem = [], 0, 0, [], uuid.uuid4().hex
-
-        def roll() -> None:
-            name = f"{folder}/part-{stem}-{len(files):05d}.evt1"
-            with open(name + ".tmp", "wb") as f:
-                f.write(b"".join(held))
-            os.replace(name + ".tmp", name)
-            files.append((name, n))
-
-        for pdf in batches:
-            for value in pdf["value"]:
-                rec = frame(value.encode())
-                if held and size + len(rec) > max_bytes:
-                    roll()
-                    held, size, n = [], 0, 0
-                held.append(rec)
-                size, n = size + len(rec), n + 1
-        if held:
-            roll()
-        yield pd.DataFrame(files, columns=["file", "records"])
-
-    return to_json(events).mapInPandas(run, "file string, records long")
+    spark = events.sparkSession
+    source.register(spark)
+    options = {"maxBytes": max_bytes, "maxFiles": max_files, "compress": str(compress).lower()}
+    to_json(events).write.format("evt1").options(**options).mode("append").save(path)
+    return spark.read.format("evt1").load(path).groupBy("file").agg(F.count(F.lit(1)).alias("records"))
 
 
 def dump(events: DataFrame, path: str, meta: dict) -> None:
