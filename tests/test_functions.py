@@ -28,8 +28,28 @@ def test_junk_is_zero(spark):
 
 
 def test_flags(spark):
-    df = spark.createDataFrame([(257, "577"), (41, "526337"), (0, "1"), (2, "x")], "nr int, v string")
-    assert [r[0] for r in df.select(features.decode_flags(F.col("nr"), F.col("v"))).collect()] == ["O_WRONLY|O_CREAT|O_TRUNC", "SOCK_STREAM|SOCK_NONBLOCK|SOCK_CLOEXEC", None, None]
+    import os
+    import socket
+
+    o = lambda *n: sum({getattr(os, x) for x in n})
+    want = [
+        (257, o("O_WRONLY", "O_TRUNC", "O_CREAT"), "O_WRONLY|O_CREAT|O_TRUNC"), (2, 0, "O_RDONLY"), (437, o("O_RDWR", "O_EXCL", "O_CLOEXEC"), "O_RDWR|O_CLOEXEC|O_EXCL"), (257, 3, "0"), (257, o("O_NONBLOCK"), "O_RDONLY"),
+        (2, o("O_DSYNC"), "O_RDONLY|O_SYNC|O_DSYNC"), (2, 3 + o("O_APPEND", "O_DIRECTORY", "O_NOFOLLOW"), "O_APPEND|O_DIRECTORY|O_NOFOLLOW"),
+        (41, socket.SOCK_STREAM | socket.SOCK_CLOEXEC | socket.SOCK_NONBLOCK, "SOCK_STREAM|SOCK_CLOEXEC|SOCK_NONBLOCK"), (41, 4, "SOCK_RDM"), (41, 6, "SOCK_DCCP"), (41, 10, "SOCK_PACKET"), (41, 7 | socket.SOCK_NONBLOCK, "7|SOCK_NONBLOCK"), (0, 1, None),
+    ]
+    df = spark.createDataFrame([(nr, str(v), t) for nr, v, t in want] + [(2, "x", None), (None, "1", None), (2, None, None)], "nr int, v string, want string")
+    features.register_sql(spark)
+    for r in df.select("*", features.decode_flags(F.col("nr"), F.col("v")).alias("got"), F.expr("flags_text(nr, try_cast(v as bigint))").alias("sql")).collect():
+        assert r["got"] == r["want"] == r["sql"], r
+
+
+def test_the_sets_of_features_can_be_made(spark):
+    events = spark.createDataFrame([ROW], ROW_SCHEMA) if "ROW_SCHEMA" in globals() else None
+    for algorithm in ("freq1d", "copulatree", "knn", "loda_ema", "sequence_mlp", "sequence_transformer"):
+        wanted = features.features_for(algorithm)
+        assert set(wanted) <= set(features.names())
+        if events is not None:
+            features.extract(events, list(wanted))
 
 
 def test_converter(spark):

@@ -29,6 +29,23 @@ def test_bad_conditions(text):
         rules.parse(text)
 
 
+def test_the_fields_of_the_language(events):
+    names = "syscall_name syscall_nr event_id comm pid tid uid flags arg0 arg1 arg_flags return_value hostname namespace".split()
+    names += [f"attributes.{n}" for n in "fd_path fd_resource_kind fd_sock_local_addr fd_sock_local_port fd_sock_remote_addr fd_sock_remote_port fd_sock_family".split()]
+    assert len(names) == 21 and sorted(names) == sorted(rules.FIELDS)
+    for n in names:
+        events.where(rules.compile_(rules.parse(f"{n} = 1"), events.columns))
+    for n in ("event_group", "pod_name", "container_id", "attributes.flags", "attributes.return_value", "attributes.else"):
+        with pytest.raises(ValueError, match="unknown field"):
+            rules.parse(f"{n} = 1")
+
+
+def test_local_ends_of_sockets(spark):
+    e = spark.createDataFrame([("a", {"fd_sock_local_addr": "10.0.0.1", "fd_sock_local_port": "22"}), ("b", {"fd_sock_local_port": "80"}), ("c", {})], "event_id string, attributes map<string,string>")
+    held = lambda t: "".join(sorted(r[0] for r in e.where(rules.compile_(rules.parse(t), e.columns)).select("event_id").collect()))
+    assert held("attributes.fd_sock_local_port in (22, 80)") == "ab" and held("attributes.fd_sock_local_addr startswith 10.") == "a" and held("not attributes.fd_sock_local_addr contains 0") == "bc"
+
+
 def test_macros():
     assert rules.expand("m and long_m", {"m": "a", "long_m": "m or b"}) == "(a) and ((a) or b)"
     with pytest.raises(ValueError):

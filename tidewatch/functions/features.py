@@ -84,9 +84,10 @@ SETS = {
 
 
 def features_for(algorithm: str) -> tuple[str, ...]:
-    """The set that feeds an algorithm unless told otherwise; sequence models take their own context vectors."""
+    """The set that feeds an algorithm unless told otherwise; sequence models take their own context vectors, which
+    ``native.context`` makes, so no feature of the event."""
     if algorithm in ("sequence_mlp", "sequence_transformer"):
-        return ("sequence_ctx_*",)
+        return ()
     return SETS["frequency" if algorithm in ("freq1d", "copulatree", "latentcluster", "zscore") else "default"]
 
 
@@ -131,29 +132,43 @@ def _not_in(m: Column) -> Callable[[Column, Column], Column]:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """hash01(text) and event_id_text(micros, counter) as functions of this session's SQL, in SQL themselves."""
+    """hash01(text), event_id_text(micros, counter) and flags_text(call number, value) as functions of this session's SQL, in
+    SQL themselves. ``rules.register_sql`` adds the classifier of a rule set."""
     spark.sql("create or replace temporary function hash01(x string) returns double return case when coalesce(x, '') = '' then 0.0 else cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint) % 10000 / 10000.0 end")
     spark.sql("create or replace temporary function event_id_text(micros bigint, counter bigint) returns string return format_string('%016x-%08x', micros, counter)")
+    spark.sql(f"create or replace temporary function flags_text(nr bigint, value bigint) returns string return {flags_sql('nr', 'value')}")
 
 
-#: open(2) and socket(2) flag bits, by the number of the call's flag argument.
+#: open(2) flag bits and socket(2) types, in the order in which they are named.
 OPEN_MODES = {0: "O_RDONLY", 1: "O_WRONLY", 2: "O_RDWR"}
-OPEN_BITS = {64: "O_CREAT", 128: "O_EXCL", 512: "O_TRUNC", 1024: "O_APPEND", 2048: "O_NONBLOCK", 65536: "O_DIRECTORY", 131072: "O_NOFOLLOW", 524288: "O_CLOEXEC"}
-SOCKET_TYPES = {1: "SOCK_STREAM", 2: "SOCK_DGRAM", 3: "SOCK_RAW", 5: "SOCK_SEQPACKET"}
-SOCKET_BITS = {2048: "SOCK_NONBLOCK", 524288: "SOCK_CLOEXEC"}
+OPEN_BITS = {"O_CREAT": 64, "O_TRUNC": 512, "O_APPEND": 1024, "O_CLOEXEC": 524288, "O_EXCL": 128, "O_DIRECTORY": 65536, "O_NOFOLLOW": 131072, "O_SYNC": 1052672, "O_DSYNC": 4096}
+SOCKET_TYPES = {1: "SOCK_STREAM", 2: "SOCK_DGRAM", 3: "SOCK_RAW", 4: "SOCK_RDM", 5: "SOCK_SEQPACKET", 6: "SOCK_DCCP", 10: "SOCK_PACKET"}
+SOCKET_BITS = {"SOCK_CLOEXEC": 524288, "SOCK_NONBLOCK": 2048}
+OPEN_CALLS, SOCKET_CALL = (2, 257, 437), 41
+
+
+def flags_sql(nr: str, value: str) -> str:
+    """The SQL text of ``decode_flags`` over two bigint expressions."""
+    pick = lambda of, names, other: f"case {of} " + " ".join(f"when {k} then '{n}'" for k, n in names.items()) + f" else {other} end"
+    bits = lambda names: ", ".join(f"case when {value} & {b} <> 0 then '{n}' end" for n, b in names.items())
+    opened = f"coalesce(nullif(concat_ws('|', {pick(f'{value} & 3', OPEN_MODES, 'null')}, {bits(OPEN_BITS)}), ''), '0')"
+    socket = f"concat_ws('|', {pick(f'{value} & 255', SOCKET_TYPES, f'cast({value} & 255 as string)')}, {bits(SOCKET_BITS)})"
+    return f"case when {value} is null then null when {nr} in {OPEN_CALLS} then {opened} when {nr} = {SOCKET_CALL} then {socket} end"
 
 
 def decode_flags(nr: Column, value: Column) -> Column:
-    """Open flags of calls 2, 257 and 437, socket type flags of 41; null for other calls."""
+    """Open flags of calls 2, 257 and 437: the access mode, then the bits (``0`` if there is nothing to name); the type,
+    or its number, and bits of 41; null for other calls and for values that are no numbers."""
     v = value.cast("string").try_cast("bigint")
+    bit = lambda names: [F.when(v.bitwiseAND(F.lit(b).cast("bigint")) != 0, F.lit(n)) for n, b in names.items()]
 
-    def named(of: Column, exclusive: dict[int, str], bits: dict[int, str]) -> Column:
-        kind = F.lit(None).cast("string")
-        for k, name in exclusive.items():
-            kind = F.when(of == k, F.lit(name)).otherwise(kind)
-        return F.concat_ws("|", kind, *[F.when(v.bitwiseAND(F.lit(b).cast("bigint")) != 0, F.lit(n)) for b, n in bits.items()])
+    def kind(mask: int, names: dict[int, str], other: Column) -> Column:
+        of = v.bitwiseAND(F.lit(mask).cast("bigint"))
+        return F.coalesce(*[F.when(of == k, F.lit(n)) for k, n in names.items()], other)
 
-    return F.when(nr.isin(2, 257, 437) & v.isNotNull(), named(v.bitwiseAND(F.lit(3).cast("bigint")), OPEN_MODES, OPEN_BITS)).when((nr == 41) & v.isNotNull(), named(v.bitwiseAND(F.lit(255).cast("bigint")), SOCKET_TYPES, SOCKET_BITS))
+    opened = F.concat_ws("|", kind(3, OPEN_MODES, F.lit(None).cast("string")), *bit(OPEN_BITS))
+    socket = F.concat_ws("|", kind(255, SOCKET_TYPES, v.bitwiseAND(F.lit(255).cast("bigint")).cast("string")), *bit(SOCKET_BITS))
+    return F.when(nr.isin(*OPEN_CALLS) & v.isNotNull(), F.coalesce(F.nullif(opened, F.lit("")), F.lit("0"))).when((nr == SOCKET_CALL) & v.isNotNull(), socket)
 
 
 def event_id(micros: Column, counter: Column) -> Column:

@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The field names of the language.
-NUMERIC = ("pid", "tid", "uid", "syscall_nr", "arg0", "arg1", "return_value")
-TEXT = ("event_id", "syscall_name", "event_group", "comm", "hostname", "namespace", "pod_name", "container_id", "flags", "arg_flags")
-ATTRIBUTES = ("attributes.fd_path", "attributes.fd_resource_kind", "attributes.fd_sock_remote_addr", "attributes.fd_sock_remote_port", "attributes.fd_sock_family", "attributes.flags", "attributes.return_value")
+NUMERIC = ("syscall_nr", "pid", "tid", "uid", "arg0", "arg1", "return_value")
+TEXT = ("syscall_name", "event_id", "comm", "flags", "arg_flags", "hostname", "namespace")
+ATTRIBUTES = (
+    "attributes.fd_path", "attributes.fd_resource_kind", "attributes.fd_sock_local_addr", "attributes.fd_sock_local_port",
+    "attributes.fd_sock_remote_addr", "attributes.fd_sock_remote_port", "attributes.fd_sock_family",
+)
 FIELDS = (*NUMERIC, *TEXT, *ATTRIBUTES)
 OPERATORS = ("=", "in", "startswith", "startswithin", "contains")
 

@@ -704,6 +704,57 @@ def inherited_paths(spark, d):
     return lineage.inherited_paths(opened, e.select(F.col("user_id").alias("pid"), F.expr("user_id div 2").alias("ppid")).distinct())
 
 
+def _calls(spark, d):
+    """The events as calls on file numbers: opens, closes, reads and connects of a few numbers a process."""
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "read", "click", "openat", "signup", "close", "purchase", "connect")]), F.col("event_type"))
+    fd = k % 3
+    value = F.when(kind == "openat", F.when(k % 11 == 0, -2).otherwise(fd)).when(kind == "connect", F.when(k % 7 == 0, -111).otherwise(0)).otherwise(0)
+    return e.select(
+        F.col("event_id"), F.col("user_id").alias("pid"), F.coalesce(kind, F.lit("write")).alias("syscall_name"), fd.alias("fd"), value.alias("return_value"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_unix_nano"), F.col("event_id").alias("seq"),
+        F.concat(F.lit("/p"), k.cast("string")).alias("path"), F.when(k % 5 == 0, "AF_UNIX").otherwise("AF_INET").alias("family"), F.concat(F.lit("10.0.0."), k.cast("string")).alias("addr"), (k + 1024).cast("string").alias("port"),
+    )
+
+
+_CALLS = """with x as (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events),
+calls as (select event_id, user_id as pid, case event_type when 'view' then 'read' when 'click' then 'openat' when 'signup' then 'close' when 'purchase' then 'connect' else 'write' end as call, k % 3 as fd, ts, k from x),
+marks as (select pid, fd, ts, event_id, case when call = 'openat' then '/p' || k end as v from calls where call = 'close' or (call = 'openat' and k % 11 <> 0)),
+peers as (select pid, fd, ts, event_id, case when call = 'connect' then '10.0.0.' || k || ':' || (k + 1024) end as v from calls where call = 'close' or (call = 'connect' and k % 7 <> 0 and k % 5 <> 0)),
+"""
+_HELD = "select c.event_id, arg_max({'v': m.v}, (m.ts, m.event_id)).v as v from c join %s m on m.pid = c.pid and m.fd = c.fd and (m.ts, m.event_id) < (c.ts, c.event_id) group by 1"
+
+
+@query("fd_paths", _CALLS + f"c as (select * from calls where call in ('read', 'write')), h as ({_HELD % 'marks'}) select event_id, v as open_path from c left join h using (event_id)")
+def fd_paths(spark, d):
+    from tidewatch.operators import lineage
+
+    calls = _calls(spark, d)
+    return lineage.as_of(calls.where(F.col("syscall_name").isin("read", "write")), lineage.path_marks(calls), out="open_path").select("event_id", "open_path")
+
+
+@query("fd_peers", _CALLS + f"c as (select * from calls where call in ('read', 'write')), h as ({_HELD % 'peers'}) select event_id, v as peer from c left join h using (event_id)")
+def fd_peers(spark, d):
+    from tidewatch.operators import lineage
+
+    calls = _calls(spark, d)
+    out = lineage.as_of(calls.where(F.col("syscall_name").isin("read", "write")), lineage.peer_marks(calls), out="peer")
+    return out.select("event_id", F.concat("peer.addr", F.lit(":"), "peer.port").alias("peer"))
+
+
+@query("fd_inherited", _CALLS.replace("with x", "with recursive x") + f"""p as (select distinct user_id as pid, user_id // 2 as ppid from events), up as (select pid, pid as anc, 0 as hop from p union all select up.pid, p.ppid, up.hop + 1 from up join p on up.anc = p.pid where up.hop < 7 and p.ppid <> p.pid),
+c as (select event_id * 8 + hop as event_id, calls.event_id as id, up.anc as pid, fd, ts, hop from calls join up on up.pid = calls.pid where call in ('read', 'write')),
+h as ({(_HELD % 'marks').replace('(c.ts, c.event_id)', '(c.ts, c.id)')}), g as (select id, arg_min(v, hop) as v, min(hop) as hop from c join h using (event_id) where v is not null group by id)
+select calls.event_id, v as open_path, cast(hop as bigint) as hop from calls left join g on g.id = calls.event_id where call in ('read', 'write')""")
+def fd_inherited(spark, d):
+    from tidewatch.operators import lineage
+
+    calls = _calls(spark, d)
+    parents = calls.select("pid", F.expr("pid div 2").alias("ppid")).distinct()
+    out = lineage.inherited(calls.where(F.col("syscall_name").isin("read", "write")), lineage.path_marks(calls), parents, out="open_path")
+    return out.select("event_id", "open_path", F.col("hop").cast("long").alias("hop"))
+
+
 @query("since_last_poll", "with p as (select event_type as source, event_id // 1000 as poll_s, max(event_id) - case when event_id // 1000 = 5 then 4000 else 0 end as total, count(*) as recent from events group by event_type, event_id // 1000), l as (select *, lag(total) over (partition by source order by poll_s) as b from p) select source, poll_s, case when b is null or total < b then recent else total - b end as new from l")
 def since_last_poll(spark, d):
     p = table(spark, d, "events").groupBy(F.col("event_type").alias("source"), F.expr("event_id div 1000").alias("poll_s")).agg(F.max("event_id").alias("m"), F.count(F.lit(1)).alias("recent"))
