@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.features import hash01_raw
+from tidewatch.operators import scan
 from tidewatch.operators.native import ORDER
 
 
@@ -83,7 +85,7 @@ def _bounds(df: DataFrame, column: str) -> tuple[list, int]:
 
 def _range(bounds: list, column: str) -> Column:
     """The number of the range a value is in."""
-    return F.size(F.filter(F.array(*[F.lit(v) for v in bounds]), lambda b: b <= F.col(column))) if bounds else F.lit(0)
+    return scan.bisect(F.col(column), bounds)
 
 
 def cumulated(df: DataFrame, column: str, bounds: list | None = None) -> DataFrame:
@@ -99,11 +101,21 @@ def cumulated(df: DataFrame, column: str, bounds: list | None = None) -> DataFra
 
 
 def _at(df: DataFrame, column: str, places: list[int], bounds: list) -> dict[int, float]:
-    """The sorted column's values at these places: one row a place."""
+    """The sorted column's values at these places. Rows are counted by range of values, which tells in which ranges the
+    places are; only the values of these ranges are sorted."""
     if not places:
         return {}
-    asked = F.filter(F.array(*[F.lit(p) for p in sorted(set(places))]), lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("c")))
-    return {p: r["value"] for r in cumulated(df, column, bounds).withColumn("places", asked).where(F.size("places") > 0).select("places", "value").collect() for p in r["places"]}
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"), _range(bounds, column).alias("range__"))
+    counts = sorted((r["range__"], r["n"]) for r in rows.groupBy("range__").agg(F.count(F.lit(1)).alias("n")).collect())  # RANGES rows
+    local, ahead, left = [], 0, sorted(set(places))
+    for r, n in counts:
+        local += [(r, p - ahead, p) for p in left if ahead <= p < ahead + n]
+        ahead += n
+    by = rows.where(F.col("range__").isin(sorted({r for r, _, _ in local}))).groupBy("range__", "value").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("range__").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    here = F.array(*[F.when((F.col("range__") == r) & (F.lit(k) < F.col("upto")) & (F.lit(k) >= F.col("upto") - F.col("c")), F.lit(p)) for r, k, p in local])
+    found = by.withColumn("upto", upto).withColumn("places", F.array_compact(here)).where(F.size("places") > 0)
+    return {p: r["value"] for r in found.select("places", "value").collect() for p in r["places"]}
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
@@ -328,13 +340,11 @@ def downsample(df: DataFrame, most: int, seq: str = "seq") -> DataFrame:
 
 
 def stratified(df: DataFrame, label: str, sizes: dict[str, int], seed: str, key: str = "event_id") -> DataFrame:
-    """So many rows of each class, without replacement, by a hash of seed and key."""
+    """So many rows of each class, without replacement, by a hash of seed and key. Each class is a limit of its own, so a
+    task keeps no more of its rows than are asked for, and no task ranks a class."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)))
-    w = Window.partitionBy(label).orderBy(order, key)
-    want = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-    ranked = df.withColumn("__r", F.row_number().over(w))
-    out = ranked.where(F.col("__r") <= F.coalesce(F.try_element_at(want, F.col(label).cast("string")), F.lit(0))).drop("__r")
-    return out
+    parts = [df.where(F.col(label).cast("string") == name).orderBy(order, key).limit(n) for name, n in sizes.items()]
+    return reduce(DataFrame.unionByName, parts) if parts else df.limit(0)
 
 
 def nearest_to(df: DataFrame, score: str, shares: list[float], k: int) -> DataFrame:
@@ -360,12 +370,70 @@ def poll_rates(polls: DataFrame) -> DataFrame:
     return polls.select("poll_s", rate.alias("eps"), F.greatest(d("drops"), F.lit(0)).alias("new_drops"))
 
 
-def subsequence(df: DataFrame, wanted: list[str], key: str, token: str) -> DataFrame:
-    """Per key, how many of the wanted tokens come in this order, matched greedily."""
-    w = F.array(*[F.lit(x) for x in wanted])
-    seq = df.where(F.col(token).isin(wanted)).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, token))), lambda s: s[token]).alias("s"))
-    got = F.aggregate("s", F.lit(0), lambda i, x: F.when(F.get(w, i) == x, i + 1).otherwise(i))
-    return seq.select(key, got.alias("matched"))
+def _matched(df: DataFrame, wanted: list[str], key: str, token: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, states): the rows with a wanted token, and per key where each step was taken, at__0 and so on: the first
+    row with the step's token behind the step before, null from the first step on that is never taken."""
+    rows = df.where(F.col(token).isin(wanted)).select(F.col(key), F.col(token).alias("token__"), F.struct(*ORDER).alias("at__"))
+    states = rows.groupBy(key).agg(F.min(F.when(F.col("token__") == wanted[0], F.col("at__"))).alias("at__0"))
+    for i, t in enumerate(wanted[1:], 1):
+        known = states.where(F.col(f"at__{i - 1}").isNotNull()).select(F.col(key).alias("key__"), F.col(f"at__{i - 1}").alias("before__"))
+        ahead = rows.where(F.col("token__") == t).join(known, F.col(key).eqNullSafe(F.col("key__")) & (F.col("at__") > F.col("before__")))
+        step = ahead.groupBy("key__").agg(F.min("at__").alias(f"at__{i}"))
+        states = states.join(step, F.col(key).eqNullSafe(F.col("key__")), "left").drop("key__")
+    return rows, states
+
+
+def subsequence(df: DataFrame, wanted: list[str], key: str, token: str, most: int = 0) -> DataFrame:
+    """Per key with a wanted token, how many of the tokens come in this order, matched greedily; where all do, further
+    rows with the last token count too, up to ``most`` rows in all.
+
+    A step is one aggregate: the least place of its token behind the step before. So a key's rows are
+    never gathered or sorted, and one with very many is reduced ahead of the shuffle."""
+    if not wanted:
+        return df.select(F.col(key), F.lit(0).alias("matched")).limit(0)
+    rows, states = _matched(df, wanted, key, token)
+    n = reduce(lambda a, b: a + b, [F.col(f"at__{i}").isNotNull().cast("int") for i in range(len(wanted))])
+    if most <= len(wanted):
+        return states.select(key, n.alias("matched"))
+    done = states.select(F.col(key).alias("key__"), F.col(f"at__{len(wanted) - 1}").alias("end__")).where(F.col("end__").isNotNull())
+    more = rows.where(F.col("token__") == wanted[-1]).join(done, F.col(key).eqNullSafe(F.col("key__")) & (F.col("at__") > F.col("end__"))).groupBy("key__").agg(F.count(F.lit(1)).alias("more__"))
+    both = states.join(more, F.col(key).eqNullSafe(F.col("key__")), "left")
+    return both.select(key, (n + F.least(F.coalesce("more__", F.lit(0)), F.lit(most - len(wanted)))).cast("int").alias("matched"))
+
+
+def subsequence_rows(df: DataFrame, wanted: list[str], key: str, token: str, most: int = 0) -> DataFrame:
+    """The rows that ``subsequence`` counts, with step (from 0). Rows are told apart by key and order."""
+    rows, states = _matched(df, wanted, key, token)
+    steps = F.array_compact(F.array(*[F.when(F.col(f"at__{i}").isNotNull(), F.struct(F.lit(i).alias("step"), F.col(f"at__{i}").alias("at"))) for i in range(len(wanted))]))
+    taken = states.select(F.col(key).alias("key__"), F.explode(steps).alias("s")).select("key__", "s.step", "s.at.*")
+    if most > len(wanted):
+        done = states.select(F.col(key).alias("key__"), F.col(f"at__{len(wanted) - 1}").alias("end__")).where(F.col("end__").isNotNull())
+        more = rows.where(F.col("token__") == wanted[-1]).join(done, F.col(key).eqNullSafe(F.col("key__")) & (F.col("at__") > F.col("end__")))
+        rank = F.row_number().over(Window.partitionBy("key__").orderBy("at__"))  # the limit on it is applied ahead of the shuffle
+        more = more.withColumn("r", rank).where(F.col("r") <= most - len(wanted)).select("key__", (F.col("r") + len(wanted) - 1).alias("step"), "at__.*")
+        taken = taken.unionByName(more)
+    taken = taken.select("key__", "step", *[F.col(c).alias(f"{c}__") for c in ORDER])
+    same = [F.col(c) == F.col(f"{c}__") for c in ORDER]
+    return df.join(taken, reduce(lambda a, b: a & b, same, F.col(key).eqNullSafe(F.col("key__")))).drop("key__", *[f"{c}__" for c in ORDER])
+
+
+def within(df: DataFrame, after_ns: int, within_ns: int) -> DataFrame:
+    """Events from a moment on and so many nanoseconds long, both ends included."""
+    return df.where(F.col("ts_unix_nano").between(after_ns, after_ns + within_ns))
+
+
+def recent(df: DataFrame, now_ns: int | None = None, seconds: float = 30.0, by: str = "syscall_name", scores: tuple[str, ...] = ("score", "score_raw")) -> DataFrame:
+    """Per call, events later than so many seconds ago (without ``now_ns``: before the last event): n, anomalies if they are
+    flagged, and mean and largest of each score. What has no score counts, but not among the scores."""
+    ago = int(seconds * 1e9)
+    if now_ns is None:
+        since = df.agg((F.max("ts_unix_nano") - ago).alias("since__"))  # one row
+        df = df.join(F.broadcast(since), F.col("ts_unix_nano") > F.col("since__")).drop("since__")
+    else:
+        df = df.where(F.col("ts_unix_nano") > now_ns - ago)
+    n = [F.count(F.lit(1)).alias("n")] + ([F.count_if(F.coalesce("anomaly", F.lit(False))).alias("anomalies")] if "anomaly" in df.columns else [])
+    there = [c for c in scores if c in df.columns]
+    return df.groupBy(by).agg(*n, *[f(c).alias(f"{k}_{c}") for c in there for k, f in (("mean", F.avg), ("most", F.max))])
 
 
 def since_last(polls: DataFrame, recent: str = "recent") -> DataFrame:

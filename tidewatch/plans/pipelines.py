@@ -68,8 +68,8 @@ def build(events: DataFrame, config: Config) -> DataFrame:
 
 
 def _decided(scores: DataFrame, events: DataFrame, c: Config) -> DataFrame:
-    order = events.select("event_id", "ts_unix_nano")
-    return native.decide(scores.join(order, "event_id"), c.threshold, c.score_mode, c.warmup, c.key)
+    order = events.select("event_id", "seq", "ts_unix_nano")
+    return native.decide(scores.join(order, ["event_id", "seq"]), c.threshold, c.score_mode, c.warmup, c.key)
 
 
 def single_model(events: DataFrame, c: Config) -> DataFrame:
@@ -81,15 +81,15 @@ def single_model(events: DataFrame, c: Config) -> DataFrame:
 
 def sequence_mlp(events: DataFrame, c: Config) -> DataFrame:
     s = keyed.sequence_scores(events, "syscall_name", c.key, c.ngram, **c.params)
-    s = s.withColumn("scaled", native.scaled(F.col("raw"), "exp1m")).withColumn("percentile", F.lit(None).cast("double")).join(events.select("event_id", "seq"), "event_id")
+    s = s.withColumn("scaled", native.scaled(F.col("raw"), "exp1m")).withColumn("percentile", F.lit(None).cast("double"))
     return _decided(s, events, c)
 
 
 def las_gas_fusion(events: DataFrame, c: Config) -> DataFrame:
     """The sequence model and z-scores, fused with equal weights."""
-    a = keyed.sequence_scores(events, "syscall_name", c.key, c.ngram).select("event_id", F.col("raw").alias("ra"))
+    a = keyed.sequence_scores(events, "syscall_name", c.key, c.ngram).select("event_id", "seq", F.col("raw").alias("ra"))
     b = keyed.score(features.extract(events, list(c.features)), "zscore", list(c.features), c.key).select(c.key, "event_id", "seq", F.col("raw").alias("rb"))
-    s = b.join(a, "event_id").withColumn("sa", native.scaled(F.col("ra"), "exp1m")).withColumn("sb", native.scaled(F.col("rb"), "exp1m"))
+    s = b.join(a, ["event_id", "seq"]).withColumn("sa", native.scaled(F.col("ra"), "exp1m")).withColumn("sb", native.scaled(F.col("rb"), "exp1m"))
     raw, scaled = native.fuse(["ra", "rb"], ["sa", "sb"], "linear")
     return _decided(s.select(c.key, "event_id", "seq", raw.alias("raw"), scaled.alias("scaled"), F.lit(None).cast("double").alias("percentile")), events, c)
 

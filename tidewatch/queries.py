@@ -215,13 +215,11 @@ query("flagship", WITH_ENV + _FLAG)(q_flagship)
 
 # sequences
 
-@query("ngram", "select event_id, string_agg(syscall_name, ',') over (partition by tid order by ts_unix_nano, seq rows between 3 preceding and current row) as gram, count(*) over (partition by tid order by ts_unix_nano, seq rows between 3 preceding and current row) = 4 as ready from env")
+@query("ngram", WITH_ENV + """, g as (select event_id, list(syscall_name) over (partition by tid order by ts_unix_nano, seq rows between 3 preceding and current row) as l from env)
+select event_id, case when len(l) = 4 then array_to_string(l, ',') end as gram, len(l) = 4 as ready from g""")
 def ngram(spark, d):
     df = native.rolling_ngram(env(spark, d).withColumn("v", F.array("syscall_name")), 4, "v", ["tid"])
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("tid").orderBy(*native.ORDER).rowsBetween(-3, 0)
-    return df.select("event_id", F.array_join(F.collect_list("syscall_name").over(w), ",").alias("gram"), F.col("ngram").isNotNull().alias("ready"))
+    return df.select("event_id", F.array_join("ngram", ",").alias("gram"), F.col("ngram").isNotNull().alias("ready"))
 
 
 @query("sequence_context", """with c as (select *, list(role) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding) as ctx from conversations),
@@ -262,6 +260,27 @@ def subsequence(spark, d):
     return analytics.subsequence(env(spark, d), ["execve", "openat", "connect", "unlink"], "pid", "syscall_name")
 
 
+@query("subsequence_repeats", WITH_ENV + """, t as (select pid, syscall_name as c, (ts_unix_nano, seq) as o from env where syscall_name in ('openat', 'connect')),
+a as (select pid, min(o) filter (where c = 'openat') as a from t group by 1), b as (select pid, min(o) as b from t join a using (pid) where c = 'connect' and o > a group by 1),
+m as (select pid, count(*) as n from t join b using (pid) where c = 'connect' and o > b group by 1)
+select pid, cast((a is not null)::int + (b is not null)::int + least(coalesce(n, 0), 3) as integer) as matched from a left join b using (pid) left join m using (pid)""")
+def subsequence_repeats(spark, d):
+    return analytics.subsequence(env(spark, d), ["openat", "connect"], "pid", "syscall_name", most=5)
+
+
+@query("subsequence_rows", WITH_ENV + """, t as (select pid, event_id, syscall_name as c, (ts_unix_nano, seq) as o from env where syscall_name in ('openat', 'connect')),
+a as (select pid, min(o) filter (where c = 'openat') as a from t group by 1), b as (select pid, min(o) as b from t join a using (pid) where c = 'connect' and o > a group by 1),
+m as (select event_id, row_number() over (partition by pid order by o) as r from t join b using (pid) where c = 'connect' and o > b)
+select event_id, 0 as step from t join a using (pid) where o = a union all select event_id, 1 from t join b using (pid) where o = b union all select event_id, cast(r + 1 as integer) from m where r <= 3""")
+def subsequence_rows(spark, d):
+    return analytics.subsequence_rows(env(spark, d), ["openat", "connect"], "pid", "syscall_name", most=5).select("event_id", F.col("step").cast("int"))
+
+
+@query("events_within", "select event_id from env where ts_unix_nano between 1704844800000000000 and 1704844800000000000 + 86400000000000")
+def events_within(spark, d):
+    return analytics.within(env(spark, d), 1704844800000000000, 86400000000000).select("event_id")
+
+
 # analytics
 
 @query("confusion", """with l as (select doc_id, quality = 0 as positive from labels), f as (select doc_id from documents where n_chars < 500),
@@ -306,6 +325,15 @@ _near(1, _E3.format("(o.a = e.a and o.b = e.b) or (o.a = e.a and o.c = e.c) or (
 _near(2, "with e as (select event_type as a, floor(value) as b, user_id as c from events), o as (select distinct * from e), m as (select a, null::double as b, null::bigint as c from o group by a having count(*) > 1), n as (select b from o group by b having count(*) > 1), q as (select c from o group by c having count(*) > 1) select count(*) as rows from e where a in (select a from m) or b in (select b from n) or c in (select c from q)")
 
 
+@query("near_duplicates_3", """with e as (select event_type as a, floor(value / 7) as b, user_id as c, comm as d from (select *, case when user_id % 3 = 0 then 'x' || event_id else 'y' || (event_id // 40) end as comm from events)),
+o as (select distinct * from e), a1 as (select a from o group by a having count(*) > 1), b1 as (select b from o group by b having count(*) > 1), c1 as (select c from o group by c having count(*) > 1), d1 as (select d from o group by d having count(*) > 1)
+select count(*) as rows from e where a in (from a1) or b in (from b1) or c in (from c1) or d in (from d1)""")
+def near_duplicates_3(spark, d):
+    comm = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("x"), "event_id")).otherwise(F.concat(F.lit("y"), F.expr("event_id div 40").cast("string")))
+    e = table(spark, d, "events").select("event_type", F.floor(F.col("value") / 7).alias("v"), "user_id", comm.alias("comm"))
+    return analytics.near_duplicates(e, ["event_type", "v", "user_id", "comm"], 3)
+
+
 @query("nearest_rank", "with s as (select l_extendedprice as value, row_number() over (order by l_extendedprice) - 1 as i, count(*) over () as n from lineitem), p as (select unnest([1.0, 50.0, 90.0, 99.5]) as percent) select cast(percent as double) as percent, value from p join s on i = cast(floor(percent / 100 * (n - 1)) as bigint)")
 def nearest_rank(spark, d):
     return analytics.nearest_rank(table(spark, d, "lineitem"), "l_extendedprice", [1.0, 50.0, 90.0, 99.5])
@@ -411,11 +439,10 @@ def poll_rates(spark, d):
     return r6(analytics.poll_rates(polls))
 
 
-@query("recent_window", "select syscall_name, count(*) as n, round(avg(value), 6) as mean, round(max(value), 6) as most from env where ts_unix_nano >= (select max(ts_unix_nano) from env) - 86400000000000 group by 1")
+@query("recent_window", "select syscall_name, count(*) as n, count(*) filter (where malicious) as anomalies, round(avg(value), 6) as mean_value, round(max(value), 6) as most_value from env where ts_unix_nano > (select max(ts_unix_nano) from env) - 86400000000000 group by 1")
 def recent_window(spark, d):
-    e = env(spark, d)
-    last = e.agg((F.max("ts_unix_nano") - 86400000000000).alias("since"))
-    return r6(e.join(F.broadcast(last), F.col("ts_unix_nano") >= F.col("since")).groupBy("syscall_name").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most")))
+    e = env(spark, d).withColumn("anomaly", F.col("malicious"))
+    return r6(analytics.recent(e, seconds=86400, scores=("value",)))
 
 
 @query("labels_join", "select l.doc_id, l.toxic, d.source is not null as known from labels l left join (select * from documents where n_chars > 100) d using (doc_id)")

@@ -104,9 +104,23 @@ def labels(rows: DataFrame, include_suspicious: bool = False) -> DataFrame:
 
 
 def anomaly_ids(rows: DataFrame) -> DataFrame:
+    """The different ids of flagged events."""
     return rows.where(F.coalesce("event_id", F.lit("")) != "").select("event_id").distinct()
 
 
+def flagged(spark: SparkSession, path: str) -> DataFrame:
+    """The ids in an anomaly log (JSON lines); a log that is not there has none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        lines = jsonl(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "event_id string")
+    return anomaly_ids(lines.select(F.get_json_object("value", "$.event_id").alias("event_id")))
+
+
 def scored(rows: DataFrame) -> DataFrame:
     """The first of score, score_scaled, score_raw that a record has, even if it is not a number: then it is left out."""
     pick = F.coalesce(*[F.col(c).cast("string") for c in ("score", "score_scaled", "score_raw") if c in rows.columns])
@@ -155,7 +169,9 @@ def legacy(data: Column) -> dict[str, Column]:
 
 def first_recordings(events: DataFrame, n: int, name: str = "recording_name") -> DataFrame:
     """Events before the first one of the (n + 1)th recording in stream order; later repeats of a known one pass.
-    The recordings' first rows are few, so only they are ranked."""
+    The recordings' first rows are few, so only they are ranked. An event without a name is an error."""
+    named = F.coalesce(F.col(name), F.lit("")) != ""
+    events = events.withColumn(name, F.when(named, F.col(name)).otherwise(F.raise_error(F.lit(f"an event has no {name}")).cast("string")))
     first = events.groupBy(name).agg(F.min("seq").alias("seq"))
     end = first.withColumn("r", F.row_number().over(Window.orderBy("seq"))).where(F.col("r") == n + 1).agg(F.min("seq").alias("__end"))
     return events.join(F.broadcast(end), F.col("__end").isNull() | (F.col("seq") < F.col("__end"))).drop("__end")
@@ -163,11 +179,25 @@ def first_recordings(events: DataFrame, n: int, name: str = "recording_name") ->
 
 def metrics(lines: DataFrame) -> DataFrame:
     """name, labels, value of lines in the exposition format; comments and lines without a number are left out."""
-    p = r"^([A-Za-z_:][A-Za-z0-9_:]*)(\{[^}]*\})?\s+(\S+)"
-    m = lines.where(~F.col("value").startswith("#")).select(F.regexp_extract("value", p, 1).alias("name"), F.regexp_extract("value", p, 2).alias("labels"), F.regexp_extract("value", p, 3).try_cast("double").alias("value"))
+    p = r"^([A-Za-z_:][A-Za-z0-9_:]*)(\{.*\})?\s+(\S+)\s*$"
+    v = F.trim("value")
+    m = lines.where(~v.startswith("#")).select(F.regexp_extract(v, p, 1).alias("name"), F.regexp_extract(v, p, 2).alias("labels"), F.regexp_extract(v, p, 3).try_cast("double").alias("value"))
     return m.where("name <> '' and value is not null")
 
 
+def label(labels: Column, name: str) -> Column:
+    """A label's value, unescaped; null if there is none."""
+    raw = F.regexp_extract(labels, r'[{,]\s*' + name + r'="((?:[^"\\]|\\.)*)"', 1)
+    text = F.replace(F.replace(F.replace(raw, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    return F.when(F.regexp_like(labels, F.lit(r'[{,]\s*' + name + '="')), text)
+
+
+def chosen(m: DataFrame, name: str, by: str) -> DataFrame:
+    """One row: the label of the series of this name whose value is 1, as a gauge says which of several modes is on; of
+    several the last by name, null if none is."""
+    return m.where((F.col("name") == name) & (F.col("value") == 1)).agg(F.max(label(F.col("labels"), by)).alias(by))
+
+
 def metric_sum(m: DataFrame, name: str) -> DataFrame:
     """Over all labels; null if the name never came."""
     return m.where(F.col("name") == name).agg(F.sum("value").alias("value"))
@@ -225,6 +255,21 @@ def anomaly_log(events: DataFrame, path: str) -> None:
     events.where("anomaly").write.mode("append").json(path)
 
 
-def exposition(m: DataFrame) -> DataFrame:
-    """name, labels, value as lines of the exposition format."""
-    return m.select(F.format_string("%s%s %s", "name", F.coalesce("labels", F.lit("")), F.col("value").cast("string")).alias("value"))
+def labelled(**labels: Column | str) -> Column:
+    """Labels in the exposition format, with backslashes, quotes and line ends escaped."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    pairs = [F.concat(F.lit(f'{n}="'), esc(F.lit(v) if isinstance(v, str) else F.coalesce(v, F.lit(""))), F.lit('"')) for n, v in labels.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
+
+
+def exposition(m: DataFrame, about: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """name, labels, value as lines of the exposition format, in order: the series of a name stand together, behind their HELP
+    and TYPE lines. about: type (counter, gauge ...) and help text by name; others are untyped, without help."""
+    number = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
+    series = m.select("name", F.lit(1).alias("k"), F.coalesce("labels", F.lit("")).alias("labels"), F.concat_ws(" ", F.concat("name", F.coalesce("labels", F.lit(""))), number).alias("value"))
+    heads = m.select("name").distinct()
+    esc = lambda t: t.replace("\\", "\\\\").replace("\n", "\\n")
+    told = {n: [f"# HELP {n} {esc(text)}", f"# TYPE {n} {kind}"] for n, (kind, text) in (about or {}).items()}
+    lines = F.coalesce(*[F.when(F.col("name") == n, F.array(*map(F.lit, ls))) for n, ls in told.items()], F.array(F.concat(F.lit("# TYPE "), "name", F.lit(" untyped"))))
+    heads = heads.select("name", F.posexplode(lines).alias("p", "value")).select("name", F.lit(0).alias("k"), F.col("p").cast("string").alias("labels"), "value")
+    return heads.unionByName(series).orderBy("name", "k", "labels").select("value")

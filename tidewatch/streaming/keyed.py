@@ -43,7 +43,7 @@ class Scorer:
             for i in np.flatnonzero(fine):
                 try:
                     raws[i] = self.model.step(x[i])
-                except (ArithmeticError, ValueError) as e:
+                except Exception as e:  # whatever it is, the next event is scored
                     fine[i], errors[i] = False, f"scoring error: {e}"
         ranks = [self.rank.step(r) if f else 0.0 for r, f in zip(raws.tolist(), fine, strict=True)]
         scaled = [self.model.scaled(r) if f else 0.0 for r, f in zip(raws.tolist(), fine, strict=True)]
@@ -120,22 +120,30 @@ def train(df: DataFrame, algorithm: str, features: list[str], key: str = "event_
 
 
 def resume(df: DataFrame, checkpoint: DataFrame, features: list[str], key: str = "event_group") -> DataFrame:
-    """Score and go on learning from a checkpoint; keys that it doesn't know start anew with its configuration."""
+    """Score and go on learning from a checkpoint; keys that it doesn't know start anew with its configuration. A key's
+    state comes as a row ahead of its events, so that memory does not grow with them."""
     rows, _ = _selected(df, features, key)
     first = checkpoint.select("config").first()
     if first is None:
         raise ValueError("the checkpoint is empty")
     fresh = json.loads(first["config"])
 
-    def run(events: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(events):
-            return pd.DataFrame({c.split()[0]: [] for c in f"{key} string, {OUT}".split(", ")})
-        s = Scorer.of(held["state"].iloc[0]) if len(held) else Scorer(**fresh)
-        out = s.run(events.sort_values(list(ORDER), kind="stable"))
-        out.insert(0, key, events[key].iloc[0])
+    def step(held: dict, pdf: pd.DataFrame) -> pd.DataFrame | None:
+        if len(known := pdf[pdf["state__"].notna()]):
+            held["scorer"] = Scorer.of(known["state__"].iloc[0])
+            pdf = pdf[pdf["state__"].isna()]
+        if not len(pdf):
+            return None
+        if "scorer" not in held:
+            held["scorer"] = Scorer(**fresh)
+        out = held["scorer"].run(pdf)
+        out.insert(0, key, pdf[key].to_numpy())
         return out
 
-    return rows.groupBy(key).cogroup(checkpoint.select(key, "state").groupBy(key)).applyInPandas(run, f"{key} string, {OUT}")
+    first_of_all = F.lit(-(1 << 63)).cast("long")
+    states = checkpoint.select(key, F.col("state").alias("state__"), *[first_of_all.alias(c) for c in ORDER])
+    both = rows.withColumn("state__", F.lit(None).cast("string")).unionByName(states, allowMissingColumns=True)
+    return in_order(both, key, f"{key} string, {OUT}", lambda _: {}, step)
 
 
 def stream(df: DataFrame, algorithm: str, features: list[str], key: str = "event_group", window: int = 2048, warmup: int = 128, **params) -> DataFrame:
@@ -172,9 +180,9 @@ def sequence_scores(df: DataFrame, token: str, key: str, n: int = 4, vectors: di
             q = recent.setdefault(actor, [])
             raw.append(model.observe(np.concatenate(q), i, len(ids)) if len(q) == n - 1 else 0.0)
             recent[actor] = (q + [v])[-(n - 1) :]
-        return pd.DataFrame({key: pdf[key].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "raw": raw})
+        return pd.DataFrame({key: pdf[key].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "raw": raw})
 
-    return in_order(df.select(key, "tid", "event_id", "ts_unix_nano", "seq", token), key, f"{key} string, event_id string, raw double", start, step)
+    return in_order(df.select(key, "tid", "event_id", "ts_unix_nano", "seq", token), key, f"{key} string, event_id string, seq long, raw double", start, step)
 
 
 def token_vectors(df: DataFrame, token: str, key: str, **vectors) -> DataFrame:
@@ -193,9 +201,9 @@ def _replayed(df: DataFrame, algorithm: str, features: list[str], key: str, top:
     """``of(model, event_id, vector)`` for the ``top`` highest scores of each key, against the model as it stood before
     each. A first pass finds them; the second learns again and stops at each. Of a key's rows only these are kept."""
     rows, names = _selected(df, features, key)
-    scores = score(df, algorithm, features, key, **params).select("event_id", F.col("raw").alias("score_then"))
+    scores = score(df, algorithm, features, key, **params).select("event_id", "seq", F.col("raw").alias("score_then"))
     w = Window.partitionBy(key).orderBy(F.desc("score_then"), *ORDER)
-    rows = rows.join(scores, "event_id").withColumn("asked", F.row_number().over(w) <= top).drop("score_then")
+    rows = rows.join(scores, ["event_id", "seq"]).withColumn("asked", F.row_number().over(w) <= top).drop("score_then")
 
     def step(model: Model, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
