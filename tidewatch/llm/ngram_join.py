@@ -7,8 +7,8 @@ fragments, each dealt to a task of its own with nothing but its n-grams, and
    can't be in any overlap, but counts as the rarest of its text;
 2. each text gets these back from all fragments. It can have a partner only if n-grams of its prefix in the global
    order are shared; the prefix is what may be missing from a partner, and one more;
-3. texts that share a prefix n-gram are candidates. Their sets, cut into vertical segments by hash again, are
-   intersected segment by segment, and the partial overlaps summed per pair.
+3. texts that share a prefix n-gram are candidates. Their sets are cut into vertical segments by hash again; each
+   segment counts the partial overlaps of the pairs on its own, and these numbers are summed per pair.
 
 Equal texts are one text from the start: copies meet as equal ids within a fragment and count once. Groups of near
 copies don't grow into all their pairs: in a few rounds each text is only held against one text of each of its prefix
@@ -183,13 +183,19 @@ def _candidates(share: float):
     return run, "id long, n int, grams array<long>, prefix int"
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose overlap is enough: 100 |A and B| >= percent |A or B|. Partial overlaps are counted segment by
-    segment and summed per pair."""
-    a = segments.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("segments").alias("ga"))
-    b = segments.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("segments").alias("gb"))
-    parts = F.zip_with("ga", "gb", lambda x, y: F.size(F.array_intersect(x, y)))
-    both = pairs.join(a, "a").join(b, "b").select(*pairs.columns, "na", "nb", F.aggregate(parts, F.lit(0), lambda s, x: s + x).alias("o"))
+def _pieces(cand: DataFrame) -> DataFrame:
+    """id, n, seg, grams: each text's shared n-grams in vertical segments, by the upper bits of their hashes."""
+    cut = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.filter("grams", lambda x: F.shiftrightunsigned(x, 49) == k))
+    return cand.select("id", "n", F.posexplode(cut).alias("seg", "grams")).where(F.size("grams") > 0)
+
+
+def _verified(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose overlap is enough: 100 |A and B| >= percent |A or B|. A pair goes to each segment that its
+    first text has; where both have it, their pieces meet and give a partial overlap; these are summed per pair."""
+    a = pieces.select(F.col("id").alias("a"), F.col("n").alias("na"), "seg", F.col("grams").alias("ga"))
+    b = pieces.select(F.col("id").alias("b"), F.col("n").alias("nb"), "seg", F.col("grams").alias("gb"))
+    met = pairs.join(a, "a").join(b, ["b", "seg"]).select(*pairs.columns, "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
+    both = met.groupBy(*pairs.columns, "na", "nb").agg(F.sum("o").alias("o"))
     return both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select(pairs.columns)
 
 
@@ -216,7 +222,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", te
 
     post = cand.select("id", "n", F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("i", "gram"), (F.col("n") - F.size("grams")).alias("single"))
     post = stash.keep(post.select("gram", "id", "n", (F.col("n") - F.col("single") - F.col("i") - 1).alias("rest"), F.col("id").alias("root")), "postings")
-    segments = cand.select("id", "n", F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.filter("grams", lambda x: F.shiftrightunsigned(x, 49) == k)).alias("segments"))
+    pieces = _pieces(cand)
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
     links, merged, size, ahead = [], [], cand.count(), None
@@ -231,7 +237,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", te
         order = F.xxhash64("id", F.lit(r))
         lead = own.groupBy("gram").agg(*[F.min_by(c, order).alias(t) for c, t in (("id", "b"), ("n", "nb"), ("root", "other"))])
         stars = own.select("gram", "root", F.col("id").alias("a"), F.col("n").alias("na")).join(lead, "gram").where("root <> other").where(near).select("a", "b", "root", "other").distinct()
-        links.append(stash.keep(_verified(stars, segments, percent), f"links-{r}"))
+        links.append(stash.keep(_verified(stars, pieces, percent), f"links-{r}"))
         if not links[-1].take(1):
             break
         step = stash.keep(components(links[-1].select(F.col("root").alias("a"), F.col("other").alias("b")), stash, f"steps-{r}"), f"merged-{r}")
@@ -248,7 +254,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", te
     bound = ((1 + F.least("resta", "restb")) * (100 + percent) >= need) & ((F.size(both) + F.greatest("taila", "tailb")) * (100 + percent) >= need) & (F.get(both, F.lit(0)) == a["gram"])
     pairs = a.join(b, (a["gram"] == b["gram"]) & (F.col("ida") < F.col("idb")) & (F.col("roota") != F.col("rootb")) & near & bound)
     pairs = pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b"), F.col("roota").alias("root"), F.col("rootb").alias("other"))
-    links.append(stash.keep(_verified(pairs, segments, percent), "links-last"))
+    links.append(stash.keep(_verified(pairs, pieces, percent), "links-last"))
     edges = [links[-1].select(F.col("root").alias("a"), F.col("other").alias("b")), *(m.select(F.col("node").alias("a"), F.col("root").alias("b")) for m in merged)]
     final = stash.keep(components(reduce(DataFrame.unionByName, edges), stash, "steps-last"), "groups")
 
