@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.patterns import starts
+
 #: The field names of the language.
 NUMERIC = ("syscall_nr", "pid", "tid", "uid", "arg0", "arg1", "return_value")
 TEXT = ("syscall_name", "event_id", "comm", "flags", "arg_flags", "hostname", "namespace")
@@ -182,9 +184,11 @@ def leaf(p: Predicate, columns: list[str]) -> Column:
             return F.lit(False)
         ints = [i for i in map(_int, p.values) if i is not None]
         return c.cast("string").try_cast("bigint").isin(ints) if ints else F.lit(False)
-    tests = {"=": lambda v: c == v, "in": lambda v: c == v, "startswith": c.startswith, "startswithin": c.startswith, "contains": c.contains}
+    tests = {"=": lambda v: c == v, "in": lambda v: c == v, "startswith": c.startswith, "contains": c.contains}
     if p.op == "in":
         return c.isin(list(p.values)) if p.values else F.lit(False)
+    if p.op == "startswithin":
+        return starts(c, p.values)
     return reduce(lambda x, y: x | y, [tests[p.op](v) for v in p.values], F.lit(False)) if p.values else F.lit(False)
 
 

@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import patterns as indexed
 from tidewatch.functions.features import hash01_raw
 from tidewatch.operators import scan
 from tidewatch.operators.native import ORDER
@@ -184,10 +185,15 @@ def or_flag(events: DataFrame, ids: DataFrame, flag: str = "anomaly") -> DataFra
 
 
 def matched_patterns(events: DataFrame, patterns: list[str], path: str = "fd_path") -> DataFrame:
-    """pattern, paths: those of the patterns that some path equals or matches, and how many different ones do. The
-    patterns are the driver's list; each path is tested once."""
-    hits = F.filter(F.array(*[F.when((F.col(path) == p) | F.col(path).rlike(glob_regex(p)), F.lit(p)) for p in patterns]), lambda x: x.isNotNull())
-    return events.where(F.col(path).isNotNull()).select(path).distinct().select(F.explode(hits).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("paths"))
+    """pattern, paths: those of the patterns that some path equals or matches, and how many different ones do."""
+    table = indexed.table(events.sparkSession, patterns)
+    return indexed.fits(events, table, path).groupBy("pattern").agg(F.count(F.lit(1)).alias("paths"))
+
+
+def unmatched_patterns(events: DataFrame, patterns: list[str], path: str = "fd_path") -> DataFrame:
+    """pattern: those that no path equals or matches."""
+    table = indexed.table(events.sparkSession, patterns)
+    return table.join(indexed.fits(events, table, path), "pattern", "left_anti").select("pattern")
 
 
 def index_of(events: DataFrame, event_id: str) -> DataFrame:

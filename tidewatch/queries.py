@@ -452,10 +452,49 @@ def labels_join(spark, d):
 
 @query("unmatched_patterns", "select p as pattern from (select unnest(['/etc/*', '/nowhere/*', '/tmp/f1', '/var/log/x*']) as p) where not exists (select 1 from env where fd_path = p or (p like '%*' and starts_with(fd_path, replace(p, '*', ''))))".replace("select p as", WITH_ENV + " select p as"))
 def unmatched_patterns(spark, d):
-    patterns = ["/etc/*", "/nowhere/*", "/tmp/f1", "/var/log/x*"]
-    p = spark.createDataFrame([(x, analytics.glob_regex(x)) for x in patterns], "pattern string, regex string")
-    paths = env(spark, d).select("fd_path").distinct()
-    return F.broadcast(p).join(paths, F.expr("fd_path = pattern or fd_path rlike regex"), "left_anti").select("pattern")
+    return analytics.unmatched_patterns(env(spark, d), ["/etc/*", "/nowhere/*", "/tmp/f1", "/var/log/x*"])
+
+
+@query("many_patterns", WITH_ENV + """, p as (select unnest(range(5000)) as n), w as (select n * 2 as place, '/etc/f' || n || '*' as pattern, '/etc/f' || n as start, true as open from p union all select n * 2 + 1, '/tmp/f' || n, '/tmp/f' || n, false from p)
+select event_id, arg_min(pattern, place) as pattern from env left join w on case when open then starts_with(fd_path, start) else fd_path = start end group by event_id""")
+def many_patterns(spark, d):
+    from tidewatch.functions import patterns
+
+    wanted = [p for n in range(5000) for p in (f"/etc/f{n}*", f"/tmp/f{n}")]
+    return patterns.first(env(spark, d), patterns.table(spark, wanted), "fd_path").select("event_id", "pattern")
+
+
+@query("many_prefixes", WITH_ENV + """, w as (select '/etc/f' || n as start from (select unnest(range(0, 10000, 7)) as n) union all select '/tmp/f' || n from (select unnest(range(1, 10000, 11)) as n))
+select event_id from env where exists (select 1 from w where starts_with(fd_path, start))""")
+def many_prefixes(spark, d):
+    dirs = (*[f"/etc/f{n}" for n in range(0, 10000, 7)], *[f"/tmp/f{n}" for n in range(1, 10000, 11)])
+    e = env(spark, d)
+    return e.where(rules.compile_(rules.parse("attributes.fd_path startswithin (dirs)", {"dirs": dirs}), e.columns)).select("event_id")
+
+
+@query("enter_exit_pairs", WITH_ENV + """, c as (select tid, event_id, case when syscall_name in ('read', 'openat', 'execve') then 'enter' else 'exit' end as kind, ts_unix_nano as ts, seq from env),
+l as (select *, lag({'kind': kind, 'id': event_id, 'ts': ts, 'seq': seq}) over w as b, lead(seq) over w as n from c window w as (partition by tid order by ts, seq)), m as (select tid, b, kind = 'exit' and ts - b.ts <= 90000000000000 as good, event_id from l where b.kind = 'enter')
+select tid, b.id as entry, case when good then event_id end as exit from m union all select tid, event_id, null from l where n is null and kind = 'enter'""")
+def enter_exit_pairs(spark, d):
+    from tidewatch.streaming import pending
+
+    kind = F.when(F.col("syscall_name").isin("read", "openat", "execve"), "enter").otherwise("exit")
+    calls = env(spark, d).select("tid", kind.alias("kind"), "ts_unix_nano", "seq", F.col("event_id").alias("value"))
+    return pending.pairs(calls, 90000000000000).select("tid", "entry", "exit")
+
+
+@query("framed_round_trip", "select event_id, syscall_name, syscall_nr, ts_unix_nano, comm, coalesce(fd_path, '') as fd_path from env")
+def framed_round_trip(spark, d):
+    """The events written as framed logs by the committing sink, read again in ranges and parsed."""
+    from tidewatch.session import scratch
+    from tidewatch.sources import evt1, logs
+
+    evt1.register(spark)
+    e, path = env(spark, d), scratch(spark, "framed")
+    columns = ["event_id", "hostname", "syscall_name", "event_group", "comm", "pid", "tid", "uid", "arg0", "arg1", "syscall_nr", "ts_unix_nano", "attributes"]
+    evt1.payloads(e.select(columns)).write.format("evt1").option("maxBytes", 4 << 20).mode("append").save(path)
+    back = logs.envelopes(spark.read.format("evt1").option("splitBytes", 1 << 20).load(path))
+    return back.select("event_id", "syscall_name", F.col("syscall_nr").cast("int").alias("syscall_nr"), "ts_unix_nano", "comm", F.coalesce(F.try_element_at("attributes", F.lit("fd_path")), F.lit("")).alias("fd_path"))
 
 
 @query("url_terms", "select page_id from pages where contains(lower(url), 'a') and contains(lower(url), '1')")
