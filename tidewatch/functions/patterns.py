@@ -35,7 +35,7 @@ def starts(c: Column, values: tuple[str, ...]) -> Column:
     by = defaultdict(list)
     for v in dict.fromkeys(values):
         by[len(v)].append(v)
-    tests = [c.isNotNull() if not n else F.substring(c, 1, n).isin(vs) for n, vs in sorted(by.items())]
+    tests = [F.when(c.isNotNull(), True) if not n else F.substring(c, 1, n).isin(vs) for n, vs in sorted(by.items())]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
