@@ -14,7 +14,7 @@ def test_spotsigs_whatever_the_number_of_chains(spark):
     body = " ".join(f"word{i} stone{i * i}" for i in range(60))
     head = "the red house of old stone "
     texts = [head + body + "".join(f" of many{i} more{i}" for i in range(n)) for n in (0, 3, 4, 10)]
-    counts = [len(spotsigs._chains(t)) for t in texts]
+    counts = [len(spotsigs._chains(t)) // len(spotsigs.CHAINS) for t in texts]  # anchors
     assert min(counts) < 6 <= max(counts)
     for a in texts:
         for b in texts:
@@ -67,3 +67,26 @@ def test_pii_candidates_whatever_else_is_in_the_text():
         assert [pii.MORE[c[1]] for c in alone] == [kind]
         far = text + " and" * 20 + " 12345678 and then ann at home dot net"
         assert [c[:3] for c in pii.candidates(far, []) if c[2] <= len(text)] == [c[:3] for c in alone]
+
+
+def test_spotsigs_batches_are_single_texts():
+    """Many texts at once have the signatures of each, whatever stands beside them."""
+    r = np.random.default_rng(8)
+    pick = lambda of, n: " ".join(r.choice(of, n))
+    vocab = ["the", "of", "und", "la", "The", "fox", "hill", "x1", "naïve", "日本語の文章です長い長い", "y" * 17, "z" * 40, "--", "a-b", "house"]
+    texts = [pick(vocab, int(r.integers(0, 60))) for _ in range(80)] + ["", " ", "!!", "the", "fox", "the of", "𝔘" * 30, "w" * 16]
+    for t, h in zip(texts, spotsigs._signed(texts), strict=True):
+        assert len(h) == len(spotsigs.signatures(t)) and (h == spotsigs._hashes(t)).all()
+    for a in texts[::7]:
+        for b in texts[::5]:
+            p, q = spotsigs.signatures(a), spotsigs.signatures(b)
+            assert abs(spotsigs._jaccard(spotsigs._hashes(a), spotsigs._hashes(b)) - (len(p & q) / len(p | q) if p | q else 1.0)) < 1e-12
+    assert spotsigs.signatures("!!") != spotsigs.signatures("--") and spotsigs.likeness(spotsigs.fingerprint("!!"), spotsigs.fingerprint("--")) == 0
+
+
+def test_spotsigs_of_edited_and_unrelated_texts(spark, sf):
+    """Chains tell edited texts from other ones on the table itself."""
+    got = spotsigs.against_next(queries.documents(spark, sf)).toPandas()
+    long = got[got["n_chars"] > 300]
+    assert long["near_edited"].median() > 0.35 and long["near_next"].median() < 0.02
+    assert (long["near_edited"] > long["near_next"]).mean() > 0.9

@@ -1,10 +1,13 @@
 """Document fingerprints by SpotSigs: chains of content words that follow common-word anchors.
 
-At each anchor (a common word of the language list below) the next ``CHAIN`` words that are not anchors themselves
-form a signature, the anchor included; a document's signatures are a set. Anchors are frequent in prose and rare
-elsewhere, so signatures stand for the text proper. All runs of four characters count as well, with the text's end,
-so that no text that has any character is without fingerprint. Both kinds are in every fingerprint: were the runs left
-to texts with few chains, an edit that moves their number past the bound would leave near copies nothing in common.
+Words are maximal runs of ASCII letters and digits and of characters beyond ASCII, with A-Z lower-cased; of words of more
+than ``LONG`` bytes each ``PIECE`` bytes count as a word, so unspaced text has words, too. At each anchor (a common word of
+the language list below) the content words that follow, those that are no anchors, make chains: one for each of ``CHAINS``, a
+pair of how many words and of how many words from one to the next. An anchor with its chain is a signature; a chain
+that the text ends is one up to there. Anchors are frequent in prose and rare elsewhere, so signatures stand for
+the text proper. Where no anchor is among the ``GAP`` words before a word and itself, as in lists, code or other
+languages, the word stands as its own anchor, and its chain is of all words. Both rules look at the words near by
+alone, so an edit changes signatures near by alone, whatever their number. A text without words is its own one signature.
 
 A fingerprint is the sorted set of 40-bit hashes of the signatures, in fixed-width hex; likeness is Jaccard. Pairs
 are compared only if the smaller set can reach the wanted likeness at all (partitioning by set length), and a
@@ -17,9 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm import lexical, words
 from tidewatch.llm.runtime import Stash, prepare
 
-CHAIN, RUN, WIDTH = 2, 4, 10
-BATCH = 1 << 25
+#: (words, from one to the next) of the chains; words that are cut, and into how much; words without anchor.
+CHAINS, LONG, PIECE, GAP, WIDTH = ((2, 1), (3, 1), (2, 2)), 16, 8, 8, 10
+#: Characters whose words are hashed at a time, unless one text is longer.
+BATCH = 1 << 21
 #: Fixed list of anchors: common words of English, German, French and Spanish.
 ANCHORS = frozenset(
     """the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which
@@ -38,54 +42,110 @@ ANCHORS = frozenset(
     le la les et un une du en est que qui dans pour par sur pas au plus ne se ce il sont aux avec
     el los las y del se por con no para al lo como su más o pero sus ha era""".split()
 )
-_WORD = re.compile(r"[^\W_]+")
-
-
-def _chains(text: str) -> set[str]:
-    words = _WORD.findall(text.lower())
-    out, chain = set(), [w for w in words if w not in ANCHORS]
-    content = 0  # content words before the current word
-    for w in words:
-        if w in ANCHORS:
-            if content + CHAIN <= len(chain):
-                out.add(f"{w} {' '.join(chain[content : content + CHAIN])}")
+_ANCHORS = {a.encode() for a in ANCHORS}
+
+
+def _pieces(w: words.Words) -> words.Words:
+    """Words with long ones cut."""
+    n = w.end - w.start
+    parts = np.where(n > LONG, -(-n // PIECE), 1)
+    own = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(w.start, parts) + own * PIECE
+    end = np.where(np.repeat(parts == 1, parts), np.repeat(w.end, parts), np.minimum(start + PIECE, np.repeat(w.end, parts)))
+    return words.Words(w.data, start, end, np.concatenate([[0], np.cumsum(parts)])[w.first])
+
+
+def _words(text: str) -> list[bytes]:
+    data, at = words.text_bytes(pa.array([text], pa.large_string()))
+    w = _pieces(lexical.split(data, at))
+    return [w.data[a:b].tobytes() for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+
+
+def _chains(text: str) -> set[tuple]:
+    """The signatures of anchors, one by one: (anchor, chain's kind, words ... and None where the text ends them)."""
+    ws, out = _words(text), set()
+    content = [w for w in ws if w not in _ANCHORS]
+    k = 0  # content words before the current word
+    for w in ws:
+        if w in _ANCHORS:
+            for c, (n, step) in enumerate(CHAINS):
+                out.add((w, c, *(content[k + j * step] if k + j * step < len(content) else None for j in range(n))))
         else:
-            content += 1
+            k += 1
     return out
 
 
-def signatures(text: str) -> set[str]:
-    last = max(0, len(text) - RUN)
-    return _chains(text) | ({text[i : i + RUN] for i in range(last)} | {text[last:] + "\0"} if text else set())
+def signatures(text: str) -> set[tuple]:
+    """All signatures of a text, one by one; ``_hashes`` has the same for many texts at once."""
+    ws, out, last = _words(text), _chains(text), None
+    for i, w in enumerate(ws):
+        last = i if w in _ANCHORS else last
+        if last is None or i - last > GAP:
+            out |= {(w, len(CHAINS) + c, *(ws[i + (j + 1) * step] if i + (j + 1) * step < len(ws) else None for j in range(n))) for c, (n, step) in enumerate(CHAINS)}
+    return out or ({(text.encode("utf-8", "surrogatepass"),)} if text else set())
+
 
+def _anchor_hashes() -> np.ndarray:
+    data = b"".join(sorted(_ANCHORS))
+    end = np.cumsum([len(a) for a in sorted(_ANCHORS)])
+    start = end - np.array([len(a) for a in sorted(_ANCHORS)])
+    return np.sort(words.word_hashes(words.Words(np.frombuffer(data, np.uint8), start, end, np.array([0, len(start)]))))
 
-@lru_cache(1 << 16)  # a text and its edited one share most
-def _hash(signature: str) -> int:
-    return int.from_bytes(hashlib.blake2b(signature.encode("utf-8", "surrogatepass"), digest_size=WIDTH // 2).digest())
+
+def _linked(head: np.ndarray, kind: int, parts: list[np.ndarray]) -> np.ndarray:
+    """A hash of a head, the chain's kind and its words in order."""
+    out = words.mix(head + np.uint64(kind + 1))
+    for p in parts:
+        out = words.mix(out * np.uint64(0x9E3779B97F4A7C15) + p)
+    return out
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+def _signed(texts: list[str]) -> list[np.ndarray]:
+    """The hashes of ``signatures`` of each text, ascending and different."""
+    data, at = words.text_bytes(pa.array(texts, pa.large_string()))
+    w = _pieces(lexical.split(data, at))
+    h, n = words.word_hashes(w), np.diff(w.first)
+    text = np.repeat(np.arange(len(texts)), n)
+    anchor = np.isin(h, _anchor_hashes())
+    none = np.uint64(0x5851F42D4C957F2D)
+    place = np.arange(len(h))
+
+    def chains(heads: np.ndarray, begin: np.ndarray, seq: np.ndarray, upto: np.ndarray, first: int) -> list[np.ndarray]:
+        """Chains of seq from begin on, not beyond upto, of the words at heads."""
+        padded, out = np.append(seq, none), []
+        for c, (k, step) in enumerate(CHAINS):
+            got = [padded[np.where(begin + j * step < upto, begin + j * step, len(seq))] for j in range(k)]
+            out.append(_linked(h[heads], first + c, got))
+        return out
+
+    before = np.concatenate([[0], np.cumsum(~anchor)])  # content words before each place
+    heads = np.flatnonzero(anchor)
+    found = chains(heads, before[heads], h[~anchor], before[w.first[1:]][text[heads]] if len(h) else heads, 0)
+    last = np.maximum.accumulate(np.where(anchor, place, -1)) if len(h) else place
+    lone = np.flatnonzero((last < w.first[:-1][text]) | (place - last > GAP)) if len(h) else place
+    # a lone word's chain begins a step behind it
+    for c, (k, step) in enumerate(CHAINS):
+        upto = w.first[1:][text[lone]] if len(h) else lone
+        padded = np.append(h, none)
+        got = [padded[np.where(lone + (j + 1) * step < upto, lone + (j + 1) * step, len(h))] for j in range(k)]
+        found.append(_linked(h[lone], len(CHAINS) + c, got))
+    owner = np.concatenate([text[heads]] * len(CHAINS) + [text[lone]] * len(CHAINS))
+    hashes = np.concatenate(found) >> np.uint64(64 - 4 * WIDTH)
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    if len(hashes):
+        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])
+        owner, hashes = owner[new], hashes[new]
+    edge = np.searchsorted(owner, np.arange(len(texts) + 1))
+    out = [hashes[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+    for i in np.flatnonzero(n == 0):
+        if texts[i]:  # without words
+            out[i] = np.array([int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=WIDTH // 2).digest())], np.uint64)
+    return out
 
 
 def _hashes(text: str) -> np.ndarray:
-    """The hashes of ``signatures``, ascending. Runs are hashed by their five code points (none is one above all) at
-    once, not as strings."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    chains = np.array([_hash(s) for s in _chains(text)], np.uint64)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n, none = max(1, len(points) - RUN + 1), (1 << 21) - 1
-    points = np.concatenate([points, np.array([0] + [none] * RUN, np.uint64)])
-    c = [points[k : k + n] for k in range(RUN)]
-    high = c[3] | np.uint64(none << 21)
-    high[-1] = c[3][-1] | points[n + RUN - 1] << np.uint64(21)  # the end, or for texts shorter than a run none
-    low = c[0] | c[1] << np.uint64(21) | c[2] << np.uint64(42)
-    runs = _mixed(low ^ _mixed(high + np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - 4 * WIDTH)
-    out = np.sort(np.concatenate([chains, runs]))
-    return out[np.append(True, out[1:] != out[:-1])]
+    return _signed([text])[0]
 
 
 def _hex(hashes: np.ndarray) -> str:
@@ -153,7 +213,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) if t else "" for t in batch.column(1).to_pylist()], pa.string())], names=[key, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_hex(h) for h in _signed([t or "" for t in batch.column(1).to_pylist()])], pa.string())], names=[key, "fingerprint"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
 
@@ -175,20 +235,22 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _compared(rows: list[tuple[int, str, str]]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, next text: the row of each, in batches of a bounded number of characters (fingerprints are some
-    ten times as long as texts)."""
+    """doc_id, text, next text: the row of each, for runs of rows of a bounded number of characters."""
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-    out, size, known = [], 0, (None, None)
-    for k, (i, t, nxt) in enumerate(rows):
-        e = edited(t, nxt)
-        f = known[1] if t == known[0] else _hashes(t)
-        g, h = _hashes(e), _hashes(nxt)
-        known = (nxt, h)
-        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), _hex(f), _hex(g), _jaccard(f, g), _jaccard(f, h)))
-        size += len(out[-1][3]) + len(out[-1][4])
-        if size > BATCH or k + 1 == len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], x) for c, x in enumerate(types)], names=[c.split()[0] for c in _OUT.split(", ")])
-            out, size = [], 0
+    lo = 0
+    while lo < len(rows):
+        hi, size = lo, 0
+        while hi < len(rows) and (hi == lo or size < BATCH):
+            size += len(rows[hi][1]) + len(rows[hi][2])
+            hi += 1
+        part = rows[lo:hi]
+        own = _signed([t for _, t, _ in part] + [part[-1][2]])  # but for the last, a row's next is the row behind it
+        after = [own[k + 1] if part[k][2] == part[k + 1][1] else _hashes(part[k][2]) for k in range(len(part) - 1)] + own[-1:]
+        texts = [edited(t, n) for _, t, n in part]
+        new = _signed(texts)
+        out = [(i, len(t), hashlib.sha256(e.encode()).hexdigest(), _hex(f), _hex(g), _jaccard(f, g), _jaccard(f, a)) for (i, t, _), e, f, g, a in zip(part, texts, own, new, after, strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], x) for c, x in enumerate(types)], names=[c.split()[0] for c in _OUT.split(", ")])
+        lo = hi
 
 
 def _ranges(d: DataFrame, parts: int) -> DataFrame:
