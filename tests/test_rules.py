@@ -46,6 +46,17 @@ def test_local_ends_of_sockets(spark):
     assert held("attributes.fd_sock_local_port in (22, 80)") == "ab" and held("attributes.fd_sock_local_addr startswith 10.") == "a" and held("not attributes.fd_sock_local_addr contains 0") == "bc"
 
 
+def test_sql_says_what_columns_say(spark, events):
+    texts = ["pid = 5", "not pid in (5, 7, z)", "return_value = -2", "not attributes.fd_path = ''", "comm in (bash, \"it's\", 'a\\\\b')", "comm contains u or comm = cat and not pid = 5", "attributes.fd_path startswithin (/etc, /tmp)", "namespace = x", "pid startswith 5", "arg_flags = x", ""]
+    spec = {"groups": {"g": {"syscalls": ["read", "openat", "execve"]}}}
+    given = ", ".join(p if p in events.columns else "cast(null as string)" for p in rules.PARAMETERS)
+    for t in texts:
+        loaded = rules.load(spec | {"rules": [{"name": "it's", "group": "g", "condition": t}]})
+        rules.register_sql(spark, loaded)
+        got = {r[0] for r in spark.sql(f"select event_id, rule_of({given}) as r from {{events}}", events=events).where("r = \"it's\"").collect()}
+        assert got == {r["event_id"] for r in rules.classify(events, loaded).collect()}, t
+
+
 def test_macros():
     assert rules.expand("m and long_m", {"m": "a", "long_m": "m or b"}) == "(a) and ((a) or b)"
     with pytest.raises(ValueError):

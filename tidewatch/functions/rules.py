@@ -205,6 +205,55 @@ def compile_(tree, columns: list[str]) -> Column:
     return F.coalesce(leaf(tree, columns), F.lit(False))
 
 
+def _text(value: str) -> str:
+    """A literal in Spark's SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_text(tree) -> str:
+    """The condition in Spark's SQL, never null, over parameters named as the fields, and ``attributes``."""
+    if tree is None:
+        return "true"
+    if isinstance(tree, Not):
+        return f"not {sql_text(tree.of)}"
+    if isinstance(tree, (All, Any)):
+        return "(" + (" and " if isinstance(tree, All) else " or ").join(map(sql_text, tree.of)) + ")"
+    name = tree.field
+    c = f"try_element_at(attributes, {_text(name.split('.', 1)[1])})" if name.startswith("attributes.") else name
+    if name in ("return_value", "flags"):
+        c = f"coalesce({name}, try_element_at(attributes, {_text(name)}))"
+    if name == "arg_flags":
+        c = "coalesce(arg_flags, flags)"
+    if name in NUMERIC:
+        ints = [str(i) for i in map(_int, tree.values) if i is not None] if tree.op in ("=", "in") else []
+        test = f"try_cast({c} as bigint) in ({', '.join(ints)})" if ints else "false"
+    elif tree.op in ("=", "in"):
+        test = f"{c} in ({', '.join(map(_text, tree.values))})" if tree.values else "false"
+    else:
+        call = "contains" if tree.op == "contains" else "startswith"
+        test = " or ".join(f"{call}({c}, {_text(v)})" for v in tree.values) or "false"
+    return f"coalesce({test}, false)"
+
+
+#: Parameters of the classifier in SQL.
+PARAMETERS = (*[n for n in (*NUMERIC, *TEXT)], "attributes")
+
+
+def register_sql(spark: SparkSession, rules: Rules, name: str = "rule_of", numbers: dict[str, int] | None = None) -> None:
+    """A function of this session's SQL that gives the name of the first rule that admits an event, null if none does. It
+    takes PARAMETERS in their order: texts, but for the call's number and the map of attributes."""
+    known, cases = NUMBERS if numbers is None else numbers, []
+    for r in rules.rules:
+        if r.enabled:
+            calls = rules.groups[r.group].syscalls
+            own = [str(known[c]) for c in calls if c in known]
+            member = [f"lower(trim(syscall_name)) in ({', '.join(map(_text, calls))})"] * bool(calls) + [f"syscall_nr in ({', '.join(own)})"] * bool(own)
+            cases.append(f"when ({' or '.join(f'coalesce({m}, false)' for m in member) or 'false'}) and {sql_text(parse(r.condition, rules.lists, rules.macros))} then {_text(r.name)}")
+    kinds = {"syscall_nr": "bigint", "attributes": "map<string, string>"}
+    body = f"case {' '.join(cases)} end" if cases else "cast(null as string)"
+    spark.sql(f"create or replace temporary function {name}({', '.join(f'{p} {kinds.get(p, 'string')}' for p in PARAMETERS)}) returns string return {body}")
+
+
 @dataclass(frozen=True)
 class Group:
     syscalls: tuple[str, ...] = ()

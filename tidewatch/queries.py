@@ -821,6 +821,23 @@ def fd_inherited(spark, d):
     return out.select("event_id", "open_path", F.col("hop").cast("long").alias("hop"))
 
 
+@query("rule_of_sql", WITH_ENV + _CLASSIFIED + " select event_id, rule from hit")
+def rule_of_sql(spark, d):
+    """The classifier as a function of SQL."""
+    rules.register_sql(spark, rules.load(RULES))
+    e = env(spark, d)
+    given = ", ".join(p if p in e.columns else "cast(null as string)" for p in rules.PARAMETERS)
+    return spark.sql(f"select event_id, rule_of({given}) as rule from {{e}}", e=e)
+
+
+@query("flags_sql", """with k as (select event_id, cast(json_extract_string(props, '$.k') as bigint) * 37 % 2048 as v from events), m as (select event_id, v, ['O_RDONLY', 'O_WRONLY', 'O_RDWR', null][v % 4 + 1] as mode from k)
+select event_id, coalesce(nullif(concat_ws('|', mode, case when v & 64 <> 0 then 'O_CREAT' end, case when v & 512 <> 0 then 'O_TRUNC' end, case when v & 1024 <> 0 then 'O_APPEND' end, case when v & 128 <> 0 then 'O_EXCL' end), ''), '0') as flags from m""")
+def flags_sql(spark, d):
+    features.register_sql(spark)
+    e = table(spark, d, "events")
+    return spark.sql("select event_id, flags_text(257, cast(get_json_object(props, '$.k') as bigint) * 37 % 2048) as flags from {e}", e=e)
+
+
 @query("since_last_poll", "with p as (select event_type as source, event_id // 1000 as poll_s, max(event_id) - case when event_id // 1000 = 5 then 4000 else 0 end as total, count(*) as recent from events group by event_type, event_id // 1000), l as (select *, lag(total) over (partition by source order by poll_s) as b from p) select source, poll_s, case when b is null or total < b then recent else total - b end as new from l")
 def since_last_poll(spark, d):
     p = table(spark, d, "events").groupBy(F.col("event_type").alias("source"), F.expr("event_id div 1000").alias("poll_s")).agg(F.max("event_id").alias("m"), F.count(F.lit(1)).alias("recent"))

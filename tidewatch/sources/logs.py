@@ -128,10 +128,14 @@ def scored(rows: DataFrame) -> DataFrame:
 
 
 def labelled_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """The rows of CSV files with headers, as strings, with source_file and source_row (from 0, in the file's order)."""
+    """The rows of CSV files with headers, as strings, with source_file and source_row (from 0, in the file's order). Rows
+    are counted within the blocks that files are read in, and across them over one row a block."""
     rows = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(list(paths)).select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block__"))
-    w = Window.partitionBy("source_file").orderBy("block__", "at__")
-    return rows.withColumn("at__", F.monotonically_increasing_id()).withColumn("source_row", F.row_number().over(w) - 1).drop("block__", "at__")
+    block = ["source_file", "block__"]
+    before = Window.partitionBy("source_file").orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n__")).select(*block, F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("ahead__"))
+    within = F.row_number().over(Window.partitionBy(*block).orderBy("at__")) - 1  # ids grow along a block
+    return rows.withColumn("at__", F.monotonically_increasing_id()).withColumn("row__", within).join(ahead, block).withColumn("source_row", F.col("ahead__") + F.col("row__")).drop("block__", "at__", "row__", "ahead__")
 
 
 def network_rows(rows: DataFrame, name: str = "eventName") -> DataFrame:
