@@ -116,3 +116,37 @@ def test_empty_and_bounds(spark, df):
         got = spark.createDataFrame(values, "v double").select("v", scan.bisect(F.col("v"), bounds).alias("b")).collect()
         assert all(r["b"] == (0 if r["v"] is None else sum(b <= r["v"] for b in bounds)) for r in got)
     assert len(scan.bounds(df, "seq", 8)) in (6, 7) and scan.bounds(df, "seq", 1) == [] and len(scan.bounds(df, "seq", rows=10)) > 40
+
+
+def _runs_by_hand(rows):
+    """False-alarm runs by the rules as they are told, row by row."""
+    by, total = {}, 0
+    for r in sorted(rows, key=lambda r: r[3:5]):
+        if r[1] is not None:
+            by.setdefault(r[0], []).append((r[1], bool(r[2])))
+    for rs in by.values():
+        exploit, run = False, None
+        for expected, predicted in rs:
+            began = expected and not exploit
+            exploit |= expected
+            if predicted and not expected:
+                run = run or ("normal", "exploit")[exploit]
+                continue
+            if run and not (began and run == "normal"):
+                total += 1
+            run = None
+        total += bool(run)
+    return total
+
+
+@pytest.mark.parametrize("parts", [1, 5, 60])
+def test_false_alarm_runs(spark, parts):
+    from tidewatch.operators import analytics
+
+    r = random.Random(6)
+    rows = [(f"r{r.randrange(4)}", r.choice([False, False, False, True, None]), r.random() < 0.5, i // 2 * 10**9, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "recording string, expected boolean, predicted boolean, ts_unix_nano long, seq long")
+    assert analytics.stream_performance(df, parts).first()["false_alarm_runs"] == _runs_by_hand(rows)
+    late = [(rec, bool(e) and i > 300, p, t, i) for rec, e, p, t, i in rows]
+    got = analytics.stream_performance(spark.createDataFrame(late, df.schema), parts).first()
+    assert got["false_alarm_runs"] == _runs_by_hand(late) and got["tp"] + got["fp"] + got["fn"] + got["tn"] == 500

@@ -29,26 +29,24 @@ def confusion(labels: DataFrame, flagged: DataFrame) -> DataFrame:
     return n.withColumn("f1", _share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def stream_performance(df: DataFrame) -> DataFrame:
+def stream_performance(df: DataFrame, parts: int | None = None) -> DataFrame:
     """df: recording, expected, predicted, ts_unix_nano, seq. One row of metrics over a recorded stream.
 
     Rows without a label don't count. From its first malicious row on, a recording is in its exploit phase. Runs of
     false alarms are closed by any other row, and at the end of the recording; but a run of the normal phase that
-    the exploit cuts off is not counted."""
-    df = df.where("expected is not null")
-    w = Window.partitionBy("recording").orderBy(*ORDER)
-    df = df.withColumn("phase", F.coalesce(F.max(F.col("expected").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    df = df.withColumn("fa", F.col("predicted") & ~F.col("expected"))
-    after = F.lead("fa").over(w)
-    cut = F.lead("phase").over(w) != F.col("phase")
-    # the last row of a run, unless the other phase begins behind it
-    df = df.withColumn("run_end", F.col("fa") & (~F.coalesce(after, F.lit(False)) | F.coalesce(cut, F.lit(False))) & ~((F.col("phase") == 0) & F.coalesce(cut, F.lit(False))))
+    the exploit cuts off is not counted. So runs are the false alarms with another row behind them, less one if the row
+    before the first malicious row is one, and one more if the last row is: all aggregates, once each row
+    knows the one before it, which goes by ranges of time (``scan``), not by whole recordings."""
+    df = df.where("expected is not null").withColumn("fa", F.col("predicted") & ~F.col("expected"))
+    df = scan.last_states(df, ["recording"], ORDER, F.col("fa"), "before", parts)
+    was, now, at = F.coalesce(F.col("before.v"), F.lit(False)), F.coalesce("fa", F.lit(False)), F.struct(*ORDER)
     by = df.groupBy("recording").agg(
         F.max("expected").alias("exploit"), F.min(F.when(F.col("expected"), F.col("ts_unix_nano"))).alias("began"),
         F.min(F.when(F.col("expected") & F.col("predicted"), F.col("ts_unix_nano"))).alias("caught"),
-        F.max(F.col("fa")).alias("false_alarm"), F.sum(F.col("run_end").cast("long")).alias("fp_runs"),
+        F.max(F.col("fa")).alias("false_alarm"), F.count_if(was & ~now).alias("ended"), F.min_by(was, F.when(F.col("expected"), at)).alias("cut_off"), F.max_by(now, at).alias("at_end"),
         *[F.sum(c.cast("long")).alias(k) for k, c in (("tp", F.col("predicted") & F.col("expected")), ("fp", F.col("fa")), ("fn", ~F.col("predicted") & F.col("expected")), ("tn", ~F.col("predicted") & ~F.col("expected")))],
     )
+    by = by.withColumn("fp_runs", F.col("ended") - F.coalesce("cut_off", F.lit(False)).cast("long") + F.col("at_end").cast("long"))
     n = by.agg(
         *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.sum(F.col("exploit").cast("long")).alias("exploits"),
         F.sum(F.col("caught").isNotNull().cast("long")).alias("detected"), F.sum(F.col("false_alarm").cast("long")).alias("recordings_with_false_alarm"),
