@@ -153,3 +153,18 @@ def test_bad_rows_and_new_keys(spark):
     s = keyed.sanity(df, "knn", ["a", "b"], top=2, k=1, eps=(0.1,)).collect()
     assert len(s) == 2 * 2 * 1 * 2 and keyed.top_features(keyed.explain(df, "knn", ["a", "b"], top=2), 1).count() == 4
     assert {r["weight"] for r in keyed.explain(df, "knn", ["a", "b"], top=1, scored=lambda m: lambda x: 0.0).collect()} == {0.0}
+
+
+def test_knn_of_a_long_key_is_cut_into_blocks(spark):
+    """Blocks with an overlap of memory and window score as one pass does, with rows that can't be scored in between."""
+    rng = np.random.default_rng(4)
+    rows = [("g" if i % 3 else "h", f"e{i}", i, i, float(a), float("nan") if i % 97 == 5 else float("inf") if i % 89 == 7 else float(b)) for i, (a, b) in enumerate(rng.random((1500, 2)))]
+    df = spark.createDataFrame(rows, "event_group string, event_id string, ts_unix_nano long, seq long, a double, b double")
+    got = {r["event_id"]: r for r in keyed.score(df, "knn", ["a", "b"], window=16, warmup=8, memory=20).collect()}
+    assert len(got) == 1500
+    for g in "gh":
+        s = keyed.Scorer("knn", ["a", "b"], {"memory": 20}, 16, 8)
+        want = s.run(df.where(F.col("event_group") == g).orderBy("seq").toPandas())
+        for w in want.itertuples():
+            r = got[w.event_id]
+            assert abs(r["raw"] - w.raw) < 1e-12 and r["percentile"] == w.percentile and abs(r["scaled"] - w.scaled) < 1e-12 and r["error"] == w.error and r["event_group"] == g

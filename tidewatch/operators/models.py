@@ -52,6 +52,10 @@ class Model:
         """``step`` of each row in turn."""
         return [self.step(v) for v in x]
 
+    def horizon(self) -> int | None:
+        """How many rows before a row its score depends on, if no more than these; such models have ``prime``."""
+        return None
+
     def scaled(self, raw: float) -> float:
         return {"raw": raw, "ratio": raw / (1 + raw), "exp1m": 1 - math.exp(-raw)}[self.scaling]
 
@@ -305,6 +309,15 @@ class Knn(Model):
     def update(self, x, raw):
         self.ring[self.n % self.memory] = x
 
+    def horizon(self):
+        return self.memory
+
+    def prime(self, x):
+        """Learn rows that nobody asks the scores of."""
+        last = x[-self.memory :]
+        self.ring[(self.n + len(x) - len(last) + np.arange(len(last))) % self.memory] = last
+        self.n += len(x)
+
     def steps(self, x):
         """Blocks of rows at once: each row is held against the memory and the rows before it in the block."""
         if self.metric == "cosine":

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewatch.operators import scan
 from tidewatch.operators.models import Model, RollingRank, attribution, make, plain, restored
 from tidewatch.operators.native import ORDER
 
@@ -98,11 +100,55 @@ def _keyed(key: str, of: Callable[[object, pd.DataFrame], pd.DataFrame]) -> Call
     return step
 
 
+#: Own rows of a block for each row that is only there ahead of them.
+OWN = 4
+
+
 def score(df: DataFrame, algorithm: str, features: list[str], key: str = "event_group", window: int = 2048, warmup: int = 128, **params) -> DataFrame:
-    """Append raw, scaled, percentile and error to (key, event_id, seq). One model a key."""
+    """Append raw, scaled, percentile and error to (key, event_id, seq). One model a key; a model that looks back over a set number
+    of rows is one for each block of a key's rows, so that a key is no one task's."""
     rows, names = _selected(df, features, key)
-    make(algorithm, names, **params)  # unknown names fail here, not in a task
-    return in_order(rows, key, f"{key} string, {OUT}", lambda _: Scorer(algorithm, names, params, window, warmup), _keyed(key, lambda s, pdf: s.run(pdf)))
+    model = make(algorithm, names, **params)  # unknown names fail here, not in a task
+    start = lambda _: Scorer(algorithm, names, params, window, warmup)
+    if model.horizon() is not None:
+        return _in_blocks(rows, names, key, model.horizon(), max(window, warmup), start)
+    return in_order(rows, key, f"{key} string, {OUT}", start, _keyed(key, lambda s, pdf: s.run(pdf)))
+
+
+def _in_blocks(rows: DataFrame, names: list[str], key: str, horizon: int, window: int, start: Callable[[object], Scorer]) -> DataFrame:
+    """Rows are numbered within their key (``scan``) and cut into blocks. Ahead of a block stand the last rows of the one before:
+    ``horizon`` that only fill the model's memory, then ``window`` whose scores fill the calibration. Rows that can't be
+    scored count in neither, so they are not numbered."""
+    bad = reduce(lambda a, b: a | b, [F.coalesce(F.abs(c) == float("inf"), F.lit(False)) for c in names])
+    lost = rows.where(bad).select(key, "event_id", "seq", *[F.lit(0.0).alias(c) for c in ("raw", "scaled", "percentile")], F.lit("scoring error: a feature is not a finite number").alias("error"))
+    ahead = horizon + window
+    size = OWN * ahead
+    at = F.col("at__") - 1
+    fine = scan.numbered(rows.where(~bad), [key], ORDER, "at__").withColumns({"block__": F.floor(at / size), "left__": F.lit(size) - at % size})  # rows to the block's end
+    again = fine.where(F.col("left__") <= ahead).withColumns({"block__": F.col("block__") + 1, "role__": F.when(F.col("left__") > window, 2).otherwise(1)})
+    both = fine.withColumn("role__", F.lit(0)).unionByName(again).drop("at__", "left__")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, place = None, None
+        for pdf in batches:
+            here = list(zip(pdf[key].where(pdf[key].notna(), None), pdf["block__"], strict=True))
+            new = [i for i in range(len(pdf)) if i == 0 or here[i] != here[i - 1]]
+            for a, b in zip(new, [*new[1:], len(pdf)], strict=True):
+                if held is None or here[a] != place:
+                    held, place = start(here[a][0]), here[a]
+                part = pdf.iloc[a:b]
+                role = part["role__"].to_numpy()
+                if (role == 2).any():
+                    held.model.prime(part[names].fillna(0.0).to_numpy(float)[role == 2])
+                if (role < 2).any():
+                    part = part[role < 2]
+                    out = held.run(part)
+                    out.insert(0, key, part[key].to_numpy())
+                    yield out[role[role < 2] == 0]
+
+    schema = f"{key} string, {OUT}"
+    scored = both.repartition(key, "block__").sortWithinPartitions(key, "block__", *ORDER).mapInPandas(run, schema)
+    return scored.unionByName(lost.select(scored.columns))
 
 
 def train(df: DataFrame, algorithm: str, features: list[str], key: str = "event_group", window: int = 2048, warmup: int = 128, **params) -> DataFrame:
