@@ -185,6 +185,7 @@ def dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "t
                     if batch.column(2)[lo + i].is_valid:
                         cover = np.zeros(b - a + 1, np.int64)
                         s = np.asarray(batch.column(2)[lo + i].values)
+                        s = s[s + window <= b - a]  # two rows of one name have each other's windows, perhaps behind the end
                         np.add.at(cover, s, 1)
                         np.add.at(cover, s + window, -1)
                         keep = np.cumsum(cover)[:-1] == 0
