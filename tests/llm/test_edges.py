@@ -56,3 +56,49 @@ def test_an_unlabelled_corpus_runs_through(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == {1, 3, 4, None} and all(r["exact"] and r["n_tokens"] == len(r["ids"]) for r in got.values())
+
+
+def test_mixing_and_its_sql_with_null_sources_and_ids(spark, tmp_path):
+    import duckdb
+
+    from tidewatch.llm import mixing, queries
+
+    rows = [(None if i == 50 else i, f"w{i} " * (1 + i % 9), "en", [None, "big", "big", "big", "small"][i % 5], 1) for i in range(150)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.sql(queries.OP4_SQL).fetchall(), key=str)
+    got = sorted(map(tuple, queries.op4_mixing(spark, str(tmp_path)).collect()), key=str)
+    assert len(got) == 150 and got == want
+    assert mixing.realise(mixing.mix(df.limit(0))).collect() == []
+
+
+def test_every_text_operator_on_repeated_rows_null_ids_and_a_long_text(spark):
+    """Rows are told apart as rows: each gives its result, whatever ids and texts the others have; and a text longer
+    than every chunk and leaf is taken whole."""
+    from tokenizers import Tokenizer
+
+    from tidewatch.llm import bpe, lexical, pii, queries, spotsigs, substring_dedup, token_counts
+
+    long = " ".join(f"word{i % 977} x{i}" for i in range(260_000)) + " call +1 555 123 4567 end"
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, "a b"), (1, "a b"), (1, passage), (None, passage), (None, None), (None, "mail a@b.cc"), (2, ""), (3, long)]
+    assert len(long) > words.CHUNK
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lib = Tokenizer.from_file(queries.vocabulary())
+    n = sorted(len(lib.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
+    assert sorted(r["n_tokens"] for r in bpe.digests(df, queries.vocabulary()).collect()) == n
+    lengths = token_counts.histogram(df, queries.vocabulary()).collect()
+    assert sum(r[1] for r in lengths) == len(rows) and sum(r[0] * r[1] for r in lengths) == sum(n)
+    out = substring_dedup.dedup(df).collect()
+    assert sorted(r["n_removed"] for r in out) == [0] * 6 + [40, 40] and max(r["n_words"] for r in out) == len(long.split())
+    said = pii.find(df, pii.train(df)).collect()
+    assert len(said) == 8 and sum(r["n_email"] for r in said) == 1 and sum(r["n_phone"] for r in said) == 1
+    prints = spotsigs.against_next(df).collect()
+    assert sorted(r["n_chars"] for r in prints) == sorted(len(t or "") for _, t in rows) and max(len(r["fingerprint"]) for r in prints) > 10**6
+    best = lexical.search(df, spark.createDataFrame([(9, "A b"), (9, "x259999 p39")], "item_id long, text string")).collect()
+    want = [(1, 1), (2, 1), (3, None)] + [(1, 1), (2, None), (3, 3)]  # of "a b", "a b" and the address; of the passages and the long text
+    assert sorted(((r["rank"], r["doc_id"]) for r in best), key=str) == sorted(want, key=str)
+    groups = ngram_join.groups(df).collect()
+    assert len(groups) == 8 and max(r["n_shingles"] for r in groups) == len(long.split()) - 4

@@ -74,16 +74,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 with t as (select doc_id, source, greatest(1, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 1)) as n_tokens,
-                  cast('0x' || substr(md5('mix:' || doc_id), 1, 15) as bigint) as o from documents),
+                  cast('0x' || substr(md5(concat_ws(':', 'mix', doc_id::varchar)), 1, 15) as bigint) as o from documents),
 s as (select source, count(*) as docs, sum(n_tokens) as tokens, sum(n_tokens) / (select sum(n_tokens) from t) as p from t group by source),
 a as (select greatest(0, ceil((1 - ln(2 + 1e-9) / ln(max(p) / min(p))) * 1048576)) / 1048576 as alpha from s),
 w as (select source, docs, tokens, pow(p, alpha) / sum(pow(p, alpha)) over () as weight from s, a),
 q as (select source, docs, tokens, cast(floor(max(tokens / weight) over () * weight + 1e-6) as bigint) as quota from w),
 r as (select source, quota // tokens as full_, quota % tokens as rest, greatest(1, cast(ceil(docs / 1024) as bigint)) as blocks from q),
-d as (select t.*, full_, rest, o % blocks as blk from t join r using (source)),
+d as (select t.*, full_, rest, o % blocks as blk from t join r on t.source is not distinct from r.source),
 b as (select source, blk, any_value(rest) as rest, sum(n_tokens) as bt, cast('0x' || substr(md5('mix:block:' || blk), 1, 15) as bigint) as turn from d group by source, blk),
 c as (select *, rest - coalesce(sum(bt) over (partition by source order by turn, blk rows between unbounded preceding and 1 preceding), 0) as room from b),
-e as (select d.*, room, bt <= room as whole, sum(n_tokens) over (partition by source, blk order by o, doc_id) as upto from d join c using (source, blk))
+e as (select d.*, room, bt <= room as whole, sum(n_tokens) over (partition by d.source, d.blk order by o, doc_id) as upto from d join c on d.source is not distinct from c.source and d.blk = c.blk)
 select doc_id, source, n_tokens, cast(full_ + case when room > 0 and (whole or upto <= room) then 1 else 0 end as bigint) as copies from e
 """
 
