@@ -39,6 +39,8 @@ from tidewatch.llm.runtime import prepare
 #: Fixed value: the piece pattern of this family of byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF_CHARS = 1 << 15
+#: Bytes of texts, or of ids, that are worked on together.
+SLICE = 1 << 20
 #: Threads that encode the leaves of one text; the engine lets go of the interpreter meanwhile.
 THREADS = 4
 _LOADED: dict[str, Codec] = {}
@@ -168,6 +170,21 @@ def codec(path: str) -> Codec:
     return mine[path]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose column ``of`` has about SLICE bytes, or of one row that has more: what Python holds
+    at a time is bounded by a slice, and goes back when the task ends."""
+    for batch in batches:
+        lo = 0
+        while lo < batch.num_rows:
+            hi, size = lo, 0
+            while hi < batch.num_rows and (hi == lo or size < SLICE):
+                size += batch.column(of)[hi : hi + 1].nbytes
+                hi += 1
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+    pa.default_memory_pool().release_unused()
+
+
 def token_lengths(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """Append the number of ids of each whole text (0 for null)."""
     prepare(docs.sparkSession)
@@ -175,7 +192,7 @@ def token_lengths(docs: DataFrame, vocabulary: str, text: str = "text", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        for batch in batches:
+        for batch in _slices(batches, at):
             n = pa.array([len(c.encode(t)) if t else 0 for t in batch.column(at).to_pylist()], pa.int64())
             kept = [(f, x) for f, x in zip(batch.schema.names, batch.columns, strict=True) if f != out]
             yield pa.RecordBatch.from_arrays([x for _, x in kept] + [n], names=[f for f, _ in kept] + [out])
@@ -190,7 +207,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        for batch in batches:
+        for batch in _slices(batches, at):
             ids = pa.array([c.encode(t) if t else [] for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
             kept = [(f, x) for f, x in zip(batch.schema.names, batch.columns, strict=True) if f != "ids"]
             yield pa.RecordBatch.from_arrays([x for _, x in kept] + [ids], names=[f for f, _ in kept] + ["ids"])
@@ -205,7 +222,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        for batch in batches:
+        for batch in _slices(batches, at):
             said = pa.array([c.decode(x) if x else "" for x in batch.column(at).to_pylist()], pa.string())
             kept = [(f, x) for f, x in zip(batch.schema.names, batch.columns, strict=True) if f != "decoded"]
             yield pa.RecordBatch.from_arrays([x for _, x in kept] + [said], names=[f for f, _ in kept] + ["decoded"])
@@ -219,7 +236,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        for batch in batches:
+        for batch in _slices(batches, 1):
             n, shas, texts = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = c.encode(t) if t else []
