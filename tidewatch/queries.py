@@ -811,14 +811,14 @@ def fd_peers(spark, d):
 @query("fd_inherited", _CALLS.replace("with x", "with recursive x") + f"""p as (select distinct user_id as pid, user_id // 2 as ppid from events), up as (select pid, pid as anc, 0 as hop from p union all select up.pid, p.ppid, up.hop + 1 from up join p on up.anc = p.pid where up.hop < 7 and p.ppid <> p.pid),
 c as (select event_id * 8 + hop as event_id, calls.event_id as id, up.anc as pid, fd, ts, hop from calls join up on up.pid = calls.pid where call in ('read', 'write')),
 h as ({(_HELD % 'marks').replace('(c.ts, c.event_id)', '(c.ts, c.id)')}), g as (select id, arg_min(v, hop) as v, min(hop) as hop from c join h using (event_id) where v is not null group by id)
-select calls.event_id, v as open_path, cast(hop as bigint) as hop from calls left join g on g.id = calls.event_id where call in ('read', 'write')""")
+select calls.event_id, v as open_path, coalesce(cast(hop as bigint), -1) as hop from calls left join g on g.id = calls.event_id where call in ('read', 'write')""")
 def fd_inherited(spark, d):
     from tidewatch.operators import lineage
 
     calls = _calls(spark, d)
     parents = calls.select("pid", F.expr("pid div 2").alias("ppid")).distinct()
     out = lineage.inherited(calls.where(F.col("syscall_name").isin("read", "write")), lineage.path_marks(calls), parents, out="open_path")
-    return out.select("event_id", "open_path", F.col("hop").cast("long").alias("hop"))
+    return out.select("event_id", "open_path", F.coalesce(F.col("hop").cast("long"), F.lit(-1)).alias("hop"))
 
 
 @query("rule_of_sql", WITH_ENV + _CLASSIFIED + " select event_id, rule from hit")
