@@ -37,5 +37,5 @@ def test_sql(spark, sf):
     for name, sql in queries.oracle_sql().items():
         got, want = queries.queries()[name](spark, sf).toPandas(), con.sql(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
-        key = lambda df: sorted(df[sorted(df.columns)].astype(str).itertuples(index=False, name=None))
+        key = lambda df: sorted(df[sorted(df.columns)].convert_dtypes().astype(str).itertuples(index=False, name=None))
         assert key(got) == key(want), name
