@@ -168,3 +168,34 @@ def test_knn_of_a_long_key_is_cut_into_blocks(spark):
         for w in want.itertuples():
             r = got[w.event_id]
             assert abs(r["raw"] - w.raw) < 1e-12 and r["percentile"] == w.percentile and abs(r["scaled"] - w.scaled) < 1e-12 and r["error"] == w.error and r["event_group"] == g
+def test_sequence_model_against_plain_steps():
+    """One array of parameters, moved in place from the first part that is not silent, gives what a plain Adam gives."""
+    rng, m = np.random.default_rng(8), models.NextToken(["a", "b"], hidden=6, rate=0.05)
+    p, dice, classes = {i: w.copy() for i, w in enumerate(m._views(m.p))}, np.random.default_rng(42), 0
+    dice.bit_generator.state = m.rng.bit_generator.state
+    for k in range(1500):
+        x, target = rng.normal(size=2) * (1 if k < 700 else 0.01), k % 3
+        if classes < (now := min(k + 1, 3)):
+            w = np.vstack([np.hstack([p[2][:-1], dice.uniform(-1, 1, (6, now - classes)) / math.sqrt(6)]), np.concatenate([p[2][-1], np.zeros(now - classes)])])
+            p[2], classes, adam = w, now, models.Adam(0.05)
+        target = min(target, classes - 1)
+
+        def forward(masks):
+            hs = [np.append(x, 1.0)]
+            for i in range(2):
+                hs.append(np.append(np.maximum(0.0, hs[-1] @ p[i] * masks[i]), 1.0))
+            e = np.exp(hs[-1] @ p[2] - (hs[-1] @ p[2]).max())
+            return hs, e / e.sum()
+
+        masks = (dice.random((2, 6)) >= 0.5) / 0.5
+        hs, back = forward(masks)
+        back[target] -= 1
+        grads = {}
+        for i in (2, 1, 0):
+            grads[i] = np.outer(hs[i], back)
+            back = (p[i][:-1] @ back) * (hs[i][:-1] > 0) * (masks[i - 1] if i else 1)
+        adam(p, grads)
+        assert abs(m.observe(x, target, classes) - (1 - forward(np.ones((2, 6)))[1][target])) < 1e-7
+    assert all(np.allclose(v, p[i], atol=1e-6) for i, v in enumerate(m._views(m.p)))
+
+

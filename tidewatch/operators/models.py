@@ -564,44 +564,112 @@ class NextToken(Model):
     defaults = {"hidden": 64, "layers": 2, "rate": 0.003, "dropout": 0.5, "seed": 42}
 
     def start(self):
-        self.rng, self.adam, self.classes = np.random.default_rng(self.seed), Adam(self.rate), 0
-        sizes = [len(self.names)] + [self.hidden] * self.layers
-        self.p = {}
-        for i, (a, b) in enumerate(zip(sizes, sizes[1:], strict=False)):
-            self.p[f"w{i}"], self.p[f"b{i}"] = self.rng.uniform(-1, 1, (a, b)) / math.sqrt(a), np.zeros(b)
-        self.p["wo"], self.p["bo"] = np.zeros((self.hidden, 0)), np.zeros(0)
-
-    def _grow(self, classes):
-        if classes > self.classes:
-            more = classes - self.classes
-            self.p["wo"] = np.hstack([self.p["wo"], self.rng.uniform(-1, 1, (self.hidden, more)) / math.sqrt(self.hidden)])
-            self.p["bo"] = np.concatenate([self.p["bo"], np.zeros(more)])
-            self.classes, self.adam = classes, Adam(self.rate)
+        self.rng, self.classes, self.t = np.random.default_rng(self.seed), 0, 0
+        sizes, parts = [len(self.names)] + [self.hidden] * self.layers, []
+        for a, b in zip(sizes, sizes[1:], strict=False):
+            parts += [self.rng.uniform(-1, 1, (a, b)).ravel() / math.sqrt(a), np.zeros(b)]
+        self.p = np.concatenate(parts)
+        self._rest()
+
+    def _rest(self) -> None:
+        """Moments of 0. ``low`` is the part from which on parameters move, ``since`` the step at which each last did."""
+        self.m, self.v = np.zeros_like(self.p), np.zeros_like(self.p)
+        self.t, self.low, self.since = 0, 0, [0] * (2 * self.layers + 2)
+
+    def _views(self, flat: np.ndarray) -> list[np.ndarray]:
+        """The weights of each layer and of the output, biases as their last rows, in one array of all parameters."""
+        out, at, a = [], 0, len(self.names)
+        for b in [self.hidden] * self.layers + [self.classes]:
+            out.append(flat[at : at + (a + 1) * b].reshape(a + 1, b))
+            at, a = at + (a + 1) * b, b
+        return out
 
-    def _forward(self, x, train):
-        hs, masks = [x], []
+    def _grow(self, classes: int) -> None:
+        *below, last = self._views(self.p)
+        more = classes - self.classes
+        last = np.vstack([np.hstack([last[:-1], self.rng.uniform(-1, 1, (self.hidden, more)) / math.sqrt(self.hidden)]), np.concatenate([last[-1], np.zeros(more)])])
+        self.p, self.classes = np.concatenate([x.ravel() for x in (*below, last)]), classes
+        self._rest()
+
+    _work = None
+
+    def _room(self) -> tuple:
+        """Views and space that one step after the other uses; not a part of the state."""
+        if self._work is None or self._work[0] is not self.p:
+            g = np.zeros_like(self.p)
+            hs = [np.ones(n + 1) for n in (len(self.names), *[self.hidden] * self.layers)]
+            views = self._views(self.p)
+            ends = np.cumsum([0] + [n for w in views for n in (w.size - w.shape[1], w.shape[1])]).tolist()  # weights, biases
+            self._work = self.p, views, g, self._views(g), np.empty_like(self.p), hs, [h[:-1] for h in hs], ends
+        return self._work
+
+    def _learn(self, g: np.ndarray, room: np.ndarray, ends: list[int], least: int) -> None:
+        """A step of Adam, in place, over the parameters from the first part that moves on: below it gradients and means
+        are 0, as behind units that are silent, so nothing would change but spreads, which shrink when a part wakes.
+        Corrections that have become 1 are left out, and what is too small to move anything becomes 0."""
+        for i in range(least, self.low):  # it wakes
+            self.v[ends[i] : ends[i + 1]] *= 0.999 ** (self.t - self.since[i])
+        self.low = min(self.low, least)
+        self.t += 1
+        one, two = 1 - 0.9**self.t, 1 - 0.999**self.t
+        at = ends[self.low]
+        p, m, v, g, room = self.p[at:], self.m[at:], self.v[at:], g[at:], room[at:]
+        m *= 0.9
+        m += np.multiply(g, 0.1, out=room)
+        np.multiply(g, 0.001, out=room)
+        room *= g
+        v *= 0.999
+        v += room
+        np.sqrt(v if two == 1 else np.divide(v, two, out=room), out=room)
+        room += 1e-8
+        step = np.multiply(m if one == 1 else np.divide(m, one, out=g), self.rate, out=g)
+        step /= room
+        p -= step
+        if self.t % 128 == 0:
+            m[np.abs(m) < 1e-280] = 0.0
+            v[v < 1e-280] = 0.0
+            while self.low < least and not self.m[ends[self.low] : ends[self.low + 1]].any():
+                self.since[self.low] = self.t
+                self.low += 1
+
+    def _chances(self, views: list[np.ndarray], hs: list[np.ndarray], inner: list[np.ndarray], masks: np.ndarray | None) -> np.ndarray:
         for i in range(self.layers):
-            m = (self.rng.random(self.hidden) >= self.dropout) / (1 - self.dropout) if train else np.ones(self.hidden)
-            masks.append(m)
-            hs.append(np.maximum(0.0, (hs[-1] @ self.p[f"w{i}"] + self.p[f"b{i}"]) * m))
-        z = hs[-1] @ self.p["wo"] + self.p["bo"]
-        e = np.exp(z - z.max())
-        return hs, masks, e / e.sum()
+            h = inner[i + 1]
+            np.dot(hs[i], views[i], out=h)
+            if masks is not None:
+                h *= masks[i]
+            np.maximum(h, 0.0, out=h)
+        z = hs[-1].dot(views[-1])
+        z -= np.maximum.reduce(z)
+        e = np.exp(z, out=z)
+        e /= np.add.reduce(e)
+        return e
 
     def observe(self, x: np.ndarray, target: int, classes: int) -> float:
-        self._grow(classes)
-        hs, masks, p = self._forward(x, True)
-        g = p.copy()
-        g[target] -= 1
-        grads = {"wo": np.outer(hs[-1], g), "bo": g}
-        back = g @ self.p["wo"].T
-        for i in reversed(range(self.layers)):
-            back = back * (hs[i + 1] > 0) * masks[i]
-            grads[f"w{i}"], grads[f"b{i}"] = np.outer(hs[i], back), back
-            back = back @ self.p[f"w{i}"].T
-        self.adam(self.p, grads)
+        if classes > self.classes:
+            self._grow(classes)
+        _, views, grads, out, room, hs, inner, ends = self._room()
+        inner[0][:] = x
+        masks = (self.rng.random((self.layers, self.hidden)) >= self.dropout) / (1 - self.dropout)
+        back = self._chances(views, hs, inner, masks)
+        back[target] -= 1
+        for i in range(self.layers, -1, -1):
+            least = 2 * i if np.count_nonzero(inner[i]) else 2 * i + 1
+            np.multiply(hs[i][:, None], back, out=out[i])
+            if i:
+                back = views[i][:-1].dot(back)
+                back *= masks[i - 1]
+                back *= inner[i] > 0
+                if not np.count_nonzero(back):
+                    grads[ends[min(self.low, 2 * i)] : ends[2 * i]] = 0.0
+                    break
+        self._learn(grads, room, ends, least)
         self.n += 1
-        return float(1 - self._forward(x, False)[2][target])
+        return float(1 - self._chances(views, hs, inner, None)[target])
+
+
+#: Tokens up to which all pairs of them are looked at.
+FEW = 32
 
 
 class Word2Vec:
@@ -618,7 +686,9 @@ class Word2Vec:
 
     def add(self, actor: str, token: str) -> np.ndarray:
         """The token is taken up; its vector as learnt by then (zeros if unknown)."""
-        q = self.recent.setdefault(actor, deque(maxlen=self.sentence))
+        q = self.recent.get(actor)
+        if q is None:
+            q = self.recent[actor] = deque(maxlen=self.sentence)
         q.append(token)
         if len(q) == self.sentence:
             self.pending.append(list(q))
@@ -638,11 +708,15 @@ class Word2Vec:
             self.freq[self.ids[t]] += 1
         upto = np.cumsum(np.array(self.freq, float) ** 0.75)
         rate = self.rate * (1 if self.n <= self.warmup else self.later)
-        for s in self.pending:
-            w = np.array([self.ids[t] for t in s])
-            c = w[self.center]
-            drawn = np.searchsorted(upto, self.rng.random((len(c), self.negative)) * upto[-1], "right")
-            at = np.column_stack([w[self.other], np.minimum(drawn, len(upto) - 1)])
+        words = np.array([[self.ids[t] for t in s] for s in self.pending])
+        drawn = np.searchsorted(upto, self.rng.random((len(words), len(self.center), self.negative)) * upto[-1], "right")
+        at = np.concatenate([words[:, self.other, None], np.minimum(drawn, len(upto) - 1)], axis=2)
+        c = words[:, self.center]
+        if len(upto) <= FEW:
+            self._all_pairs(at, c, rate)
+            self.pending = []
+            return
+        for at, c in zip(at, c, strict=True):
             g = 1 / (1 + np.exp(-np.einsum("ijk,ik->ij", self.out[at], self.vec[c])))
             g[:, 0] -= 1
             g *= rate
@@ -651,6 +725,16 @@ class Word2Vec:
             np.subtract.at(self.vec, c, back)
         self.pending = []
 
+    def _all_pairs(self, at: np.ndarray, c: np.ndarray, rate: float) -> None:
+        """Of few tokens, each sentence's step by how often it has each pair: its pairs are learnt from the same vectors."""
+        n, many = len(self.vec), len(at)
+        place = (np.arange(many)[:, None, None] * n + at) * n + c[:, :, None]
+        both = rate * np.bincount(place.ravel(), minlength=many * n * n).reshape(many, n, n)
+        true = rate * np.bincount(place[:, :, 0].ravel(), minlength=many * n * n).reshape(many, n, n)
+        for pairs, right in zip(both, true, strict=True):
+            g = pairs / (1 + np.exp(-(self.out @ self.vec.T))) - right
+            self.out, self.vec = self.out - g @ self.vec, self.vec - g.T @ self.out
+
 
 class RollingRank:
     """The share of the last ``window`` scores not above a new one; scores that differ by rounding only are equal."""
@@ -685,7 +769,7 @@ def plain(value: object) -> object:
     if isinstance(value, (list, tuple)):
         return [plain(x) for x in value]
     if type(value).__name__ in PARTS:
-        return {"part": type(value).__name__, "of": {k: plain(v) for k, v in vars(value).items()}}
+        return {"part": type(value).__name__, "of": {k: plain(v) for k, v in vars(value).items() if not k.startswith("_")}}
     return value
 
 
