@@ -199,3 +199,16 @@ def test_sequence_model_against_plain_steps():
     assert all(np.allclose(v, p[i], atol=1e-6) for i, v in enumerate(m._views(m.p)))
 
 
+def test_a_pipeline_scores_once(spark, sf):
+    """Numbering the rows for the warm-up must not run the model again."""
+    ran, e = spark.sparkContext.accumulator(0), env(spark, sf).withColumn("group_key", F.col("event_group"))
+
+    def seen(batches):
+        for pdf in batches:
+            ran.add(len(pdf))
+            yield pdf
+
+    scores = keyed.score(features.extract(e, NAMES), "zscore", NAMES, "group_key")
+    counted = scores.mapInPandas(seen, scores.schema)
+    c = pipelines.Config(algorithm="zscore", features=tuple(NAMES), score_mode="scaled", warmup=20)
+    assert pipelines._decided(counted, e, c).where("suppressed").count() == 60 and ran.value == e.count()

@@ -161,15 +161,17 @@ def group_key(c: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit("__default__"))
 
 
-def decide(df: DataFrame, threshold: float, mode: str = "scaled", warmup: int = 0, key: str = "group_key", parts: int | None = None) -> DataFrame:
-    """Append suppressed, primary, anomaly, score and reason. The first ``warmup`` rows of a key are suppressed. A row
-    with an ``error`` is no anomaly and scores 0, and its reason is the error."""
+def decide(df: DataFrame, threshold: float, mode: str = "scaled", warmup: int = 0, key: str = "group_key", parts: int | None = None, row: str | None = None) -> DataFrame:
+    """Append suppressed, primary, anomaly, score and reason. The first ``warmup`` rows of a key are suppressed; ``row`` is the
+    column with a row's number within its key, if there is one already (it goes), as counting reads the rows twice more. A row with an ``error`` is no anomaly and scores 0, and its reason is the error."""
     if mode not in ("raw", "scaled", "percentile"):
         raise ValueError(f"unknown score mode {mode!r}")
     failed = F.col("error").isNotNull() if "error" in df.columns else F.lit(False)
-    if warmup:
+    if row:
+        df = df.withColumnRenamed(row, "suppressed")
+    elif warmup:
         df = scan.numbered(df, [key], ORDER, "suppressed", parts)
-    df = df.withColumn("suppressed", F.col("suppressed") <= warmup if warmup else F.lit(False))
+    df = df.withColumn("suppressed", F.col("suppressed") <= warmup if warmup or row else F.lit(False))
     df = df.withColumn("primary", F.when(F.col("suppressed") | failed, F.lit(0.0)).otherwise(F.col(mode)))
     df = df.withColumn("anomaly", ~F.col("suppressed") & ~failed & (F.col("primary") >= threshold))
     response = F.when(F.col("suppressed") | failed, F.lit(0.0)).otherwise(F.col("primary") if mode == "percentile" else F.col("scaled"))

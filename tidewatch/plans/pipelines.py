@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import features
-from tidewatch.operators import native
+from tidewatch.operators import native, scan
 from tidewatch.operators.models import MODELS
 from tidewatch.streaming import keyed
 
@@ -68,8 +69,10 @@ def build(events: DataFrame, config: Config) -> DataFrame:
 
 
 def _decided(scores: DataFrame, events: DataFrame, c: Config) -> DataFrame:
-    order = events.select("event_id", "seq", "ts_unix_nano")
-    return native.decide(scores.join(order, ["event_id", "seq"]), c.threshold, c.score_mode, c.warmup, c.key)
+    """Rows are numbered before they are scored: counting reads them several times, and a model should run once."""
+    key = F.lit("all").alias("all") if c.key == "all" else F.col(c.key)
+    order = scan.numbered(events.select("event_id", "seq", "ts_unix_nano", key), [c.key], native.ORDER, "row__").drop(c.key)
+    return native.decide(scores.join(order, ["event_id", "seq"]), c.threshold, c.score_mode, c.warmup, c.key, row="row__")
 
 
 def single_model(events: DataFrame, c: Config) -> DataFrame:
