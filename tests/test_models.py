@@ -168,6 +168,19 @@ def test_knn_of_a_long_key_is_cut_into_blocks(spark):
         for w in want.itertuples():
             r = got[w.event_id]
             assert abs(r["raw"] - w.raw) < 1e-12 and r["percentile"] == w.percentile and abs(r["scaled"] - w.scaled) < 1e-12 and r["error"] == w.error and r["event_group"] == g
+@pytest.mark.parametrize("name, params", [("latentcluster", {})])
+def test_rows_in_blocks_score_as_one_by_one(name, params):
+    """A block of rows is learnt at once, not row by row: with the same scores, and the same state behind it."""
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.choice([0.0, 0.1, 0.25, 0.9], 900), np.clip(rng.normal(0.5, 0.2, 900), 0, 1), rng.random(900) < 0.2])
+    a, b = (models.make(name, ["a_hash", "b", "return_success"], **params) for _ in "ab")
+    assert type(b).steps is not models.Model.steps
+    want = [a.step(v) for v in x]
+    got = [s for part in np.split(x, [1, 2, 45, 46, 700]) for s in b.steps(part)]
+    assert np.allclose(got, want, atol=1e-9) and a.n == b.n
+    assert np.allclose(b.steps(x[:200]), [a.step(v) for v in x[:200]], atol=1e-9)
+
+
 def test_sequence_model_against_plain_steps():
     """One array of parameters, moved in place from the first part that is not silent, gives what a plain Adam gives."""
     rng, m = np.random.default_rng(8), models.NextToken(["a", "b"], hidden=6, rate=0.05)

@@ -72,6 +72,26 @@ def combine(values: np.ndarray, how: str, k: int, temperature: float = 0.25) ->
     return float((w * best).sum() / w.sum())
 
 
+def combined(values: np.ndarray, how: str, k: int, temperature: float = 0.25) -> np.ndarray:
+    """``combine`` of each row."""
+    if how in ("sum", "mean"):
+        return values.sum(1) if how == "sum" else values.mean(1)
+    best = np.sort(values, axis=1)[:, ::-1][:, :k]
+    if how == "topk_mean":
+        return best.mean(1)
+    w = np.exp((best - best[:, :1]) / temperature)
+    return (w * best).sum(1) / w.sum(1)
+
+
+def sane(raw: np.ndarray) -> list[float]:
+    """Scores as ``Model.step`` gives them."""
+    return np.where(np.isfinite(raw), np.maximum(raw, 0.0), 0.0).tolist()
+
+
+def pieces(x: np.ndarray, size: int) -> list[np.ndarray]:
+    return [x[i : i + size] for i in range(0, len(x), size)]
+
+
 class ZScore(Model):
     defaults = {"min_count": 20, "std_floor": 1e-3, "topk": 8}
 
@@ -108,6 +128,56 @@ class Marginals:
             return int(v >= 0.5)
         return 0 if v <= 0 else self.bins - 1 if v >= 1 else int(v * self.bins)
 
+    def keys(self, j: int, v: np.ndarray) -> np.ndarray:
+        """``key`` of each value."""
+        if self.kinds[j] == "hash":
+            return np.clip(np.floor(v * HASH_BINS + 1e-6), 0, HASH_BINS - 1).astype(np.int64)
+        if self.kinds[j] == "binary":
+            return (v >= 0.5).astype(np.int64)
+        return np.where(v <= 0, 0, np.where(v >= 1, self.bins - 1, np.clip(v, 0, 1) * self.bins)).astype(np.int64)
+
+    def bounded(self) -> bool:
+        """Whether there can be more categories than the cap: then rows are learnt one by one."""
+        return any(self.cap < (HASH_BINS if k == "hash" else 2) for k in self.kinds if k != "numeric")
+
+    def weights(self, most: int) -> np.ndarray:
+        """The scale behind each of the next rows, up to the next rescaling; none if it comes with the next row."""
+        scale = np.multiply.accumulate(np.concatenate([[self.scale], np.full(most, self.decay)]))[1:]
+        low = np.flatnonzero(scale < 1e-6)
+        return scale[: low[0]] if len(low) else scale
+
+    def surprisals(self, x: np.ndarray) -> np.ndarray:
+        """``surprisal`` of each row, then ``learn``: of as many of the rows as come before the next rescaling."""
+        scale = self.weights(len(x))
+        if not len(scale):
+            out = self.surprisal(x[0])[None]
+            self.learn(x[0])
+            return out
+        x, w, before = x[: len(scale)], 1 / scale, np.concatenate([[self.scale], scale[:-1]])
+        unit, out = np.ones(len(x)) if self.inflated else 1 / before, np.zeros((len(scale), len(self.kinds)))
+        for j, counts in enumerate(self.counts):
+            values, at = np.unique(self.keys(j, x[:, j]), return_inverse=True)
+            held = [counts.get(v) for v in values.tolist()]
+            base = np.array([h or 0.0 for h in held])
+            order = np.argsort(at, kind="stable")
+            sofar = np.cumsum(w[order]) - w[order]
+            first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+            earlier = np.zeros(len(x))
+            earlier[order] = sofar - sofar[first][at[order]]
+            sums = np.cumsum(np.concatenate([[self.sums[j]], w]))
+            if self.kinds[j] == "numeric":
+                size = np.full(len(x), float(self.bins))
+            else:
+                new = np.zeros(len(x))
+                new[order[first]] = [h is None for h in held]
+                size = np.maximum(2.0, len(counts) + np.cumsum(new) - new + 1.0)
+            a = self.alpha * unit
+            out[:, j] = np.maximum(0.0, -np.log((base[at] + earlier + a) / (sums[:-1] + a * size)) - np.log(size))
+            counts.update(zip(values.tolist(), (base + np.bincount(at, w, len(values))).tolist(), strict=True))
+            self.sums[j] = float(sums[-1])
+        self.scale = float(scale[-1])
+        return out
+
     def _size(self, j: int) -> float:
         return float(self.bins) if self.kinds[j] == "numeric" else max(2.0, len(self.counts[j]) + 1.0)
 
@@ -179,7 +249,7 @@ class Freq1D(Model):
 
 
 def normal(u: np.ndarray, clamp: float) -> np.ndarray:
-    return np.array([_NORMAL.inv_cdf(min(max(float(v), clamp), 1 - clamp)) for v in u])
+    return np.array([_NORMAL.inv_cdf(v) for v in np.clip(u, clamp, 1 - clamp).tolist()])
 
 
 def spanning_tree(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -280,6 +350,68 @@ class LatentCluster(Model):
         self.accepted += 1
         self.m.learn(x)
 
+    def steps(self, x):
+        """Whether a row is learnt depends on the row before, so rows go one by one, in plain numbers; each one's place
+        among the clusters is found once."""
+        m, out, to_z, lo, hi = self.m, [], _NORMAL.inv_cdf, max(self.u_clamp, 1e-12), 1 - max(self.u_clamp, 1e-12)
+        if m.bounded() or m.decay != 1 or not len(x):
+            return super().steps(x)
+        alpha, total, free = m.alpha, m.sums[0], [float(m.bins) if k == "numeric" else None for k in m.kinds]
+        parts = list(zip([p.held for p in m.upto], m.counts, free, strict=True))
+        keys = np.column_stack([m.keys(j, x[:, j]) for j in range(len(self.names))]).tolist()
+        centre, var, seen, few = [c.tolist() for c in self.centre], [v.tolist() for v in self.var], [*self.seen], max(16, 4 * self.clusters)
+        reg, ema, emvar, rate, accepted = self.reg, self.ema, self.emvar, self.rate, self.accepted
+        wide = [[max(v, reg) for v in row] for row in var]
+        for key in keys:
+            z = []
+            for k, (held, counts, size) in zip(key, parts):  # noqa: B905
+                i, upto = k + 1, 0.0
+                while i:
+                    upto += held[i]
+                    i &= i - 1
+                u = (upto + alpha) / (total + alpha * (size or max(2.0, len(counts) + 1.0)))
+                z.append(to_z(lo if u < lo else hi if u > hi else u))
+            raw, near = math.inf, 0
+            for q, (c, w) in enumerate(zip(centre, wide)):  # noqa: B905
+                far = 0.0
+                for a, b, v in zip(c, z, w):  # noqa: B905
+                    a -= b
+                    far += a * a / v
+                    if far >= raw:
+                        break
+                else:
+                    raw, near = far, q
+            raw = raw if centre else 0.0
+            out.append(raw)
+            if ema is None:
+                ema = raw
+            else:
+                off = raw - ema
+                ema += rate * off
+                emvar = (1 - rate) * emvar + rate * off * off
+            if not centre or (raw > self.spawn and len(centre) < self.clusters):
+                centre.append(z), var.append([1.0] * len(z)), wide.append([max(1.0, reg)] * len(z)), seen.append(1)
+            elif accepted < few or raw <= max(1.5, ema + 2.5 * math.sqrt(emvar)):
+                eta = max(rate, 1 / (seen[near] + 1))
+                stay = 1 - eta
+                centre[near] = c = [stay * a + eta * b for a, b in zip(centre[near], z)]  # noqa: B905
+                var[near] = wide[near] = [max(reg, stay * v + eta * (b - a) * (b - a)) for v, a, b in zip(var[near], c, z)]  # noqa: B905
+                seen[near] += 1
+            else:
+                continue
+            accepted += 1
+            total += 1.0
+            for k, (held, counts, _) in zip(key, parts):  # noqa: B905
+                counts[k] = counts.get(k, 0.0) + 1.0
+                i, end = k + 1, len(held)
+                while i < end:
+                    held[i] += 1.0
+                    i += i & -i
+        self.centre, self.var, self.seen = [np.array(c) for c in centre], [np.array(v) for v in var], seen
+        self.ema, self.emvar, self.accepted, m.sums = ema, emvar, accepted, [total] * len(m.sums)
+        self.n += len(x)
+        return sane(np.array(out))
+
 
 class Knn(Model):
     defaults = {"k": 5, "memory": 1024, "metric": "euclidean"}
