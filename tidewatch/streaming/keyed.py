@@ -27,6 +27,22 @@ from tidewatch.operators.native import ORDER
 OUT = "event_id string, seq long, raw double, scaled double, percentile double, error string"
 
 
+def learnt(model: Model, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(raw, error) of the next rows, which the model learns."""
+    x = pdf[model.names].fillna(0.0).to_numpy(float)
+    fine = np.isfinite(x).all(1)
+    raws, errors = np.zeros(len(x)), np.where(fine, None, "scoring error: a feature is not a finite number").astype(object)
+    if type(model).steps is not Model.steps:  # in blocks
+        raws[fine] = model.steps(x[fine])
+        return raws, errors
+    for i in np.flatnonzero(fine):
+        try:
+            raws[i] = model.step(x[i])
+        except Exception as e:  # whatever it is, the next event is scored
+            errors[i] = f"scoring error: {e}"
+    return raws, errors
+
+
 class Scorer:
     """A model and its calibration, for one key."""
 
@@ -36,17 +52,8 @@ class Scorer:
 
     def run(self, pdf: pd.DataFrame) -> pd.DataFrame:
         """Scores of the key's next rows, which come in order."""
-        x = pdf[self.model.names].fillna(0.0).to_numpy(float)
-        fine = np.isfinite(x).all(1)
-        raws, errors = np.zeros(len(x)), np.where(fine, None, "scoring error: a feature is not a finite number").astype(object)
-        if type(self.model).steps is not Model.steps:  # in blocks
-            raws[fine] = self.model.steps(x[fine])
-        else:
-            for i in np.flatnonzero(fine):
-                try:
-                    raws[i] = self.model.step(x[i])
-                except Exception as e:  # whatever it is, the next event is scored
-                    fine[i], errors[i] = False, f"scoring error: {e}"
+        raws, errors = learnt(self.model, pdf)
+        fine = np.array([e is None for e in errors], bool)
         ranks = [self.rank.step(r) if f else 0.0 for r, f in zip(raws.tolist(), fine, strict=True)]
         scaled = [self.model.scaled(r) if f else 0.0 for r, f in zip(raws.tolist(), fine, strict=True)]
         return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "raw": raws, "scaled": scaled, "percentile": ranks, "error": errors})
@@ -244,23 +251,33 @@ def token_vectors(df: DataFrame, token: str, key: str, **vectors) -> DataFrame:
 
 
 def _replayed(df: DataFrame, algorithm: str, features: list[str], key: str, top: int, params: dict, schema: str, of: Callable) -> DataFrame:
-    """``of(model, event_id, vector)`` for the ``top`` highest scores of each key, against the model as it stood before
-    each. A first pass finds them; the second learns again and stops at each. Of a key's rows only these are kept."""
+    """``of(model, vector)`` for the ``top`` highest scores of each key, ties by time, against the model as it stood before
+    each. A first pass finds them and keeps no others; the second learns again and stops at each."""
     rows, names = _selected(df, features, key)
-    scores = score(df, algorithm, features, key, **params).select("event_id", "seq", F.col("raw").alias("score_then"))
-    w = Window.partitionBy(key).orderBy(F.desc("score_then"), *ORDER)
-    rows = rows.join(scores, ["event_id", "seq"]).withColumn("asked", F.row_number().over(w) <= top).drop("score_then")
+    new = lambda: make(algorithm, names, **params)
+
+    def find(state: dict, pdf: pd.DataFrame) -> None:
+        part = pdf[["event_id", *ORDER]].assign(score=learnt(state["model"], pdf)[0])
+        both = pd.concat([state["best"], part]) if "best" in state else part
+        state["best"] = both.sort_values(["score", *ORDER], ascending=[False, True, True], kind="stable").head(top)
+
+    new()  # unknown names fail here, not in a task
+    asked = in_order(rows, key, "event_id string, seq long, asked boolean", lambda _: {"model": new()}, find, lambda _, s: s["best"][["event_id", "seq"]].assign(asked=True))
+    rows = rows.join(F.broadcast(asked), ["event_id", "seq"], "left")  # ``top`` rows a key
 
     def step(model: Model, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for e, x, asked in zip(pdf["event_id"], pdf[names].fillna(0.0).to_numpy(float), pdf["asked"], strict=True):
-            out += [(e, *r) for r in of(model, x)] if asked else []
-            model.step(x)
+        out, at = [], 0
+        for i in np.flatnonzero(pdf["asked"].notna()):
+            if i > at:
+                learnt(model, pdf.iloc[at:i])
+            out += [(pdf["event_id"].iloc[i], *r) for r in of(model, pdf[names].iloc[i].fillna(0.0).to_numpy(float))]
+            at = i
+        learnt(model, pdf.iloc[at:])
         out = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
         out.insert(0, key, pdf[key].iloc[0])
         return out
 
-    return in_order(rows, key, f"{key} string, {schema}", lambda _: make(algorithm, names, **params), step)
+    return in_order(rows, key, f"{key} string, {schema}", lambda _: new(), step)
 
 
 def explain(df: DataFrame, algorithm: str, features: list[str], key: str = "event_group", top: int = 20, scored: Callable[[Model], Callable[[np.ndarray], float]] | None = None, **params) -> DataFrame:
