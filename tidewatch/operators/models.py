@@ -212,6 +212,51 @@ class Marginals:
                 self.upto[j].add(k, w)
 
 
+class Opened:
+    """Marginals as arrays while a block of rows is learnt; ``close`` puts them back."""
+
+    def __init__(self, m: Marginals):
+        self.m, self.held = m, []
+        for counts, p in zip(m.counts, m.upto, strict=True):
+            held = np.zeros(len(p.held) - 1)
+            held[list(counts)] = list(counts.values())
+            self.held.append(held)
+
+    def cdfs(self, x: np.ndarray) -> np.ndarray:
+        """``cdf`` of each row, then ``learn``: of as many of the rows as come before the next rescaling."""
+        m = self.m
+        scale = m.weights(len(x))
+        if not len(scale):
+            self.close()
+            out = m.cdf(x[0])[None]
+            m.learn(x[0])
+            self.__init__(m)
+            return out
+        x, w = x[: len(scale)], 1 / scale
+        out, earlier = np.zeros_like(x), np.tri(len(x), k=-1, dtype=bool)
+        for j, held in enumerate(self.held):
+            key, size = m.keys(j, x[:, j]), float(m.bins)
+            if m.kinds[j] != "numeric":
+                new = np.zeros(len(x))
+                values, first = np.unique(key, return_index=True)
+                new[first] = held[values] == 0
+                size = np.maximum(2.0, np.count_nonzero(held) + np.cumsum(new) - new + 1.0)
+            upto = np.cumsum(held)[key] + ((key[None, :] <= key[:, None]) & earlier) @ w
+            sums = np.cumsum(np.concatenate([[m.sums[j]], w]))
+            out[:, j] = (upto + m.alpha) / (sums[:-1] + m.alpha * size)
+            np.add.at(held, key, w)
+            m.sums[j] = float(sums[-1])
+        m.scale = float(scale[-1])
+        return np.clip(out, 1e-12, 1 - 1e-12)
+
+    def close(self) -> None:
+        for j, held in enumerate(self.held):
+            at = np.flatnonzero(held)
+            self.m.counts[j] = dict(zip(at.tolist(), held[at].tolist(), strict=True))
+            upto, i = np.concatenate([[0.0], np.cumsum(held)]), np.arange(len(held) + 1)
+            self.m.upto[j].held = (upto - upto[i - (i & -i)]).tolist()
+
+
 class Prefix:
     """Sums of the first numbers of an array that changes, by a binary indexed tree."""
 
@@ -308,6 +353,38 @@ class CopulaTree(Model):
             r = np.abs(self.rho())[np.ix_(self.used, self.used)]
             self.tree = [(int(self.used[i]), int(self.used[j])) for i, j in spanning_tree(r)]
 
+    def steps(self, x):
+        """Blocks of rows at once, with what lies between two trees by powers of the moving averages' share."""
+        d = len(self.names)
+        if self.m.bounded() or d < 2 or 0 < self.max_features < d or self.interval < 2:
+            return super().steps(x)
+        out, done, held, keep, stay = [], 0, Opened(self.m), 1 - 1 / self.interval, 1 - 1 / self.window
+        power, late = keep ** np.arange(257), np.arange(256)[:, None] - 1 - np.arange(256)[None, :]
+        shares, ahead = np.where(late >= 0, power[np.maximum(late, 0)], 0.0), np.zeros((0, d))
+        while done < len(x):
+            if not len(ahead):
+                u = held.cdfs(x[done : done + 256])
+                ahead = normal(u.ravel(), self.u_clamp).reshape(u.shape)
+            n = min(len(ahead), -self.n % self.interval + 1) if self.tree else 1
+            here, ahead = ahead[:n], ahead[n:]
+            pairs = (here[:, :, None] * here[:, None, :]).reshape(n, -1)
+            before = (power[:n, None] * self.pair.ravel() + (1 - keep) * (shares[:n, :n] @ pairs)).reshape(n, d, d)
+            if self.tree:
+                i, j = np.array(self.tree).T
+                own = np.maximum(before[:, np.arange(d), np.arange(d)], self.reg)
+                p, a, b = np.clip(before[:, i, j] / np.sqrt(own[:, i] * own[:, j]), -0.995, 0.995), here[:, i], here[:, j]
+                edges = np.maximum(0.0, 0.5 * np.log(1 - p * p) + 0.5 * (p * p * (a**2 + b**2) - 2 * p * a * b) / (1 - p * p))
+                out += sane(np.where(self.n + np.arange(n) < 2, 0.0, combined(edges, self.how, self.topk)))
+            else:
+                out += [0.0] * n
+            self.pair = keep * before[-1] + (1 - keep) * pairs[-1].reshape(d, d)
+            self.weight = stay**n * self.weight + (stay ** np.arange(n)[::-1]) @ np.abs(here) / self.window
+            self.n, done = self.n + n, done + n
+            if not self.tree or (self.n - 1) % self.interval == 0:
+                self.tree = [(int(self.used[i]), int(self.used[j])) for i, j in spanning_tree(np.abs(self.rho())[np.ix_(self.used, self.used)])]
+        held.close()
+        return out
+
 
 class LatentCluster(Model):
     scaling = "ratio"
