@@ -641,6 +641,10 @@ class AutoEncoder:
     def error(self, x):
         return float(np.sqrt(np.mean((self.encode(x) @ self.p["u"] + self.p["c"] - x) ** 2)))
 
+    def errors(self, x):
+        """``error`` of each row."""
+        return np.sqrt(np.mean((self.encode(x) @ self.p["u"] + self.p["c"] - x) ** 2, axis=1))
+
     def learn(self, x, target=None):
         target = x if target is None else target
         h = self.encode(x)
@@ -703,6 +707,18 @@ class KitNet(Model):
                 n.learn(u[p])
             self.last.learn(self._errors(x))
 
+    def steps(self, x):
+        """All rows at once, once nothing is learnt any more."""
+        some = max(0, self.grace_map + self.grace_train - self.n)
+        out = super().steps(x[:some])
+        if self.parts is None:
+            return out + super().steps(x[some:])
+        for part in pieces(x[some:], 4096):
+            u = self._unit(part)
+            out += sane(self.last.errors(np.column_stack([n.errors(u[:, p]) for n, p in zip(self.nets, self.parts, strict=True)])))
+            self.n += len(part)
+        return out
+
 
 class MemStream(Model):
     """Nearest latent memories of a denoising autoencoder; only rows near what is known enter the memory."""
