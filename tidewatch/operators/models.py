@@ -109,6 +109,20 @@ class ZScore(Model):
         self.mean = self.mean + d / (self.n + 1)
         self.m2 = self.m2 + d * (x - self.mean)
 
+    def steps(self, x):
+        """Blocks of rows at once: running sums of distances from the mean at the block's start."""
+        out = []
+        for part in pieces(x, 1024):
+            start = self.mean if self.n else part[0]
+            d, n = part - start, self.n + np.arange(len(part) + 1)[:, None]
+            one, two = (np.concatenate([np.zeros_like(d[:1]), np.cumsum(v, axis=0)]) for v in (d, d * d))
+            mean, m2 = start + one / np.maximum(n, 1), self.m2 + np.maximum(0.0, two - one * one / np.maximum(n, 1))
+            std = np.sqrt(np.maximum(m2[:-1] / np.maximum(1, n[:-1] - 1), self.std_floor**2))
+            raw = combined(np.abs(part - mean[:-1]) / std, "topk_mean", self.topk)
+            out += sane(np.where(n[:-1, 0] < self.min_count, 0.0, raw))
+            self.mean, self.m2, self.n = mean[-1], m2[-1], self.n + len(part)
+        return out
+
 
 class Marginals:
     """Decayed counts of each feature's values, with surprisal and cumulative shares. Counts are kept in units that
@@ -292,6 +306,20 @@ class Freq1D(Model):
     def update(self, x, raw):
         self.m.learn(x)
 
+    def steps(self, x):
+        """Blocks of rows at once: what a block's rows add to counts is summed up by value."""
+        if self.m.bounded():
+            return super().steps(x)
+        out = []
+        for part in pieces(x, 4096):
+            done = 0
+            while done < len(part):
+                got = self.m.surprisals(part[done:])
+                out += sane(combined(got, self.how, self.topk, self.temperature))
+                done += len(got)
+        self.n += len(x)
+        return out
+
 
 def normal(u: np.ndarray, clamp: float) -> np.ndarray:
     return np.array([_NORMAL.inv_cdf(v) for v in np.clip(u, clamp, 1 - clamp).tolist()])
