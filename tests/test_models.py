@@ -168,7 +168,7 @@ def test_knn_of_a_long_key_is_cut_into_blocks(spark):
         for w in want.itertuples():
             r = got[w.event_id]
             assert abs(r["raw"] - w.raw) < 1e-12 and r["percentile"] == w.percentile and abs(r["scaled"] - w.scaled) < 1e-12 and r["error"] == w.error and r["event_group"] == g
-@pytest.mark.parametrize("name, params", [("latentcluster", {}), ("loda_ema", {}), ("copulatree", {"interval": 7}), ("copulatree", {"decay": 0.97}), ("halfspacetrees", {"window": 50}), ("kitnet", {"grace_map": 60, "grace_train": 200}), ("zscore", {}), ("freq1d", {}), ("freq1d", {"decay": 0.97, "how": "soft_topk_mean"})])
+@pytest.mark.parametrize("name, params", [("latentcluster", {}), ("loda_ema", {}), ("copulatree", {"interval": 7}), ("copulatree", {"decay": 0.97}), ("halfspacetrees", {"window": 50}), ("kitnet", {"grace_map": 60, "grace_train": 200}), ("zscore", {}), ("freq1d", {}), ("freq1d", {"decay": 0.97, "how": "soft_topk_mean"}), ("memstream", {"warmup": 40, "memory": 32})])
 def test_rows_in_blocks_score_as_one_by_one(name, params):
     """A block of rows is learnt at once, not row by row: with the same scores, and the same state behind it."""
     rng = np.random.default_rng(7)

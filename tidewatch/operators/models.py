@@ -797,6 +797,32 @@ class MemStream(Model):
         if self.front is not None:
             self.front.learn(x)
 
+    def steps(self, x):
+        """Rows up to the next one that enters the memory at once: nothing changes in between."""
+        if self.front is not None or self.gamma > 0:
+            return super().steps(x)
+        out, done, many = [], 0, 1
+        while done < len(x):
+            have = min(self.filled, self.memory)
+            part = x[done : done + many] if self.filled >= self.warmup and have else x[:0]
+            if not len(part):
+                out.append(self.step(x[done]))
+                done += 1
+                continue
+            e, far = self.net.encode(self._norm(part)), np.zeros((len(part), have))
+            for i in range(e.shape[1]):
+                far += np.abs(self.mem[:have, i] - e[:, i : i + 1])
+            raw = np.array(sane(far.min(1)))
+            low = np.flatnonzero(raw <= self.beta)
+            n = low[0] + 1 if len(low) else len(part)
+            self.n += n - 1
+            if len(low):
+                self.update(part[n - 1], raw[n - 1])
+            self.n += 1
+            out += raw[:n].tolist()
+            done, many = done + n, min(256, 2 * many) if not len(low) else max(1, min(many, 2 * n))
+        return out
+
 
 class Loda(Model):
     """Sparse random projections with histograms of values normalised by moving averages."""
