@@ -106,9 +106,11 @@ CELLS = ("tp", "fp", "fn", "tn")
 
 def eval_matrix(events: DataFrame, labels: DataFrame, algorithms: list[str], thresholds: list[float], names: list[str], key: str = "event_group", params: dict[str, dict] | None = None) -> DataFrame:
     """algorithm, threshold, confusion counts, error and seconds. Each algorithm scores once: thresholds don't feed back.
-    One that fails has its error in place of counts, and the others go on."""
-    spark, df, out = events.sparkSession, features.extract(events, names), []
-    for a in algorithms:
+    One that fails has its error in place of counts, and the others go on. They run side by side, as a key is one task's
+    for most of them."""
+    spark, df = events.sparkSession, features.extract(events, names)
+
+    def one(a: str) -> list[tuple]:
         began, counts, error = time.time(), {}, None
         try:
             s = keyed.score(df, a, names, key, **(params or {}).get(a, {})).select("event_id", "scaled").join(labels, "event_id")
@@ -118,5 +120,8 @@ def eval_matrix(events: DataFrame, labels: DataFrame, algorithms: list[str], thr
             counts = {t: got[4 * i : 4 * i + 4] for i, t in enumerate(thresholds)}
         except Exception as e:  # whatever it is, it is a result of the evaluation
             error = str(e).splitlines()[0]
-        out += [(a, float(t), *counts.get(t, [None] * 4), error, time.time() - began) for t in thresholds]
+        return [(a, float(t), *counts.get(t, [None] * 4), error, time.time() - began) for t in thresholds]
+
+    with ThreadPoolExecutor(max(1, len(algorithms))) as pool:
+        out = [row for rows in pool.map(one, algorithms) for row in rows]
     return spark.createDataFrame(out, "algorithm string, threshold double, " + ", ".join(f"{c} long" for c in CELLS) + ", error string, seconds double")
