@@ -176,6 +176,7 @@ def resume(df: DataFrame, checkpoint: DataFrame, features: list[str], key: str =
     """Score and go on learning from a checkpoint; keys that it doesn't know start anew with its configuration. A key's
     state comes as a row ahead of its events, so that memory does not grow with them."""
     rows, _ = _selected(df, features, key)
+    checkpoint = checkpoint.persist()  # a row a key; it is read twice, and may have to be learnt first
     first = checkpoint.select("config").first()
     if first is None:
         raise ValueError("the checkpoint is empty")
