@@ -51,3 +51,11 @@ def test_fusion_is_of_sequences_and_zscores(spark, sf):
     s = keyed.sequence_scores(keyed_events, "syscall_name", "group_key", 4).select("event_id", native.scaled(F.col("raw"), "exp1m").alias("s"))
     rows = got.join(z, "event_id").join(s, "event_id").collect()
     assert len(rows) == 300 and all(abs(r["scaled"] - 1 / (1 + math.exp(-(r["z"] + r["s"]) / 2))) < 1e-9 for r in rows)
+
+
+def test_short_grams_are_kept(spark, sf):
+    """A thread's first rows have the gram of what there is, and are not ready; none is without one."""
+    from tidewatch.queries import queries
+
+    rows = queries()["ngram"](spark, sf).collect()
+    assert all(r["gram"] and r["ready"] == (r["gram"].count(",") == 3) for r in rows) and {r["gram"].count(",") for r in rows} == {0, 1, 2, 3}

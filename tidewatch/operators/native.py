@@ -198,11 +198,12 @@ def fuse(raws: list[str], scaleds: list[str], how: str = "mean") -> tuple[Column
     raise ValueError(f"unknown fusion {how!r}")
 
 
-def rolling_ngram(df: DataFrame, n: int, vector: str, key: list[str]) -> DataFrame:
-    """Append ngram: the last n vectors of the key, this row's included, end to end; null until there are n."""
+def rolling_ngram(df: DataFrame, n: int, vector: str, key: list[str], short: bool = False) -> DataFrame:
+    """Append ngram: the last n vectors of the key, this row's included, end to end; null until there are n, or if
+    ``short``, as many as there are by then."""
     w = Window.partitionBy(*key).orderBy(*ORDER).rowsBetween(1 - n, 0)
     got = F.collect_list(vector).over(w)
-    return df.withColumn("__n", got).withColumn("ngram", F.when(F.size("__n") == n, F.flatten("__n"))).drop("__n")
+    return df.withColumn("__n", got).withColumn("ngram", F.when(F.lit(short) | (F.size("__n") == n), F.flatten("__n"))).drop("__n")
 
 
 def context(df: DataFrame, n: int, token: str, key: list[str], order: tuple[str, ...] = ORDER) -> DataFrame:

@@ -216,10 +216,10 @@ query("flagship", WITH_ENV + _FLAG)(q_flagship)
 # sequences
 
 @query("ngram", WITH_ENV + """, g as (select event_id, list(syscall_name) over (partition by tid order by ts_unix_nano, seq rows between 3 preceding and current row) as l from env)
-select event_id, case when len(l) = 4 then array_to_string(l, ',') end as gram, len(l) = 4 as ready from g""")
+select event_id, array_to_string(l, ',') as gram, len(l) = 4 as ready from g""")
 def ngram(spark, d):
-    df = native.rolling_ngram(env(spark, d).withColumn("v", F.array("syscall_name")), 4, "v", ["tid"])
-    return df.select("event_id", F.array_join("ngram", ",").alias("gram"), F.col("ngram").isNotNull().alias("ready"))
+    df = native.rolling_ngram(env(spark, d).withColumn("v", F.array("syscall_name")), 4, "v", ["tid"], short=True)
+    return df.select("event_id", F.array_join("ngram", ",").alias("gram"), (F.size("ngram") == 4).alias("ready"))
 
 
 @query("sequence_context", """with c as (select *, list(role) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding) as ctx from conversations),
