@@ -145,6 +145,7 @@ def summary(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
 def diagnostic_report(scores: DataFrame, column: str = "scaled", facts: dict[str, float] | None = None) -> DataFrame:
     """One row: n, std, tail_gap (99th less 50th percentile), issues and positives (arrays of text), verdict. facts: of
     the model, as ``keyed.diagnose`` gives them: accepted_rate, signal_corr, nonzero_ratio, projection_variance."""
+    scores = scores.select(column).persist()  # read four times; whatever gives the scores runs once
     q, facts = quantiles(scores, column, [0.5, 0.99]) or [None, None], facts or {}
     gap = F.lit(q[1] - q[0] if q[0] is not None else None).cast("double")
     checks = [(F.col("std") < 0.03, "scores spread little", "scores spread"), (gap < 0.08, "the upper tail is weak", "there is an upper tail")]
