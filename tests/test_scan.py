@@ -150,3 +150,27 @@ def test_false_alarm_runs(spark, parts):
     late = [(rec, bool(e) and i > 300, p, t, i) for rec, e, p, t, i in rows]
     got = analytics.stream_performance(spark.createDataFrame(late, df.schema), parts).first()
     assert got["false_alarm_runs"] == _runs_by_hand(late) and got["tp"] + got["fp"] + got["fn"] + got["tn"] == 500
+
+
+def test_a_task_has_no_more_ranges_as_rows_grow(spark):
+    """More ranges than shuffle partitions: as many tasks, so that a task's rows are those of a range or so, with the same ranks."""
+    rows = [("g", i, i, ((i * 7919) % 101) / 10) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, ts_unix_nano long, seq long, raw double")
+    few, many = (native.percentile(df, ["k"], window=16, warmup=4, parts=n) for n in (2, 20))
+    assert scan.numbered(df, ["k"], native.ORDER, parts=20).rdd.getNumPartitions() >= 20
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_a_report_runs_what_gives_the_scores_once(spark):
+    from tidewatch.operators import analytics
+
+    ran = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            ran.add(len(pdf))
+            yield pdf
+
+    scores = spark.range(1000).selectExpr("id / 1000.0D as scaled").mapInPandas(seen, "scaled double")
+    got = analytics.diagnostic_report(scores).first()
+    assert got["n"] == 1000 and abs(got["tail_gap"] - 0.48951) < 1e-6 and ran.value == 1000

@@ -65,7 +65,7 @@ def as_of(asking: DataFrame, marks: DataFrame, key: tuple[str, ...] = ("pid", "f
     mark at an asker's own place (time and seq) does not count yet."""
     held = marks.select(*key, *ORDER, F.struct("v").alias("__mark"))
     both = asking.withColumn("__asks", F.lit(1)).unionByName(held, allowMissingColumns=True)
-    both = scan.cut(both, ORDER[0], parts)
+    both, many = scan.cut_into(both, ORDER[0], parts)
     lasts = both.where(F.col("__mark").isNotNull()).groupBy(*key, scan.PART).agg(F.max_by("__mark", F.struct(*ORDER)).alias("__mark"))
     # ranges of a key without marks have a state too: that of the last one with any
     there = both.select(*key, scan.PART).distinct()
@@ -73,7 +73,7 @@ def as_of(asking: DataFrame, marks: DataFrame, key: tuple[str, ...] = ("pid", "f
     states = there.join(lasts, same, "left").select(*[there[c] for c in (*key, scan.PART)], "__mark")
     states = states.select(*key, scan.PART, F.last("__mark", ignorenulls=True).over(scan.before([*key])).alias("__mark"))
     w = Window.partitionBy(*key, scan.PART).orderBy(F.col(scan.CARRY).desc(), *ORDER, F.col("__asks").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = scan.carried(both, states).withColumn(out, F.last("__mark", ignorenulls=True).over(w)["v"])
+    rows = scan.dealt(scan.carried(both, states), [*key, scan.PART], many).withColumn(out, F.last("__mark", ignorenulls=True).over(w)["v"])
     return scan.bare(rows.where(F.col("__asks") == 1), asking.columns, out)
 
 

@@ -45,7 +45,7 @@ def zscore(df: DataFrame, features: list[str], key: list[str], min_count: int =
     """Append raw: the mean of the largest distances from the running mean in running standard deviations. A range's state
     is each feature's count, mean and sum of squared distances from it; states are combined pairwise exactly, those of
     earlier ranges around the first range's mean, so that no digits are lost."""
-    columns, df = df.columns, scan.cut(df, ORDER[0], parts)
+    columns, (df, many) = df.columns, scan.cut_into(df, ORDER[0], parts)
     own = df.groupBy(*key, PART).agg(F.count(F.lit(1)).alias("n"), *[a.alias(f"{x}_{i}") for i, f in enumerate(features) for x, a in (("n", F.count(f)), ("m", F.avg(f)), ("s", F.var_pop(f) * F.count(f)))])
     k, w = range(len(features)), scan.before(key)
     sofar = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -54,7 +54,7 @@ def zscore(df: DataFrame, features: list[str], key: list[str], min_count: int =
         ("__n", F.sum(f"n_{i}").over(w)), ("c", F.col(f"c_{i}")), ("d", F.sum(F.col(f"n_{i}") * F.col(f"d_{i}")).over(w)), ("s", F.sum(F.col(f"s_{i}") + F.col(f"n_{i}") * F.col(f"d_{i}") * F.col(f"d_{i}")).over(w)))])
     off = lambda i: F.col(f"d_{i}") / F.nullif(F.col(f"__n_{i}"), F.lit(0))
     states = total.select(*key, PART, "__n", *[a.alias(f"{x}_{i}") for i in k for x, a in (("__n", F.col(f"__n_{i}")), ("__m", F.col(f"c_{i}") + off(i)), ("__s", F.greatest(F.lit(0.0), F.col(f"s_{i}") - off(i) * F.col(f"d_{i}"))))])
-    rows, local = scan.carried(df, states), scan.within(key, ORDER)
+    rows, local = scan.dealt(scan.carried(df, states), [*key, PART], many), scan.within(key, ORDER)
     upto = local.rowsBetween(Window.unboundedPreceding, -1)
     first = lambda c: F.first(c).over(local.rowsBetween(Window.unboundedPreceding, 0))
     zs = []
@@ -90,7 +90,8 @@ def surprisal(df: DataFrame, features: list[str], key: list[str], bins: int = 65
     A range's state is how often each value has come before it, a row for each value that the range has, and how many
     rows and different values have."""
     k, columns = range(len(features)), df.columns
-    df = scan.cut(df, ORDER[0], parts).withColumns({f"__b_{i}": bin_of(f, bins) for i, f in enumerate(features)})
+    df, many = scan.cut_into(df, ORDER[0], parts)
+    df = df.withColumns({f"__b_{i}": bin_of(f, bins) for i, f in enumerate(features)})
     each = df.select(*key, PART, F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"__b_{i}").alias("b")) for i in k])).alias("x")).select(*key, PART, "x.f", "x.b")
     own = each.groupBy(*key, PART, "f", "b").agg(F.count(F.lit(1)).alias("c"))
     seen = own.select(*key, PART, "f", "b", F.coalesce(F.sum("c").over(scan.before([*key, "f", "b"])), F.lit(0)).alias("c"))
@@ -101,7 +102,7 @@ def surprisal(df: DataFrame, features: list[str], key: list[str], bins: int = 65
     same = [new[c].eqNullSafe(rows[c]) for c in key] + [new[PART] == rows["__p"]]
     totals = new.join(rows, reduce(lambda a, b: a & b, same)).select(*[new[c] for c in key], PART, "n", *[f"k_{i}" for i in k])
     totals = totals.select(*key, PART, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__n"), *[F.coalesce(F.sum(f"k_{i}").over(w), F.lit(0)).alias(f"__k_{i}") for i in k])
-    both = scan.carried(df, values.unionByName(totals, allowMissingColumns=True))
+    both = scan.dealt(scan.carried(df, values.unionByName(totals, allowMissingColumns=True)), [*key, PART], many)
     # of carried rows, those of a value have its feature's number, the one of the range none
     row, upto = (F.col(scan.CARRY) == 0).cast("long"), scan.within(key, ORDER).rowsBetween(Window.unboundedPreceding, -1)
     for i in k:
@@ -137,12 +138,13 @@ def percentile(df: DataFrame, key: list[str], raw: str = "raw", window: int = 20
     own. Both are counted by halving blocks again and again: at each step a row of a right half counts the rows of the left
     half that are not above it, all rows of a half at once by one running sum in the order of scores. So there
     is a sort for each doubling of the window, and no task holds more than two blocks of a group."""
-    columns, df = df.columns, scan.numbered(df, key, ORDER, "__row", parts)
+    columns, (df, many) = df.columns, scan.numbered_in(df, key, ORDER, "__row", parts)
     x = F.log1p(F.greatest(F.col(raw), F.lit(0.0)))
     at = (F.col("__row") - 1).cast("long")
     df = df.withColumns({"__x": x, "__block": F.floor(at / window), "__at": (at % window).cast("int"), "__own": F.lit(1)})
     both = df.unionByName(df.select(*key, "__x", (F.col("__block") + 1).alias("__block"), "__at", F.lit(0).alias("__own")), allowMissingColumns=True)
-    both = both.repartition(*key, "__block")
+    # twice the rows, and a sort's worth of them for each step at once: a task gets a quarter of a range
+    both = both.repartition(4 * many, *key, "__block") if many > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else both.repartition(*key, "__block")
     own = F.col("__own") == 1
     for step in range((window - 1).bit_length()):
         w = Window.partitionBy(*key, "__block", F.shiftright("__at", step + 1)).orderBy("__x")

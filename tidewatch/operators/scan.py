@@ -59,7 +59,19 @@ def bounds(df: DataFrame, at: str, parts: int | None = None, rows: int = ROWS) -
 
 def cut(df: DataFrame, at: str, parts: int | None = None) -> DataFrame:
     """Append the range of each row."""
-    return df.withColumn(PART, bisect(F.col(at), bounds(df, at, parts)))
+    return cut_into(df, at, parts)[0]
+
+
+def cut_into(df: DataFrame, at: str, parts: int | None = None) -> tuple[DataFrame, int]:
+    """``cut``, and how many ranges there are."""
+    got = bounds(df, at, parts)
+    return df.withColumn(PART, bisect(F.col(at), got)), len(got) + 1
+
+
+def dealt(df: DataFrame, by: list[str], ranges: int) -> DataFrame:
+    """The rows by group and range (or blocks of rows of another kind), to as many tasks as there are ranges once these are
+    more than shuffle partitions: a task's rows, and the memory that sorts them, don't grow with the table."""
+    return df.repartition(ranges, *by) if ranges > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def before(key: list[str]) -> WindowSpec:
@@ -84,27 +96,32 @@ def bare(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
 
 def numbered(df: DataFrame, key: list[str], order: tuple[str, ...], out: str = "row", parts: int | None = None) -> DataFrame:
     """Append the row's number within its group, from 1."""
-    columns, df = df.columns, cut(df, order[0], parts)
+    return numbered_in(df, key, order, out, parts)[0]
+
+
+def numbered_in(df: DataFrame, key: list[str], order: tuple[str, ...], out: str = "row", parts: int | None = None) -> tuple[DataFrame, int]:
+    """``numbered``, and how many ranges there are."""
+    columns, (df, many) = df.columns, cut_into(df, order[0], parts)
     counts = df.groupBy(*key, PART).agg(F.count(F.lit(1)).alias("n"))
     states = counts.select(*key, PART, F.coalesce(F.sum("n").over(before(key)), F.lit(0)).alias("__ahead"))
     w = within(key, order)
-    rows = carried(df, states)
+    rows = dealt(carried(df, states), [*key, PART], many)
     number = F.first("__ahead").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.row_number().over(w) - 1
-    return bare(rows.withColumn(out, number), columns, out)
+    return bare(rows.withColumn(out, number), columns, out), many
 
 
 def last_states(df: DataFrame, key: list[str], order: tuple[str, ...], value: Column, out: str, parts: int | None = None) -> DataFrame:
     """Append the value of the group's row just before this one as a struct's field v, null for the first row: a lag that
     goes on over ranges."""
-    columns, df = df.columns, cut(df.withColumn("__v", F.struct(value.alias("v"))), order[0], parts)
+    columns, (df, many) = df.columns, cut_into(df.withColumn("__v", F.struct(value.alias("v"))), order[0], parts)
     ends = df.groupBy(*key, PART).agg(F.max_by("__v", F.struct(*order)).alias("end"))
     states = ends.select(*key, PART, F.lag("end").over(Window.partitionBy(*key).orderBy(PART)).alias("__v"))
-    return bare(carried(df, states).withColumn(out, F.lag("__v").over(within(key, order))), columns, out)
+    return bare(dealt(carried(df, states), [*key, PART], many).withColumn(out, F.lag("__v").over(within(key, order))), columns, out)
 
 
 def summed(df: DataFrame, key: list[str], order: tuple[str, ...], value: Column, out: str, parts: int | None = None) -> DataFrame:
     """Append the sum of the value over the group's rows up to and with this one."""
-    columns, df = df.columns, cut(df.withColumn("__v", value), order[0], parts)
+    columns, (df, many) = df.columns, cut_into(df.withColumn("__v", value), order[0], parts)
     sums = df.groupBy(*key, PART).agg(F.sum("__v").alias("s"))
     states = sums.select(*key, PART, F.sum("s").over(before(key)).alias("__v"))
-    return bare(carried(df, states).withColumn(out, F.sum("__v").over(within(key, order).rowsBetween(Window.unboundedPreceding, 0))), columns, out)
+    return bare(dealt(carried(df, states), [*key, PART], many).withColumn(out, F.sum("__v").over(within(key, order).rowsBetween(Window.unboundedPreceding, 0))), columns, out)
