@@ -95,7 +95,9 @@ def in_order(rows: DataFrame, key: str, schema: str, start: Callable[[object], o
         if begun and (last := end(key_of, held)) is not None:
             yield last
 
-    return rows.repartition(key).sortWithinPartitions(key, *ORDER).mapInPandas(run, schema)
+    # a number that is told, as plans that adapt would put small keys together in one task, one behind the other
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(many, key).sortWithinPartitions(key, *ORDER).mapInPandas(run, schema)
 
 
 def _keyed(key: str, of: Callable[[object, pd.DataFrame], pd.DataFrame]) -> Callable[[object, pd.DataFrame], pd.DataFrame]:
