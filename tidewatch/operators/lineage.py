@@ -10,8 +10,6 @@ and hops takes few of them, and nothing recurses.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,23 +58,24 @@ def peer_marks(calls: DataFrame, family: str = "AF_INET", closes: tuple[str, ...
     return calls.where(F.coalesce(connected, F.lit(False)) | closed).select("pid", F.col("fd").cast("long").alias("fd"), *ORDER, F.when(connected, F.struct("addr", "port")).alias("v"))
 
 
-def as_of(asking: DataFrame, marks: DataFrame, key: tuple[str, ...] = ("pid", "fd"), out: str = "v", parts: int | None = None) -> DataFrame:
+def as_of(asking: DataFrame, marks: DataFrame, key: tuple[str, ...] = ("pid", "fd"), out: str = "v", parts: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Append to the askers the v of the last mark of their key before them; null if there is none, or it closes. A
-    mark at an asker's own place (time and seq) does not count yet."""
+    mark at an asker's own place (time and seq) does not count yet. sizes: as ``scan.cut_large`` has it."""
     held = marks.select(*key, *ORDER, F.struct("v").alias("__mark"))
     both = asking.withColumn("__asks", F.lit(1)).unionByName(held, allowMissingColumns=True)
-    both, many = scan.cut_into(both, ORDER[0], parts)
-    lasts = both.where(F.col("__mark").isNotNull()).groupBy(*key, scan.PART).agg(F.max_by("__mark", F.struct(*ORDER)).alias("__mark"))
-    # ranges of a key without marks have a state too: that of the last one with any
-    there = both.select(*key, scan.PART).distinct()
-    same = reduce(lambda a, b: a & b, [there[c].eqNullSafe(lasts[c]) for c in (*key, scan.PART)])
-    states = there.join(lasts, same, "left").select(*[there[c] for c in (*key, scan.PART)], "__mark")
-    states = states.select(*key, scan.PART, F.last("__mark", ignorenulls=True).over(scan.before([*key])).alias("__mark"))
+    both, many, large = scan.cut_large(both, [*key], ORDER[0], parts, sizes)
+    rows = both.withColumn(scan.CARRY, F.lit(0)) if large is None else scan.carried(both, _states(large, key))
     w = Window.partitionBy(*key, scan.PART).orderBy(F.col(scan.CARRY).desc(), *ORDER, F.col("__asks").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = scan.dealt(scan.carried(both, states), [*key, scan.PART], many).withColumn(out, F.last("__mark", ignorenulls=True).over(w)["v"])
+    rows = scan.dealt(rows, [*key, scan.PART], many).withColumn(out, F.last("__mark", ignorenulls=True).over(w)["v"])
     return scan.bare(rows.where(F.col("__asks") == 1), asking.columns, out)
 
 
+def _states(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Of each range of a key the last mark before it. Ranges without marks have a state too: that of the last one with any."""
+    lasts = rows.groupBy(*key, scan.PART).agg(F.max_by("__mark", F.when(F.col("__mark").isNotNull(), F.struct(*ORDER))).alias("__mark"))
+    return lasts.select(*key, scan.PART, F.last("__mark", ignorenulls=True).over(scan.before([*key])).alias("__mark"))
+
+
 def inherited(asking: DataFrame, marks: DataFrame, parents: DataFrame, id: str = "event_id", hops: int = HOPS, out: str = "v", parts: int | None = None) -> DataFrame:
     """As ``as_of``, by (pid, fd); where the process has no open mark at that moment, its parent's counts, and so on, through
     ``hops`` processes in all. Also append hop: 0 for the process's own, null if none has one. ids tell askers apart."""
@@ -84,7 +83,10 @@ def inherited(asking: DataFrame, marks: DataFrame, parents: DataFrame, id: str =
     reach = ancestors(parents, hops - 1)
     left = own.where(F.col(out).isNull()).select(F.col(id).alias("__id"), F.col("pid").alias("__pid"), "fd", *ORDER)
     asked = left.join(reach, F.col("__pid") == reach["pid"]).select("__id", "hop", F.col("ancestor").alias("pid"), "fd", *ORDER)
-    found = as_of(asked, marks, out="v", parts=parts).where("v is not null").groupBy("__id").agg(F.min_by("v", "hop").alias("__v"), F.min("hop").alias("__hop"))
+    # as if all were left: counts by process are passed up, in place of a run of all this for counting alone
+    calls = asking.groupBy(F.col("pid").alias("__pid"), "fd").agg(F.count(F.lit(1)).alias("n"))
+    most = calls.join(reach, F.col("__pid") == reach["pid"]).select(F.col("ancestor").alias("pid"), "fd", "n").unionByName(marks.groupBy("pid", "fd").agg(F.count(F.lit(1)).alias("n")))
+    found = as_of(asked, marks, out="v", parts=parts, sizes=most.groupBy("pid", "fd").agg(F.sum("n").alias("n"))).where("v is not null").groupBy("__id").agg(F.min_by("v", "hop").alias("__v"), F.min("hop").alias("__hop"))
     both = own.join(found, own[id] == found["__id"], "left")
     value = F.coalesce(F.col(out), F.col("__v"))
     return both.select(*asking.columns, value.alias(out), F.when(F.col(out).isNotNull(), 0).otherwise(F.col("__hop")).alias("hop"))

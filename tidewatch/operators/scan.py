@@ -13,6 +13,7 @@ are in one range.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -68,6 +69,27 @@ def cut_into(df: DataFrame, at: str, parts: int | None = None) -> tuple[DataFram
     return df.withColumn(PART, bisect(F.col(at), got)), len(got) + 1
 
 
+def cut_large(df: DataFrame, key: list[str], at: str, parts: int | None = None, sizes: DataFrame | None = None) -> tuple[DataFrame, int, DataFrame | None]:
+    """``cut_into`` where keys may be many: only keys of more than ``ROWS`` rows are cut, as a state for each range of a small
+    one would be as many rows as there are. Also how many tasks the rows are for, and the rows of the keys that are cut
+    (none if no key is). sizes: the key's columns and n, no fewer rows than it has, where that is cheaper to know than by
+    counting; ``parts`` cuts all keys."""
+    if parts:
+        df, many = cut_into(df, at, parts)
+        return df, many, df
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
+    n, any_ = sizes.agg(F.sum("n"), F.max("n") > ROWS).first()
+    many = math.ceil((n or 0) / ROWS)
+    if not any_:
+        return df.withColumn(PART, F.lit(0)), many, None
+    large = F.broadcast(sizes.where(F.col("n") > ROWS).select(*[F.col(c).alias(f"__large_{c}") for c in key], F.lit(True).alias("__large")))  # fewer than rows / ROWS
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__large_{c}")) for c in key])
+    columns, df = df.columns, df.join(large, same, "left")
+    got = bounds(df.where("__large"), at, rows=ROWS)
+    df = df.select(*columns, F.when(F.col("__large"), bisect(F.col(at), got)).otherwise(0).alias(PART), "__large")
+    return df.drop("__large"), max(many, len(got) + 1), df.where("__large").drop("__large")
+
+
 def dealt(df: DataFrame, by: list[str], ranges: int) -> DataFrame:
     """The rows by group and range (or blocks of rows of another kind), to as many tasks as there are ranges once these are
     more than shuffle partitions: a task's rows, and the memory that sorts them, don't grow with the table."""
