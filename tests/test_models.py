@@ -225,3 +225,12 @@ def test_a_pipeline_scores_once(spark, sf):
     counted = scores.mapInPandas(seen, scores.schema)
     c = pipelines.Config(algorithm="zscore", features=tuple(NAMES), score_mode="scaled", warmup=20)
     assert pipelines._decided(counted, e, c).where("suppressed").count() == 60 and ran.value == e.count()
+
+
+def test_vectors_of_many_tokens_equal_those_one_by_one():
+    r = random.Random(5)
+    actors, tokens = [r.choice("abc") for _ in range(3000)], [r.choice("uvwxyz" if i > 400 else "uv") for i in range(3000)]
+    one, many = models.Word2Vec(), models.Word2Vec()
+    want = [one.add(a, t).tolist() for a, t in zip(actors, tokens, strict=True)]
+    assert many.adds(actors[:1111], tokens[:1111]) + many.adds(actors[1111:], tokens[1111:]) == want
+    assert models.plain(one) == models.plain(many) and any(want[-1])

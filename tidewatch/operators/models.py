@@ -11,6 +11,7 @@ import base64
 import math
 from bisect import bisect_right, insort
 from collections import deque
+from itertools import chain
 from statistics import NormalDist
 
 import numpy as np
@@ -1011,6 +1012,25 @@ class Word2Vec:
 
     def add(self, actor: str, token: str) -> np.ndarray:
         """The token is taken up; its vector as learnt by then (zeros if unknown)."""
+        self._take(actor, token)
+        i = self.ids.get(token)
+        return self.vec[i].copy() if i is not None else np.zeros(self.dim)
+
+    def adds(self, actors: list[str], tokens: list[str]) -> list[list[float]]:
+        """``add`` of each token in turn: vectors stand still between two lessons."""
+        out, known = [], {}
+        for actor, token in zip(actors, tokens, strict=True):
+            if self._take(actor, token):
+                known = {}
+            v = known.get(token)
+            if v is None:
+                i = self.ids.get(token)
+                v = known[token] = self.vec[i].tolist() if i is not None else [0.0] * self.dim
+            out.append(v)
+        return out
+
+    def _take(self, actor: str, token: str) -> bool:
+        """Whether anything was learnt."""
         q = self.recent.get(actor)
         if q is None:
             q = self.recent[actor] = deque(maxlen=self.sentence)
@@ -1018,23 +1038,24 @@ class Word2Vec:
         if len(q) == self.sentence:
             self.pending.append(list(q))
         self.n += 1
-        if self.n % self.every == 0 and self.pending:
-            self._train()
-        i = self.ids.get(token)
-        return self.vec[i].copy() if i is not None else np.zeros(self.dim)
+        if self.n % self.every or not self.pending:
+            return False
+        self._train()
+        return True
 
     def _train(self):
-        for t in (t for s in self.pending for t in s):
+        for t in dict.fromkeys(chain.from_iterable(self.pending)):
             if t not in self.ids:
                 self.ids[t] = len(self.ids)
                 self.freq.append(0)
                 self.vec = np.vstack([self.vec, self.rng.uniform(-0.5, 0.5, (1, self.dim)) / self.dim])
                 self.out = np.vstack([self.out, np.zeros((1, self.dim))])
-            self.freq[self.ids[t]] += 1
+        words = np.array([self.ids[t] for t in chain.from_iterable(self.pending)]).reshape(-1, self.sentence)
+        self.freq = (np.array(self.freq) + np.bincount(words.ravel(), minlength=len(self.freq))).tolist()
         upto = np.cumsum(np.array(self.freq, float) ** 0.75)
         rate = self.rate * (1 if self.n <= self.warmup else self.later)
-        words = np.array([[self.ids[t] for t in s] for s in self.pending])
-        drawn = np.searchsorted(upto, self.rng.random((len(words), len(self.center), self.negative)) * upto[-1], "right")
+        chance = self.rng.random((len(words), len(self.center), self.negative)) * upto[-1]
+        drawn = sum((chance >= u for u in upto[:-1]), np.zeros(chance.shape, int)) if len(upto) <= 8 else np.searchsorted(upto, chance, "right")
         at = np.concatenate([words[:, self.other, None], np.minimum(drawn, len(upto) - 1)], axis=2)
         c = words[:, self.center]
         if len(upto) <= FEW:
@@ -1056,9 +1077,20 @@ class Word2Vec:
         place = (np.arange(many)[:, None, None] * n + at) * n + c[:, :, None]
         both = rate * np.bincount(place.ravel(), minlength=many * n * n).reshape(many, n, n)
         true = rate * np.bincount(place[:, :, 0].ravel(), minlength=many * n * n).reshape(many, n, n)
-        for pairs, right in zip(both, true, strict=True):
-            g = pairs / (1 + np.exp(-(self.out @ self.vec.T))) - right
-            self.out, self.vec = self.out - g @ self.vec, self.vec - g.T @ self.out
+        # both tables by the root of a half, so that products are halved, and the logistic function by way of tanh
+        u, v = self.out * math.sqrt(0.5), self.vec * math.sqrt(0.5)
+        g, du, dv = np.empty((n, n)), np.empty_like(u), np.empty_like(v)
+        vt, gt, half = v.T, g.T, both / 2
+        for pairs, less in zip(half, half - true, strict=True):
+            np.dot(u, vt, g)
+            np.tanh(g, g)
+            np.multiply(g, pairs, g)
+            np.add(g, less, g)
+            np.dot(g, v, du)
+            np.dot(gt, u, dv)
+            np.subtract(u, du, u)
+            np.subtract(v, dv, v)
+        self.out, self.vec = u * math.sqrt(2), v * math.sqrt(2)
 
 
 class RollingRank:

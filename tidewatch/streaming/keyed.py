@@ -247,7 +247,7 @@ def token_vectors(df: DataFrame, token: str, key: str, **vectors) -> DataFrame:
     from tidewatch.operators.models import Word2Vec
 
     def step(table: Word2Vec, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [table.add(a, t.strip().lower() if isinstance(t, str) else "").tolist() for a, t in zip(pdf["tid"], pdf[token], strict=True)]
+        got = table.adds(pdf["tid"].tolist(), [t.strip().lower() if isinstance(t, str) else "" for t in pdf[token]])
         return pd.DataFrame({key: pdf[key].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "vector": got})
 
     return in_order(df.select(key, "tid", "event_id", "ts_unix_nano", "seq", token), key, f"{key} string, event_id string, vector array<double>", lambda _: Word2Vec(**vectors), step)
