@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,26 @@ def test_vectors_of_many_tokens_equal_those_one_by_one():
     want = [one.add(a, t).tolist() for a, t in zip(actors, tokens, strict=True)]
     assert many.adds(actors[:1111], tokens[:1111]) + many.adds(actors[1111:], tokens[1111:]) == want
     assert models.plain(one) == models.plain(many) and any(want[-1])
+
+
+@pytest.mark.parametrize("n", [5, 50, 51, 400])
+def test_a_rank_that_only_takes_scores_up_is_the_same(n):
+    r = random.Random(2)
+    x, a, b = [r.choice([r.random(), 0.5]) for _ in range(n)], models.RollingRank(50, 10), models.RollingRank(50, 10)
+    for v in x:
+        a.step(v)
+    b.take(x[: n // 3])
+    b.take(x[n // 3 :])
+    assert (list(a.order), a.sorted) == (list(b.order), b.sorted)
+
+
+def test_training_ranks_nothing_and_has_the_state_of_scoring(monkeypatch):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.random((700, 2)), columns=["a", "b"]).assign(event_id="e", seq=range(700))
+    pdf.loc[90, "a"] = np.inf
+    ran, learnt = (keyed.Scorer("memstream", ["a", "b"], {"memory": 64, "warmup": 64, "beta": 0.3}, 128, 32) for _ in range(2))
+    ran.run(pdf)
+    monkeypatch.setattr(models.RollingRank, "step", lambda *_: 1 / 0)
+    for i in range(0, 700, 300):
+        learnt.learn(pdf.iloc[i : i + 300])
+    assert ran.state() == learnt.state() and ran.model.filled > 64

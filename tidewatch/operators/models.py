@@ -798,6 +798,21 @@ class MemStream(Model):
         if self.front is not None:
             self.front.learn(x)
 
+    def _nearest(self, e: np.ndarray, have: int) -> np.ndarray:
+        """The distance of each encoded row to the nearest memory, of a few rows at a time, so that these stay in the cache."""
+        size = max(1, 65_536 // have)
+        mem, out, held = np.ascontiguousarray(self.mem[:have].T), np.empty(len(e)), np.empty((2, size, have))
+        for i in range(0, len(e), size):
+            part = e[i : i + size]
+            far, gap = held[:, : len(part)]
+            far[:] = 0.0
+            for j, known in enumerate(mem):
+                np.subtract(known, part[:, j : j + 1], gap)
+                np.abs(gap, gap)
+                np.add(far, gap, far)
+            out[i : i + size] = far.min(1)
+        return out
+
     def steps(self, x):
         """Rows up to the next one that enters the memory at once: nothing changes in between."""
         if self.front is not None or self.gamma > 0:
@@ -810,10 +825,7 @@ class MemStream(Model):
                 out.append(self.step(x[done]))
                 done += 1
                 continue
-            e, far = self.net.encode(self._norm(part)), np.zeros((len(part), have))
-            for i in range(e.shape[1]):
-                far += np.abs(self.mem[:have, i] - e[:, i : i + 1])
-            raw = np.array(sane(far.min(1)))
+            raw = np.array(sane(self._nearest(self.net.encode(self._norm(part)), have)))
             low = np.flatnonzero(raw <= self.beta)
             n = low[0] + 1 if len(low) else len(part)
             self.n += n - 1
@@ -1109,6 +1121,13 @@ class RollingRank:
             del self.sorted[bisect_right(self.sorted, old) - 1]
         return out
 
+    def take(self, raws: list[float]) -> None:
+        """``step`` of each score in turn, where no shares are asked for: the last ones are all that stays."""
+        self.order.extend(round(math.log1p(max(0.0, r)), 12) for r in raws[-self.window :])
+        while len(self.order) > self.window:
+            self.order.popleft()
+        self.sorted = sorted(self.order)
+
 
 def plain(value: object) -> object:
     """Of a model or a part of one, what JSON can hold: numbers, lists, arrays as text, and parts by the name of

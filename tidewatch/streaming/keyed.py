@@ -58,6 +58,11 @@ class Scorer:
         scaled = [self.model.scaled(r) if f else 0.0 for r, f in zip(raws.tolist(), fine, strict=True)]
         return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "raw": raws, "scaled": scaled, "percentile": ranks, "error": errors})
 
+    def learn(self, pdf: pd.DataFrame) -> None:
+        """``run``, where no scores are asked for."""
+        raws, errors = learnt(self.model, pdf)
+        self.rank.take(raws[np.array([e is None for e in errors], bool)].tolist())
+
     def state(self) -> str:
         return json.dumps({"model": plain(self.model), "rank": plain(self.rank)})
 
@@ -166,7 +171,7 @@ def train(df: DataFrame, algorithm: str, features: list[str], key: str = "event_
     config = json.dumps({"algorithm": algorithm, "names": names, "params": params, "window": window, "warmup": warmup})
 
     def step(s: Scorer, pdf: pd.DataFrame) -> None:
-        s.run(pdf)
+        s.learn(pdf)
 
     def end(k: object, s: Scorer) -> pd.DataFrame:
         return pd.DataFrame({key: [k], "algorithm": [algorithm], "config": [config], "events": [s.model.n], "state": [s.state()]})
